@@ -105,7 +105,7 @@ def batches_of(frames: Iterable[pd.DataFrame], column: str, limit: int) -> Itera
     for frame in frames:
         if frame.empty:
             continue
-        size = frame[column].str.len().fillna(0).cumsum().to_numpy() // limit
+        size = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).cumsum().to_numpy() // limit
         cuts = [0, *[int(i) + 1 for i in (size[1:] != size[:-1]).nonzero()[0]], len(frame)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield frame.iloc[a:b]

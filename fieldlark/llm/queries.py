@@ -5,23 +5,86 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldlark.llm import embedding_dedup, minhash_dedup
+from fieldlark.llm import (
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    pii_surrogates,
+    sharding,
+)
 from fieldlark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_format.digests(chat_format.chat_format(chat_format.with_text_parts(turns.unionAll(extra))))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shards(table(spark, sf_dir, "documents"))
+    return sharded.select(
+        "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), minhash_dedup.MinHash(words=3, threshold=85))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup}
+    own: list[Query] = [
+        op1_license_scan,
+        op2_embedding_near_dedup,
+        op3_pii_surrogates,
+        op4_substring_dedup,
+        op5_sequence_packing,
+        op6_chat_format,
+        op7_benchmark_decontamination,
+        op8_balanced_sharding,
+        op9_minhash_near_dedup,
+        op10_language_id,
+    ]
+    return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
