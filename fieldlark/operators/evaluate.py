@@ -1,7 +1,8 @@
 """Evaluation of classifiers, rankings and experiments.
 
 Curves need an order over all rows. They are computed on distinct scores with
-counts, so tied rows are one row and the running sum is over what is left.
+counts, so tied rows are one row; running sums are taken inside ranges of scores,
+and only the ranges' totals, one row for a partition, are summed in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.operators.lineage import cut
+
+
+def running_sums(df: DataFrame, order: str, columns: Sequence[str], descending: bool = False) -> DataFrame:
+    """``run_<column>``: sums of all rows up to a row in an order of distinct values, and ``next``, the value after it.
+
+    Rows are dealt by ranges of the order and materialised; sums inside a range are added to those of the ranges before.
+    """
+    key = F.desc(order) if descending else F.asc(order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, key).withColumn("_range", F.spark_partition_id()))
+    first = F.max(order) if descending else F.min(order)
+    totals = ranged.groupBy("_range").agg(first.alias("_first"), *[F.sum(c).alias(f"_t_{c}") for c in columns])
+    w = Window.orderBy("_range")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", F.lead("_first").over(w).alias("_after"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])
+    inside = Window.partitionBy("_range").orderBy(key)
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({f"_i_{c}": F.sum(c).over(run) for c in columns} | {"_lead": F.lead(order).over(inside)}).join(totals, "_range")
+    return out.select(*df.columns, F.coalesce("_lead", "_after").alias("next"), *[(F.col(f"_i_{c}") + F.col(f"_b_{c}")).alias(f"run_{c}") for c in columns])
+
 
 def confusion(df: DataFrame, truth: str, predicted: str, classes: Sequence) -> DataFrame:
     """Counts with a row for each class and fixed columns, zero where there is none."""
@@ -68,36 +90,31 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by average ranks, one row."""
-    own = _by_score(df, label, score)
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = own.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    ranked = running_sums(_by_score(df, label, score), "score", ["n"]).withColumn("rank", F.col("run_n") - (F.col("n") - 1) / 2)
     p, n = F.sum("pos"), F.sum("n")
     return ranked.agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0))).alias("auc"), n.alias("n"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the precision-recall steps, one row (M9)."""
-    own = _by_score(df, label, score)
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    at = own.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w))
+    at = running_sums(_by_score(df, label, score), "score", ["n", "pos"], True).withColumn("precision", F.col("run_pos") / F.col("run_n"))
     return at.agg((F.sum(F.col("precision") * F.col("pos")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
 def risk_coverage(df: DataFrame, wrong: str, score: str) -> DataFrame:
-    """(score, coverage, risk) from the surest score down."""
+    """(score, coverage, risk, area) from the surest score down; ``area`` is the trapezoid before a point."""
     own = _by_score(df, wrong, score)
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = own.agg(F.sum("n").alias("total"))
-    out = own.withColumn("seen", F.sum("n").over(w)).withColumn("bad", F.sum("pos").over(w)).crossJoin(F.broadcast(total))
-    return out.select("score", (F.col("seen") / F.col("total")).alias("coverage"), (F.col("bad") / F.col("seen")).alias("risk"))
+    total = F.broadcast(own.agg(F.sum("n").alias("total")))
+    out = running_sums(own, "score", ["n", "pos"], True).crossJoin(total)
+    seen, bad = F.col("run_n"), F.col("run_pos")
+    before = F.when(seen > F.col("n"), (bad - F.col("pos")) / (seen - F.col("n")))
+    return out.select("score", (seen / F.col("total")).alias("coverage"), (bad / seen).alias("risk"), (F.col("n") / F.col("total") * (bad / seen + before) / 2).alias("area"))
 
 
 def aurc(curve: DataFrame) -> DataFrame:
     """Area under the risk-coverage curve by trapezoids, and the risk at half and 70 % coverage."""
-    w = Window.orderBy("coverage")
-    area = (F.col("coverage") - F.lag("coverage").over(w)) * (F.col("risk") + F.lag("risk").over(w)) / 2
     at = lambda c: F.max_by("risk", F.when(F.col("coverage") <= c, F.col("coverage")))
-    return curve.withColumn("_a", area).agg(F.sum("_a").alias("aurc"), at(0.5).alias("risk50"), at(0.7).alias("risk70"))
+    return curve.agg(F.sum("area").alias("aurc"), at(0.5).alias("risk50"), at(0.7).alias("risk70"))
 
 
 def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -106,11 +123,9 @@ def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     Thresholds are the middles between neighbouring scores and one beyond each end.
     """
     own = _by_score(df, label, score)
-    w = Window.orderBy("score")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
     total = own.agg(F.sum("n").alias("total"), F.sum("pos").alias("positives"))
-    at = own.select(
-        F.coalesce((F.col("score") + F.lead("score").over(w)) / 2, F.col("score") + 1).alias("threshold"), F.sum("n").over(run).alias("below"), F.sum("pos").over(run).alias("fn")
+    at = running_sums(own, "score", ["n", "pos"]).select(
+        F.coalesce((F.col("score") + F.col("next")) / 2, F.col("score") + 1).alias("threshold"), F.col("run_n").alias("below"), F.col("run_pos").alias("fn")
     )
     low = own.agg((F.min("score") - 1).alias("threshold")).select("threshold", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("fn"))
     at = at.unionByName(low).crossJoin(F.broadcast(total))
@@ -131,11 +146,10 @@ def selective(df: DataFrame, label: str, score: str, share: float = 0.8) -> Data
     )
 
 
-def average_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, column, rank): the average rank of each distinct value."""
-    n = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    return n.select(*by, column, (F.sum("_c").over(w) - (F.col("_c") - 1) / 2).alias("rank"))
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(column, rank): the average rank of each distinct value."""
+    n = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
+    return running_sums(n, column, ["_c"]).select(column, (F.col("run__c") - (F.col("_c") - 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:

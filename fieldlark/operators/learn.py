@@ -106,3 +106,47 @@ def coefficients(model: PipelineModel) -> list[tuple[str, float]]:
             for c, labels in zip(s.getInputCols(), s.labelsArray, strict=True):
                 names += [f"{c}={v}" for v in labels]
     return sorted(zip(names, lr.coefficients.toArray().tolist(), strict=False), key=lambda p: -abs(p[1]))
+
+
+def left_out(df: DataFrame, group: str) -> DataFrame:
+    """``fold`` numbers of groups, one for each, for leave-one-group-out."""
+    own = df.groupBy(group).agg(F.lit(1).alias("_"))
+    return df.join(own.select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("fold")), group)
+
+
+def time_forward(df: DataFrame, week: str, cut: int) -> tuple[DataFrame, DataFrame]:
+    """Weeks up to the cut, and those after it (M5)."""
+    return df.where(F.col(week) <= cut), df.where(F.col(week) > cut)
+
+
+def random_search(df: DataFrame, build: Pipeline, grid: dict[str, Sequence], tries: int, folds: int, seed: int = 0, parallel: int = 4):
+    """The best of randomly drawn settings of the last stage by cross-validation on ``fold`` (M7)."""
+    import random
+
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rng, clf, maps = random.Random(seed), build.getStages()[-1], []
+    for _ in range(tries):
+        b = ParamGridBuilder()
+        for name, values in grid.items():
+            b = b.baseOn({clf.getParam(name): rng.choice(list(values))})
+        maps += b.build()
+    cv = CrossValidator(estimator=build, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol=clf.getLabelCol()), numFolds=folds, foldCol="fold", parallelism=parallel)
+    return cv.fit(df)
+
+
+def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], key: str, label: str, seed: int = 0) -> list[tuple[str, float]]:
+    """Loss of accuracy when a column's values are dealt anew."""
+    accuracy = lambda d: scored(model, d).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+    base = accuracy(df)
+    return sorted(((c, base - accuracy(permuted(df, c, key, seed))) for c in columns), key=lambda p: -p[1])
+
+
+def learning_curve(df: DataFrame, test: DataFrame, build: Pipeline, label: str, key: str, fractions: Sequence[float]) -> list[tuple[float, float]]:
+    """Accuracy on a test set by share of the training rows."""
+    out = []
+    for f in fractions:
+        model = build.fit(stratified_fraction(df, label, key, f))
+        out.append((f, scored(model, test).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]))
+    return out

@@ -149,3 +149,27 @@ def section_features(passages: DataFrame) -> DataFrame:
     return passages.groupBy("query_id").agg(
         F.count_distinct("section").alias("n_sections"), (F.count_distinct("section") == 1).alias("same_section"), F.sum("n_words").alias("n_words")
     )
+
+
+def merged_sections(sections_: DataFrame, key: str, least: int) -> DataFrame:
+    """Sections of fewer than ``least`` words joined with the next sibling under the same parent (V3), document by document."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for number, title, body in zip(g.number, g.title, g.body, strict=True):
+            parent = number.rpartition(".")[0]
+            if out and out[-1][1].split(";")[-1].rpartition(".")[0] == parent and len(out[-1][3].split()) < least:
+                out[-1][1] += ";" + number
+                out[-1][3] = (out[-1][3] + " " + title + " " + body).strip()
+            else:
+                out.append([g[key].iloc[0], number, title, body])
+        return pd.DataFrame(out, columns=[key, "number", "title", "body"])
+
+    ordered = sections_.withColumn("_n", F.transform(F.split("number", r"\."), lambda x: x.cast("int")))
+    kind = sections_.schema[key].dataType.simpleString()
+    return ordered.groupBy(key).applyInPandas(lambda g: run(g.sort_values("_n", key=lambda s: s.map(tuple))), f"{key} {kind}, number string, title string, body string")
+
+
+def kept_tokens(tokens):
+    """Tokens without special ones, bare word marks and punctuation."""
+    return F.filter(tokens, lambda t: ~t.rlike(r"^(<[^>]*>|▁|[▁\p{Punct}]+)$"))

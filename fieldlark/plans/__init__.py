@@ -1,6 +1,6 @@
 """Registered queries over the test tables."""
 
-from fieldlark.plans import evaluation, features, spatial, state  # noqa: F401  they register their queries
+from fieldlark.plans import evaluation, features, records, spatial, state  # noqa: F401  they register their queries
 from fieldlark.plans.registry import QUERIES, SQL
 
 

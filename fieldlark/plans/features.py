@@ -203,12 +203,12 @@ def polyline_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.polyline_length(df, ["session"], "o", "x", "y").withColumn("length", F.round("length", 6))
 
 
-_PIX = "pix AS (SELECT DISTINCT o_custkey % 7 AS image, CAST(o_orderkey % 60 AS INTEGER) AS x, CAST(o_totalprice AS INTEGER) % 60 AS y FROM orders WHERE o_orderkey % 3 = 0)"
+_PIX = "pix AS (SELECT DISTINCT o_custkey % 7 AS image, CAST(o_orderkey % 211 AS INTEGER) AS x, CAST(o_totalprice AS INTEGER) % 199 AS y FROM orders)"
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    return o.select((F.col("o_custkey") % 7).alias("image"), (F.col("o_orderkey") % 60).cast("int").alias("x"), (F.rint("o_totalprice").cast("int") % 60).alias("y")).distinct()
+    o = table(spark, sf_dir, "orders")
+    return o.select((F.col("o_custkey") % 7).alias("image"), (F.col("o_orderkey") % 211).cast("int").alias("x"), (F.rint("o_totalprice").cast("int") % 199).alias("y")).distinct()
 
 
 @query("WITH " + _PIX + " SELECT a.image, count(*) AS n_edges, round(sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS length FROM pix a JOIN pix b ON a.image = b.image AND (b.x - a.x, b.y - a.y) IN ((1, 0), (0, 1), (1, 1), (1, -1)) GROUP BY a.image")
@@ -219,12 +219,12 @@ def pixel_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH RECURSIVE "
     + _PIX
-    + """, n AS (SELECT image * 10000 + x * 100 + y AS id, image, x, y FROM pix), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.image = b.image AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id),
+    + """, n AS (SELECT image * 1000000 + x * 1000 + y AS id, image, x, y FROM pix), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.image = b.image AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id),
 r AS (SELECT id, id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b) SELECT id, min(c) AS component FROM r GROUP BY id"""
 )
 def pixel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     pix = _pixels(spark, sf_dir)
-    code = lambda x, y: F.col("image") * 10000 + F.col(x) * 100 + F.col(y)
+    code = lambda x, y: F.col("image") * 1000000 + F.col(x) * 1000 + F.col(y)
     edges = graph.pixel_edges(pix).select(code("xa", "ya").alias("a"), code("xb", "yb").alias("b"))
     return graph.components(pix.select(code("x", "y").alias("id")), edges)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlark.functions.geo import in_ring
@@ -21,11 +21,12 @@ def distance_band_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + PLACES
-    + f", d AS (SELECT a.id AS a, b.id AS b, {_D} AS distance FROM places a JOIN places b ON a.id % 10 = 0 AND b.id % 10 <> 0 WHERE {_D} <= 25.0), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM d) SELECT a, b, round(distance, 5) AS distance, rank FROM r WHERE rank <= 5"
+    + f", d AS (SELECT a.id AS a, b.id AS b, {_D} AS distance FROM places a JOIN places b ON a.id % 50 = 0 AND b.id <> a.id WHERE {_D} <= 25.0), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM d) SELECT a, b, round(distance, 5) AS distance, rank FROM r WHERE rank <= 5"
 )
 def nearest_plants_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = places(spark, sf_dir)
-    out = spatial.nearest(p.where("id % 10 = 0"), p.where("id % 10 != 0"), 5, 25.0)
+    own = spatial.nearest(p.where("id % 50 = 0"), p, 6, 25.0).where("a != b")
+    out = own.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("rank"))).where("rank <= 5")
     return out.select("a", "b", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
