@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlark.llm import decontaminate, language_id, minhash_dedup, packing, pii_surrogates
-from fieldlark.llm.common import table, written
+from fieldlark.llm.common import delete, shared_dir, table
 
 #: The least posterior of a language for a document to stay.
 LEAST_SCORE = 0.5
@@ -54,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    """Each stage's rows are written to the shared folder; a stage's input goes when its output is complete."""
+    docs, root, held = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}", None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{root}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if held:
+            delete(spark, held)
+        held = path
     return STAGES[-1][1](spark, docs, sf_dir)

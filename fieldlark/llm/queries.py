@@ -15,6 +15,7 @@ from fieldlark.llm import (
     license_scan,
     line_dedup,
     minhash_dedup,
+    oracles,
     packing,
     pii_surrogates,
     sharding,
@@ -88,4 +89,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_license_scan": oracles.license_sql(license_scan.Scan()),
+        "op2_embedding_near_dedup": oracles.EMBEDDINGS,
+        "op6_chat_format": oracles.CHAT,
+        "op9_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    }

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlark.llm import chat_format, components, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, pii_surrogates, queries, sharding
+from fieldlark.llm import chat_format, components, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, oracle_sql, packing, pii_surrogates, queries, sharding
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SYLLABLES = "ba ke li mo nu ra se ti vo da fe gi jo lu na pe".split()
@@ -409,3 +409,10 @@ def test_lang_is_no_input_of_predictions(spark):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_registered_queries_run(spark, sf_dir, name):
     assert queries()[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_as_sql(spark, sf_dir, name):
+    from tests.oracle import difference
+
+    assert difference(spark, sf_dir, queries()[name], oracle_sql()[name]) == ""
