@@ -14,7 +14,8 @@ A conversation is the unit of the result, so its turns are gathered; a conversat
 is one training example, and must fit in memory as its text does in any format.
 
 Edge cases. Null texts, roles and parts count as empty. Turns are ordered by turn
-(null first), then role, then text; repeated rows are repeated turns. Rows with a
+(null first), then role, then text where that is their only part; repeated rows are
+repeated turns. Rows with a
 null conv_id form one conversation. Parts of an unknown type, and attachments
 without a size, expand to one token.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -63,25 +64,6 @@ def expanded_tokens(part: Column, o: ChatFormat) -> Column:
     return F.greatest(F.coalesce(n, F.lit(1)), F.when(part["type"] == "text", 0).otherwise(1)).cast("long")
 
 
-def _visit(parts: Column, o: ChatFormat) -> Column:
-    """Parts of a conversation in order, as (turn, body, loss, attachment or null)."""
-    state = "struct<n:int,out:array<struct<turn:int,body:string,text:boolean,type:string,ref:string,tokens:bigint>>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        is_text = F.coalesce(p["part"]["type"] == "text", F.lit(True))
-        body = F.when(is_text, escaped(F.coalesce(p["part"]["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), p["part"]["type"], F.lit(":"), (acc["n"] + 1).cast("string"), F.lit("|>"))
-        )
-        made = F.struct(
-            p["turn"].cast("int").alias("turn"), body.alias("body"), is_text.alias("text"), F.when(~is_text, p["part"]["type"]).alias("type"),
-            F.when(~is_text, p["part"]["ref"]).alias("ref"), expanded_tokens(p["part"], o).alias("tokens"),
-        )
-        return F.struct((acc["n"] + F.when(is_text, 0).otherwise(1)).cast("int").alias("n"), F.concat(acc["out"], F.array(made)).alias("out"))
-
-    start = F.from_json(F.lit('{"n":0,"out":[]}'), state)
-    return F.aggregate(parts, start, step)["out"]
-
-
 def with_text_parts(turns: DataFrame, text: str = "text") -> DataFrame:
     """``parts`` of one text part each, for turns that have a plain text."""
     part = F.struct(
@@ -94,52 +76,46 @@ def with_text_parts(turns: DataFrame, text: str = "text") -> DataFrame:
 def chat_format(turns: DataFrame, o: ChatFormat | None = None) -> DataFrame:
     """conv_id, formatted, loss_spans, attachments, expanded_tokens of turns (conv_id, turn, role, parts).
 
-    ``loss_spans`` are (start, length) in characters of ``formatted``: the text parts of the learned roles.
+    ``loss_spans`` are (start, length) in UTF-8 bytes of ``formatted``: the text parts of the learned roles.
+
+    The visitor is a window over the parts of a conversation in order: running sums number the
+    attachments and place the spans, so the work grows with a conversation's length and not its square.
     """
     o = o or ChatFormat()
     rows = turns.select(
-        F.col("conv_id"),
-        F.struct(
-            F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")).alias("parts"),
-        ).alias("t"),
-    )
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    flat = F.flatten(
-        F.transform("turns", lambda t, i: F.transform(t["parts"], lambda p: F.struct(i.alias("turn"), p.alias("part"))))
+        "conv_id",
+        F.col("turn").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.monotonically_increasing_id().alias("row"),
+        F.coalesce(F.size(F.col("parts")), F.lit(0)).alias("n"),
+        F.posexplode_outer(F.col("parts").cast(f"array<{PART}>")).alias("at", "part"),
+    ).withColumn("at", F.coalesce("at", F.lit(0)))
+    is_text = F.coalesce(F.col("part.type") == "text", F.lit(True))
+    single = F.when(F.col("n") <= 1, F.coalesce("part.text", F.lit("")))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", single, "row", "at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("number", F.sum(F.when(is_text, 0).otherwise(1)).over(so_far))
+    rows = rows.withColumn("turn_number", F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).over(so_far) - 1)
+    body = F.when(is_text, escaped(F.coalesce("part.text", F.lit("")))).otherwise(F.concat(F.lit("<|"), F.col("part.type"), F.lit(":"), F.col("number").cast("string"), F.lit("|>")))
+    head = F.when(F.col("at") == 0, F.concat(F.lit(TURN), F.regexp_replace(escaped(F.col("role")), "\n", "\\\\\n"), F.lit("\n"))).otherwise("")
+    tail = F.when(F.col("at") >= F.col("n") - 1, END).otherwise("")
+    rows = rows.select("conv_id", "turn", "role", "row", "at", "n", "part", "number", "turn_number", head.alias("head"), body.alias("body"), tail.alias("tail"), is_text.alias("is_text"))
+    size = F.octet_length("head") + F.octet_length("body") + F.octet_length("tail")
+    rows = rows.withColumns({"place": F.row_number().over(order), "before": (F.sum(size).over(so_far) - size).cast("long")})
+    span = F.struct((F.col("before") + F.octet_length("head")).alias("start"), F.octet_length("body").cast("long").alias("length"))
+    found = F.struct(
+        F.col("number").cast("int").alias("number"), F.col("turn_number").cast("int").alias("turn"), F.col("part.type").alias("type"), F.col("part.ref").alias("ref"), expanded_tokens(F.col("part"), o).alias("tokens")
     )
-    convs = convs.withColumn("visited", _visit(flat, o))
-    # Each turn's head, its parts and its end are pieces with a length; the loss mask is a running sum over them.
-    piece = "array<struct<body:string,loss:boolean>>"
-
-    def pieces(t: Column, i: Column) -> Column:
-        loss = t["role"].isin(*o.learned)
-        head = F.concat(F.lit(TURN), F.regexp_replace(escaped(t["role"]), "\n", "\\\\\n"), F.lit("\n"))
-        own = F.transform(F.filter("visited", lambda v: v["turn"] == i), lambda v: F.struct(v["body"].alias("body"), (loss & v["text"]).alias("loss")))
-        edge = lambda c: F.array(F.struct(c.alias("body"), F.lit(False).alias("loss")))
-        return F.concat(edge(head).cast(piece), own.cast(piece), edge(F.lit(END)).cast(piece))
-
-    convs = convs.withColumn("pieces", F.flatten(F.transform("turns", pieces)))
-    spans = F.aggregate(
-        "pieces",
-        F.from_json(F.lit('{"at":0,"spans":[]}'), "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["body"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["body"]).cast("long").alias("length")))))
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
-    found = F.transform(
-        F.filter("visited", lambda v: ~v["text"]),
-        lambda v, i: F.struct((i + 1).alias("number"), v["turn"].alias("turn"), v["type"].alias("type"), v["ref"].alias("ref"), v["tokens"].alias("tokens")),
+    piece = F.struct(
+        "place", F.concat("head", "body", "tail").alias("text"), F.when(F.col("is_text") & F.col("role").isin(*o.learned), span).alias("span"), F.when(~F.col("is_text"), found).alias("found")
     )
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     return convs.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: p["body"]), "").alias("formatted"),
-        spans.alias("loss_spans"),
-        found.alias("attachments"),
-        F.aggregate("visited", F.lit(0).cast("long"), lambda a, v: a + v["tokens"]).alias("expanded_tokens"),
+        F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
+        F.array_compact(F.transform("pieces", lambda p: p["span"])).alias("loss_spans"),
+        F.array_compact(F.transform("pieces", lambda p: p["found"])).alias("attachments"),
+        F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + F.coalesce(p["found"]["tokens"], F.lit(0))).alias("expanded_tokens"),
     )
 
 
@@ -153,8 +129,9 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped. Bytes are cut out, as that needs no walk from the string's beginning."""
+    cut = lambda raw: F.transform(spans, lambda s: unescaped(F.substring(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string")))
+    return F.transform(F.array(formatted.cast("binary")), lambda raw: F.array_join(cut(raw), ""))[0]
 
 
 def digests(formatted: DataFrame) -> DataFrame:

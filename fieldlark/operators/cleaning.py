@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.functions.cleaning import is_number, plant_id, pseudo_null
+from fieldlark.operators.evaluate import quantile
 
 
 def normalize_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -50,10 +51,19 @@ def default_form_values(df: DataFrame, ph: str, others: Sequence[str], default:
     return df.withColumn(ph, F.when((F.col(ph) == default) & empty, None).otherwise(F.col(ph)))
 
 
+def with_group_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
+    """Medians of each group as columns: aggregates with map-side combining, joined back; rows of a group are never gathered."""
+    own = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[F.median(c).alias(f"{prefix}{c}") for c in columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(own, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def daily_outliers(df: DataFrame, day: str, limits: Mapping[str, float]) -> DataFrame:
     """Values too far from the median of their day to null (P10)."""
-    w = Window.partitionBy(day)
-    return df.withColumns({c: F.when(F.abs(F.col(c) - F.median(c).over(w)) <= limit, F.col(c)) for c, limit in limits.items()})
+    df = with_group_medians(df, [day], list(limits), "_m_")
+    return df.withColumns({c: F.when(F.abs(F.col(c) - F.col(f"_m_{c}")) <= limit, F.col(c)) for c, limit in limits.items()}).drop(*[f"_m_{c}" for c in limits])
 
 
 def theil_sen(df: DataFrame, key: str, x: str, y: str, least: int = 4) -> DataFrame:
@@ -95,16 +105,18 @@ def median_filled(df: DataFrame, column: str, levels: Sequence[Sequence[str]]) -
     """Missing values by the median of ever wider groups, each taken after the fills before it (W12, E3); no group is all rows."""
     for keys in levels:
         if keys:
-            df = df.withColumn(column, F.coalesce(F.col(column), F.median(column).over(Window.partitionBy(*keys))))
+            df = with_group_medians(df, keys, [column], "_m_")
+            df = df.withColumn(column, F.coalesce(column, f"_m_{column}")).drop(f"_m_{column}")
         else:
-            df = globally_filled(df, [column])
+            df = globally_filled(df, [column]).drop(f"{column}_imputed")
     return df
 
 
 def globally_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing values by the column's median over all rows, with ``<column>_imputed`` flags."""
-    middle = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    out = df.withColumns({f"{c}_imputed": F.col(c).isNull() for c in columns}).crossJoin(F.broadcast(middle))
+    out = df.withColumns({f"{c}_imputed": F.col(c).isNull() for c in columns})
+    for c in columns:
+        out = out.crossJoin(F.broadcast(quantile(df, c, 0.5, f"_m_{c}")))
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
@@ -115,14 +127,13 @@ def rounded_readings(df: DataFrame, places: Mapping[str, int], clip: Mapping[str
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, n_missing, low, middle, high) of numeric columns, in one aggregate (A5)."""
-    one = df.agg(
-        *[
-            F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.min(c).cast("double").alias("low"), F.median(c).alias("middle"), F.max(c).cast("double").alias("high")).alias(c)
-            for c in columns
-        ]
-    )
-    return one.select(F.explode(F.array(*columns)).alias("p")).select("p.*")
+    """(column_name, n_missing, low, middle, high) of numeric columns (A5)."""
+    out = None
+    for c in columns:
+        one = df.agg(F.count_if(F.col(c).isNull()).alias("n_missing"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"))
+        one = one.crossJoin(quantile(df, c, 0.5, "middle")).select(F.lit(c).alias("column_name"), "n_missing", "low", "middle", "high")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def text_audit(df: DataFrame, id_column: str, date_column: str, number_column: str) -> DataFrame:

@@ -35,6 +35,19 @@ def running_sums(df: DataFrame, order: str, columns: Sequence[str], descending:
     return out.select(*df.columns, F.coalesce("_lead", "_after").alias("next"), *[(F.col(f"_i_{c}") + F.col(f"_b_{c}")).alias(f"run_{c}") for c in columns])
 
 
+def quantile(df: DataFrame, column: str, share: float, name: str = "q") -> DataFrame:
+    """The exact quantile of a column over all rows, between neighbours by proportion: one row.
+
+    Distinct values and their counts stand for the rows, and no task holds all of them.
+    """
+    own = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    run = running_sums(own, "v", ["n"])
+    at = run.crossJoin(F.broadcast(run.agg(((F.sum("n") - 1) * share).alias("p"))))
+    value = lambda i: F.min(F.when(F.col("run_n") > F.floor(F.col("p")) + i, F.col("v")))
+    ends = at.agg(value(0).alias("a"), value(1).alias("b"), F.first("p").alias("p"))
+    return ends.select((F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("p") - F.floor("p"))).alias(name))
+
+
 def confusion(df: DataFrame, truth: str, predicted: str, classes: Sequence) -> DataFrame:
     """Counts with a row for each class and fixed columns, zero where there is none."""
     every = df.sparkSession.createDataFrame([(c,) for c in classes], df.select(F.col(truth).alias("truth")).schema)
@@ -138,9 +151,9 @@ def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def selective(df: DataFrame, label: str, score: str, share: float = 0.8) -> DataFrame:
     """Threshold at a percentile of the scores, and coverage, precision and recall above it."""
-    cut = df.agg(F.percentile(score, F.lit(share)).alias("threshold"))
+    limit = quantile(df, score, share, "threshold")
     y, hit = F.col(label).cast("double"), (F.col(score) >= F.col("threshold")).cast("double")
-    return df.crossJoin(F.broadcast(cut)).agg(
+    return df.crossJoin(F.broadcast(limit)).agg(
         F.first("threshold").alias("threshold"), F.avg(hit).alias("coverage"), (F.sum(hit * y) / F.greatest(F.sum(hit), F.lit(1.0))).alias("precision"),
         (F.sum(hit * y) / F.greatest(F.sum(y), F.lit(1.0))).alias("recall"),
     )

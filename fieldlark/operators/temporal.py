@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.operators.cleaning import keep_latest
+from fieldlark.operators.evaluate import quantile
+from fieldlark.operators.lineage import cut
 
 
 def cycle(day: Column, start: Column, freq: str = "W") -> Column:
@@ -186,6 +188,6 @@ def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 100, s
 
 def isolation_flags(df: DataFrame, features: Sequence[str], contamination: float = 0.15, **kwargs) -> DataFrame:
     """``iso_flag`` for the given share of rows with the highest scores."""
-    scored = isolation_scores(df, features, **kwargs)
-    limit = scored.agg(F.percentile("iso_score", F.lit(1 - contamination)).alias("_limit"))
+    scored = cut(isolation_scores(df, features, **kwargs))
+    limit = quantile(scored, "iso_score", 1 - contamination, "_limit")
     return scored.crossJoin(F.broadcast(limit)).withColumn("iso_flag", F.col("iso_score") > F.col("_limit")).drop("_limit")
