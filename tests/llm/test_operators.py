@@ -72,7 +72,7 @@ def near_copies(rng, n=60):
 @pytest.mark.parametrize("tile", [1_500_000, 300])
 def test_minhash_against_brute_force(spark, tile):
     p = minhash_dedup.MinHash(words=3, threshold=85, tile_shingles=tile, bucket_rows=3 if tile == 300 else 2_000)
-    rows = near_copies(random.Random(3)) + [r for r in EDGES if r[0]]
+    rows = near_copies(random.Random(3)) + [(i + 90_000, t) for i, t in EDGES if i]  # doc_id is the key
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(frame(spark, rows), p).collect()}
     sets = {i: shingles(t, 3) for i, t in rows}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
