@@ -70,7 +70,8 @@ def line(spark, metres):
 
 def test_dbscan(spark):
     points = line(spark, [0, 5, 10, 100])
-    assert [r.cluster for r in spatial.dbscan(points, 6, 3).orderBy("id").collect()] == [0, 0, 0, -1]
+    assert [r.cluster for r in spatial.dbscan(points, 6, 3).orderBy("id").collect()] == [1, 1, 1, -1]
+    assert [r.cluster for r in spatial.numbered(spatial.dbscan(points, 6, 3)).orderBy("id").collect()] == [0, 0, 0, -1]
     assert [r.cluster for r in spatial.dbscan(points, 4, 3).orderBy("id").collect()] == [-1] * 4
     assert spatial.dbscan(points.limit(0), 6, 3).count() == 0
 
@@ -141,9 +142,9 @@ def test_kalman_and_dispersion(spark):
 
 
 def test_graph(spark):
-    pix = spark.createDataFrame([(1, x, 0) for x in range(10)] + [(1, 5, 1), (1, 5, 2)] + [(1, 30, 30)], "image int, x int, y int")
+    pix = spark.createDataFrame([(1, x, 0) for x in range(30)] + [(1, 15, 1), (1, 15, 2)] + [(1, 60, 60)], "image int, x int, y int")
     stem = graph.main_stems(graph.pixel_edges(pix)).orderBy("step").collect()
-    assert len(stem) == 10 and stem[0].length == pytest.approx(9)
+    assert len(stem) == 30 and stem[0].length == pytest.approx(29)
 
 
 def test_folds_do_not_leak(spark):
