@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 TURN, END = "<|turn|>", "<|end|>"
 # The first character of strings that some chat template reads as control: <|, <s>, </s>, <<SYS>>, <</SYS>>, [INST], [/INST].
-# So is < at the end of a part, as the next part may go on with |.
-_CONTROL = r"(<)(?=\||/?s>|</?SYS>>|\z)|(\[)(?=/?INST\])"
+_CONTROL = r"(<)(?=\||/?s>|</?SYS>>)|(\[)(?=/?INST\])"
 
 
 @dataclass(frozen=True)
@@ -96,7 +95,10 @@ def chat_format(turns: DataFrame, o: ChatFormat | None = None) -> DataFrame:
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("number", F.sum(F.when(is_text, 0).otherwise(1)).over(so_far))
     rows = rows.withColumn("turn_number", F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).over(so_far) - 1)
-    body = F.when(is_text, escaped(F.coalesce("part.text", F.lit("")))).otherwise(F.concat(F.lit("<|"), F.col("part.type"), F.lit(":"), F.col("number").cast("string"), F.lit("|>")))
+    # A later text part begins with a backslash, so that no control string comes about where two parts meet.
+    raw = escaped(F.coalesce("part.text", F.lit("")))
+    later = (F.col("at") > 0) & (raw != "") & ~raw.startswith("\\")
+    body = F.when(is_text, F.when(later, F.concat(F.lit("\\"), raw)).otherwise(raw)).otherwise(F.concat(F.lit("<|"), F.col("part.type"), F.lit(":"), F.col("number").cast("string"), F.lit("|>")))
     head = F.when(F.col("at") == 0, F.concat(F.lit(TURN), F.regexp_replace(escaped(F.col("role")), "\n", "\\\\\n"), F.lit("\n"))).otherwise("")
     tail = F.when(F.col("at") >= F.col("n") - 1, END).otherwise("")
     rows = rows.select("conv_id", "turn", "role", "row", "at", "n", "part", "number", "turn_number", head.alias("head"), body.alias("body"), tail.alias("tail"), is_text.alias("is_text"))

@@ -187,7 +187,8 @@ def learn(labelled: DataFrame, o: LanguageId | None = None, text: str = "text",
         for f in frames:
             for name, g in f.groupby("lang"):
                 n = Counter(w for t in g.text for w in words_of(t))
-                yield pd.DataFrame({"lang": name, "word": list(n), "n": list(n.values())})
+                if n:
+                    yield pd.DataFrame({"lang": name, "word": list(n), "n": list(n.values())})
 
     counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = cut(counts)

@@ -38,7 +38,7 @@ SELECT vec_id, coalesce(k.n, 0) AS n_links, coalesce(c, vec_id) AS component_id,
 
 _CONTROL = ["<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"]
 _COUNT = "(length({0}) - length(replace({0}, '{1}', ''))) // {2}"
-_ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', ''))" + "".join(f" + {_COUNT.format('{0}', s, len(s))}" for s in _CONTROL) + " + CAST(suffix({0}, '<') AS INTEGER)"
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', ''))" + "".join(f" + {_COUNT.format('{0}', s, len(s))}" for s in _CONTROL)
 CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
  sum(8 + {_ESCAPED.format("role")} + {_COUNT.format("role", "' || chr(10) || '", 1)} + 1 + {_ESCAPED.format("text")} + 7) AS chars FROM t GROUP BY conv_id)

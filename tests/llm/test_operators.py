@@ -41,6 +41,8 @@ def frame(spark, rows):
 
 
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "A b c d e f g. A b c d e f g."), (6, "A b c d e f g. A b c d e f g."), (7, "long " * 30_000), (8, "ünï 中文 \U0001f600 " * 50), (None, "no id here at all")]
+#: The same with ids that no other row has.
+APART = [(i and i + 90_000, t) for i, t in EDGES]
 
 
 def test_components(spark):
@@ -72,7 +74,7 @@ def near_copies(rng, n=60):
 @pytest.mark.parametrize("tile", [1_500_000, 300])
 def test_minhash_against_brute_force(spark, tile):
     p = minhash_dedup.MinHash(words=3, threshold=85, tile_shingles=tile, bucket_rows=3 if tile == 300 else 2_000)
-    rows = near_copies(random.Random(3)) + [(i + 90_000, t) for i, t in EDGES if i]  # doc_id is the key
+    rows = near_copies(random.Random(3)) + [r for r in APART if r[0]]
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(frame(spark, rows), p).collect()}
     sets = {i: shingles(t, 3) for i, t in rows}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
@@ -134,7 +136,7 @@ def test_license_scan(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 150)) for i in range(40)]
     pieces = ["Licensed under the Apache License, Version 2.0.", "MIT\nLicense", "CC-BY", "gnu GENERAL public license", "apache and license", "Released under the MIT License."]
-    rows += [(100 + i, prose(rng, rng.randrange(120)) + " " + p + " " + prose(rng, 40) + " " + pieces[i % 3]) for i, p in enumerate(pieces * 5)] + EDGES
+    rows += [(100 + i, prose(rng, rng.randrange(120)) + " " + p + " " + prose(rng, 40) + " " + pieces[i % 3]) for i, p in enumerate(pieces * 5)] + APART
     got = defaultdict(list)
     for r in license_scan.summary(license_scan.scan(frame(spark, rows))).collect():
         got[r.doc_id].append(r)
@@ -208,7 +210,7 @@ def test_surrogates_stay_distinct(spark):
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(7)
     pool = [prose(rng, rng.choice([2, 6, 60])).capitalize() + "." for _ in range(40)]
-    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 6)))) for i in range(50)] + EDGES
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 6)))) for i in range(50)] + APART
     o = line_dedup.Units(unit="line", least=5)
     got = {r.doc_id: r for r in line_dedup.deduplicated(frame(spark, rows).withColumn("removed", F.lit(1)), o).collect()}
     seen = set()
@@ -241,7 +243,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(9)
-    rows = [(i, prose(rng, rng.choice([1, 50, 500, 3000]))) for i in range(60)] + EDGES + [(20, "a   b \n \n c<|endoftext|>d"), (20, "a   b \n \n c<|endoftext|>d")]
+    rows = [(i, prose(rng, rng.choice([1, 50, 500, 3000]))) for i in range(60)] + APART + [(200, "a   b \n \n c<|endoftext|>d"), (200, "a   b \n \n c<|endoftext|>d")]
     out = packing.pack(frame(spark, rows), packing.Packing(bucket_docs=16)).collect()
     t = Tokenizer.from_file(packing.default_tokenizer())
     want = defaultdict(list)
@@ -305,7 +307,7 @@ def test_chat_parts(spark):
     ]
     assert out[1].expanded_tokens == 1574 and out[2].attachments == []
     back = spark.createDataFrame([(out[1].formatted,)], "f string").select(chat_format.read_back(F.col("f")).alias("t")).first()["t"]
-    assert [t.role for t in back] == ["user", "assistant"]
+    assert [t.role for t in back] == ["user", "assistant"] and out[1].formatted.count("<|end|>") == 2
 
 
 def edits(a, b):
@@ -335,10 +337,10 @@ def test_leaks_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (8_000_000, 400):
         o = decontaminate.Leaks(block_bytes=size)
-        found = decontaminate.leaks(frame(spark, rows + EDGES), bench, o).collect()
+        found = decontaminate.leaks(frame(spark, rows + APART), bench, o).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want
-        clean = {r.doc_id for r in decontaminate.without_leaks(frame(spark, rows + EDGES), bench, o).collect()}
-        assert clean == {d for d, _ in rows + EDGES} - {d for d, _ in want}
+        clean = {r.doc_id for r in decontaminate.without_leaks(frame(spark, rows + APART), bench, o).collect()}
+        assert clean == {d for d, _ in rows + APART} - {d for d, _ in want}
     texts = dict(rows)
     for r in found:
         assert edits(fold(items[r.item_id][1]).strip(), fold(texts[r.doc_id][r.start : r.start + r.length])) == r.edits
@@ -347,7 +349,7 @@ def test_leaks_against_brute_force(spark):
 
 def test_sharding(spark):
     rng = random.Random(12)
-    rows = [(i, prose(rng, 3)) for i in range(300)] + [(1000 + i, f"copy {i % 20}") for i in range(200)] + [(5000 + i, "hot") for i in range(400)] + EDGES
+    rows = [(i, prose(rng, 3)) for i in range(300)] + [(1000 + i, f"copy {i % 20}") for i in range(200)] + [(5000 + i, "hot") for i in range(400)] + APART
     df = frame(spark, rows)
     out = sharding.shards(df, sharding.Sharding(bucket_rows=50))
     got = out.collect()
