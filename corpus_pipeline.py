@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from fieldlark.llm import decontaminate, language_id, minhash_dedup, packing, pii_surrogates
 from fieldlark.llm.common import delete, shared_dir, table
 
-#: The least posterior of a language for a document to stay.
-LEAST_SCORE = 0.5
+#: The least posterior of a language for a document to stay; a text shorter than SHORT characters is in doubt for want of words and stays.
+LEAST_SCORE, SHORT = 0.5, 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, and those whose language is in doubt; learns from all rows that have a language."""
+    """Drops documents without letters, and longer ones whose language is in doubt; learns from a bounded sample of the rows that have a language."""
     found = language_id.identify(docs, language_id.learn(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    sure = (F.col("score") >= LEAST_SCORE) | (F.length("text") < SHORT)
+    return found.where((F.col("lang_pred") != "und") & sure).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
