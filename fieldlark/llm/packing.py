@@ -100,7 +100,7 @@ class Encoder:
         odd = [bool(_ODD_SPACE.search(t)) or any(s in t for s in self.special) for t in texts]
         split = [[] if o or not t else self._stretches(t) for t, o in zip(texts, odd, strict=True)]
         words = [w for ws in split for w in ws]
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
+        new = list(set(words).difference(self.at))
         if len(self.at) + len(new) > _CACHE:
             self._forget()
             new = list(dict.fromkeys(words))
@@ -116,8 +116,12 @@ class Encoder:
 
     @staticmethod
     def _stretches(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+        if "\0" in text:
+            first, *rest = text.split(" ")
+            found = [first, *[" " + w for w in rest]]
+        else:
+            found = text.replace(" ", "\0 ").split("\0")
+        return found if found[0] else found[1:]
 
 
 def encoder(path: str) -> Encoder:

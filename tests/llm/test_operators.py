@@ -276,7 +276,7 @@ def test_assignment_balances_cost():
 
 def test_encoder_equals_tokenizer():
     e = packing.Encoder(packing.default_tokenizer())
-    texts = ["", " ", "a  b", " lead", "trail ", "x\n\ny z", "don't  stop\n now", "über 中文 \U0001f600 123 1,000.5", "tab\tand space", "a b c", "##  ##", " \n a"]
+    texts = ["", " ", "a  b", " lead", "trail ", "x\n\ny z", "don't  stop\n now", "über 中文 \U0001f600 123 1,000.5", "tab\tand space", "a b c", "##  ##", " \n a", "a\0b \0 c", "\0", " \0"]
     assert [x.tolist() for x in e.encode(texts)] == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
