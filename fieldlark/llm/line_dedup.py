@@ -11,6 +11,12 @@ In sentence mode a sentence is also cut before its last capitalised word where
 enough words follow, so that a passage put into the middle of a sentence begins a
 unit in each place where it stands.
 
+In sentence mode runs of ``run`` words are digested as well, wherever they begin: those
+whose hash is the least of ``window`` runs in succession, so that the choice depends on
+the words alone and falls alike in every text. Of each passage of run + window - 1 words
+or more that was seen before, all words go but at most window - 1 at either end; each
+word that goes for a run is part of ``run`` words that stand in the same order elsewhere.
+
 Only the first occurrence of a digest in a document is shuffled, with map-side
 combining, so a line that is in every text costs a row for each task. A text meets
 the digests that it must drop in one join on doc_id.
@@ -27,6 +33,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,12 +49,57 @@ _ENDS = {
 }
 _CAPITAL = re.compile(r"(?s).*\s(?=[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я])")
 _LAST = 2**63 - 1
+_WORD = re.compile(r"\S+")
+#: An odd number and its inverse modulo 2**64: powers of a rolling hash of words.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+#: At most this many hashes of words are held in a task.
+_CACHE = 200_000
 
 
 @dataclass(frozen=True)
 class Units:
     unit: str = "sentence"
     least: int = 5
+    run: int = 25
+    window: int = 16
+
+
+class _Hashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _powers(base: int, n: int, held: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    if base not in held or len(held[base]) < n:
+        steps = np.full(max(n, 4096), base, np.uint64)
+        steps[0] = 1
+        held[base] = np.cumprod(steps, dtype=np.uint64)
+    return held[base][:n]
+
+
+def runs_of(text: str | None, o: Units) -> list[tuple[int, int, bytes]]:
+    """(first word, word behind the last, 16-byte digest) of the chosen runs, in order of place."""
+    words = text.lower().split() if text and o.unit == "sentence" else []
+    n = len(words) - o.run + 1
+    if n < 1:
+        return []
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) * _powers(_BASE, len(words)), out=sums[1:])
+    order = (sums[o.run :] - sums[:n]) * _powers(_INVERSE, n)
+    window = min(o.window, n)
+    least = np.lib.stride_tricks.sliding_window_view(order, window).argmin(axis=1) + np.arange(n - window + 1)
+    places = least[np.concatenate(([True], least[1:] != least[:-1]))].tolist()
+    # Words have no line feed, so a run's digest is never a unit's.
+    return [(i, i + o.run, xxhash.xxh3_128_digest(("\n" + " ".join(words[i : i + o.run])).encode("utf-8", "surrogatepass"))) for i in places]
 
 
 def units_of(text: str | None, o: Units) -> list[tuple[int, int, bytes | None]]:
@@ -76,6 +128,34 @@ def _pair(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def _repeated(text: str | None, units: list, runs: list, drop: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans, in order, of units and runs that are in ``drop`` or stand earlier in the text; spans that overlap are joined."""
+    seen, spans = set(drop), []
+    for a, b, d in units:
+        if d is not None and (key := _pair(d)) in seen:
+            spans.append((a, b))
+        elif d is not None:
+            seen.add(key)
+    first: dict[bytes, int] = {}
+    gone = []
+    for i, j, d in runs:
+        if _pair(d) in drop:
+            gone.append((i, j))
+        elif (end := first.setdefault(d, j)) < j:
+            # The first of two runs that overlap stays whole.
+            gone.append((max(i, end), j))
+    if not gone:
+        return spans
+    starts = [*[m.start() for m in _WORD.finditer(text)], len(text)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([*spans, *[(starts[i], starts[j]) for i, j in gone]]):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated units cut from ``text``, and n_units, n_removed, removed (start, end in the original)."""
     o = o or Units()
@@ -83,7 +163,11 @@ def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id"
 
     def digests(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches_of(frames, "text", 2_000_000):
-            rows = [(name, *_pair(d)) for name, t in zip(f["rank"], f.text, strict=True) for d in {d: 0 for _, _, d in units_of(t, o) if d}]
+            rows = [
+                (name, *_pair(d))
+                for name, t in zip(f["rank"], f.text, strict=True)
+                for d in dict.fromkeys(d for _, _, d in (*units_of(t, o), *runs_of(t, o)) if d)
+            ]
             yield pd.DataFrame(rows, columns=["rank", "h1", "h2"], dtype="int64")
 
     rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("rank")
@@ -103,17 +187,10 @@ def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id"
                 t = None if pd.isna(t) else t
                 units = units_of(t, o)
                 seen = set() if drops is None else {(d["h1"], d["h2"]) for d in drops}
-                removed, kept = [], []
-                for a, b, d in units:
-                    if d is not None and (key := _pair(d)) in seen:
-                        removed.append({"start": a, "end": b})
-                        continue
-                    if d is not None:
-                        seen.add(key)
-                    kept.append(t[a:b])
-                texts.append("".join(kept) if removed else t)
+                spans = _repeated(t, units, runs_of(t, o), seen)
+                texts.append("".join(t[a:b] for (_, a), (b, _) in zip([(0, 0), *spans], [*spans, (len(t), 0)], strict=True)) if spans else t)
                 counts.append(len(units))
-                gone.append(removed)
+                gone.append([{"start": a, "end": b} for a, b in spans])
             yield f.drop(columns="_drop").assign(**{text: texts, "n_units": counts, "n_removed": [len(g) for g in gone], "removed": gone})
 
     return joined.mapInPandas(cut, schema)

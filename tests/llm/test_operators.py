@@ -239,6 +239,31 @@ def test_passage_inside_lines(spark):
     assert all(rows[i][1][:60] in got[i] and rows[i][1][-60:] in got[i] for i in range(5))
 
 
+def test_passage_whose_borders_fall_inside_sentences(spark):
+    rng = random.Random(9)
+    passages = [prose(rng, n) for n in (50, 60, 200)]
+    passages[1] = passages[1].replace(" ", " Then ", 1)
+    rows = [(i, f"{prose(rng, 20)} {passages[i % 3]} {prose(rng, 15)} Later {prose(rng, 20)}") for i in range(12)]
+    rows += [(12, f"{rows[0][1]} and {passages[2]} {prose(rng, 9)}"), (13, " ".join(["over and"] * 100)), (14, " ".join(SYLLABLES * 2)), (None, rows[1][1])]
+    o = line_dedup.Units()
+    got = {r.doc_id: r for r in line_dedup.deduplicated(frame(spark, rows)).collect()}
+    seen = set()
+    for i, t in rows:
+        words = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", t)]
+        runs = [tuple(w for _, w in words[k : k + o.run]) for k in range(len(words) - o.run + 1)]
+        old = {k + n for k, r in enumerate(runs) if r in seen or r in runs[:k] for n in range(o.run)}
+        gone = {k for k, (at, _) in enumerate(words) if any(s.start <= at < s.end for s in got[i].removed)}
+        assert gone <= old
+        for _, g in itertools.groupby(sorted(old), key=lambda k, c=itertools.count(): k - next(c)):
+            part = list(g)
+            if i != 13 and len(part) >= o.run + o.window - 1:
+                assert gone >= set(part[o.window - 1 : 1 - o.window])
+        seen.update(runs)
+        spans = [(0, 0), *[tuple(s) for s in got[i].removed], (len(t), 0)]
+        assert got[i].text == "".join(t[a:b] for (_, a), (b, _) in itertools.pairwise(spans)) and got[i].n_removed == len(got[i].removed)
+    assert not any(got[i].removed for i in (0, 1, 2, 14)) and all(got[i].removed for i in (3, 4, 5, 12, 13, None))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
