@@ -3,7 +3,8 @@
 Detected entities are replaced by values of the same kind: same length, script,
 letter case and punctuation, card numbers with the same Luhn status, IBANs with
 right check digits, addresses from reserved ranges and domains, names of the same
-script and gender. A surrogate depends on a secret key and the entity alone, so an
+script and gender; a shortened IPv6 address becomes one of the range for documentation
+and may be longer, and a secret's letters without case become Latin ones. A surrogate depends on a secret key and the entity alone, so an
 entity is the same surrogate in all documents, a family name with and without a
 given name, and a domain in all its addresses.
 
@@ -46,15 +47,19 @@ ENDINGS = {
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 _NAME = r"\p{Lu}[\p{L}'’]{1,30}(?:-\p{Lu}[\p{L}'’]{1,30})?"
 _FORM = "|".join(f for fs in FORMS.values() for f in fs)
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: What stands before a secret's value.
+_SECRET = r"(?i:password|passwd|pwd|secret|api_?key)[\"']?[ \t]*+[=:][ \t]*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in the order in which they are tried.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "ip6": r"(?<![:\w])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\w])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|api_?key)[=:] ?[^\s\"'<>|]{6,200}+",
+    "ip6": rf"(?<![:\w])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![:\w]|\.\d)",
+    # A quoted value goes up to the quote that closes it, a bare one up to a space.
+    "secret": rf"(?<![A-Za-z]){_SECRET}(?:" + "|".join(rf"{q}(?![^{q}\r\n]{{0,5}}{q})[^\r\n]{{6,}}?(?<!\\){q}" for q in "\"'") + r"|[\"']?[^\s\"'<>|]{6,}+)",
     "cloud_key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "token": r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -70,7 +75,7 @@ def _plain(pattern: str) -> str:
 
 PATTERN = "|".join(_plain(p) for p in KINDS.values())
 #: A text without this has no entity.
-_HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|api_?key)[=:]|(?<!\p{{L}})(?:{_FORM})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|{_SECRET}|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_FORM})\.? \p{{Lu}}"
 
 
 @dataclass(frozen=True)
@@ -99,7 +104,7 @@ def _units(match: Column) -> Column:
     words = F.slice(F.split(match, " "), 2, 3)
     unit = lambda k, e: F.struct(k.alias("kind"), e.alias("entity"))
     names = F.transform(words, lambda w, i: unit(F.when(i == F.size(words) - 1, F.lit("family")).otherwise(_gender(match)), w))
-    value = F.regexp_extract(match, r"^\w+[=:] ?(.*)$", 1)
+    value = F.regexp_extract(match, rf"(?s)^{_SECRET}[\"']?(.*?)[\"']?\z", 1)
     return F.when(kind == "name", names).when(kind == "secret", F.array(unit(kind, value))).otherwise(F.array(unit(kind, match)))
 
 
@@ -191,7 +196,9 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     return (
         F.when(kind == "email", F.concat(_shaped(F.regexp_extract(entity, "^([^@]*)@", 1), d), F.lit("@"), host))
         .when(kind == "ip", F.concat_ws(".", (240 + F.pmod(_byte(d, F.lit(0)), F.lit(15))).cast("string"), octet(1), octet(2), octet(3)))
+        .when((kind == "ip6") & entity.contains("::"), F.concat(F.lit("2001:db8::"), F.concat_ws(":", *[F.substring(d, 4 * i + 1, 4) for i in range(4)])))
         .when(kind.isin("ip6", "token"), _shaped(entity, d, "abcdef"))
+        .when(kind == "secret", _shaped(F.when(attempt < 4, F.regexp_replace(entity, r"[\p{L}&&[^\p{Lu}\p{Ll}]]", "x")).otherwise(F.regexp_replace(entity, r"[^\p{Lu}\p{Ll}0-9]", "x")), d))
         .when(kind == "cloud_key", F.concat(F.substring(entity, 1, 4), _shaped(F.substring(entity, 5, 16), d)))
         .when(kind == "iban", _iban(entity, d))
         .when(kind == "phone", F.concat(F.regexp_extract(entity, r"^(\+\d{1,3}(?=\D))?", 0), _shaped(F.regexp_replace(entity, r"^\+\d{1,3}(?=\D)", ""), d)))
@@ -237,11 +244,11 @@ def replace_entities(docs: DataFrame, o: Surrogates | None = None, doc_id: str =
 
     def replaced(m: Column) -> Column:
         new = F.transform(_units(m), lambda u: F.element_at("_map", label(u["kind"], u["entity"])))
-        head = F.regexp_extract(m, r"^(\w+[=:] ?)", 1)
+        head, tail = F.regexp_extract(m, rf"^({_SECRET}[\"']?)", 1), F.regexp_extract(m, r"([\"']?)\z", 1)
         kind = _kind(m)
         return (
             F.when(kind == "name", F.concat(F.regexp_extract(m, r"^(\S+ )", 1), F.array_join(new, " ")))
-            .when(kind == "secret", F.concat(head, new[0]))
+            .when(kind == "secret", F.concat(head, new[0], tail))
             .otherwise(new[0])
         )
 

@@ -201,6 +201,36 @@ def test_surrogates(spark):
     assert len(pii_surrogates.replace_entities(frame(spark, EDGES)).collect()) == len(EDGES)
 
 
+FORMS = [
+    ('TOKEN = "', "9233A8EC641917EA4E9FEB9CDA83477B57AC2654", '"', "token"),
+    ("key ", "0123456789abcdefABCDEF" * 10, ".", "token"),
+    ("key ", "abcdefabcdefabcdefabcdefabcdefab", ".", "token"),
+    ('password="', "abc123def", '"', "secret"),
+    ('api_key: "', "abc123def", '", "user": "me"', "secret"),
+    ("Password = '", "abc123def", "' and on", "secret"),
+    ('{"password": "', 'correct horse \\" battery', '", "user": "me"}', "secret"),
+    ("pwd  :  ", "abc123def", " and on", "secret"),
+    ("secret=", "Qx7" * 2000, " and on", "secret"),
+    ("password: ", "密码密码密码密码", " and on", "secret"),
+    ("from ", "2001:db8::1", ".", "ip6"),
+    ("from ", "fe80::a:b2", "/64", "ip6"),
+    ("from ", "::1", ", too", "ip6"),
+]
+
+
+def test_forms_of_secrets_and_addresses(spark):
+    others = [("std::add a::b :: x; dead::fade", []), ("no password here: it is 'short'", []), ('pwd="ab" and "something else"', []), ("at ::ffff:10.2.3.4 now", ["ip"])]
+    texts = ["".join(f[:3]) for f in FORMS] + [t for t, _ in others]
+    got = {r.doc_id: r for r in pii_surrogates.replace_entities(frame(spark, list(enumerate(texts)))).collect()}
+    for i, (before, value, after, kind) in enumerate(FORMS):
+        r = got[i]
+        assert r.kinds == [kind] and r.text.startswith(before) and r.text.endswith(after), (before, r.kinds)
+        new = r.text[len(before) : -len(after)]
+        assert kind == "ip6" or len(new) == len(value)
+        assert new != value and not any(value[k : k + 12] in new for k in range(max(1, len(value) - 11)))
+    assert [got[len(FORMS) + k].kinds for k in range(len(others))] == [k for _, k in others]
+
+
 def test_surrogates_stay_distinct(spark):
     e = spark.range(3000).select(F.lit("family").alias("kind"), F.concat(F.lit("Name"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("entity"))
     got = pii_surrogates.assigned(e).collect()
