@@ -5,13 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlark.operators.lineage import cut, shared_dir
 
-__all__ = ["ascii_lower", "batches_of", "cut", "delete", "grouped", "groups", "shared_dir", "table", "tiles", "written"]
+__all__ = ["ascii_lower", "batches_of", "cut", "delete", "grouped", "groups", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +93,27 @@ def tiles(df: DataFrame, member: Column, blocks: Column) -> DataFrame:
     return df.withColumns({"tile_a": F.least("block", "_other"), "tile_b": F.greatest("block", "_other")}).drop("_other", "_blocks")
 
 
+def text_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches with about ``limit`` bytes of ``column`` each.
+
+    Arrow batches keep ids and other columns as they are; pandas would make a column of
+    longs that holds a null a column of doubles, which are not exact over 2**53.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+        cuts = [0, *[int(i) + 1 for i in (size[1:] != size[:-1]).nonzero()[0]], batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
+def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """``batch`` with columns replaced in their places, others added behind, and some left out."""
+    kept = {n: new.get(n, batch.column(n)) for n in batch.schema.names if n not in drop}
+    return pa.RecordBatch.from_pydict(kept | new)
+
+
 def batches_of(frames: Iterable[pd.DataFrame], column: str, limit: int) -> Iterator[pd.DataFrame]:
     """Slices of frames with about ``limit`` characters of ``column`` each."""
     for frame in frames:

@@ -1,36 +1,42 @@
 """Cost-balanced packing of documents into sequences of bounded length.
 
 A document's ids, with a closing id, are cut at multiples of the sequence length.
-Whole stretches are sequences by themselves. The remainders are dealt to buckets of
-a bounded number of documents; in a bucket, in descending length, each goes to the
-sequence of the lowest estimated attention cost (linear plus quadratic in the
-piece's length) that has room for it. One for which no sequence has room is cut at
-the end of the emptiest one and goes on with its rest. A bucket opens as many
-sequences as its ids need, so its padding is under one sequence.
-
-The ids travel through one shuffle, to the bucket, where the sequences are made.
+Whole stretches are sequences by themselves. The remainders of ``bucket_docs``
+documents are packed together: in descending length, each goes to the sequence of
+the lowest estimated attention cost (linear plus quadratic in the piece's length)
+that has room for it. One for which no sequence has room is cut at the end of the
+emptiest one and goes on with its rest.
+
+A bucket opens as many whole sequences as its ids fill, and for the last ids
+sequences of distinct powers of two that add up to them. All are filled to the end,
+so no bucket pads anything, however small it is. Buckets are runs of rows of one
+partition, so nothing is shuffled, no key can be hot, and a task that is lost is
+done again by itself: a sequence's number holds that of its partition.
 
 Edge cases. A null text counts as empty and gives its closing id alone. Repeated
-rows are packed as often as they come; a null doc_id stays null. Ties in length
-keep the order of doc_id and start. Columns other than id and text are not read.
+rows are packed as often as they come; a null doc_id stays null. Remainders of one
+length keep the order of the rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import batches_of
+from fieldlark.llm.common import text_batches
 
-_ODD_SPACE = re.compile(r"\s \s")
-_CACHE = 400_000
+# White space of the tokenizer's pattern: the characters with Unicode's property White_Space.
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD, _EDGE = f"[{_SPACE}] [{_SPACE}]", f"^$|^[{_SPACE}]|[{_SPACE}]$"
 _LOADED: dict[str, "Encoder"] = {}
+_PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def default_tokenizer() -> str:
@@ -55,9 +61,10 @@ class Encoder:
     """Ids of a byte-level BPE tokenizer, word by word.
 
     A space before a character that is not white space always starts a new word of
-    the tokenizer, so a text can be cut there and each distinct stretch is encoded
-    once. Texts with longer runs of white space, or with a special token in them,
-    are encoded whole.
+    the tokenizer, so texts can be cut there and each distinct stretch of a batch is
+    encoded once: all of them joined, as only the first token of a stretch begins with
+    a space. Texts with a space inside longer white space, or with a special token in
+    them, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,63 +72,67 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.fast = self._fast(path)
-        self._forget()
+        self.fast = self._ranks(path)
 
-    def _fast(self, path: str):
+    def _ranks(self, path: str):
         """The same vocabulary as ranks, where it is at hand; it is faster on short stretches."""
         import base64
         import os
 
         ranks = path.removesuffix(".json") + ".tiktoken"
         if not path.endswith("byte_bpe_50k.json") or not os.path.exists(ranks):
-            return lambda words: [e.ids for e in self.whole.encode_batch(words, add_special_tokens=False)]
+            return None
         import public_tokenizers
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        return lambda words: [bpe.encode_ordinary(w) for w in words]
-
-    def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        found = self.fast(words)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), "<u4", int(size.sum()))
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [bool(_ODD_SPACE.search(t)) or any(s in t for s in self.special) for t in texts]
-        split = [[] if o or not t else self._stretches(t) for t, o in zip(texts, odd, strict=True)]
-        words = [w for ws in split for w in ws]
-        new = list(set(words).difference(self.at))
-        if len(self.at) + len(new) > _CACHE:
-            self._forget()
-            new = list(dict.fromkeys(words))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        n, first = self.size[at], self.start[at]
-        ends = np.cumsum(n)
-        flat = self.ids[np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))]
-        bound = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(ws) for ws in split])))]
-        whole = iter(self.whole.encode_batch([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False))
-        return [np.array(next(whole).ids, "<u4") if o else flat[bound[k] : bound[k + 1]] for k, o in enumerate(odd)]
-
-    @staticmethod
-    def _stretches(text: str) -> list[str]:
-        if "\0" in text:
-            first, *rest = text.split(" ")
-            found = [first, *[" " + w for w in rest]]
-        else:
-            found = text.replace(" ", "\0 ").split("\0")
-        return found if found[0] else found[1:]
+        self.opens = np.zeros(max(table.values()) + 1, bool)
+        self.opens[[i for b, i in table.items() if b.startswith(b" ")]] = True
+        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+
+    def _stretches(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each word, and how many each has."""
+        alone = pc.match_substring_regex(words, _EDGE)
+        joined = words.filter(pc.invert(alone))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined), pa.scalar(" ", pa.large_string()))[0].as_py()
+        flat = self.fast.encode_to_numpy(" " + text, disallowed_special=()).astype("<u4") if len(joined) else np.zeros(0, "<u4")
+        start = np.flatnonzero(self.opens[flat])
+        few = [self.fast.encode_ordinary(" " + w) for w in words.filter(alone).to_pylist()]
+        size, alone = np.zeros(len(words), np.int64), alone.to_numpy(zero_copy_only=False)
+        size[~alone], size[alone] = np.diff(np.append(start, len(flat))), [len(x) for x in few]
+        out = np.empty(int(size.sum()), "<u4")
+        own = np.repeat(alone, size)
+        out[~own], out[own] = flat, [i for x in few for i in x]
+        return out, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.fast is None:
+            found = self._whole(texts.to_pylist())
+            return np.array([i for x in found for i in x], "<u4"), np.array([len(x) for x in found], np.int64)
+        odd = pc.match_substring_regex(texts, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        cut = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), texts), " ")
+        ends = cut.offsets.to_numpy()
+        words = cut.flatten().dictionary_encode()
+        ids, size = self._stretches(words.dictionary)
+        at = words.indices.to_numpy().astype(np.int64)
+        # What begins a text stands there without a space, and an odd text is whole: these come behind the words.
+        whole = iter(self._whole(texts.filter(odd).to_pylist()))
+        begins = words.dictionary.take(words.indices.take(pa.array(ends[:-1]))).to_pylist()
+        heads = [next(whole) if o else self.fast.encode_ordinary(w) for o, w in zip(odd.to_pylist(), begins, strict=True)]
+        at[ends[:-1]] = len(size) + np.arange(len(texts))
+        size = np.concatenate([size, np.array([len(h) for h in heads], np.int64)])
+        ids = np.concatenate([ids, np.array([i for h in heads for i in h], "<u4")])
+        n, first = size[at], (np.cumsum(size) - size)[at]
+        flat = ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return flat, np.add.reduceat(n, ends[:-1])
 
 
 def encoder(path: str) -> Encoder:
@@ -130,62 +141,92 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def tokenized(docs: DataFrame, o: Packing, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, doc_tokens, start, ids: pieces of at most ``o.length`` ids, as little-endian unsigned 32-bit integers."""
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(o.tokenizer)
-        for f in batches_of(frames, "text", 2_000_000):
-            rows = []
-            for name, ids in zip(f.doc_id, e.encode(f.text.tolist()), strict=True):
-                ids = np.append(ids, np.uint32(o.end_id)).astype("<u4")
-                rows += [(name, len(ids), s, ids[s : s + o.length].tobytes()) for s in range(0, len(ids), o.length)]
-            out = pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "start", "ids"])
-            yield out.astype({"doc_id": f.doc_id.dtype})
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInPandas(
-        run, "doc_id long, doc_tokens long, start long, ids binary"
-    )
+def rooms(ids: int, length: int) -> list[int]:
+    """Sizes of sequences that so many ids fill to the end: whole ones, then distinct powers of two."""
+    whole, rest = divmod(ids, length)
+    return [length] * whole + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
 def assign(lengths: np.ndarray, o: Packing) -> list[tuple[int, int, int, int, int]]:
     """(item, start in the item, length, sequence, offset) for items that are in descending order and shorter than a sequence."""
-    count = -(-int(lengths.sum()) // o.length)
-    cost, room, out = np.zeros(count), np.full(count, o.length), []
+    size = np.array(rooms(int(lengths.sum()), o.length), np.int64)
+    cost, room, out = np.zeros(len(size)), size.copy(), []
     for item, left in enumerate(lengths.tolist()):
         start = 0
         while left:
             fits = room >= left
             at = int(np.where(fits, cost, np.inf).argmin()) if fits.any() else int(room.argmax())
             n = min(left, int(room[at]))
-            out.append((item, start, n, at, o.length - int(room[at])))
+            out.append((item, start, n, at, int(size[at] - room[at])))
             cost[at] += o.linear * n + o.quadratic * n * n
             room[at] -= n
             start, left = start + n, left - n
     return out
 
 
+class _Packer:
+    """Pieces of one partition: whole stretches at once, remainders bucket by bucket."""
+
+    def __init__(self, o: Packing, partition: int):
+        self.o, self.encoder, self.next = o, encoder(o.tokenizer), partition << 33
+        self.held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def _pieces(self, doc_id: pa.Array, flat: np.ndarray, at: np.ndarray, start: np.ndarray, length: np.ndarray, tokens: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows whose ids stand at ``at`` in ``flat``; at most 8,192 in a batch."""
+        for k in range(0, len(at), 8_192):
+            n = length[k : k + 8_192]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            ids = flat[np.repeat(at[k : k + 8_192] - ends[:-1], n) + np.arange(ends[-1])]
+            body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * ends).astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
+            columns = [doc_id.slice(k, 8_192), *[pa.array(x[k : k + 8_192], pa.int64()) for x in (start, length)], body]
+            columns += [pa.array(x[k : k + 8_192], pa.int64()) for x in (tokens, sequence, offset)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    def add(self, doc_id: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        o = self.o
+        flat, tokens = self.encoder.encode(texts)
+        flat, tokens = np.insert(flat, np.cumsum(tokens), o.end_id), tokens + 1
+        first, whole = np.cumsum(tokens) - tokens, tokens // o.length
+        row = np.repeat(np.arange(len(tokens)), whole)
+        start = o.length * (np.arange(len(row)) - np.repeat(np.cumsum(whole) - whole, whole))
+        yield from self._pieces(
+            doc_id.take(pa.array(row)), flat, first[row] + start, start, np.full(len(row), o.length), tokens[row], self.next + np.arange(len(row)), np.zeros(len(row), np.int64)
+        )
+        self.next += len(row)
+        rest = np.flatnonzero(tokens % o.length)
+        for k in range(0, len(rest), n := o.bucket_docs):
+            some = rest[k : k + n]
+            size = tokens[some] % o.length
+            ends = np.cumsum(size)
+            ids = flat[np.repeat((first + tokens)[some] - ends, size) + np.arange(int(size.sum()))]
+            self.held.append((doc_id.take(pa.array(some)), tokens[some], size, ids))
+            self.rows += len(some)
+            if self.rows >= n:
+                yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """Packs the remainders that are held: under twice ``bucket_docs``."""
+        if not self.rows:
+            return
+        doc_id = pa.concat_arrays([d for d, *_ in self.held])
+        tokens, size, flat = (np.concatenate(x) for x in list(zip(*self.held, strict=True))[1:])
+        self.held, self.rows = [], 0
+        first, order = np.cumsum(size) - size, np.argsort(-size, kind="stable")
+        item, at, n, sequence, offset = np.array(assign(size[order], self.o), np.int64).T
+        item = order[item]
+        yield from self._pieces(doc_id.take(pa.array(item)), flat, first[item] + at, tokens[item] - size[item] + at, n, tokens[item], self.next + sequence, offset)
+        self.next += int(sequence.max()) + 1
+
+
 def pack(docs: DataFrame, o: Packing | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, length, ids, doc_tokens, sequence_id, offset: one row for each piece."""
+    """doc_id, start, length, ids, doc_tokens, sequence_id, offset: one row for each piece; ids are little-endian unsigned 32-bit integers."""
     o = o or Packing()
-    buckets = max(1, docs.count() // o.bucket_docs)
-    pieces = tokenized(docs, o, doc_id, text)
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(buckets)))
-
-    def fill(f: pd.DataFrame) -> pd.DataFrame:
-        size = f.ids.str.len() // 4
-        whole = f[size == o.length]
-        part = f.assign(size=size)[size < o.length].sort_values(["size", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        got = pd.DataFrame(assign(part["size"].to_numpy(), o), columns=["item", "at", "length", "sequence_id", "offset"], dtype=np.int64)
-        rest = part.iloc[got["item"].to_numpy()].reset_index(drop=True)
-        rest = rest.assign(
-            ids=[ids[4 * a : 4 * (a + n)] for ids, a, n in zip(rest.ids, got["at"], got["length"], strict=True)],
-            start=rest.start + got["at"], length=got["length"], sequence_id=got["sequence_id"], offset=got["offset"],
-        )
-        opened = int(got["sequence_id"].max()) + 1 if len(got) else 0
-        whole = whole.assign(length=o.length, sequence_id=np.arange(opened, opened + len(whole)), offset=0)
-        out = pd.concat([rest, whole], ignore_index=True)
-        out["sequence_id"] += int(f.bucket.iloc[0]) << 32
-        return out[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
-
-    return pieces.groupBy("bucket").applyInPandas(fill, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(o, TaskContext.get().partitionId())
+        for b in text_batches(batches, "text", 16_000_000):
+            yield from packer.add(b.column("doc_id"), b.column("text"))
+        yield from packer.close()
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _PIECE)

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", 1, "own") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, labels string")
 
 
+#: Ids near this one are not exact as doubles.
+BIG = 2**60
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "A b c d e f g. A b c d e f g."), (6, "A b c d e f g. A b c d e f g."), (7, "long " * 30_000), (8, "ünï 中文 \U0001f600 " * 50), (None, "no id here at all")]
 #: The same with ids that no other row has.
 APART = [(i and i + 90_000, t) for i, t in EDGES]
@@ -321,18 +324,43 @@ def test_packing(spark):
     assert packing.pack(frame(spark, EDGES).limit(0)).count() == 0
 
 
-def test_assignment_balances_cost():
+def test_packing_pads_nothing_and_repeats_are_no_hot_group(spark):
+    rows = [(7, "one same text of a few words")] * 20_000 + [(None, "no id")] * 3_000 + [(BIG + 1, "x"), (BIG + 3, "y")]
+    out = packing.pack(frame(spark, rows).repartition(6)).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    used = defaultdict(int)
+    for r in out:
+        used[r.sequence_id] += r.length
+    assert all(n & (n - 1) == 0 and n <= 1024 for n in used.values())
+    assert {r.doc_id for r in out} == {7, None, BIG + 1, BIG + 3} and sum(r.start == 0 for r in out) == len(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_assignment_takes_the_lowest_cost(seed):
+    rng = np.random.default_rng(seed)
     o = packing.Packing(length=100)
-    lengths = np.array(sorted([90, 60, 55, 45, 40, 35, 30, 20, 10, 15], reverse=True))
-    got = packing.assign(lengths, o)
-    assert sum(n for *_, n, _, _ in got) == lengths.sum() and max(s for *_, s, _ in got) == 3
-    assert all(sum(n for _, _, n, s, _ in got if s == k) <= 100 for k in range(4))
+    lengths = np.sort(rng.integers(1, 100, 60))[::-1]
+    size = packing.rooms(int(lengths.sum()), 100)
+    assert sum(size) == lengths.sum() and all(n == 100 or n & (n - 1) == 0 for n in size)
+    cost, used = [0.0] * len(size), [0] * len(size)
+    left = dict(enumerate(lengths.tolist()))
+    for item, start, n, at, offset in packing.assign(lengths, o):
+        assert start == lengths[item] - left[item] and offset == used[at]
+        able = [k for k in range(len(size)) if size[k] - used[k] >= left[item]]
+        if able:
+            assert n == left[item] and cost[at] == min(cost[k] for k in able)
+        else:
+            assert n == size[at] - used[at] == max(s - u for s, u in zip(size, used, strict=True))
+        cost[at] += n + n * n / 1024
+        used[at] += n
+        left[item] -= n
+    assert used == size and not any(left.values())
 
 
 def test_encoder_equals_tokenizer():
     e = packing.Encoder(packing.default_tokenizer())
-    texts = ["", " ", "a  b", " lead", "trail ", "x\n\ny z", "don't  stop\n now", "über 中文 \U0001f600 123 1,000.5", "tab\tand space", "a b c", "##  ##", " \n a", "a\0b \0 c", "\0", " \0"]
-    assert [x.tolist() for x in e.encode(texts)] == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["", " ", "a  b", " lead", "trail ", "x\n\ny z", "don't  stop\n now", "über 中文 \U0001f600 123 1,000.5", "tab\tand space", "a\xa0b \x1cc d", "##  ##", " \n a", "a\0b \0 c", "\0", " \0", "q \u3000 \u3000", "a\n b\n c \nd", "<|endoftext|> x"]
+    ids, n = e.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_chat_round_trip(spark):
