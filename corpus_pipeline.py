@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from fieldlark.llm import decontaminate, language_id, minhash_dedup, packing, pii_surrogates
 from fieldlark.llm.common import delete, shared_dir, table
 
-#: The least posterior of a language for a document to stay; a text shorter than SHORT characters is in doubt for want of words and stays.
-LEAST_SCORE, SHORT = 0.5, 40
+#: A document stays if its language's posterior is this many times that of a draw among the languages.
+LEAST_LIFT = 1.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, and longer ones whose language is in doubt; learns from a bounded sample of the rows that have a language."""
-    found = language_id.identify(docs, language_id.learn(docs))
-    sure = (F.col("score") >= LEAST_SCORE) | (F.length("text") < SHORT)
-    return found.where((F.col("lang_pred") != "und") & sure).select(*docs.columns)
+    """Drops documents without letters and those whose language is as good as drawn by lot; learns from a bounded sample of the rows that have a language."""
+    model = language_id.learn(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, model, names=("_lang_pred", "_score"))
+    sure = F.col("_score") >= min(1.0, LEAST_LIFT / len(model.languages))
+    return found.where((F.col("_lang_pred") != "und") & sure).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

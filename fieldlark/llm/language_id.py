@@ -7,13 +7,15 @@ posterior over languages at equal priors is the score. The piece probabilities
 come from expectation-maximisation over all segmentations, as Spark jobs on word
 counts of a bounded sample of labelled rows.
 
-Only letters count: a text is lower-cased and cut into runs of letters, each with
-the vocabulary's word mark in front. A run over 48 letters is scored in stretches
-of 48, so that no probability underflows. A letter that is no piece costs the same
-in each language.
+Only letters (Unicode category L) count: a text is lower-cased and cut into runs of
+letters, each with the vocabulary's word mark in front. A run over 48 letters is
+scored in stretches of 48. A letter that is no piece has the probability ``least`` in
+each language, and no piece has less, so a stretch has at least ``least`` to the 49th
+power and no probability underflows.
 
 Edge cases. A text that is null or has no letter gets ``und`` and score 0; so do
-all where nothing could be learned. Ties go to the first language in alphabetical
+all where nothing could be learned. A language none of whose texts has a letter
+is not learned. Ties go to the first language in alphabetical
 order. Rows are independent: one row out for each row in.
 """
 
@@ -26,14 +28,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import batches_of, cut
+from fieldlark.llm.common import cut, text_batches, with_columns
 
 _RUN = re.compile(r"[^\W\d_]+")
 _MARK, _LONGEST, _BASE = "▁", 48, 0x9E3779B97F4A7C15
-_UNKNOWN = 1e-6
 _CACHE = 300_000
 _LOADED: dict[str, Vocabulary] = {}
 
@@ -46,11 +48,14 @@ def default_vocabulary() -> str:
 
 @dataclass(frozen=True)
 class LanguageId:
-    """``per_language`` bounds the labelled rows that are learned from, ``languages`` the number of languages (the most frequent)."""
+    """``per_language`` bounds the distinct labelled texts of a language that are learned from (about as many are taken).
+
+    The labels are a small set by nature: the model holds a row of the vocabulary's size for each language.
+    """
 
     per_language: int = 1_000
-    languages: int = 200
     rounds: int = 2
+    least: float = 1e-6
     smoothing: float = 0.05
     vocabulary: str = field(default_factory=default_vocabulary)
 
@@ -63,7 +68,7 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        names = [n for n in names if _RUN.fullmatch(n.removeprefix(_MARK)) or n == _MARK]
+        names = [n for n in names if n.removeprefix(_MARK).isalpha() or n == _MARK]
         keys = np.array([self._hash(n) for n in names], np.uint64)
         self.keys, at = np.unique(keys, return_index=True)
         self.size, self.longest = len(self.keys), max(len(names[i]) for i in at)
@@ -109,6 +114,9 @@ def vocabulary(path: str) -> Vocabulary:
 
 def words_of(text: str | None) -> list[str]:
     found = _RUN.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, found)):
+        # Numerals that the pattern takes for letters, such as those in rings or Roman ones.
+        found = [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
     if any(len(w) > _LONGEST for w in found):
         found = [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
     return found
@@ -151,12 +159,10 @@ def expected_pieces(words: list[str], counts: np.ndarray, v: Vocabulary, p: np.n
     return out
 
 
-def _smoothed(uses: np.ndarray, smoothing: float) -> np.ndarray:
-    p = uses.copy()
-    p[:-1] += smoothing
-    p /= p[:-1].sum()
-    p[-1] = _UNKNOWN
-    return p
+def _smoothed(uses: np.ndarray, smoothing: float, least: float) -> np.ndarray:
+    """Probabilities of the pieces, none under ``least``; the unknown letter's behind them."""
+    p = uses[:-1] + smoothing
+    return np.append(least + (1 - least * len(p)) * p / p.sum(), least)
 
 
 @dataclass(frozen=True)
@@ -171,17 +177,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(labelled: DataFrame, o: LanguageId | None = None, text: str = "text", lang: str = "lang") -> Model:
-    """Piece probabilities of each language, from a bounded sample of the rows that have a text and a language."""
+    """Piece probabilities of each language, from a bounded sample of the distinct texts that have a language.
+
+    Texts are drawn by their hash and each counts once, however often it is copied; a language of few texts is taken whole.
+    """
     o = o or LanguageId()
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    # At most o.languages rows come to the driver here, and o.languages times the vocabulary below.
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(o.languages).collect()
-    names = sorted(r["lang"] for r in sizes)
-    if not names:
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # A row for each language comes to the driver here.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("texts")).collect()
+    if not sizes:
         return Model([], np.zeros((0, 1)), o.vocabulary)
-    share = {r["lang"]: min(1.0, o.per_language / r["count"]) for r in sizes}
-    quota = F.create_map(*[F.lit(x) for item in share.items() for x in item])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.coalesce(F.try_element_at(quota, F.col("lang")), F.lit(0.0)) * 1_000_003)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, o.per_language / r["texts"]))])
+    sample = rows.where(F.pmod("h", F.lit(1_000_003)) < F.try_element_at(share, F.col("lang")) * 1_000_003)
+    sample = sample.dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -192,8 +201,12 @@ def learn(labelled: DataFrame, o: LanguageId | None = None, text: str = "text",
 
     counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = cut(counts)
+    # A row for each language comes to the driver, and the vocabulary for each below.
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not names:
+        return Model([], np.zeros((0, 1)), o.vocabulary)
     v = vocabulary(o.vocabulary)
-    pieces = {n: _smoothed(np.ones(v.size + 1), 0) for n in names}
+    pieces = {n: _smoothed(np.ones(v.size + 1), 0, o.least) for n in names}
     for _ in range(o.rounds):
 
         def expect(frames: Iterable[pd.DataFrame], pieces: dict = pieces) -> Iterator[pd.DataFrame]:
@@ -210,7 +223,7 @@ def learn(labelled: DataFrame, o: LanguageId | None = None, text: str = "text",
         pieces = {n: np.zeros(v.size + 1) for n in names}
         for name, g in got.groupby("lang"):
             pieces[name][g.piece] = g.uses
-        pieces = {n: _smoothed(u, o.smoothing) for n, u in pieces.items()}
+        pieces = {n: _smoothed(u, o.smoothing, o.least) for n, u in pieces.items()}
     return Model(names, np.stack([pieces[n] for n in names]), o.vocabulary)
 
 
@@ -232,17 +245,17 @@ class _Scores:
         return self.found[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its posterior in columns of these names; others of the same names are replaced."""
+    kept = [c for c in docs.columns if c not in names]
+    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(model)
-        for f in batches_of(frames, text, 2_000_000):
-            words = [words_of(t) for t in f[text]]
+        for b in text_batches(batches, text, 2_000_000):
+            words = [words_of(t) for t in b.column(text).to_pylist()]
             size = np.fromiter(map(len, words), np.int64, len(words))
-            name, top = np.full(len(f), "und", object), np.zeros(len(f))
+            name, top = np.full(len(words), "und", object), np.zeros(len(words))
             some = np.flatnonzero(size) if model.languages else np.zeros(0, np.int64)
             if len(some):
                 each = scores.of([w for ws in words for w in ws])
@@ -250,9 +263,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 name[some] = np.array(model.languages, object)[odds.argmax(axis=1)]
                 top[some] = 1 / odds.sum(axis=1)
-            yield f.assign(lang_pred=name, score=top)
+            yield with_columns(b, {names[0]: pa.array(name, pa.string()), names[1]: pa.array(top)})
 
-    return docs.select(*kept).mapInPandas(run, schema)
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, o: LanguageId | None = None) -> DataFrame:

@@ -28,10 +28,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import batches_of
+from fieldlark.llm.common import text_batches
 
 # Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -59,12 +60,17 @@ _PLACE = 1 << 20
 
 @dataclass(frozen=True)
 class Scan:
-    """``threshold`` is the share of a notice's distinct words that a block must hold."""
+    """``threshold`` is the share of a notice's distinct words that a block must hold; ``block`` grows to twice the longest template."""
 
     threshold: float = 0.9
     block: int = 64
     notices: tuple = tuple(NOTICES)
 
+    @property
+    def half(self) -> int:
+        longest = max(len(words_of(t)) for t in [*BASE, *[n for _, n in self.notices]])
+        return max(self.block // 2, longest)
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Runs of digits, letters a-z (A-Z lower-cased) and anything beyond ASCII."""
@@ -74,14 +80,12 @@ def words_of(text: str | None) -> list[bytes]:
 def _templates(o: Scan) -> list[dict]:
     out = [{"label": v, "base": True, "words": [w.decode() for w in words_of(k)], "share": 1.0} for k, v in BASE.items()]
     out += [{"label": v, "base": False, "words": [w.decode() for w in words_of(k)], "share": o.threshold} for v, k in o.notices]
-    if any(len(t["words"]) > o.block // 2 for t in out):
-        raise ValueError("a template is longer than half a block")
     return out
 
 
-def _blocks(code: dict[bytes, int], words: list[bytes], o: Scan) -> dict[int, list[int]]:
+def _blocks(code: dict[bytes, int], words: list[bytes], half: int) -> dict[int, list[int]]:
     """For each block, place * _PLACE + token of its template tokens, in order."""
-    half, out = o.block // 2, {}
+    out: dict[int, list[int]] = {}
     get = code.get
     for at, token in enumerate(map(get, words)):
         if token is not None:
@@ -95,11 +99,13 @@ def _blocks(code: dict[bytes, int], words: list[bytes], o: Scan) -> dict[int, li
 def _frequencies(docs: DataFrame, vocabulary: list[str], o: Scan) -> dict[str, int]:
     """Blocks that hold each template token: as many rows as the templates have distinct words."""
 
+    half = o.half
+
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, n = {w.encode(): i for i, w in enumerate(vocabulary)}, Counter()
         for f in frames:
             for t in f.text:
-                for tokens in _blocks(code, words_of(t), o).values():
+                for tokens in _blocks(code, words_of(t), half).values():
                     n.update({x % _PLACE for x in tokens})
         yield pd.DataFrame({"token": list(n), "n": list(n.values())}, dtype="int64")
 
@@ -123,22 +129,25 @@ def scan(docs: DataFrame, o: Scan | None = None, doc_id: str = "doc_id", text: s
             index.append((token, i, k, tokens, need, t["label"], t["base"], [order[w] for w in t["words"]]))
     spark = docs.sparkSession
     index = spark.createDataFrame(index, "token int, i int, template int, tokens array<int>, need int, label string, base boolean, phrase array<int>")
-    half = o.block // 2
+    half = o.half
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = {w.encode(): i for w, i in order.items()}
-        for f in batches_of(frames, "text", 4_000_000):
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        for f in text_batches(batches, "text", 4_000_000):
             rows = []
-            for row, name, t in zip(f["row"], f.doc_id, f.text, strict=True):
+            for row, t in enumerate(f.column("text").to_pylist()):
                 words = words_of(t)
-                found = _blocks(code, words, o)
+                found = _blocks(code, words, half)
                 for b in sorted({0, *found}):
                     places = found.get(b, [])
-                    rows.append((row, name, len(words), b, sorted({x % _PLACE for x in places}), places))
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "n_words", "block", "own", "places"]).astype({"doc_id": f.doc_id.dtype})
+                    rows.append((row, len(words), b, sorted({x % _PLACE for x in places}), places))
+            at, *made = zip(*rows, strict=True)
+            made = [pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([f.column("row").take(pa.array(at)), f.column("doc_id").take(pa.array(at)), *made], names=["row", "doc_id", "n_words", "block", "own", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
+    blocks = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         run, f"row long, doc_id {kind}, n_words long, block long, own array<int>, places array<long>"
     )
     each = blocks.select("*", F.posexplode_outer("own").alias("j", "token")).join(F.broadcast(index), "token", "left")

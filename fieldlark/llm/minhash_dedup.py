@@ -28,11 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import batches_of, cut, grouped, tiles, written
+from fieldlark.llm.common import cut, grouped, text_batches, tiles, written
 from fieldlark.llm.components import connected_components
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -105,12 +106,12 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, p: MinHash, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, k1 and k2 (digest of the set), sig (a byte of each minimum), bands (their keys)."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _universal(p)
         cache = _Words()
-        for frame in batches_of(frames, "text", 8_000_000):
+        for batch in text_batches(batches, "text", 8_000_000):
             rows = []
-            for t in frame.text:
+            for t in batch.column("text").to_pylist():
                 s = shingle_set(t, p.words, cache)
                 if not len(s):
                     rows.append((0, 0, 0, None, None))
@@ -121,11 +122,10 @@ def signatures(docs: DataFrame, p: MinHash, doc_id: str = "doc_id", text: str =
                 for column in m.reshape(p.bands, p.rows).T:
                     keys = _mix(keys * _STEP + column)
                 rows.append((len(s), k1, k2, (m & 255).astype(np.uint8).tobytes(), keys.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "sig", "bands"])
-            out.insert(0, "doc_id", frame.doc_id.to_numpy())
-            yield out
+            made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_shingles", "k1", "k2", "sig", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
     )
 

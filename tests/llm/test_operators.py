@@ -363,6 +363,29 @@ def test_encoder_equals_tokenizer():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_ids_beside_null_stay_exact(spark):
+    words = " ".join(SYLLABLES * 4)
+    rows = [(BIG + 1, words + " one\nApache License"), (None, words + " two"), (BIG + 3, "gnu general public license " + words[::-1]), (BIG + 5, None)]
+    df = spark.createDataFrame([(i, t, None if k == 1 else BIG + k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    ids, chars = {i for i, _ in rows}, {BIG, None, BIG + 2, BIG + 3}
+    assert {r.doc_id for r in packing.pack(df).collect()} == ids
+    assert {r.doc_id for r in minhash_dedup.near_duplicates(df).collect()} == ids
+    assert {r.doc_id for r in license_scan.scan(df).collect()} == ids
+    assert {r.doc_id for r in language_id.predict(df).collect()} == ids
+    for out in (line_dedup.deduplicated(df), line_dedup.deduplicated(df, line_dedup.Units(unit="sentence")), pii_surrogates.replace_entities(df, pii_surrogates.Surrogates(key="k"))):
+        got = out.collect()
+        assert {r.doc_id for r in got} == ids and {r.n_chars for r in got} == chars
+    bench = spark.createDataFrame([(BIG + 7, " ".join(SYLLABLES) + " ba ke"), (None, "zz yy xx ww vv uu tt ss rr")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(BIG + 1, BIG + 7), (None, BIG + 7)}
+    got = decontaminate.without_leaks(df, bench.limit(0)).collect()
+    assert {r.doc_id for r in got} == ids and {r.n_chars for r in got} == chars
+    model = language_id.Model([], np.zeros((0, 1)), language_id.default_vocabulary())
+    assert {r.n_chars for r in language_id.identify(df, model).collect()} == chars
+    vectors = spark.createDataFrame([(BIG + 1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (BIG + 3, [1.0, 2.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert {(r.vec_id, r.component_id) for r in embedding_dedup.near_duplicates(vectors).collect()} == {(BIG + 1, BIG + 1), (BIG + 3, BIG + 1), (None, None)}
+    assert {r.doc_id for r in sharding.shards(df).collect()} == ids
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "a\\b <|end|> <|turn|>x\n\\\\<| <<SYS>> \\", "<", "|end|>", "", None, "née $1 \U0001f600", "\\n"]
     rng = random.Random(10)
@@ -455,19 +478,67 @@ def test_quotas_keep_to_capacity():
     assert share[1, 0] == 1 and share[0, 1] * 10 + share[2, 1] * 5 <= 4 + 3
 
 
-def test_forward_sums_over_all_segmentations():
+def _all_ways(word, p, v, ids):
+    """The sum over all segmentations by recursion; a letter that is no piece is piece ``size``."""
+    word = "▁" + word
+    if not word:
+        return 1.0
+
+    def total(at):
+        if at == len(word):
+            return 1.0
+        out = 0.0
+        for e in range(at + 1, len(word) + 1):
+            i = ids.get(word[at:e], v.size if e == at + 1 else None)
+            out += 0.0 if i is None else p[i] * total(e)
+        return out
+
+    return total(0)
+
+
+def test_whole_texts_against_summed_segmentations(spark):
+    import sentencepiece
+
     v = language_id.vocabulary(language_id.default_vocabulary())
+    sp = sentencepiece.SentencePieceProcessor(model_file=language_id.default_vocabulary())
+    at = {int(k): i for i, k in enumerate(v.keys)}
+    ids = {n: at[h] for n in map(sp.id_to_piece, range(sp.get_piece_size())) if (h := language_id.Vocabulary._hash(n)) in at}
     rng = np.random.default_rng(0)
-    p = rng.random((1, v.size + 1))
+    pieces = np.stack([language_id._smoothed(rng.random(v.size + 1) ** 20, 0.0, 1e-6) for _ in range(3)])
+    model = language_id.Model(["a", "b", "c"], pieces, language_id.default_vocabulary())
+    texts = ["therein the", "Über, straße 12 x", "don't ²stop² nowⅣthen", "жук и мир", "漢字 kanji"]
+    got = language_id.identify(frame(spark, list(enumerate(texts))), model).collect()
+    for r in got:
+        words = "".join(c if c.isalpha() else " " for c in texts[r.doc_id].lower()).split()
+        logs = np.array([sum(np.log(_all_ways(w, p, v, ids)) for w in words) for p in pieces])
+        odds = np.exp(logs - logs.max())
+        assert r.lang_pred == "abc"[int(odds.argmax())] and r.score == pytest.approx(1 / odds.sum())
     word = "therein"
-    ids = {(s, e): i[0] for s, e, _, i in v.lattice(["▁" + word])}
+    use = language_id.expected_pieces([word], np.array([1.0]), v, pieces[0])
+    assert 1 <= use.sum() <= len(word) + 1
 
-    def total(at):
-        return 1.0 if at == len(word) + 1 else sum(p[0, i] * total(e) for (s, e), i in ids.items() if s == at)
 
-    assert np.exp(language_id.log_probabilities([word], v, p)[0, 0]) == pytest.approx(total(0))
-    use = language_id.expected_pieces([word], np.array([1.0]), v, p[0])
-    assert 1 <= use.sum() <= len(word) + 1
+def test_rare_letters_and_numerals_leave_a_score(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.learn(docs)
+    english = docs.where("lang = 'en' and n_chars > 300").first().text
+    rows = [(1, english + " " + "qxjkzvwqxj" * 5), (2, "²"), (3, "ⅳ ①"), (4, "\u4e00" * 500), (BIG + 1, english), (None, english), (BIG + 3, None)]
+    got = language_id.identify(frame(spark, rows), model).collect()
+    by = {r.doc_id: (r.lang_pred, r.score) for r in got}
+    assert by[1][0] == by[BIG + 1][0] == by[None][0] == "en" and by[1][1] > 0.99
+    assert by[2] == by[3] == by[BIG + 3] == ("und", 0.0) and 0 <= by[4][1] <= 1
+
+
+def test_copies_weigh_once_and_small_languages_are_learned(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 40), "x") for i in range(60)] + [(100 + i, prose(rng, 40).replace("a", "ä").replace("e", "ö"), "y") for i in range(60)]
+    rows += [(1000 + i, "ünö tröj müs", "z") for i in range(3_000)] + [(9000, "12 34", "digits only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df)
+    once = language_id.learn(df.dropDuplicates(["text"]))
+    assert model.languages == ["x", "y", "z"] and np.allclose(model.pieces, once.pieces)
+    many = spark.createDataFrame([(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i}") for i in range(260)], df.schema)
+    assert len(language_id.learn(many).languages) == 260
 
 
 def test_language_id(spark, sf_dir):
