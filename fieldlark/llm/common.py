@@ -14,17 +14,21 @@ from pyspark.sql import functions as F
 
 from fieldlark.operators.lineage import cut, shared_dir
 
-__all__ = ["ascii_lower", "batches_of", "cut", "delete", "grouped", "groups", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
+__all__ = ["ascii_lower", "batches_of", "cut", "delete", "fresh", "grouped", "groups", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has."""
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Like :func:`cut` but columnar and compressed: for wide rows that are read back column by column."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, path or fresh(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,41 +4,46 @@ A text that holds an item of m bytes with at most k edits shares m - q + 1 - qk
 q-grams with it, all within k neighbouring diagonals (Jokinen and Ukkonen 1991;
 Rasmussen, Stoye and Myers 2006). Shared q-grams are counted in overlapping bands
 of diagonals; a region is kept where a band reaches that bound, and is verified by
-an alignment inside the band. Nothing within the edit budget is lost.
+an alignment inside the band. Nothing within the edit budget is lost: q is the largest
+number up to 8 for which the bound is at least one, so it is smaller for short items.
 
 Both sides are compared as UTF-8 with A-Z lower-cased and runs of ASCII bytes
-other than letters and digits as one space. With q = 8 a q-gram is one 64-bit
-integer, so no hash of it can collide.
-
-The index of items goes to the tasks in blocks of at most ``block_bytes``, one pass
-over the texts for each block; the number of blocks follows the benchmark's size.
-
-Edge cases. Null or empty texts and items match nothing, and neither do items of
-fewer than ``least`` compared bytes, which are too short to accuse a text. Repeated
-items are reported for each id; repeated rows for each row. An empty benchmark
-finds nothing.
+other than letters and digits as one space. A q-gram is one 64-bit integer, so no
+hash of it can collide. An item of fewer than ``least`` compared bytes is looked for
+as whole words, with a space before and behind it.
+
+The items go to the tasks in blocks of at most ``block_bytes``, one pass over the
+texts for each block. One block at a time is on the driver and in a plan; where there
+are several, what a pass found or left is written before the next.
+
+Edge cases. Null or empty texts and items match nothing. Repeated items are reported
+for each id; repeated rows for each row. An empty benchmark finds nothing.
+:func:`without_leaks` drops no row for an item of fewer than ``least`` bytes, as a word
+or two are too short to accuse a text; :func:`leaks` reports them.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import batches_of
+from fieldlark.llm.common import delete, fresh, text_batches, written
 
 _Q, _SLOTS = 8, 21
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_FOUND = "doc_id long, item_id long, start long, length long, edits long"
 
 
 @dataclass(frozen=True)
 class Leaks:
-    """``rate`` is the edit budget as a share of an item's bytes; under 1/8 for the bound to be of use."""
+    """``rate`` is the edit budget as a share of an item's bytes; a small one keeps q and so the filter sharp."""
 
     rate: float = 0.1
     least: int = 24
@@ -46,9 +51,12 @@ class Leaks:
 
 
 def _grams(data: bytes) -> np.ndarray:
-    out = np.empty(max(0, len(data) - _Q + 1), np.uint64)
+    """The 8 bytes from each place as one integer, with zeros behind the end."""
+    data += bytes(_Q)
+    out = np.empty(len(data) - _Q, np.uint64)
     for i in range(_Q):
-        out[i::_Q] = np.frombuffer(data, "<u8", max(0, (len(data) - i) // _Q), i)[: len(out[i::_Q])] if len(data) - i >= _Q else 0
+        n = len(out[i::_Q])
+        out[i::_Q] = np.frombuffer(data, "<u8", n, i)
     return out
 
 
@@ -57,157 +65,215 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 def folded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Compared bytes, and the place of each in ``raw``."""
+    """Compared bytes with a space at either end, and the place of each in ``raw``; empty if nothing is compared."""
     b = np.frombuffer(raw.translate(_FOLD), np.uint8)
+    word = np.flatnonzero(b != 32)
+    if not len(word):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
     keep = b != 32
     keep[1:] |= b[:-1] != 32
     at = np.flatnonzero(keep)
-    return b[at], at
+    at = at[np.searchsorted(at, word[0]) : np.searchsorted(at, word[-1]) + 1]
+    space = np.full(1, 32, np.uint8)
+    return np.concatenate([space, b[at], space]), np.concatenate([[max(0, at[0] - 1)], at, [min(len(b) - 1, at[-1] + 1)]])
 
 
-class Index:
-    """The items' q-grams, their bands and bounds."""
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for n places each, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
-    def __init__(self, items: list[tuple[int, str]], o: Leaks):
-        self.ids, self.items, self.budget, self.bound = [], [], [], []
-        for name, text in items:
-            b = folded(text.encode("utf-8", "surrogatepass"))[0]
-            b = b[1:] if len(b) and b[0] == 32 else b
-            b = b[:-1] if len(b) and b[-1] == 32 else b
-            if len(b) >= max(o.least, _Q):
-                k = min(math.floor(o.rate * len(b)), (len(b) - _Q) // _Q)
-                self.ids.append(name)
-                self.items.append(b)
-                self.budget.append(k)
-                self.bound.append(len(b) - _Q + 1 - _Q * k)
-        self.budget, self.bound = np.array(self.budget, np.int64), np.array(self.bound, np.int64)
-        self.width = np.maximum(16, self.budget + 1)
-        grams = [_grams(b.tobytes()) for b in self.items]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+
+class _Postings:
+    """Where the q-grams of the items of one q stand."""
+
+    def __init__(self, index: Index, q: int):
+        self.mask = np.uint64(2 ** (8 * q) - 1)
+        own = np.flatnonzero(index.q == q)
+        n = index.size[own] - q + 1
+        place = _runs(np.zeros(len(own), np.int64), n)
+        item = np.repeat(own, n)
+        flat = index.grams[index.first[item] + place] & self.mask
         order = np.argsort(flat, kind="stable")
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order].astype(np.int64)
-        self.place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])[order].astype(np.int64)
-        self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.item, self.place = item[order], place[order]
+        self.keys, self.at, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.filled = np.zeros(1 << _SLOTS, bool)
         self.filled[_slot(self.keys)] = True
-        self.size = np.array([len(b) for b in self.items], np.int64)
-        self.margin = int(self.size.max(initial=0) + 3 * self.width.max(initial=0))
-        self.edit = np.int32(1 << 14) if self.size.max(initial=0) < 50_000 else np.int64(1 << 40)
-        self.table = np.zeros((len(self.items), int(self.size.max(initial=0))), np.uint8)
-        for row, b in zip(self.table, self.items, strict=True):
-            row[: len(b)] = b
-
-    def _regions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first diagonal) of the bands that reach their item's bound."""
-        grams = _grams(data.tobytes())
+
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the texts, item, place in the item) of each shared q-gram."""
+        grams = grams & self.mask
         at = np.flatnonzero(self.filled[_slot(grams)])
         near = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
         ok = self.keys[near] == grams[at]
         at, near = at[ok], near[ok]
-        n = self.count[near]
-        post = np.repeat(self.first[near] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        item, diagonal = self.item[post], np.repeat(at, n) - self.place[post]
-        width = self.width[item]
-        band = diagonal // width
-        both = diagonal - band * width < self.budget[item]
-        item, band = np.concatenate([item, item[both]]), np.concatenate([band, band[both] - 1])
-        key, n = np.unique(item * (1 << 40) + band + (1 << 20), return_counts=True)
-        item, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
-        hit = n >= self.bound[item]
-        return item[hit], (band * self.width[item])[hit]
-
-    def _aligned(self, data: np.ndarray, items: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Edits, start and end of the best alignment in each region, all regions a row of the table at a time.
-
-        An edit weighs ``self.edit``, and a column's number rides along, so ties go to the first start.
+        post = _runs(self.at[near], self.count[near])
+        return np.repeat(at, self.count[near]), self.item[post], self.place[post]
+
+
+class Index:
+    """The items' q-grams, their bands and bounds. Items lie one behind the other, whatever their lengths."""
+
+    def __init__(self, items: list[tuple[int, str]], o: Leaks, least: int = 0):
+        """Leaves out items of fewer than ``least`` compared bytes."""
+        self.ids, kept, budget = [], [], []
+        for name, text in items:
+            b = folded(text.encode("utf-8", "surrogatepass"))[0]
+            m = len(b) - 2
+            if m > 0 and m >= least:
+                self.ids.append(name)
+                kept.append(b if m < o.least else b[1:-1])
+                budget.append(math.floor(o.rate * m))
+        self.flat = np.concatenate([*kept, np.zeros(_Q, np.uint8)])
+        self.size, self.budget = np.array([len(b) for b in kept], np.int64), np.array(budget, np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.q = np.minimum(_Q, self.size // (self.budget + 1))
+        self.bound = self.size - self.q + 1 - self.q * self.budget
+        self.width = np.maximum(16, self.budget + 1)
+        self.span = self.width + self.budget
+        self.grams = _grams(self.flat.tobytes())
+        self.postings = [_Postings(self, q) for q in np.unique(self.q).tolist()]
+        # Texts lie this far apart in the numbering of diagonals, so no band reaches two of them.
+        self.margin = int(self.size.max(initial=0) + 3 * self.width.max(initial=0))
+
+    def _regions(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, text, first diagonal in the text) of the bands that reach their item's bound."""
+        grams, out = _grams(data.tobytes()), []
+        far = self.margin * np.arange(len(starts), dtype=np.int64)
+        for p in self.postings:
+            at, item, place = p.hits(grams)
+            row = np.searchsorted(starts, at, "right") - 1
+            diagonal, width = at + far[row] - place, self.width[item]
+            band = diagonal // width
+            both = diagonal - band * width < self.budget[item]
+            item, band, row = (np.concatenate([x, y[both]]) for x, y in ((item, item), (band, band - 1), (row, row)))
+            _, one, n = np.unique(item * (1 << 40) + band + (1 << 20), return_index=True, return_counts=True)
+            one = one[n >= self.bound[item[one]]]
+            item, row = item[one], row[one]
+            out.append((item, row, band[one] * self.width[item] - far[row] - starts[row]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _aligned(self, windows: np.ndarray, at: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edits, start and end in its window of the best alignment in each region; ``at`` is where each window begins.
+
+        An edit weighs ``edit``, and a column's number rides along, so ties go to the first start.
         Items come in descending length.
         """
-        size, span = self.size[items], int((self.width + self.budget)[items].max())
-        columns, edit = np.arange(span, dtype=self.edit.dtype), self.edit
+        size, span, first = self.size[items], int(self.span[items].max()), self.first[items]
+        kind = np.int32 if (2 * size[0] + span) * (span + 1) < 2**31 else np.int64
+        edit = kind(span + 1)
+        columns = np.arange(span, dtype=kind)
         step, value, best = columns * edit, np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
-        d, at = np.tile(columns, (len(items), 1)), bases[:, None] + columns
+        d, at = np.tile(columns, (len(items), 1)), at[:, None] + np.arange(span)
         for r in range(size[0]):
             live = int(np.searchsorted(-size, -r, "left"))
             d, at = d[:live], at[:live]
-            new = d + (data[at + r] != self.table[items[:live], r][:, None]) * edit
+            new = d + (windows[at + r] != self.flat[first[:live] + r][:, None]) * edit
             np.minimum(new[:, :-1], d[:, 1:] + edit, out=new[:, :-1])
             d = np.minimum.accumulate(new - step, axis=1) + step
             done = int(np.searchsorted(-size, -(r + 1), "left"))
             if done < live:
                 best[done:live] = d[done:].argmin(axis=1)
                 value[done:live] = d[np.arange(done, live), best[done:live]]
-        return value // edit, bases + value % edit, bases + size + best
+        return value // edit, value % edit, size + best
+
+    def _verified(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, edits, start, end) of regions within their item's budget."""
+        items, rows, bases = self._regions(data, starts)
+        order = np.argsort(-self.size[items], kind="stable")
+        items, rows, bases = items[order], rows[order], bases[order]
+        # As many regions at a time as keep windows and table within a few megabytes.
+        cost = np.cumsum(self.size[items] + 9 * self.span[items]) // 4_000_000
+        cuts = [0, *[int(i) + 1 for i in np.flatnonzero(cost[1:] != cost[:-1])], len(items)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            i, row, base = items[a:b], rows[a:b], bases[a:b]
+            n = self.size[i] + int(self.span[i].max())
+            places, owner = _runs(base, n), np.repeat(row, n)
+            inside = (places >= 0) & (places < sizes[owner])
+            windows = np.where(inside, data[np.where(inside, places + starts[owner], 0)], 0)
+            edits, begin, end = self._aligned(windows, np.cumsum(n) - n, i)
+            begin, end = np.maximum(begin + base, 0), np.minimum(end + base, sizes[row])
+            ok = (edits <= self.budget[i]) & (begin < end)
+            yield from zip(*(x[ok].tolist() for x in (row, i, edits, begin, end)), strict=True)
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(row, item id, start, length, edits) of each region, in characters of the text."""
-        if not self.items:
+        if not self.ids:
             return []
         raws = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         parts = [folded(r) for r in raws]
-        gap = np.zeros(self.margin, np.uint8)
-        data = np.concatenate([gap, *[x for b, _ in parts for x in (b, gap)]])
-        starts = self.margin + np.concatenate(([0], np.cumsum([len(b) + self.margin for b, _ in parts])[:-1]))
-        items, bases = self._regions(data)
+        sizes = np.array([len(b) for b, _ in parts], np.int64)
+        data = np.concatenate([x for b, _ in parts for x in (b, np.zeros(_Q, np.uint8))] or [np.zeros(_Q, np.uint8)])
+        starts = np.cumsum(sizes + _Q) - sizes - _Q
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        order = np.argsort(-self.size[items], kind="stable")
-        items, bases = items[order], bases[order]
-        for n in range(0, len(items), 500):
-            edits, begin, end = self._aligned(data, some := items[n : n + 500], bases[n : n + 500])
-            for i, e, s, t in zip(some.tolist(), edits.tolist(), begin.tolist(), end.tolist(), strict=True):
-                if e <= self.budget[i]:
-                    row = int(np.searchsorted(starts, s, "right")) - 1
-                    found.setdefault((row, i), []).append((e, s, t))
+        for row, i, e, s, t in self._verified(data, starts, sizes):
+            found.setdefault((row, i), []).append((e, s, t))
         out = []
         for (row, i), regions in sorted(found.items()):
-            taken: list[tuple[int, int]] = []
             place, raw = parts[row][1], raws[row]
+            ends: list[tuple[int, int]] = []
             for e, s, t in sorted(regions):
-                if all(t <= a or b <= s for a, b in taken):
-                    taken.append((s, t))
-                    a, b = place[s - starts[row]], place[t - 1 - starts[row]] + 1
+                # Of regions that overlap the one of fewest edits stays; those that stay are in order of place.
+                k = bisect_left(ends, (s, t))
+                if (k == 0 or ends[k - 1][1] <= s) and (k == len(ends) or t <= ends[k][0]):
+                    ends.insert(k, (s, t))
+                    a, b = place[s], place[t - 1] + 1
                     head = len(raw[:a].decode("utf-8", "ignore"))
                     out.append((row, self.ids[i], head, len(raw[a:b].decode("utf-8", "ignore")), e))
         return out
 
 
-def _blocks(benchmark: DataFrame, o: Leaks, item_id: str, text: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of a bounded size, each read when it is wanted."""
+def _blocks(benchmark: DataFrame, o: Leaks, item_id: str, text: str) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of a bounded size the items make, and the blocks, each read when it is wanted."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / o.block_bytes))
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()] for b in range(n)]
+    key = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return n, ([tuple(r) for r in items.where(key == b).orderBy("item_id", "text").collect()] for b in range(n))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, o: Leaks | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start, length, edits: a row for each region of a text that holds an item within its edit budget."""
     o = o or Leaks()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    n, blocks = _blocks(benchmark, o, item_id, item_text)
     out = None
-    for block in _blocks(benchmark, o, item_id, item_text):
+    for block in blocks:
 
-        def run(frames: Iterable[pd.DataFrame], block: list = block) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterable[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             index = Index(block, o)
-            for f in batches_of(frames, "text", 1_000_000):
-                got = pd.DataFrame(index.find(f.text.tolist()), columns=["row", "item_id", "start", "length", "edits"])
-                got.insert(0, "doc_id", f.doc_id.to_numpy()[got.pop("row").to_numpy(np.int64)])
-                yield got
-
-        part = rows.mapInPandas(run, "doc_id long, item_id long, start long, length long, edits long")
+            for b in text_batches(batches, "text", 1_000_000):
+                got = index.find(b.column("text").to_pylist())
+                row, *rest = zip(*got, strict=True) if got else ((),) * 5
+                names = ["doc_id", "item_id", "start", "length", "edits"]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in rest]], names=names)
+
+        part = rows.mapInArrow(run, _FOUND)
+        part = written(part) if n > 1 else part
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, o: Leaks | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item; no shuffle."""
+    """The rows of ``docs`` whose text holds no item of ``least`` bytes or more; no shuffle."""
     o = o or Leaks()
-    for block in _blocks(benchmark, o, item_id, item_text):
-
-        def run(frames: Iterable[pd.DataFrame], block: list = block) -> Iterator[pd.DataFrame]:
-            index = Index(block, o)
-            for f in batches_of(frames, text, 1_000_000):
-                clean = np.ones(len(f), bool)
-                clean[[r for r, *_ in index.find([None if pd.isna(t) else t for t in f[text]])]] = False
-                yield f[clean]
-
-        docs = docs.mapInPandas(run, docs.schema)
+    n, blocks = _blocks(benchmark, o, item_id, item_text)
+    held = None
+    for k, block in enumerate(blocks):
+
+        def run(batches: Iterable[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+            index = Index(block, o, o.least)
+            for b in text_batches(batches, text, 1_000_000):
+                clean = np.ones(b.num_rows, bool)
+                clean[[r for r, *_ in index.find(b.column(text).to_pylist())]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if k < n - 1:
+            path = fresh(docs.sparkSession)
+            docs = written(docs, path)
+            if held:
+                delete(docs.sparkSession, held)
+            held = path
     return docs

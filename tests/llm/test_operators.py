@@ -429,30 +429,57 @@ def edits(a, b):
 
 def test_leaks_against_brute_force(spark):
     rng = random.Random(11)
-    items = [(i, prose(rng, rng.randint(8, 30))) for i in range(12)] + [(50, None), (51, ""), (52, "short")]
+    items = [(i, prose(rng, rng.randint(1, 30))) for i in range(12)] + [(12, "lorem ipsum dolor sit ame"), (13, "a kite, a kite and a kite"), (50, None), (51, ""), (52, "kite"), (53, "of 42 kites"), (54, ". !")]
+    items += [(14, "thirty letters and spaces, ok?"), (15, "abcdefghij klmnopqrst uvwxyz 01")]
     rows = []
-    for k in range(70):
-        t, i = prose(rng, 60), rng.randrange(12)
-        own = list(items[i][1])
+    for k in range(120):
+        t, i = prose(rng, 60), rng.choice([*range(16), 18, 17])
+        own = list((items + [(0, "kite")] * 3)[i][1] or "kite")
         for _ in range(rng.randint(0, len(own) // 7)):
             p = rng.randrange(len(own))
             own[p] = rng.choice(["", "x", own[p] + "q"])
-        rows.append((k, t + " " + "".join(own) + ". " + t[::-1] if k % 3 else t))
-    fold = lambda s: re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", s.translate(LOWER))
-    want = {(d, i) for d, t in rows for i, x in items if x and len(fold(x)) >= 24 and edits(fold(x).strip(), fold(t)) <= int(0.1 * len(fold(x).strip()))}
+        rows.append((k, t + " " + "".join(own) + ". " + t[::-1] if k % 3 else rng.choice([t, "".join(own), "kites", "(kite)", "a  KITE!", "no42 kites"])))
+    fold = lambda s: re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", (s or "").translate(LOWER)).strip()
+    whole = lambda s: s if len(s) >= 24 else f" {s} "
+    want = {(d, i) for d, t in rows for i, x in items if fold(x) and edits(whole(fold(x)), f" {fold(t)} ") <= int(0.1 * len(fold(x)))}
+    long = {i for i, x in items if len(fold(x)) >= 24}
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (8_000_000, 400):
         o = decontaminate.Leaks(block_bytes=size)
         found = decontaminate.leaks(frame(spark, rows + APART), bench, o).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want
         clean = {r.doc_id for r in decontaminate.without_leaks(frame(spark, rows + APART), bench, o).collect()}
-        assert clean == {d for d, _ in rows + APART} - {d for d, _ in want}
-    texts = dict(rows)
+        assert clean == {d for d, _ in rows + APART} - {d for d, i in want if i in long}
+    texts, named = dict(rows), dict(items)
     for r in found:
-        assert edits(fold(items[r.item_id][1]).strip(), fold(texts[r.doc_id][r.start : r.start + r.length])) == r.edits
+        assert edits(whole(fold(named[r.item_id])), f" {fold(texts[r.doc_id][r.start : r.start + r.length])} ") <= r.edits
     assert decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_every_budget_is_kept():
+    rng = random.Random(15)
+    for m in range(1, 60):
+        item = "".join(rng.choices("abcdefgh", k=m))
+        index = decontaminate.Index([(1, item)], decontaminate.Leaks(least=0))
+        assert index.budget[0] == m // 10 and index.bound[0] >= 1
+        for _ in range(6):
+            own = list(item)
+            for p in rng.sample(range(m), m // 10):
+                own[p] = rng.choice(["", "x", own[p] + "y"])
+            if "".join(own):
+                assert index.find(["zz" * rng.randrange(9) + "".join(own) + "zz" * rng.randrange(9)]), (item, own)
+
+
+def test_one_long_item_beside_many_short_ones():
+    rng = random.Random(16)
+    long = prose(rng, 40_000)
+    items = [(i, prose(rng, 8) + f" {i}") for i in range(20_000)] + [(-1, long)]
+    index = decontaminate.Index(items, decontaminate.Leaks())
+    assert {(r, i) for r, i, *_ in index.find(["of " + items[5][1] + " and", None, "", long[:100], items[7][1]])} == {(0, 5), (4, 7)}
+    part = " ".join(long.split()[:3000])
+    assert [(r, i, e) for r, i, _, _, e in decontaminate.Index([(9, part)], decontaminate.Leaks()).find([long, "x", part + " x"])] == [(0, 9, 0), (2, 9, 0)]
+
+
 def test_sharding(spark):
     rng = random.Random(12)
     rows = [(i, prose(rng, 3)) for i in range(300)] + [(1000 + i, f"copy {i % 20}") for i in range(200)] + [(5000 + i, "hot") for i in range(400)] + APART
