@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlark.llm import decontaminate, language_id, minhash_dedup, packing, pii_surrogates
-from fieldlark.llm.common import delete, shared_dir, table
+from fieldlark.llm.common import delete, secret_key, shared_dir, table
 
 #: A document stays if its language's posterior is this many times that of a draw among the languages.
 LEAST_LIFT = 1.25
@@ -37,7 +37,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates in place of personal data; the number of characters is made anew."""
-    out = pii_surrogates.replace_entities(docs)
+    out = pii_surrogates.replace_entities(docs, pii_surrogates.Surrogates(secret_key(spark)))
     chars = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
 

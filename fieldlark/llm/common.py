@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 
 from fieldlark.operators.lineage import cut, shared_dir
 
-__all__ = ["ascii_lower", "batches_of", "cut", "delete", "fresh", "grouped", "groups", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
+__all__ = ["ascii_lower", "batches_of", "cut", "delete", "fresh", "grouped", "groups", "secret_key", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key in ``spark.fieldlark.surrogate.key``. Where it is unset the tables are taken for made-up ones, as those of the tests are."""
+    return spark.conf.get("spark.fieldlark.surrogate.key", "made-up tables hold no secrets")
+
+
 def fresh(spark: SparkSession) -> str:
     """A path in the shared folder that nothing has."""
     return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"

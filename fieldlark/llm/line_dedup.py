@@ -1,83 +1,64 @@
-"""Substring deduplication by hashing lines, sentences or paragraphs.
-
-A text is cut into units that tile it. A unit's digest is that of its words in lower
-case; the digests are grouped over the corpus, the occurrence of the lowest rank
-(doc_id, then place) stays, and the others are removed. The spans that were
-removed are returned in characters of the original text.
-
-A unit of fewer than ``least`` words is common by chance, so its digest is that of
-the unit before and itself together, and it is left alone if both are too short.
-In sentence mode a sentence is also cut before its last capitalised word where
-enough words follow, so that a passage put into the middle of a sentence begins a
-unit in each place where it stands.
-
-In sentence mode runs of ``run`` words are digested as well, wherever they begin: those
-whose hash is the least of ``window`` runs in succession, so that the choice depends on
-the words alone and falls alike in every text. Of each passage of run + window - 1 words
-or more that was seen before, all words go but at most window - 1 at either end; each
-word that goes for a run is part of ``run`` words that stand in the same order elsewhere.
-
-Only the first occurrence of a digest in a document is shuffled, with map-side
-combining, so a line that is in every text costs a row for each task. A text meets
-the digests that it must drop in one join on doc_id.
-
-Edge cases. Null and empty texts have no units and stay as they are. Rows that share
-a doc_id have one rank: a digest stays in each of them. Null doc_ids rank last,
-together. Other columns pass through; of ``n_units``, ``n_removed`` and ``removed``
-the result has its own.
+"""Substring deduplication by hashing lines or paragraphs, and runs of words inside them.
+
+A text is cut into units, lines or paragraphs. A unit's digest is that of its words with
+A-Z in lower case and one space between them; digests are grouped over the corpus, the
+occurrence of the lowest rank (doc_id, then row, then place) stays, and the others are
+removed. The spans that were removed are returned in characters of the original text.
+A unit of fewer than ``least`` words is common by chance and is left alone.
+
+A passage that stands inside longer lines has no unit of its own, so runs of ``run`` words
+are digested as well, wherever they begin: those whose hash is the least of ``window`` runs
+in succession. The choice depends on the words alone and falls alike in every text. Of each
+passage of run + window - 1 words or more that was seen before, all words go but at most
+window - 1 at either end; each word that goes is part of a unit or of ``run`` words that
+stand in the same order elsewhere. Where two equal runs of a text overlap, the first stays
+whole. ``run = 0`` leaves runs out.
+
+The rows are written once with a number, and so are the digests, with their places; what
+is to be cut from a text comes to it by that number, so no text is digested twice. The
+least occurrence of a digest is found with map-side combining and joined back, where Spark
+splits the occurrences of a line that is in every text over tasks.
+
+Words are what ASCII white space separates. Edge cases. Null and empty texts have no units
+and stay as they are. Rows that share a doc_id follow each other in an order of their own,
+and null doc_ids rank last, so of repeated rows one stays. Other columns pass through; of
+``n_units``, ``n_removed`` and ``removed`` the result has its own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlark.llm.common import batches_of
+from fieldlark.llm.common import text_batches, with_columns, written
 
-_ENDS = {
-    "line": re.compile(r"\n\s*"),
-    "paragraph": re.compile(r"\n\s*\n\s*"),
-    "sentence": re.compile(r"[.!?…。]+[\"'”’)\]]*\s+|\n\s*"),
-}
-_CAPITAL = re.compile(r"(?s).*\s(?=[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я])")
 _LAST = 2**63 - 1
-_WORD = re.compile(r"\S+")
-#: An odd number and its inverse modulo 2**64: powers of a rolling hash of words.
+#: What a byte is compared as: A-Z in lower case, white space as a space.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+_BREAKS = {"line": 1, "paragraph": 2}
+#: An odd number and its inverse modulo 2**64: powers of rolling hashes.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-#: At most this many hashes of words are held in a task.
-_CACHE = 200_000
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_SPAN = T.StructType().add("start", "long").add("end", "long")
 
 
 @dataclass(frozen=True)
 class Units:
-    unit: str = "sentence"
-    least: int = 5
+    unit: str = "line"
+    least: int = 15
     run: int = 25
     window: int = 16
 
 
-class _Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_hashes = _Hashes()
-
-
 def _powers(base: int, n: int, held: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
     if base not in held or len(held[base]) < n:
         steps = np.full(max(n, 4096), base, np.uint64)
@@ -86,70 +67,91 @@ def _powers(base: int, n: int, held: dict[int, np.ndarray] = {}) -> np.ndarray:
     return held[base][:n]
 
 
-def runs_of(text: str | None, o: Units) -> list[tuple[int, int, bytes]]:
-    """(first word, word behind the last, 16-byte digest) of the chosen runs, in order of place."""
-    words = text.lower().split() if text and o.unit == "sentence" else []
-    n = len(words) - o.run + 1
-    if n < 1:
-        return []
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) * _powers(_BASE, len(words)), out=sums[1:])
-    order = (sums[o.run :] - sums[:n]) * _powers(_INVERSE, n)
-    window = min(o.window, n)
-    least = np.lib.stride_tricks.sliding_window_view(order, window).argmin(axis=1) + np.arange(n - window + 1)
-    places = least[np.concatenate(([True], least[1:] != least[:-1]))].tolist()
-    # Words have no line feed, so a run's digest is never a unit's.
-    return [(i, i + o.run, xxhash.xxh3_128_digest(("\n" + " ".join(words[i : i + o.run])).encode("utf-8", "surrogatepass"))) for i in places]
-
-
-def units_of(text: str | None, o: Units) -> list[tuple[int, int, bytes | None]]:
-    """(start, end, 16-byte digest or null) of units that tile the text."""
-    if not text:
-        return []
-    cuts = [0, *[m.end() for m in _ENDS[o.unit].finditer(text)]]
-    if cuts[-1] < len(text):
-        cuts.append(len(text))
-    out: list[tuple[int, int, bytes | None]] = []
-    before: list[str] = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        spans, part = [(a, b)], text[a:b]
-        if o.unit == "sentence" and (m := _CAPITAL.match(part)) and part[: m.end()].strip() and len(part[m.end() :].split()) >= o.least:
-            spans = [(a, a + m.end()), (a + m.end(), b)]
-        for s, e in spans:
-            words = text[s:e].lower().split()
-            whole = words if len(words) >= o.least else before + words
-            digest = xxhash.xxh3_128_digest(" ".join(whole).encode("utf-8", "surrogatepass")) if words and len(whole) >= o.least else None
-            out.append((s, e, digest))
-            before = words
-    return out
-
-
-def _pair(digest: bytes) -> tuple[int, int]:
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-
-
-def _repeated(text: str | None, units: list, runs: list, drop: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans, in order, of units and runs that are in ``drop`` or stand earlier in the text; spans that overlap are joined."""
-    seen, spans = set(drop), []
-    for a, b, d in units:
-        if d is not None and (key := _pair(d)) in seen:
-            spans.append((a, b))
-        elif d is not None:
-            seen.add(key)
-    first: dict[bytes, int] = {}
-    gone = []
-    for i, j, d in runs:
-        if _pair(d) in drop:
-            gone.append((i, j))
-        elif (end := first.setdefault(d, j)) < j:
-            # The first of two runs that overlap stays whole.
-            gone.append((max(i, end), j))
-    if not gone:
-        return spans
-    starts = [*[m.start() for m in _WORD.finditer(text)], len(text)]
+def _rolling(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch first..end of ``values``, wherever it lies."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_BASE, len(values)), out=sums[1:])
+    return (sums[end] - sums[first]) * _powers(_INVERSE, len(values))[first]
+
+
+class Words:
+    """The words of several texts, which lie behind each other with a line feed between them."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = b"\n".join(texts) + b"\n"
+        data = np.frombuffer(raw.translate(_FOLD), np.uint8)
+        space = data == 32
+        ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        before = np.concatenate(([True], space[:-1]))
+        self.start, self.end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        #: Words of each text, and line feeds before each word.
+        self.bound = np.searchsorted(self.start, np.concatenate(([0], ends)))
+        self.feeds = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.uint8) == 10)))[self.start]
+        self.data = data
+        # The same words with one space between them.
+        keep = ~space | ~before
+        self.text = data[keep].tobytes()
+        place = np.cumsum(keep) - 1
+        self.at, self.to = place[self.start].tolist(), place[self.end].tolist()
+        # Characters before a byte, from the beginning of its text.
+        self.chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        self.first = np.concatenate(([0], ends[:-1]))
+        self.last = ends - 1
+
+    def digest(self, i: int, j: int, seed: int) -> bytes:
+        return xxhash.xxh3_128_digest(self.text[self.at[i] : self.to[j - 1]], seed)
+
+    def units(self, k: int, breaks: int) -> list[tuple[int, int]]:
+        """(first word, word behind the last) of the units of text ``k``."""
+        a, b = int(self.bound[k]), int(self.bound[k + 1])
+        cuts = (np.flatnonzero(np.diff(self.feeds[a:b]) >= breaks) + a + 1).tolist()
+        return list(zip([a, *cuts], [*cuts, b], strict=True)) if b > a else []
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word."""
+        h = _rolling(self.data.astype(np.uint64), self.start, self.end)
+        h = (h ^ (h >> np.uint64(30))) * _M1
+        h = (h ^ (h >> np.uint64(27))) * _M2
+        return h ^ (h >> np.uint64(31))
+
+    def runs(self, k: int, hashes: np.ndarray, o: Units) -> list[tuple[int, int]]:
+        """(first word, word behind the last) of the chosen runs of text ``k``."""
+        a, n = int(self.bound[k]), int(self.bound[k + 1] - self.bound[k]) - o.run + 1
+        if n < 1:
+            return []
+        order = _rolling(hashes[a : a + n + o.run - 1], np.arange(n), np.arange(n) + o.run)
+        window = min(o.window, n)
+        least = np.lib.stride_tricks.sliding_window_view(order, window).argmin(axis=1) + np.arange(n - window + 1)
+        places = least[np.concatenate(([True], least[1:] != least[:-1]))] + a
+        return [(i, i + o.run) for i in places.tolist()]
+
+
+def digests_of(texts: list[str | None], o: Units) -> tuple[list[int], list[tuple[int, int, int, bytes]]]:
+    """The number of units of each text, and (text, start, end, digest) of units and runs, in characters."""
+    w = Words([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts])
+    hashes = w.hashes() if o.run else None
+    counts, owner, spans = [], [], []
+    for k in range(len(texts)):
+        units = w.units(k, _BREAKS[o.unit])
+        counts.append(len(units))
+        own = [(i, j, 1) for i, j in units if j - i >= o.least]
+        own += [(i, j, 0) for i, j in w.runs(k, hashes, o)] if o.run else []
+        owner += [k] * len(own)
+        spans += own
+    if not spans:
+        return counts, []
+    k, (i, j, _) = np.array(owner), np.array(spans, np.int64).T
+    # A span ends where the next word of its text begins, or at the text's end.
+    ends = np.where(j < w.bound[k + 1], np.append(w.start, 0)[j], w.last[k])
+    zero = w.chars[w.first[k]]
+    start, end = (w.chars[w.start[i]] - zero).tolist(), (w.chars[ends] - zero).tolist()
+    return counts, list(zip(owner, start, end, [w.digest(*x) for x in spans], strict=True))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted([*spans, *[(starts[i], starts[j]) for i, j in gone]]):
-        if out and a < out[-1][1]:
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
@@ -159,38 +161,46 @@ def _repeated(text: str | None, units: list, runs: list, drop: set[tuple[int, in
 def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated units cut from ``text``, and n_units, n_removed, removed (start, end in the original)."""
     o = o or Units()
-    docs = docs.drop(*[c for c in ("n_units", "n_removed", "removed", "_drop") if c in docs.columns])
-
-    def digests(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches_of(frames, "text", 2_000_000):
-            rows = [
-                (name, *_pair(d))
-                for name, t in zip(f["rank"], f.text, strict=True)
-                for d in dict.fromkeys(d for _, _, d in (*units_of(t, o), *runs_of(t, o)) if d)
-            ]
-            yield pd.DataFrame(rows, columns=["rank", "h1", "h2"], dtype="int64")
-
-    rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("rank")
-    found = docs.select(rank, F.col(text).cast("string").alias("text")).where("text is not null").mapInPandas(digests, "rank long, h1 long, h2 long")
-    shared = found.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
-    drop = found.join(shared, ["h1", "h2"]).where("rank > first")
-    drop = drop.groupBy("rank").agg(F.collect_list(F.struct("h1", "h2")).alias("_drop")).hint("shuffle_hash")
-    joined = docs.withColumn("_rank", rank).join(drop, F.col("_rank") == drop["rank"], "left").drop("_rank", "rank")
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    new = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span))]
-    schema = T.StructType([*docs.schema.fields, *new])
-
-    def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches_of(frames, text, 2_000_000):
-            texts, counts, gone = [], [], []
-            for t, drops in zip(f[text], f["_drop"], strict=True):
-                t = None if pd.isna(t) else t
-                units = units_of(t, o)
-                seen = set() if drops is None else {(d["h1"], d["h2"]) for d in drops}
-                spans = _repeated(t, units, runs_of(t, o), seen)
-                texts.append("".join(t[a:b] for (_, a), (b, _) in zip([(0, 0), *spans], [*spans, (len(t), 0)], strict=True)) if spans else t)
-                counts.append(len(units))
-                gone.append([{"start": a, "end": b} for a, b in spans])
-            yield f.drop(columns="_drop").assign(**{text: texts, "n_units": counts, "n_removed": [len(g) for g in gone], "removed": gone})
-
-    return joined.mapInPandas(cut, schema)
+    kept = [c for c in docs.columns if c not in ("n_units", "n_removed", "removed")]
+    rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_rank")
+    docs = written(docs.select(*kept, rank, F.monotonically_increasing_id().alias("_row")))
+
+    def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, "text", 4_000_000):
+            counts, found = digests_of(b.column("text").to_pylist(), o)
+            # The text's own row, without a digest, carries the number of its units.
+            at, start, end, raw = zip(*[(k, n, -1, bytes(16)) for k, n in enumerate(counts)], *found, strict=True)
+            at, hashes = pa.array(at, pa.int32()), np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+            columns = [b.column("_rank").take(at), b.column("_row").take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["rank", "row", "start", "end", "h1", "h2"])
+
+    texts = docs.select("_rank", "_row", F.col(text).cast("string").alias("text")).where("text is not null")
+    found = written(texts.mapInArrow(digests, "rank long, row long, start long, end long, h1 long, h2 long"))
+    units = found.where("end >= 0")
+    first = F.min(F.struct("rank", "row", "start", "end")).alias("first")
+    shared = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), first).where("n > 1").select("h1", "h2", "first")
+    again = units.join(shared, ["h1", "h2"]).where("struct(rank, row, start) > struct(first.rank, first.row, first.start)")
+    # Of two equal runs that overlap the first stays whole.
+    start = F.when(F.col("row") == F.col("first.row"), F.greatest("start", "first.end")).otherwise(F.col("start"))
+    gone = again.select("row", F.struct(start.alias("start"), "end").alias("span")).where("span.start < span.end")
+    each = gone.unionAll(found.where("end < 0").select("row", F.struct("start", "end").alias("span")))
+    each = each.groupBy("row").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("row", "_row").hint("shuffle_hash")
+    joined = docs.drop("_rank").join(each, "_row", "left").drop("_row")
+    new = T.StructType().add("n_units", "long").add("n_removed", "long").add("removed", T.ArrayType(_SPAN))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, text, 4_000_000):
+            texts, counts, gone = b.column(text).to_pylist(), [], []
+            for k, found in enumerate(b.column("_spans").to_pylist()):
+                found = [(s["start"], s["end"]) for s in found or ()]
+                spans = _merged([s for s in found if s[1] >= 0])
+                if spans:
+                    t = texts[k]
+                    texts[k] = "".join(t[i:j] for (_, i), (j, _) in zip([(0, 0), *spans], [*spans, (len(t), 0)], strict=True))
+                counts.append(sum(n for n, end in found if end < 0))
+                gone.append([{"start": i, "end": j} for i, j in spans])
+            columns = {text: pa.array(texts, b.schema.field(text).type), "n_units": pa.array(counts, pa.int64()), "n_removed": pc.cast(pc.list_value_length(pa.array(gone, span)), pa.int64()), "removed": pa.array(gone, span)}
+            yield with_columns(b, columns, drop=("_spans",))
+
+    return joined.mapInArrow(cut, T.StructType([*joined.drop("_spans").schema.fields, *new.fields]))

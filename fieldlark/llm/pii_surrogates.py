@@ -4,17 +4,26 @@ Detected entities are replaced by values of the same kind: same length, script,
 letter case and punctuation, card numbers with the same Luhn status, IBANs with
 right check digits, addresses from reserved ranges and domains, names of the same
 script and gender; a shortened IPv6 address becomes one of the range for documentation
-and may be longer, and a secret's letters without case become Latin ones. A surrogate depends on a secret key and the entity alone, so an
-entity is the same surrogate in all documents, a family name with and without a
-given name, and a domain in all its addresses.
-
-The distinct entities of the corpus are checked: where two share a surrogate, or
-a surrogate is itself an entity, the later one draws again, until none does. Then
-different entities stay different. Only documents with a candidate are shuffled,
-and of those the entities apart from the texts.
-
-Edge cases. Null and empty texts stay as they are. Rows that share a doc_id get the
-same replacements. Null doc_ids are allowed. Other columns pass through; of columns
+and may be longer, and a secret's letters without case become Latin ones. A surrogate
+depends on a secret key and the entity alone, so an entity is the same surrogate in all
+documents, a family name with and without a given name, and a domain, whatever its case,
+in all its addresses.
+
+A name's gender is that of its form of address. Behind a form that tells none (Dr) a given
+name has the gender that it has elsewhere in the text, else the one it has most often in
+the corpus, so that one person keeps one name. Names are found behind a form of address
+only, up to three words of them, and then wherever these words stand in the same text.
+
+The distinct entities of the corpus are checked, of all kinds together: where two share a
+surrogate, or a surrogate is itself an entity, the later one draws again, until none does.
+Then different entities stay different. Where a form has too few values, as an address of
+one letter has, later draws are longer by more and more characters, so an end comes always.
+
+The texts are searched once and written with what was found; only what was found is
+shuffled apart from them, and only texts with an entity meet their replacements in a join.
+
+Edge cases. Null and empty texts stay as they are. Rows are told apart by a number of their
+own, so null and repeated doc_ids are like any other. Other columns pass through; of columns
 named ``n_entities`` or ``kinds`` in the input, the result has its own.
 """
 
@@ -25,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import cut
+from fieldlark.llm.common import cut, written
 
 # Forms of address with the gender that they tell.
 FORMS = {
@@ -45,15 +54,15 @@ ENDINGS = {
     "greek": {"m": "νος", "f": "νια", "n": "νι", "family": "δης"},
 }
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
-_NAME = r"\p{Lu}[\p{L}'’]{1,30}(?:-\p{Lu}[\p{L}'’]{1,30})?"
+_NAME = r"\p{Lu}[\p{L}'’]++(?:-\p{Lu}[\p{L}'’]++)*+"
 _FORM = "|".join(f for fs in FORMS.values() for f in fs)
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: What stands before a secret's value.
 _SECRET = r"(?i:password|passwd|pwd|secret|api_?key)[\"']?[ \t]*+[=:][ \t]*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kinds in the order in which they are tried.
+#: Kinds in the order in which they are tried. A domain has at most 127 labels by its standard.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "ip6": rf"(?<![:\w])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![:\w]|\.\d)",
     # A quoted value goes up to the quote that closes it, a bare one up to a space.
@@ -80,10 +89,10 @@ _HINT = rf"[0-9@]|{_SECRET}|[A-Fa-f]{{32}}|(?<!\p{{L}})(?:{_FORM})\.? \p{{Lu}}"
 
 @dataclass(frozen=True)
 class Surrogates:
-    """``key`` is the secret; the default is for tests only. ``rounds`` bounds the draws against collisions."""
+    """``key`` is the secret that surrogates depend on. Draws up to ``plain`` keep to an entity's form, later ones are longer."""
 
-    key: str = field(default="not a secret", repr=False)
-    rounds: int = 12
+    key: str = field(repr=False)
+    plain: int = 6
 
 
 def _kind(match: Column) -> Column:
@@ -99,13 +108,15 @@ def _gender(match: Column) -> Column:
 
 
 def _units(match: Column) -> Column:
-    """What is looked up for a match: (kind, entity). The words of a name, the value of a secret, else the match."""
+    """What is looked up for a match: (kind, entity). The words of a name, an address and its domain, the value of a secret, else the match."""
     kind = _kind(match)
     words = F.slice(F.split(match, " "), 2, 3)
     unit = lambda k, e: F.struct(k.alias("kind"), e.alias("entity"))
     names = F.transform(words, lambda w, i: unit(F.when(i == F.size(words) - 1, F.lit("family")).otherwise(_gender(match)), w))
     value = F.regexp_extract(match, rf"(?s)^{_SECRET}[\"']?(.*?)[\"']?\z", 1)
-    return F.when(kind == "name", names).when(kind == "secret", F.array(unit(kind, value))).otherwise(F.array(unit(kind, match)))
+    domain = F.lower(F.regexp_extract(match, "@(.*)$", 1))
+    address = F.array(unit(kind, F.concat(F.regexp_extract(match, "^([^@]*@)", 1), domain)), unit(F.lit("domain"), domain))
+    return F.when(kind == "name", names).when(kind == "email", address).when(kind == "secret", F.array(unit(kind, value))).otherwise(F.array(unit(kind, match)))
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -185,16 +196,17 @@ def _name(kind: Column, entity: Column, digest: Column, attempt: Column) -> Colu
     return F.when((F.length(entity) > 1) & (F.upper(entity) == entity), F.upper(low)).otherwise(title)
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """A value like ``entity`` that depends on the key, the entity and the draw."""
-    d = _digest(key, kind, entity, attempt.cast("string"))
-    domain = F.lower(F.regexp_extract(entity, "@(.*)$", 1))
-    own = _digest(key, F.lit("domain"), domain, F.lit(""))
-    zone = F.regexp_extract(domain, r"\.(com|net|org)$", 0)
-    host = F.concat(F.regexp_replace(_shaped(F.regexp_extract(domain, r"^([^.]+)", 1), own), "^-|-$", "x"), F.lit(".example"), zone)
+def surrogate(kind: Column, entity: Column, attempt: Column, o: Surrogates) -> Column:
+    """A value like ``entity`` that depends on the key, the entity and the draw. That of an address has the old domain still."""
+    d = _digest(o.key, kind, entity, attempt.cast("string"))
+    more = lambda after: F.translate(F.substring(d, F.lit(65), F.greatest(F.lit(0), attempt - after)), "0123456789", "ghijklmnop")
+    zone = F.regexp_extract(entity, r"\.(com|net|org)$", 0)
+    labels = F.transform(F.split(F.regexp_extract(entity, r"^(.*)\.[^.]*$", 1), r"\."), lambda x: F.regexp_replace(x, "^-|-$", "x"))
+    host = F.concat(_shaped(F.array_join(labels, "."), d), more(1), F.lit(".example"), zone)
     octet = lambda i: _byte(d, F.lit(i)).cast("string")
-    return (
-        F.when(kind == "email", F.concat(_shaped(F.regexp_extract(entity, "^([^@]*)@", 1), d), F.lit("@"), host))
+    drawn = (
+        F.when(kind == "email", F.concat(_shaped(F.regexp_extract(entity, "^([^@]*)@", 1), d), more(1), F.regexp_extract(entity, "(@.*)$", 1)))
+        .when(kind == "domain", host)
         .when(kind == "ip", F.concat_ws(".", (240 + F.pmod(_byte(d, F.lit(0)), F.lit(15))).cast("string"), octet(1), octet(2), octet(3)))
         .when((kind == "ip6") & entity.contains("::"), F.concat(F.lit("2001:db8::"), F.concat_ws(":", *[F.substring(d, 4 * i + 1, 4) for i in range(4)])))
         .when(kind.isin("ip6", "token"), _shaped(entity, d, "abcdef"))
@@ -207,47 +219,65 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         .when(kind.isin("m", "f", "n", "family"), _name(kind, entity, d, attempt))
         .otherwise(_shaped(entity, d))
     )
+    longer = (attempt > o.plain) & ~kind.isin("email", "domain", "m", "f", "n", "family")
+    return F.when(longer, F.concat(drawn, F.when(kind == "token", "").otherwise("-"), F.substring(d, F.lit(65), attempt))).otherwise(drawn)
+
 
+def assigned(entities: DataFrame, o: Surrogates) -> DataFrame:
+    """(kind, entity, surrogate) for distinct (kind, entity), no two surrogates alike and none an entity.
 
-def assigned(entities: DataFrame, o: Surrogates | None = None) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (kind, entity), no two surrogates of a kind alike and none an entity."""
-    o = o or Surrogates()
+    Each round of draws has fewer entities than the one before that need another, and from some draw on
+    the values for them grow by a factor with each round.
+    """
     e = entities.withColumn("attempt", F.lit(0))
-    for _ in range(o.rounds):
-        e = cut(e.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), o.key)))
-        order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity")
-        taken = e.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("taken"))
-        e = e.withColumn("again", F.row_number().over(order) > 1).join(taken, ["kind", "surrogate"], "left")
+    taken = cut(entities.select(F.col("entity").alias("surrogate")).distinct())
+    while True:
+        e = cut(e.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), o)))
+        order = Window.partitionBy("surrogate").orderBy("attempt", "kind", "entity")
+        e = e.withColumn("again", F.row_number().over(order) > 1).join(taken.withColumn("taken", F.lit(True)), "surrogate", "left")
         e = cut(e.select("kind", "entity", "attempt", "surrogate", (F.col("again") | F.col("taken").isNotNull()).alias("again")))
         if e.where("again").isEmpty():
             return e.select("kind", "entity", "surrogate")
         e = e.select("kind", "entity", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
-    raise RuntimeError(f"surrogates still collide after {o.rounds} draws")
 
 
-def replace_entities(docs: DataFrame, o: Surrogates | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _gendered(units: DataFrame) -> DataFrame:
+    """``role`` of each unit: its kind, but of a given name without a gender the one of its text, else of the corpus."""
+    told = units.where("kind in ('m', 'f')")
+    here = told.groupBy("_row", "entity").agg(F.min("kind").alias("least"), F.max("kind").alias("most")).where("least = most").select("_row", "entity", F.col("least").alias("here"))
+    there = told.groupBy("entity").agg(F.sum(F.when(F.col("kind") == "m", 1).otherwise(-1)).alias("more"))
+    there = there.select("entity", F.when(F.col("more") > 0, "m").when(F.col("more") < 0, "f").alias("there"))
+    open_ = units.where("kind = 'n'").join(here, ["_row", "entity"], "left").join(there, "entity", "left")
+    found = open_.select("_row", "kind", "entity", F.coalesce("here", "there", F.lit("n")).alias("role"))
+    return units.where("kind != 'n'").withColumn("role", F.col("kind")).unionByName(found)
+
+
+def replace_entities(docs: DataFrame, o: Surrogates, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, and with ``n_entities`` and ``kinds`` (in order of place)."""
-    o = o or Surrogates()
     docs = docs.drop(*[c for c in ("n_entities", "kinds") if c in docs.columns])
     hint = F.coalesce(F.col(text).rlike(_HINT), F.lit(False))
-    none = [F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds")]
-    clean = docs.where(~hint).select("*", *none)
-    some = docs.where(hint).withColumn("_found", F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
-    units = some.where(F.size("_found") > 0).select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(F.flatten(F.transform("_found", _units)))).alias("u"))
-    units = units.select("_id", "u.kind", "u.entity")
-    known = assigned(units.select("kind", "entity").distinct(), o)
+    found = F.when(hint, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    docs = docs.select("*", found.alias("_found"), F.monotonically_increasing_id().alias("_row"))
+    names = [c for c in docs.columns if c not in ("_found", "_row")]
+    docs = written(docs)
+    clean = docs.where(F.size("_found") == 0).select(*names, F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    some = docs.where(F.size("_found") > 0)
+    units = some.select("_row", F.explode(F.array_distinct(F.flatten(F.transform("_found", _units)))).alias("u")).select("_row", "u.kind", "u.entity")
+    units = _gendered(cut(units))
+    known = assigned(units.select(F.col("role").alias("kind"), "entity").distinct(), o)
     label = lambda k, e: F.concat(k, F.lit(":"), e)
-    pairs = units.join(known, ["kind", "entity"]).select("_id", F.struct(label(F.col("kind"), F.col("entity")).alias("unit"), "surrogate").alias("pair"))
-    maps = pairs.groupBy("_id").agg(F.map_from_entries(F.collect_set("pair")).alias("_map"))
-    maps = maps.select(F.col("_id").alias("_key"), "_map").hint("shuffle_hash")
-    joined = some.join(maps, some[doc_id].eqNullSafe(maps["_key"]), "left")
+    pairs = units.join(known.withColumnRenamed("kind", "role"), ["role", "entity"]).select("_row", F.struct(label(F.col("kind"), F.col("entity")).alias("unit"), "surrogate").alias("pair"))
+    maps = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_set("pair")).alias("_map")).hint("shuffle_hash")
+    joined = some.join(maps, "_row")
 
     def replaced(m: Column) -> Column:
         new = F.transform(_units(m), lambda u: F.element_at("_map", label(u["kind"], u["entity"])))
+        address = F.concat(F.regexp_extract(new[0], "^([^@]*@)", 1), new[1])
         head, tail = F.regexp_extract(m, rf"^({_SECRET}[\"']?)", 1), F.regexp_extract(m, r"([\"']?)\z", 1)
         kind = _kind(m)
         return (
             F.when(kind == "name", F.concat(F.regexp_extract(m, r"^(\S+ )", 1), F.array_join(new, " ")))
+            .when(kind == "email", address)
             .when(kind == "secret", F.concat(head, new[0], tail))
             .otherwise(new[0])
         )
@@ -261,7 +291,7 @@ def replace_entities(docs: DataFrame, o: Surrogates | None = None, doc_id: str =
     )
     whole = F.when(F.size(words) > 0, F.aggregate(words, whole, follow)).otherwise(whole)
     out = joined.select(
-        *[F.when(F.size("_found") > 0, whole).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.when(F.size("_found") > 0, whole).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
         F.size("_found").alias("n_entities"),
         F.transform("_found", _kind).alias("kinds"),
     )

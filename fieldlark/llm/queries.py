@@ -20,7 +20,7 @@ from fieldlark.llm import (
     pii_surrogates,
     sharding,
 )
-from fieldlark.llm.common import table
+from fieldlark.llm.common import secret_key, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_surrogates.Surrogates(secret_key(spark)))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

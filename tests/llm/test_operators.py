@@ -201,7 +201,7 @@ def test_surrogates(spark):
     assert five.startswith("password=") and "AKIA" in five
     again = {r.doc_id: r.text for r in pii_surrogates.replace_entities(frame(spark, rows[:2]), o).collect()}
     assert again[1] == one
-    assert len(pii_surrogates.replace_entities(frame(spark, EDGES)).collect()) == len(EDGES)
+    assert len(pii_surrogates.replace_entities(frame(spark, EDGES), o).collect()) == len(EDGES)
 
 
 FORMS = [
@@ -224,7 +224,7 @@ FORMS = [
 def test_forms_of_secrets_and_addresses(spark):
     others = [("std::add a::b :: x; dead::fade", []), ("no password here: it is 'short'", []), ('pwd="ab" and "something else"', []), ("at ::ffff:10.2.3.4 now", ["ip"])]
     texts = ["".join(f[:3]) for f in FORMS] + [t for t, _ in others]
-    got = {r.doc_id: r for r in pii_surrogates.replace_entities(frame(spark, list(enumerate(texts)))).collect()}
+    got = {r.doc_id: r for r in pii_surrogates.replace_entities(frame(spark, list(enumerate(texts))), pii_surrogates.Surrogates("k")).collect()}
     for i, (before, value, after, kind) in enumerate(FORMS):
         r = got[i]
         assert r.kinds == [kind] and r.text.startswith(before) and r.text.endswith(after), (before, r.kinds)
@@ -236,57 +236,125 @@ def test_forms_of_secrets_and_addresses(spark):
 
 def test_surrogates_stay_distinct(spark):
     e = spark.range(3000).select(F.lit("family").alias("kind"), F.concat(F.lit("Name"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("entity"))
-    got = pii_surrogates.assigned(e).collect()
+    got = pii_surrogates.assigned(e, pii_surrogates.Surrogates("k")).collect()
     assert len(got) == len({r.surrogate for r in got}) == 3000 and not {r.surrogate for r in got} & {r.entity for r in got}
 
 
-def test_line_dedup_against_brute_force(spark):
-    rng = random.Random(7)
-    pool = [prose(rng, rng.choice([2, 6, 60])).capitalize() + "." for _ in range(40)]
-    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 6)))) for i in range(50)] + APART
-    o = line_dedup.Units(unit="line", least=5)
-    got = {r.doc_id: r for r in line_dedup.deduplicated(frame(spark, rows).withColumn("removed", F.lit(1)), o).collect()}
-    seen = set()
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept, spans, at, before = [], [], 0, []
-        for part in re.findall(r"[^\n]*\n\s*|[^\n]+\Z", t or ""):
-            w = part.lower().split()
-            key = tuple(w if len(w) >= 5 else before + w)
-            if w and len(key) >= 5 and key in seen:
-                spans.append((at, at + len(part)))
+def test_surrogates_of_many_short_addresses(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"to {c}@mail.com or {c}@{c}.com") for i, c in enumerate(letters)] + [(100 + i, f"at {i % 10}.co.uk, x@{letters[i % 26]}{letters[i // 26]}.de") for i in range(60)]
+    got = {r.doc_id: r.text for r in pii_surrogates.replace_entities(frame(spark, rows), pii_surrogates.Surrogates("k")).collect()}
+    mail = r"[\w.]+@[\w.]+\w"
+    pairs = {(a, b) for i, t in rows for a, b in zip(re.findall(mail, t), re.findall(mail, got[i]), strict=True)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == 26 * 2 + 60
+    assert not {a for a, _ in pairs} & {b for _, b in pairs} and all(".example" in b for _, b in pairs)
+    hosts = {(a.split("@")[1], b.split("@")[1]) for a, b in pairs}
+    assert len(hosts) == len({a for a, _ in hosts}) == len({b for _, b in hosts})
+
+
+def test_surrogates_against_brute_force(spark):
+    """Texts made of known entities: each maps to one surrogate everywhere, two never to the same, and the rest stays."""
+    rng = random.Random(17)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    pool = {
+        "email": [f"{prose(rng, 1)[:rng.randint(1, 90)]}{rng.choice(['', '.x'])}@{rng.choice(['Mail.com', 'alpha.co.uk', 'beta.co.uk', 'a.b.org'])}" for _ in range(30)] + ["l" * 200 + "@mail.com"],
+        "ip": [f"{rng.randint(1, 220)}.{rng.randint(0, 255)}.0.{k}" for k in range(30)],
+        "ssn": [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(30)],
+        "phone": [f"+1 ({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(30)],
+        "token": ["".join(rng.choices("0123456789abcdef", k=40)) + "0a" for _ in range(20)],
+        "name": [f"{rng.choice(['Mr.', 'Dr.', 'Prof.'])} {a} {b}" for a in ("John", "Juan", "Jo" + "h" * 60) for b in ("Smith", "Weiß", "O’Neil")],
+    }
+    rows, plan = [], {}
+    for i in range(150):
+        parts = [(k, rng.choice(pool[k])) for k in rng.choices(list(pool), k=rng.randint(0, 6))]
+        words = [prose(rng, 2) for _ in range(len(parts) + 1)]
+        rows.append((rng.choice([i, None, 5]), " | ".join([words[0], *[x for (_, e), w in zip(parts, words[1:], strict=True) for x in (e, w)]])))
+        plan[i] = parts
+    df = frame(spark, rows).withColumn("at", F.monotonically_increasing_id())
+    got = sorted(pii_surrogates.replace_entities(df, pii_surrogates.Surrogates("k")).collect(), key=lambda r: r["at"])
+    seen = defaultdict(set)
+    for k, parts in plan.items():
+        old, new = rows[k][1].split(" | "), got[k].text.split(" | ")
+        assert old[::2] == new[::2] and got[k].kinds == [kind for kind, _ in parts] and got[k].n_entities == len(parts)
+        for (kind, entity), s in zip(parts, new[1::2], strict=True):
+            assert s != entity and (kind == "email" or kind == "name" or [c.isdigit() for c in s] == [c.isdigit() for c in entity] or kind in ("ip", "token"))
+            if kind == "name":
+                for a, b in zip(entity.split()[1:], s.split()[1:], strict=True):
+                    seen[a].add(b)
             else:
-                kept.append(part)
-                if w and len(key) >= 5:
-                    seen.add(key)
-            at, before = at + len(part), w
-        r = got[i]
-        assert (r.text or "") == "".join(kept) and [tuple(s) for s in r.removed] == spans
+                local, _, domain = entity.partition("@")
+                seen[f"{local}@{domain.lower()}" if domain else entity].add(s)
+    assert all(len(v) == 1 for v in seen.values()), {k: v for k, v in seen.items() if len(v) > 1}
+    assert len({min(v) for v in seen.values()}) == len(seen) and not {min(v) for v in seen.values()} & set(seen)
+    again = pii_surrogates.replace_entities(df, pii_surrogates.Surrogates("another"))
+    assert again.where("n_entities > 0").join(spark.createDataFrame([(r["at"], r.text) for r in got], "at long, old string"), "at").where("text = old").isEmpty()
+
+
+def test_coreference_does_not_hang_on_the_form_of_address(spark):
+    rows = [(1, "Mr. John Smith. Dr. John Smith spoke; Smith left."), (2, "Prof. John Smith came."), (3, "Ms. Robin Jones and Dr. Robin Jones."), (4, "Mr. Robin Jones, too."), (5, "Dr. Kim Jones"), *APART, APART[4]]
+    got = defaultdict(list)
+    for r in pii_surrogates.replace_entities(frame(spark, rows), pii_surrogates.Surrogates("k")).collect():
+        got[r.doc_id].append(r.text)
+    one = re.match(r"Mr\. (\w+) (\w+)\. Dr\. (\w+) (\w+) spoke; (\w+) left\.", got[1][0])
+    assert one[1] == one[3] and one[2] == one[4] == one[5] and one[1].endswith("ldo") and f"Prof. {one[1]} {one[2]} came." in got[2]
+    three = re.match(r"Ms\. (\w+) (\w+) and Dr\. (\w+) (\w+)\.", got[3][0])
+    assert three[1] == three[3] and three[1].endswith("lia") and three[1] not in got[4][0] and three[2] in got[4][0]
+    assert len(got) == len({i for i, _ in rows}) and pii_surrogates.replace_entities(frame(spark, rows).limit(0), pii_surrogates.Surrogates("k")).count() == 0
 
 
-def test_passage_inside_lines(spark):
-    rng = random.Random(8)
-    passage = "The " + prose(rng, 30) + ". " + prose(rng, 30).capitalize() + "."
-    rows = [(i, f"{prose(rng, 20)} {passage} {prose(rng, 20)}.") for i in range(5)]
-    got = {r.doc_id: r.text for r in line_dedup.deduplicated(frame(spark, rows)).collect()}
-    assert got[0] == rows[0][1] and all(passage[:100] not in got[i] and passage[-100:] not in got[i] for i in range(1, 5))
-    assert all(rows[i][1][:60] in got[i] and rows[i][1][-60:] in got[i] for i in range(5))
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_units_against_brute_force(spark, unit):
+    rng = random.Random(7)
+    pool = [prose(rng, rng.choice([2, 6, 60])).capitalize() + "." for _ in range(40)] + ["", " ", "a  b\tc d e", "A b c D e"]
+    rows = [(rng.choice([i, i, 7, None]), rng.choice(["", "\n", " "]) + "".join(rng.choice(pool) + rng.choice(["\n", "\n\n", " \n\t\n"]) for _ in range(rng.randint(1, 6)))) for i in range(80)] + APART
+    rows += [rows[5], rows[5], (None, None), (None, rows[3][1])]
+    o = line_dedup.Units(unit=unit, least=5, run=0)
+    df = frame(spark, rows).withColumn("removed", F.lit(1)).withColumn("at", F.monotonically_increasing_id())
+    got = sorted(line_dedup.deduplicated(df, o).collect(), key=lambda r: r["at"])
+    seen = set()
+    for k, (i, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        words = [(m.start(), m.group()) for m in re.finditer(r"[^\t-\r ]+", t or "")]
+        cuts = [n for n, (at, _) in enumerate(words) if n and t[words[n - 1][0] : at].count("\n") >= (1 if unit == "line" else 2)]
+        edges, spans = [0, *cuts, len(words)] if words else [], []
+        for x, y in zip(edges, edges[1:], strict=False):
+            key = tuple(w.translate(LOWER) for _, w in words[x:y])
+            if len(key) >= 5 and key in seen:
+                spans.append((words[x][0], words[y][0] if y < len(words) else len(t)))
+            elif len(key) >= 5:
+                seen.add(key)
+        joined = [list(s) for s in spans[:1]]
+        for s in spans[1:]:
+            if s[0] == joined[-1][1]:
+                joined[-1][1] = s[1]
+            else:
+                joined.append(list(s))
+        r = got[k]
+        assert r.doc_id == i and [list(s) for s in r.removed] == joined and r.n_removed == len(joined) and r.n_units == max(0, len(edges) - 1)
+        assert r.text == (None if t is None else "".join(t[x:y] for (_, x), (y, _) in itertools.pairwise([(0, 0), *joined, (len(t), 0)])))
+    assert line_dedup.deduplicated(df.limit(0), o).count() == 0
 
 
-def test_passage_whose_borders_fall_inside_sentences(spark):
+def test_passages_inside_lines_against_brute_force(spark):
     rng = random.Random(9)
     passages = [prose(rng, n) for n in (50, 60, 200)]
     passages[1] = passages[1].replace(" ", " Then ", 1)
-    rows = [(i, f"{prose(rng, 20)} {passages[i % 3]} {prose(rng, 15)} Later {prose(rng, 20)}") for i in range(12)]
+    rows = [(i, f"{prose(rng, 20)} {passages[i % 3]} {prose(rng, 15)}\nLater {prose(rng, 20)}") for i in range(12)]
     rows += [(12, f"{rows[0][1]} and {passages[2]} {prose(rng, 9)}"), (13, " ".join(["over and"] * 100)), (14, " ".join(SYLLABLES * 2)), (None, rows[1][1])]
     o = line_dedup.Units()
     got = {r.doc_id: r for r in line_dedup.deduplicated(frame(spark, rows)).collect()}
-    seen = set()
+    seen, lines = set(), set()
     for i, t in rows:
         words = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", t)]
         runs = [tuple(w for _, w in words[k : k + o.run]) for k in range(len(words) - o.run + 1)]
         old = {k + n for k, r in enumerate(runs) if r in seen or r in runs[:k] for n in range(o.run)}
+        whole = set()
+        for m in re.finditer(r"[^\n]+", t):
+            key = tuple(m.group().lower().split())
+            if key in lines and len(key) >= o.least:
+                whole |= {k for k, (at, _) in enumerate(words) if m.start() <= at < m.end()}
+            lines.add(key)
         gone = {k for k, (at, _) in enumerate(words) if any(s.start <= at < s.end for s in got[i].removed)}
-        assert gone <= old
+        assert whole <= gone <= old | whole
         for _, g in itertools.groupby(sorted(old), key=lambda k, c=itertools.count(): k - next(c)):
             part = list(g)
             if i != 13 and len(part) >= o.run + o.window - 1:
@@ -295,6 +363,7 @@ def test_passage_whose_borders_fall_inside_sentences(spark):
         spans = [(0, 0), *[tuple(s) for s in got[i].removed], (len(t), 0)]
         assert got[i].text == "".join(t[a:b] for (_, a), (b, _) in itertools.pairwise(spans)) and got[i].n_removed == len(got[i].removed)
     assert not any(got[i].removed for i in (0, 1, 2, 14)) and all(got[i].removed for i in (3, 4, 5, 12, 13, None))
+    assert got[13].text.split()[: o.run] == rows[13][1].split()[: o.run]
 
 
 def test_packing(spark):
@@ -366,13 +435,13 @@ def test_encoder_equals_tokenizer():
 def test_long_ids_beside_null_stay_exact(spark):
     words = " ".join(SYLLABLES * 4)
     rows = [(BIG + 1, words + " one\nApache License"), (None, words + " two"), (BIG + 3, "gnu general public license " + words[::-1]), (BIG + 5, None)]
-    df = spark.createDataFrame([(i, t, None if k == 1 else BIG + k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    df = spark.createDataFrame([(i, t, None if k == 1 else BIG + k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long").withColumn("lang", F.lit("en"))
     ids, chars = {i for i, _ in rows}, {BIG, None, BIG + 2, BIG + 3}
     assert {r.doc_id for r in packing.pack(df).collect()} == ids
     assert {r.doc_id for r in minhash_dedup.near_duplicates(df).collect()} == ids
     assert {r.doc_id for r in license_scan.scan(df).collect()} == ids
     assert {r.doc_id for r in language_id.predict(df).collect()} == ids
-    for out in (line_dedup.deduplicated(df), line_dedup.deduplicated(df, line_dedup.Units(unit="sentence")), pii_surrogates.replace_entities(df, pii_surrogates.Surrogates(key="k"))):
+    for out in (line_dedup.deduplicated(df), line_dedup.deduplicated(df, line_dedup.Units(unit="paragraph")), pii_surrogates.replace_entities(df, pii_surrogates.Surrogates(key="k"))):
         got = out.collect()
         assert {r.doc_id for r in got} == ids and {r.n_chars for r in got} == chars
     bench = spark.createDataFrame([(BIG + 7, " ".join(SYLLABLES) + " ba ke"), (None, "zz yy xx ww vv uu tt ss rr")], "item_id long, text string")
