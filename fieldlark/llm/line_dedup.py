@@ -15,9 +15,11 @@ stand in the same order elsewhere. Where two equal runs of a text overlap, the f
 whole. ``run = 0`` leaves runs out.
 
 The rows are written once with a number, and so are the digests, with their places; what
-is to be cut from a text comes to it by that number, so no text is digested twice. The
-least occurrence of a digest is found with map-side combining and joined back, where Spark
-splits the occurrences of a line that is in every text over tasks.
+is to be cut from a text comes to it by that number, so no text is digested twice. Digests
+are shuffled once, for a window over the occurrences of each. One that may have more than
+``support`` of all occurrences is hot: a counting sketch names all of these and at most
+1 / support, so the first occurrence of each is found with map-side combining and broadcast,
+and no occurrence of a line that is in every text is shuffled.
 
 Words are what ASCII white space separates. Edge cases. Null and empty texts have no units
 and stay as they are. Rows that share a doc_id follow each other in an order of their own,
@@ -34,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +59,7 @@ class Units:
     least: int = 15
     run: int = 25
     window: int = 16
+    support: float = 0.001
 
 
 def _powers(base: int, n: int, held: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
@@ -168,22 +171,28 @@ def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id"
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, "text", 4_000_000):
             counts, found = digests_of(b.column("text").to_pylist(), o)
-            # The text's own row, without a digest, carries the number of its units.
-            at, start, end, raw = zip(*[(k, n, -1, bytes(16)) for k, n in enumerate(counts)], *found, strict=True)
+            # A span is start * 2**32 + end; the text's own row, without a digest, carries the number of its units, inverted.
+            at, span, raw = zip(*[(k, ~n, bytes(16)) for k, n in enumerate(counts)], *[(k, a << 32 | b, d) for k, a, b, d in found], strict=True)
             at, hashes = pa.array(at, pa.int32()), np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            columns = [b.column("_rank").take(at), b.column("_row").take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["rank", "row", "start", "end", "h1", "h2"])
+            columns = [b.column("_rank").take(at), b.column("_row").take(at), pa.array(span, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["rank", "row", "span", "h1", "h2"])
 
     texts = docs.select("_rank", "_row", F.col(text).cast("string").alias("text")).where("text is not null")
-    found = written(texts.mapInArrow(digests, "rank long, row long, start long, end long, h1 long, h2 long"))
-    units = found.where("end >= 0")
-    first = F.min(F.struct("rank", "row", "start", "end")).alias("first")
-    shared = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), first).where("n > 1").select("h1", "h2", "first")
-    again = units.join(shared, ["h1", "h2"]).where("struct(rank, row, start) > struct(first.rank, first.row, first.start)")
+    found = written(texts.mapInArrow(digests, "rank long, row long, span long, h1 long, h2 long"))
+    units = found.where("span >= 0")
+    # At most 1 / o.support numbers come to the driver.
+    hot = units.stat.freqItems(["h1"], o.support).first()[0] or []
+    place = F.struct("rank", "row", "span")
+    order = Window.partitionBy("h1", "h2").orderBy("rank", "row", "span")
+    cold = units.where(~F.col("h1").isin(hot)).withColumn("first", F.first(place).over(order))
+    warm = units.where(F.col("h1").isin(hot))
+    warm = warm.join(F.broadcast(warm.groupBy("h1", "h2").agg(F.min(place).alias("first"))), ["h1", "h2"])
+    again = cold.unionByName(warm).where("row != first.row or span != first.span")
     # Of two equal runs that overlap the first stays whole.
-    start = F.when(F.col("row") == F.col("first.row"), F.greatest("start", "first.end")).otherwise(F.col("start"))
-    gone = again.select("row", F.struct(start.alias("start"), "end").alias("span")).where("span.start < span.end")
-    each = gone.unionAll(found.where("end < 0").select("row", F.struct("start", "end").alias("span")))
+    start, end = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
+    later: Column = F.when(F.col("row") == F.col("first.row"), F.greatest(start("span"), end("first.span"))).otherwise(start("span"))
+    gone = again.where(later < end("span")).select("row", (F.shiftleft(later, 32) + end("span")).alias("span"))
+    each = gone.unionAll(found.where("span < 0").select("row", "span"))
     each = each.groupBy("row").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("row", "_row").hint("shuffle_hash")
     joined = docs.drop("_rank").join(each, "_row", "left").drop("_row")
     new = T.StructType().add("n_units", "long").add("n_removed", "long").add("removed", T.ArrayType(_SPAN))
@@ -193,12 +202,12 @@ def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id"
         for b in text_batches(batches, text, 4_000_000):
             texts, counts, gone = b.column(text).to_pylist(), [], []
             for k, found in enumerate(b.column("_spans").to_pylist()):
-                found = [(s["start"], s["end"]) for s in found or ()]
-                spans = _merged([s for s in found if s[1] >= 0])
+                found = found or []
+                spans = _merged([(s >> 32, s & 0xFFFFFFFF) for s in found if s >= 0])
                 if spans:
                     t = texts[k]
                     texts[k] = "".join(t[i:j] for (_, i), (j, _) in zip([(0, 0), *spans], [*spans, (len(t), 0)], strict=True))
-                counts.append(sum(n for n, end in found if end < 0))
+                counts.append(sum(~s for s in found if s < 0))
                 gone.append([{"start": i, "end": j} for i, j in spans])
             columns = {text: pa.array(texts, b.schema.field(text).type), "n_units": pa.array(counts, pa.int64()), "n_removed": pc.cast(pc.list_value_length(pa.array(gone, span)), pa.int64()), "removed": pa.array(gone, span)}
             yield with_columns(b, columns, drop=("_spans",))
