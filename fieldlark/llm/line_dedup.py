@@ -16,6 +16,7 @@ whole. ``run = 0`` leaves runs out.
 
 The rows are written once with a number, and so are the digests, with their places; what
 is to be cut from a text comes to it by that number, so no text is digested twice. Digests
+have 96 bits (of 10**13 about one pair in 10**3 corpora is alike by chance). They
 are shuffled once, for a window over the occurrences of each. One that may have more than
 ``support`` of all occurrences is hot: a counting sketch names all of these and at most
 1 / support, so the first occurrence of each is found with map-side combining and broadcast,
@@ -173,12 +174,12 @@ def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id"
             counts, found = digests_of(b.column("text").to_pylist(), o)
             # A span is start * 2**32 + end; the text's own row, without a digest, carries the number of its units, inverted.
             at, span, raw = zip(*[(k, ~n, bytes(16)) for k, n in enumerate(counts)], *[(k, a << 32 | b, d) for k, a, b, d in found], strict=True)
-            at, hashes = pa.array(at, pa.int32()), np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            columns = [b.column("_rank").take(at), b.column("_row").take(at), pa.array(span, pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
+            at, hashes = pa.array(at, pa.int32()), np.frombuffer(b"".join(raw), np.int64)
+            columns = [b.column("_rank").take(at), b.column("_row").take(at), pa.array(span, pa.int64()), pa.array(hashes[::2]), pa.array(hashes.view(np.int32)[2::4])]
             yield pa.RecordBatch.from_arrays(columns, names=["rank", "row", "span", "h1", "h2"])
 
     texts = docs.select("_rank", "_row", F.col(text).cast("string").alias("text")).where("text is not null")
-    found = written(texts.mapInArrow(digests, "rank long, row long, span long, h1 long, h2 long"))
+    found = written(texts.mapInArrow(digests, "rank long, row long, span long, h1 long, h2 int"))
     units = found.where("span >= 0")
     # At most 1 / o.support numbers come to the driver.
     hot = units.stat.freqItems(["h1"], o.support).first()[0] or []

@@ -229,10 +229,12 @@ def assigned(entities: DataFrame, o: Surrogates) -> DataFrame:
     Each round of draws has fewer entities than the one before that need another, and from some draw on
     the values for them grow by a factor with each round.
     """
+    # Entities are small rows that cost much, so they are dealt out by number and not by size.
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = entities.withColumn("attempt", F.lit(0))
     taken = cut(entities.select(F.col("entity").alias("surrogate")).distinct())
     while True:
-        e = cut(e.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), o)))
+        e = cut(e.repartition(tasks, "kind", "entity").withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), o)))
         order = Window.partitionBy("surrogate").orderBy("attempt", "kind", "entity")
         e = e.withColumn("again", F.row_number().over(order) > 1).join(taken.withColumn("taken", F.lit(True)), "surrogate", "left")
         e = cut(e.select("kind", "entity", "attempt", "surrogate", (F.col("again") | F.col("taken").isNotNull()).alias("again")))
