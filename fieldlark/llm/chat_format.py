@@ -98,7 +98,7 @@ def chat_format(turns: DataFrame, o: ChatFormat | None = None) -> DataFrame:
     # A later text part begins with a backslash, so that no control string comes about where two parts meet.
     raw = escaped(F.coalesce("part.text", F.lit("")))
     later = (F.col("at") > 0) & (raw != "") & ~raw.startswith("\\")
-    body = F.when(is_text, F.when(later, F.concat(F.lit("\\"), raw)).otherwise(raw)).otherwise(F.concat(F.lit("<|"), F.col("part.type"), F.lit(":"), F.col("number").cast("string"), F.lit("|>")))
+    body = F.when(is_text, F.when(later, F.concat(F.lit("\\"), raw)).otherwise(raw)).otherwise(F.concat(F.lit("<|"), escaped(F.coalesce("part.type", F.lit(""))), F.lit(":"), F.col("number").cast("string"), F.lit("|>")))
     head = F.when(F.col("at") == 0, F.concat(F.lit(TURN), F.regexp_replace(escaped(F.col("role")), "\n", "\\\\\n"), F.lit("\n"))).otherwise("")
     tail = F.when(F.col("at") >= F.col("n") - 1, END).otherwise("")
     rows = rows.select("conv_id", "turn", "role", "row", "at", "n", "part", "number", "turn_number", head.alias("head"), body.alias("body"), tail.alias("tail"), is_text.alias("is_text"))

@@ -48,7 +48,7 @@ class RotationCodes:
 
     def bands(self, rows: int) -> tuple[int, int]:
         """Bits in a band and number of bands for so many rows."""
-        bits = min(24, max(16, math.ceil(math.log2(max(rows, 1)))))
+        bits = max(16, math.ceil(math.log2(max(rows, 1))))
         p = (1 - math.acos(self.threshold) / math.pi) ** bits
         return bits, math.ceil(math.log(self.miss) / math.log(1 - p))
 
@@ -96,7 +96,7 @@ def encode(vectors: DataFrame, p: RotationCodes, rows: int) -> DataFrame:
                 g, x, raw = g[ok], x[ok], [np.asarray(v, np.float64).tobytes() for v, k in zip(g.embedding, ok, strict=True) if k]
                 signs = [x @ rotation(dim, p.seed + 1 + i) >= 0 for i in range(math.ceil(n * bits / dim))]
                 signs = np.concatenate(signs, axis=1)[:, : n * bits].reshape(len(x), n, bits) if len(x) else np.zeros((0, n, bits), bool)
-                keys = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2) + (np.arange(n, dtype=np.int64) << 32)
+                keys = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
                 digest = [np.frombuffer(hashlib.blake2b(r, digest_size=16).digest(), np.int64) for r in raw]
                 yield pd.DataFrame(
                     {
@@ -128,7 +128,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _links(classes: DataFrame, p: RotationCodes) -> DataFrame:
     """(rep, links, root): in a tile, the vectors linked to rep and the least member of its component there."""
     members = classes.select("rep", F.posexplode("bands").alias("band", "code"), "label", "dim")
-    members = members.select("rep", "band", F.xxhash64("label", "dim", "code").alias("key"))
+    members = members.select("rep", "band", F.xxhash64("label", "dim", "band", "code").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     found = members.join(sizes, "key").join(classes.select("rep", "label", "dim", "weight", "vector", "factor", "bands"), "rep")
     found = tiles(found, F.col("rep"), F.ceil(F.col("size") / p.bucket_rows))
