@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,23 +21,44 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 
 
-def _begins_with(stem: str) -> Callable[[Column], Column]:
-    return lambda w: F.startswith(w, F.lit(stem))
+def _neighbours(first: str, second: str | None) -> Callable[[Column], Column]:
+    return lambda e: (e["w"] == first) & (e["next"].isNotNull() if second is None else F.coalesce(e["next"] == second, F.lit(False)))
 
 
-def question_class(text: Column, phrases: Sequence[tuple[str, str]], stems: Sequence[tuple[str, str]]) -> Column:
-    """The class of the first phrase in the text, else of the first stem that begins a word, else ``other`` (F2)."""
-    low = F.lower(text)
-    own = words(low)
-    out = F.lit("other")
-    for stem, name in reversed(stems):
-        begins = F.filter(own, _begins_with(stem))
-        out = F.when(F.size(begins) > 0, name).otherwise(out)
-    for phrase, name in reversed(phrases):
-        out = F.when(F.contains(low, F.lit(phrase)), name).otherwise(out)
+def question_class(
+    text: Column, pairs: Sequence[tuple[str, str | None, str]], stems: Mapping[str, Sequence[str]], exact: Mapping[str, Sequence[str]] | None = None, skip: Sequence[str] = (), other: str = "other"
+) -> Column:
+    """The class of a question (F2).
+
+    First of the first pair of neighbouring words that the text has (a second word of None is any word); else the
+    first class, in the order of ``stems``, one of whose stems begins a word or whose exact words occur, unless a
+    word of ``skip`` follows, which makes it indefinite; else ``other``.
+    """
+    own = words(F.lower(text))
+    each = F.transform(own, lambda w, i: F.struct(w.alias("w"), F.get(own, i + 1).alias("next")))
+
+    def of_class(name: str) -> Column:
+        def fits(e: Column) -> Column:
+            hit = e["w"].isin(*(exact or {}).get(name, []))
+            for s in stems[name]:
+                hit = hit | F.startswith(e["w"], F.lit(s))
+            return hit & ~F.coalesce(e["next"].isin(*skip), F.lit(False))
+
+        return F.exists(each, fits)
+
+    out = F.lit(other)
+    for name in reversed(stems):
+        out = F.when(of_class(name), name).otherwise(out)
+    for a, b, name in reversed(pairs):
+        out = F.when(F.exists(each, _neighbours(a, b)), name).otherwise(out)
     return out
 
 
+def has_word(text: Column, ambiguous: Sequence[str]) -> Column:
+    """Whether one of the words stands in the text by itself."""
+    return F.coalesce(F.arrays_overlap(words(text), F.array(*map(F.lit, ambiguous))), F.lit(False))
+
+
 def has_digit(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\d"), F.lit(False))
 
@@ -48,13 +69,13 @@ def in_script(text: Column, first: str = "0D80", last: str = "0DFF") -> Column:
 
 
 def small_talk(text: Column, phrases: dict[str, Sequence[str]] | None = None, most: int = 5) -> Column:
-    """The kind of a short text that equals or begins with a phrase, else null."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    """The kind of a short text that begins with a phrase, its punctuation ?!., taken out, else null."""
+    t = F.trim(F.regexp_replace(F.translate(F.lower(text), "?!.,", ""), r"\s+", " "))
     out = F.lit(None).cast("string")
     for kind, own in reversed((phrases or SMALL_TALK).items()):
-        hit = t.isin(*own)
+        hit = F.lit(False)
         for p in own:
-            hit = hit | F.startswith(t, F.lit(p + " "))
+            hit = hit | F.startswith(t, F.lit(p))
         out = F.when(hit & (F.size(F.split(t, " ")) <= most), kind).otherwise(out)
     return out
 
@@ -79,7 +100,7 @@ def section_references(text: Column, levels: int = 2) -> Column:
 
 def bullets(text: Column) -> Column:
     """Lines of a bulleted text, without bullets and empty lines."""
-    return F.array_join(F.filter(F.transform(F.split(text, "•"), F.trim), lambda s: s != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "•"), lambda s: F.trim(s)), lambda s: s != ""), "\n")
 
 
 def dehyphenated(text: Column) -> Column:

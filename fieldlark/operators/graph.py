@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlark.operators.lineage import cut
+from fieldlark.operators.components import connected_components
 
 
 def pixel_edges(pixels: DataFrame, image: str = "image") -> DataFrame:
@@ -21,18 +21,9 @@ def pixel_edges(pixels: DataFrame, image: str = "image") -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable by edges (a, b) (G2). Labels and the labels' labels fall until none changes."""
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "id")
-        new = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("new"), F.col("component").alias("old"))
-        jump = labels.select(F.col("id").alias("new"), F.col("component").alias("next"))
-        new = cut(new.join(jump, "new", "left").select("id", F.least("new", F.coalesce("next", "new")).alias("component"), "old"))
-        done = new.where("component != old").isEmpty()
-        labels = new.select("id", "component")
-        if done:
-            return labels
+    """(id, component): the least id reachable by edges (a, b)."""
+    found = connected_components(edges, "a", "b")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def large_components(labels: DataFrame, least: int) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.operators.numbering import dealt
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``weight`` = n / (classes * rows of the class) (M4)."""
@@ -35,22 +37,19 @@ def leaking_groups(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
 def repeated_folds(df: DataFrame, key: str, label: str, repeats: int = 5, folds: int = 10) -> DataFrame:
     """(key, repeat, fold), stratified by the label."""
     each = df.select(key, label, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    w = Window.partitionBy("repeat", label).orderBy(F.xxhash64(key, "repeat"), key)
-    return each.select(key, "repeat", F.pmod(F.row_number().over(w) - 1, F.lit(folds)).alias("fold"))
+    each = dealt(each, ["repeat", label], F.xxhash64(key, "repeat"), key)
+    return each.select(key, "repeat", F.pmod(F.col("_n") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
 def undersampled(df: DataFrame, label: str, key: str) -> DataFrame:
     """As many rows of each class as the smallest has."""
     least = df.groupBy(label).agg(F.count("*").alias("_c")).agg(F.min("_c").alias("_least"))
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return df.withColumn("_n", F.row_number().over(w)).crossJoin(F.broadcast(least)).where("_n <= _least").drop("_n", "_least")
+    return dealt(df, [label], F.xxhash64(key), key).crossJoin(F.broadcast(least)).where("_n <= _least").drop("_n", "_size", "_least")
 
 
 def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float) -> DataFrame:
     """The first share of each class in a fixed random order."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    size = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("_n", F.row_number().over(w)).withColumn("_s", size).where(F.col("_n") <= F.ceil(F.col("_s") * fraction)).drop("_n", "_s")
+    return dealt(df, [label], F.xxhash64(key), key).where(F.col("_n") <= F.ceil(F.col("_size") * fraction)).drop("_n", "_size")
 
 
 def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, model: str = "lr", weight: str | None = None, seed: int = 0) -> Pipeline:
@@ -114,6 +113,27 @@ def left_out(df: DataFrame, group: str) -> DataFrame:
     return df.join(own.select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("fold")), group)
 
 
+def neighbours_vote(neighbours: DataFrame, labels: DataFrame, k: int = 15) -> DataFrame:
+    """(query_id, prediction, share): the class with the most weight among the k nearest, each by 1 / distance (M3).
+
+    ``neighbours`` is (query_id, item_id, distance, rank), such as :func:`retrieval.top_k` gives, ``labels`` (item_id,
+    label). Neighbours at no distance outvote all others; ties go to the lesser class.
+    """
+    near = neighbours.where(F.col("rank") <= k).join(labels, "item_id")
+    w = Window.partitionBy("query_id")
+    equal = F.max((F.col("distance") <= 0).cast("int")).over(w)
+    near = near.withColumn("_w", F.when(equal == 1, (F.col("distance") <= 0).cast("double")).otherwise(1 / F.col("distance")))
+    votes = near.groupBy("query_id", "label").agg(F.sum("_w").alias("_v"))
+    best = F.min_by(F.struct("label", "_v"), F.struct(-F.col("_v"), F.col("label")))
+    return votes.groupBy("query_id").agg(best.alias("_b"), F.sum("_v").alias("_t")).select("query_id", F.col("_b.label").alias("prediction"), (F.col("_b._v") / F.col("_t")).alias("share"))
+
+
+def majority(train: DataFrame, label: str) -> DataFrame:
+    """(prediction, share): the most frequent class, the least at a tie; the model without features (M3)."""
+    n = train.groupBy(label).agg(F.count("*").alias("_c"))
+    return n.agg(F.min_by(label, F.struct(-F.col("_c"), F.col(label))).alias("prediction"), (F.max("_c") / F.sum("_c")).alias("share"))
+
+
 def time_forward(df: DataFrame, week: str, cut: int) -> tuple[DataFrame, DataFrame]:
     """Weeks up to the cut, and those after it (M5)."""
     return df.where(F.col(week) <= cut), df.where(F.col(week) > cut)

@@ -183,3 +183,57 @@ def field_accuracy(read: DataFrame, key: str, fields: Sequence[str]) -> DataFram
     cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v"), F.col(f"{f}_true").cast("string").alias("t")) for f in fields]
     each = read.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     return each.groupBy("field").agg(F.count_if(F.col("v") == F.col("t")).alias("correct"), F.count_if(F.col("v").isNull()).alias("blank"), F.count_if(F.col("v") != F.col("t")).alias("wrong"))
+
+
+def study_window(df: DataFrame, day: str, start: str, days_after: int = 0) -> DataFrame:
+    """(start, end) of a study: a fixed start and the newest day of the records."""
+    return df.agg(F.lit(start).cast("date").alias("start"), F.date_add(F.max(F.to_date(day)), days_after).alias("end"))
+
+
+def fixes_of_plants(fixes: DataFrame, plants: DataFrame, slot: str = "slot_id") -> DataFrame:
+    """Fixes with the plant that stands on their slot; fixes without one are left out."""
+    return fixes.join(plants.select(slot, "plant_id"), slot)
+
+
+def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, n) of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def sample_rows(df: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """The first k rows by key, for a look at a table."""
+    return df.orderBy(key).limit(k)
+
+
+def checked_join(features: DataFrame, labels: DataFrame, metadata: DataFrame, key: str, label: str, classes: int) -> DataFrame:
+    """Features with their label and metadata (J17); an error unless each feature row has one partner on either side and all classes occur.
+
+    The counts come from one aggregate over keys before the join that gives the rows.
+    """
+    n = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = n(features, "_f").join(n(labels, "_l"), key, "left").join(n(metadata, "_m"), key, "left")
+    odd = both.where("_f != 1 or coalesce(_l, 0) != 1 or coalesce(_m, 0) != 1").agg(F.count("*").alias("odd"))
+    seen = labels.join(features.select(key), key, "left_semi").agg(F.count_distinct(label).alias("seen"))
+    check = odd.crossJoin(seen)
+    ok = F.when((F.col("odd") == 0) & (F.col("seen") == classes), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("rows without one partner: "), F.col("odd").cast("string"), F.lit(", classes: "), F.col("seen").cast("string")))
+    )
+    out = features.join(labels, key).join(metadata, key)
+    return out.crossJoin(F.broadcast(check.select(ok.alias("_ok")))).where("_ok").drop("_ok")
+
+
+def first_complete(sources: Sequence[DataFrame], least: int = 1) -> DataFrame:
+    """The first source that can be read and has enough rows, such as a server's, a snapshot's, a base table's."""
+    from pyspark.errors import PySparkException
+
+    for df in sources[:-1]:
+        try:
+            if df.limit(least).count() >= least:
+                return df
+        except PySparkException:
+            continue
+    return sources[-1]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.functions.text import dot, windows
+from fieldlark.operators.lineage import cut
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 250, overlap: int = 50) -> DataFrame:
@@ -21,22 +22,25 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 250, overlap: int =
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, number, title, body) of numbered sections (V2). A heading counts only if it continues the outline.
 
-    The outline is a state that runs through one document, so a document is a row of a task.
+    A top-level number follows the last one, one of two levels is under the current top level, one of three under
+    the current second level. The outline is a state that runs through one document, so a document is a row of a task.
     """
 
     def parse(text_: str | None) -> list[tuple[str, str, str]]:
         import re
 
         out: list[list[str]] = []
-        last: tuple[int, ...] = ()
+        top, second = 0, None
         for line in (text_ or "").split("\n"):
-            m = re.match(r"^\s*(\d+(?:\.\d+)*)\.?\s+(\S.*)$", line)
-            number = tuple(map(int, m[1].split("."))) if m else ()
-            follows = bool(m) and (
-                (not last and number == (1,)) or number == (*last, 1) or any(number == (*last[:i], last[i] + 1) for i in range(len(last)))
-            )
-            if follows:
-                last = number
+            m = re.match(r"^(\d{1,2}(?:\.\d{1,2}){0,2})\.?\s+([A-Z].{2,70})$", line.strip())
+            levels = m[1].split(".") if m else []
+            if len(levels) == 1 and int(levels[0]) == top + 1:
+                top, second = top + 1, None
+            elif len(levels) == 2 and int(levels[0]) == top:
+                second = m[1]
+            elif not (len(levels) == 3 and ".".join(levels[:2]) == second):
+                m = None
+            if m:
                 out.append([m[1], m[2].strip(), ""])
             elif out and line.strip():
                 out[-1][2] += line.strip() + " "
@@ -56,7 +60,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_block: int = 4_096
 
     ``queries`` and ``items`` are (id, vector). Queries come in blocks of a bounded size; each block is held by
     the tasks, which multiply it with their items and keep k for each query, so what is shuffled is k rows for
-    a query and task. The number of blocks follows the number of queries.
+    a query and task. The number of blocks follows the number of queries; where there are several, what one
+    has found is written before the next is read.
     """
     n = queries.count()
     blocks = -(-n // query_block) or 1
@@ -77,9 +82,11 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_block: int = 4_096
                 )
 
         part = items.select("id", "vector").mapInPandas(best, "query_id long, item_id long, score double")
+        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
+        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        part = cut(part) if blocks > 1 else part
         out = part if out is None else out.unionAll(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out
 
 
 def rank_shift(ranked: DataFrame, first: int, last: int) -> DataFrame:
@@ -123,14 +130,19 @@ def score_gaps(ranked: DataFrame) -> DataFrame:
 
 
 def late_interaction(query_tokens: DataFrame, passage_tokens: DataFrame) -> DataFrame:
-    """(query_id, mean_max, min_max, p25_max): best match of each query token over its passages' tokens (V6).
+    """Best match of each query token over the tokens of its passages (V6).
 
-    ``query_tokens`` is (query_id, token, vector), ``passage_tokens`` (query_id, passage_id, vector) of the passages
-    retrieved for the query, a few hundred tokens each.
+    mean_max, min_max and p25_max are over all passages, ``single`` is the mean of the best single passage, ``rank1``
+    that of the first, ``delta`` what all together have over the best one. ``query_tokens`` is (query_id, token,
+    vector), ``passage_tokens`` (query_id, rank, vector) of the passages retrieved for the query, a few hundred tokens each.
     """
     both = query_tokens.withColumnRenamed("vector", "q").join(passage_tokens.withColumnRenamed("vector", "p"), "query_id")
-    best = both.groupBy("query_id", "token").agg(F.max(dot(F.col("q"), F.col("p"))).alias("m"))
-    return best.groupBy("query_id").agg(F.avg("m").alias("mean_max"), F.min("m").alias("min_max"), F.percentile("m", F.lit(0.25)).alias("p25_max"))
+    each = both.groupBy("query_id", "token", "rank").agg(F.max(dot(F.col("q"), F.col("p"))).alias("m"))
+    means = each.groupBy("query_id", "rank").agg(F.avg("m").alias("mean"))
+    means = means.groupBy("query_id").agg(F.max("mean").alias("single"), F.max(F.when(F.col("rank") == 1, F.col("mean"))).alias("rank1"))
+    best = each.groupBy("query_id", "token").agg(F.max("m").alias("m"))
+    best = best.groupBy("query_id").agg(F.avg("m").alias("mean_max"), F.min("m").alias("min_max"), F.percentile("m", F.lit(0.25)).alias("p25_max"))
+    return best.join(means, "query_id").withColumn("delta", F.col("mean_max") - F.col("single"))
 
 
 def sparse_weighted(matches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ statistics over all rows are aggregates joined back.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -50,13 +51,24 @@ def weekly_growth(df: DataFrame, key: str, day: str, tie: str, height: str) -> D
 
 
 def ewm(df: DataFrame, key: str, order: Sequence[str], column: str, alpha: float = 0.4, name: str = "ewm") -> DataFrame:
-    """Exponentially weighted mean of an entity's values so far, weights adding up to one."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
-    mean = F.aggregate(
-        F.col("_h"), start, lambda a, x: F.struct((a["n"] * (1 - alpha) + x).alias("n"), (a["d"] * (1 - alpha) + 1).alias("d")), lambda a: a["n"] / a["d"]
-    )
-    return df.withColumn("_h", F.collect_list(F.col(column).cast("double")).over(w)).withColumn(name, mean).drop("_h")
+    """Exponentially weighted mean of an entity's values so far, weights adding up to one (W5); a null leaves its place empty.
+
+    Running sums of values scaled up by their place, in blocks of places short enough for a double. What the
+    block before has added up to is carried over; blocks before that one weigh under 1e-200.
+    """
+    q = 1 - alpha
+    size = max(1, int(200 / -math.log10(q))) if q > 0 else 1
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    df = df.withColumn("_i", place).withColumns({"_b": F.floor(F.col("_i") / size), "_p": F.pmod("_i", F.lit(size))})
+    block = Window.partitionBy(key, "_b")
+    so_far, before = block.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key).orderBy("_b").rangeBetween(-1, -1)
+    v, up = F.col(column).cast("double"), F.pow(F.lit(1 / q if q > 0 else 1.0), F.col("_p"))
+    parts = {"_n": v * up, "_d": F.when(v.isNotNull(), up)}
+    df = df.withColumns(parts)
+    df = df.withColumns({f"{c}_run": F.sum(c).over(so_far) for c in parts} | {f"{c}_all": F.sum(c).over(block) for c in parts})
+    df = df.withColumns({f"{c}_old": F.max(f"{c}_all").over(before) for c in parts})
+    total = lambda c: F.coalesce(F.col(f"{c}_run"), F.lit(0.0)) + F.coalesce(F.col(f"{c}_old"), F.lit(0.0)) * F.pow(F.lit(q), F.lit(size))
+    return df.withColumn(name, total("_n") / F.nullif(total("_d"), F.lit(0.0))).drop("_i", "_b", "_p", *[f"{c}{x}" for c in parts for x in ("", "_run", "_all", "_old")])
 
 
 def self_deviation(df: DataFrame, key: str, order: Sequence[str], column: str, history: int = 4, least: int = 2, name: str = "self_dev") -> DataFrame:
@@ -154,7 +166,7 @@ def _depths(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 0, clip: float = 20.0) -> DataFrame:
+def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 300, sample: int = 256, seed: int = 0, clip: float = 20.0) -> DataFrame:
     """``iso_score`` of an isolation forest (M1): trees grow as tasks on samples of a bounded size, rows are scored in batches.
 
     Each tree sees ``sample`` rows on average, as the method asks; missing features are 0.

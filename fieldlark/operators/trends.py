@@ -14,11 +14,12 @@ UNHEALTHY, RISING, AREA_GOOD, AREA_POOR, AREA_EMPTY = 0.6, 0.05, 0.8, 0.5, 0.8
 
 
 def entity_trend(df: DataFrame, key: str, order: Sequence[str], score: str) -> DataFrame:
-    """(key, n, slope, unhealthy_share, trend): least-squares slope over the visit number."""
+    """(key, n, slope, unhealthy_share, trend): least-squares slope over the visit number to three places, 0 for one visit."""
     at = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("double")
     own = df.where(F.col(score).isNotNull()).withColumn("_x", at).groupBy(key).agg(
         F.count("*").alias("n"), F.regr_slope(F.col(score).cast("double"), F.col("_x")).alias("slope"), F.avg((F.col(score) < UNHEALTHY).cast("double")).alias("unhealthy_share")
     )
+    own = own.withColumn("slope", F.coalesce(F.round("slope", 3), F.lit(0.0)))
     trend = F.when(F.col("n") < 2, "insufficient").when(F.col("slope") > RISING, "improving").when(F.col("slope") < -RISING, "declining").otherwise("stable")
     return own.withColumn("trend", trend)
 

@@ -7,12 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.functions.cleaning import lookup
 from fieldlark.operators.cleaning import keep_latest
+from fieldlark.operators.records import location_kind
 
-# What a plant's colour and acidity say where no model has spoken.
+# Limits of staleness and levels, statuses of a model's classes, weights of the reasons for a visit.
 STALE_DAYS, LEAST_INSPECTED, LEAST_COVERAGE = 45, 5, 0.2
 CONCERN_SHARE, WATCH_SHARE = 0.3, 0.1
-PLAN_WEIGHTS = {"high-risk": 100, "hotspot": 60, "moderate": 40, "declining": 30, "not-inspected": 20, "stale": 10}
+CLASS_STATUS = {"poor": "high-risk", "moderate": "moderate", "healthy": "healthy"}
+PLAN_WEIGHTS = {"disease_hotspot": 100, "high_risk_stale": 80, "uncertain_hotspot": 60, "moderate_stale": 50, "never_inspected": 40, "weak_location": 15}
 
 
 def latest(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
@@ -37,14 +40,14 @@ def twin_state(entities: DataFrame, key: str, facts: Mapping[str, DataFrame]) ->
 
 
 def status(model_class: Column, foliage: Column, ph: Column, day: Column) -> Column:
-    """A model's class, else by foliage and acidity; not inspected without a date."""
+    """A model's class if it is a known one; else not inspected without a date, and by foliage and acidity with one."""
     by_rule = (
         F.when(foliage == "Red", "dead")
         .when((foliage == "Brown") | (ph < 5.5) | (ph > 7), "high-risk")
         .when(foliage.isin("Yellow", "Mixed") | ((ph >= 5.5) & (ph < 6)) | ((ph > 6.5) & (ph <= 7)), "moderate")
         .otherwise("healthy")
     )
-    return F.when(day.isNull(), "not-inspected").otherwise(F.coalesce(model_class, by_rule))
+    return F.coalesce(lookup(F.lower(model_class), CLASS_STATUS), F.when(day.isNull(), "not-inspected").otherwise(by_rule))
 
 
 def block_status(foliage: Column, ph: Column, day: Column) -> Column:
@@ -87,25 +90,38 @@ def status_totals(state: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def data_trust(state: DataFrame, as_of: Column) -> DataFrame:
-    """Coverage, stale share of the inspected, newest day: one row."""
-    seen = F.col("status") != "not-inspected"
+    """Coverage, stale share of the inspected, newest day, plants by where their position comes from: one row."""
+    seen, stale = F.count("last_day"), F.count_if(is_stale(F.col("last_day"), as_of))
+    kind = location_kind(F.col("latitude"), F.col("longitude"), F.col("location_source"))
     return state.agg(
-        F.count("*").alias("n_plants"),
-        F.count_if(seen).alias("n_inspected"),
-        (F.count_if(seen & is_stale(F.col("last_day"), as_of)) / F.nullif(F.count_if(seen), F.lit(0))).alias("stale_share"),
+        F.count("*").alias("total"),
+        seen.alias("inspected"),
+        (seen / F.nullif(F.count("*"), F.lit(0))).alias("coverage"),
+        stale.alias("stale"),
+        (stale / F.nullif(seen, F.lit(0))).alias("stale_share"),
         F.max("last_day").alias("newest"),
+        *[F.count_if(kind == k).alias(f"n_{k}") for k in ("gps", "smoothed", "single_fix", "estimated", "none")],
     )
 
 
 def field_plan(state: DataFrame, as_of: Column, weights: Mapping[str, int] = PLAN_WEIGHTS) -> DataFrame:
-    """Plants to visit by the sum of their reasons' weights; dead ones and those without a reason are left out."""
-    stale = is_stale(F.col("last_day"), as_of)
-    hits = {"high-risk": F.col("status") == "high-risk", "moderate": F.col("status") == "moderate", "not-inspected": F.col("status") == "not-inspected", "stale": stale}
-    for extra in ("hotspot", "declining"):
-        if extra in state.columns:
-            hits[extra] = F.col(extra)
-    total = sum((F.when(F.coalesce(c, F.lit(False)), weights[k]).otherwise(0) for k, c in hits.items()), F.lit(0))
-    out = state.where("status != 'dead'").withColumn("priority", total).withColumn("days", days_since(F.col("last_day"), as_of))
+    """Plants to visit by the sum of their ``reasons``' weights; dead ones and those without a reason are left out.
+
+    ``state`` has status, last_day, latitude, longitude, location_source and the likely_cause of the plant's hotspot.
+    """
+    stale, status_, cause = is_stale(F.col("last_day"), as_of), F.col("status"), F.col("likely_cause")
+    unknown = F.col("latitude").isNull() | F.col("longitude").isNull()
+    hits = {
+        "disease_hotspot": cause == "likely_disease",
+        "high_risk_stale": (status_ == "high-risk") & stale,
+        "uncertain_hotspot": cause == "uncertain_expert_review",
+        "moderate_stale": (status_ == "moderate") & stale,
+        "never_inspected": status_ == "not-inspected",
+        "weak_location": unknown | F.coalesce(F.col("location_source").isin("estimated", "single_fix"), F.lit(False)),
+    }
+    total = sum((F.when(c, weights[k]).otherwise(0) for k, c in hits.items()), F.lit(0))
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in hits.items()]))
+    out = state.where("status != 'dead'").withColumns({"priority": total, "reasons": reasons, "days": days_since(F.col("last_day"), as_of)})
     return out.where("priority > 0")
 
 
@@ -225,5 +241,5 @@ def latest_areas(trends: DataFrame) -> DataFrame:
 
 def members_decoded(plants: DataFrame, hotspots: DataFrame, key: str = "plant_id") -> DataFrame:
     """Plants with the last hotspot that lists them."""
-    each = hotspots.select("hotspot_id", "cycle", F.explode("member_plant_ids").alias(key))
+    each = hotspots.select(*[c for c in hotspots.columns if c != "member_plant_ids"], F.explode("member_plant_ids").alias(key))
     return plants.join(keep_latest(each, [key], [F.desc("cycle"), F.desc("hotspot_id")]), key, "left")

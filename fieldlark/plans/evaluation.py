@@ -225,17 +225,18 @@ def recall_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT e.vec_id AS query_id, u.i, list_slice(e.embedding::DOUBLE[], CAST(u.i * 16 + 1 AS BIGINT), CAST(u.i * 16 + 16 AS BIGINT)) AS v FROM embeddings e, range(4) u(i)),
-p AS (SELECT a.query_id, a.i, max(list_dot_product(a.v, b.v)) AS m FROM t a JOIN t b ON a.query_id % 50 = 0 AND (b.query_id = a.query_id + 1 OR b.query_id = a.query_id + 2) GROUP BY ALL)
-SELECT query_id, round(avg(m), 6) AS mean_max, round(min(m), 6) AS min_max, round(quantile_cont(m, 0.25), 6) AS p25_max FROM p GROUP BY query_id"""
+    _TOP + """, t AS (SELECT e.vec_id AS query_id, u.i, list_slice(e.embedding::DOUBLE[], CAST(u.i * 16 + 1 AS BIGINT), CAST(u.i * 16 + 16 AS BIGINT)) AS v FROM embeddings e, range(4) u(i)),
+p AS (SELECT r.query_id, a.i, r.rank, max(list_dot_product(a.v, b.v)) AS m FROM r JOIN t a ON a.query_id = r.query_id JOIN t b ON b.query_id = r.item_id WHERE r.rank <= 3 GROUP BY ALL),
+k AS (SELECT query_id, i, max(m) AS m FROM p GROUP BY ALL), o AS (SELECT query_id, max(m) AS single, max(m) FILTER (rank = 1) AS first FROM (SELECT query_id, rank, avg(m) AS m FROM p GROUP BY ALL) GROUP BY query_id)
+SELECT query_id, round(avg(m), 6) AS mean_max, round(min(m), 6) AS min_max, round(quantile_cont(m, 0.25), 6) AS p25_max, round(any_value(single), 6) AS single, round(any_value(first), 6) AS rank1, round(avg(m) - any_value(single), 6) AS delta FROM k JOIN o USING (query_id) GROUP BY query_id"""
 )
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     t = e.select("vec_id", F.posexplode(F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(4)])).alias("token", "vector"))
     q = t.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    p = t.where("vec_id % 50 in (1, 2)").select((F.floor(F.col("vec_id") / 50) * 50).alias("query_id"), F.col("vec_id").alias("passage_id"), "vector")
+    p = _ranked(spark, sf_dir, 3).select("query_id", "rank", F.col("item_id").alias("vec_id")).join(t.drop("token"), "vec_id").drop("vec_id")
     df = retrieval.late_interaction(q, p)
-    return df.select("query_id", *[F.round(c, 6).alias(c) for c in ("mean_max", "min_max", "p25_max")])
+    return df.select("query_id", *[F.round(c, 6).alias(c) for c in ("mean_max", "min_max", "p25_max", "single", "rank1", "delta")])
 
 
 @query(
@@ -247,30 +248,33 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "chunk", "start", "n_words", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_PHRASES = [("in the", "place"), ("of the", "relation")]
-_STEMS = [("wh", "what"), ("ho", "how"), ("qu", "question"), ("th", "that")]
+_PAIRS = [("in", "the", "place"), ("of", None, "relation")]
+_STEMS = {"what": ["wh"], "how": ["ho"], "question": ["qu"], "that": ["th"]}
+_CLASS_SQL = "CASE WHEN len(list_filter(ps, lambda p: p.w = 'in' AND p.x = 'the')) > 0 THEN 'place' WHEN len(list_filter(ps, lambda p: p.w = 'of' AND p.x IS NOT NULL)) > 0 THEN 'relation' " + " ".join(
+    f"WHEN len(list_filter(ps, lambda p: (starts_with(p.w, '{s}') OR {e}) AND coalesce(p.x NOT IN ('is', 'and'), true))) > 0 THEN '{n}'" for n, s, e in (("what", "wh", "false"), ("how", "ho", "p.w = 'en'"), ("question", "qu", "false"), ("that", "th", "false"))
+) + " ELSE 'other' END"
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN contains(lower(text), 'in the') THEN 'place' WHEN contains(lower(text), 'of the') THEN 'relation' WHEN regexp_matches(' ' || lower(text), '\\s[[:punct:]]*wh') THEN 'what' WHEN regexp_matches(' ' || lower(text), '\\s[[:punct:]]*ho') THEN 'how'
- WHEN regexp_matches(' ' || lower(text), '\\s[[:punct:]]*qu') THEN 'question' WHEN regexp_matches(' ' || lower(text), '\\s[[:punct:]]*th') THEN 'that' ELSE 'other' END AS class FROM conversations WHERE role = 'user'"""
+    """WITH w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda w: regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda w: w <> '') AS ws FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id, turn, ws, list_transform(range(1, len(ws) + 1), lambda i: {'w': ws[i], 'x': ws[i + 1]}) AS ps FROM w) SELECT conv_id, turn, """ + _CLASS_SQL + """ AS class, len(list_filter(ws, lambda w: w = 'des' OR w = 'and')) > 0 AS ambiguous FROM p"""
 )
 def question_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", ft.question_class(F.col("text"), _PHRASES, _STEMS).alias("class"))
+    return c.select("conv_id", "turn", ft.question_class(F.col("text"), _PAIRS, _STEMS, {"how": ["en"]}, ["is", "and"]).alias("class"), ft.has_word(F.lower("text"), ["des", "and"]).alias("ambiguous"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'Hello!' WHEN 1 THEN 'Thank you, it is fine' WHEN 2 THEN 'hi how do you grow a very long vine' ELSE text END AS s FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'greeting' WHEN 1 THEN 'thanks' END AS kind FROM t")
+@query("WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'Hello!' WHEN 1 THEN 'Thank you, it is fine' WHEN 2 THEN 'hi how do you grow a very long vine' ELSE text END AS s FROM conversations WHERE role = 'user'), n AS (SELECT conv_id, turn, trim(regexp_replace(translate(lower(s), '?!.,', ''), '\\s+', ' ', 'g')) AS s FROM t) SELECT conv_id, turn, CASE WHEN len(string_split(s, ' ')) > 5 THEN NULL WHEN starts_with(s, 'hello') OR starts_with(s, 'hi') OR starts_with(s, 'good morning') OR starts_with(s, 'good evening') THEN 'greeting' WHEN starts_with(s, 'thank') AND (starts_with(s, 'thank you') OR starts_with(s, 'thanks')) THEN 'thanks' WHEN starts_with(s, 'bye') OR starts_with(s, 'goodbye') THEN 'bye' END AS kind FROM n")
 def small_talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = (F.col("conv_id") + F.col("turn")) % 4
     s = F.when(i == 0, "Hello!").when(i == 1, "Thank you, it is fine").when(i == 2, "hi how do you grow a very long vine").otherwise(F.col("text"))
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", ft.small_talk(s).alias("kind"))
 
 
-@query("SELECT event_type, string_agg(event_id, ';' ORDER BY event_id) AS ids FROM events GROUP BY 1")
+@query("SELECT user_id, event_type, string_agg(event_id, ';' ORDER BY event_id) AS ids FROM events GROUP BY ALL")
 def section_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ";").alias("ids"))
+    return e.groupBy("user_id", "event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ";").alias("ids"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS top, CASE l_returnflag WHEN 'R' THEN 'bad' ELSE 'good' END AS collapsed, CASE l_returnflag WHEN 'R' THEN 'treat' ELSE 'none' END AS action FROM lineitem")
@@ -290,3 +294,41 @@ def argmax_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = e.select("event_id", F.create_map(F.lit("a"), v / 200, F.lit("b"), v / 400, F.lit("c"), 1 - v / 200 - v / 400).alias("p"))
     out = trends.decided(df, "event_id", "p", {"a": "ill", "b": "ill", "c": "well"}, {"ill": "treat", "well": "none"}, 0.6)
     return out.select("event_id", "top", "collapsed", (F.col("decision") == "accept").alias("accepted"))
+
+
+@query(
+    _TOP
+    + """, n AS (SELECT r.query_id, greatest(1 - score, 0) AS d, i.label FROM r JOIN embeddings i ON i.vec_id = r.item_id WHERE rank <= 15), z AS (SELECT *, min(d) OVER (PARTITION BY query_id) <= 0 AS equal FROM n), v AS (SELECT query_id, label, sum(CASE WHEN equal THEN CAST(d <= 0 AS DOUBLE) ELSE 1 / d END) AS v FROM z GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(v, 9) DESC, label) AS i, sum(v) OVER (PARTITION BY query_id) AS t FROM v) SELECT query_id, label AS prediction, round(v / t, 5) AS share FROM o WHERE i = 1"""
+)
+def nearest_neighbours_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _ranked(spark, sf_dir, 15).withColumn("distance", F.greatest(1 - F.col("score"), F.lit(0.0)))
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
+    return learn.neighbours_vote(near, labels).withColumn("share", F.round("share", 5))
+
+
+@query("WITH " + JUDGED + ", c AS (SELECT quality, count(*) AS n FROM judged GROUP BY 1) SELECT arg_max(quality, (n, -quality)) AS prediction, round(max(n) / sum(n), 6) AS share FROM c")
+def majority_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.majority(judged(spark, sf_dir), "quality").withColumn("share", F.round("share", 6))
+
+
+@query("WITH " + JUDGED + ", c AS (SELECT quality, count(*) AS n FROM judged GROUP BY 1) SELECT quality, CAST(ceil(n * 0.3) AS BIGINT) AS n FROM c")
+def stratified_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.stratified_fraction(judged(spark, sf_dir), "quality", "doc_id", 0.3).groupBy("quality").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + JUDGED + ", c AS (SELECT quality, count(*) AS n FROM judged GROUP BY 1) SELECT CAST(r AS INTEGER) AS repeat, quality, CAST(f AS INTEGER) AS fold, (n - f + 4) // 5 AS n FROM c, range(2) a(r), range(5) b(f)")
+def repeated_fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = judged(spark, sf_dir)
+    return learn.repeated_folds(j, "doc_id", "quality", 2, 5).join(j.select("doc_id", "quality"), "doc_id").groupBy("repeat", "quality", "fold").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH " + JUDGED + """, a AS (SELECT quality, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM judged WHERE p IS NOT NULL), d AS (SELECT p - 0.5 AS d FROM judged WHERE p <> 0.5), b AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY round(abs(d), 12)) - 1) / 2.0::DOUBLE AS r FROM d)
+SELECT 'mann_whitney' AS test, sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0::DOUBLE AS statistic FROM a UNION ALL SELECT 'wilcoxon', least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) FROM b"""
+)
+def rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = judged(spark, sf_dir)
+    u = evaluate.mann_whitney(df.withColumn("g", F.col("quality") == 1), "g", "p").select(F.lit("mann_whitney").alias("test"), F.col("u").alias("statistic"))
+    w = evaluate.wilcoxon(df.withColumn("d", F.round(F.col("p") - 0.5, 12)), "d").select(F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"))
+    return u.unionByName(w)

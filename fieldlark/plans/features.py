@@ -169,10 +169,10 @@ def recapture_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + VISITS + """, n AS (SELECT plant_id, score, CAST(row_number() OVER (PARTITION BY plant_id ORDER BY ts, event_id) - 1 AS DOUBLE) AS i FROM visits), t AS (SELECT plant_id, count(*) AS n, regr_slope(score, i) AS s, avg(CASE WHEN score < 0.6 THEN 1.0 ELSE 0.0 END) AS u FROM n GROUP BY plant_id)
-SELECT plant_id, n, round(s, 6) AS slope, round(u, 6) AS unhealthy_share, CASE WHEN n < 2 THEN 'insufficient' WHEN s > 0.05 THEN 'improving' WHEN s < -0.05 THEN 'declining' ELSE 'stable' END AS trend FROM t""")
+SELECT plant_id, n, coalesce(round(s, 3), 0.0) AS slope, round(u, 6) AS unhealthy_share, CASE WHEN n < 2 THEN 'insufficient' WHEN round(s, 3) > 0.05 THEN 'improving' WHEN round(s, 3) < -0.05 THEN 'declining' ELSE 'stable' END AS trend FROM t""")
 def plant_trend_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = trends.entity_trend(visits(spark, sf_dir), "plant_id", ["ts", "event_id"], "score")
-    return df.select("plant_id", "n", F.round("slope", 6).alias("slope"), F.round("unhealthy_share", 6).alias("unhealthy_share"), "trend")
+    return df.select("plant_id", "n", "slope", F.round("unhealthy_share", 6).alias("unhealthy_share"), "trend")
 
 
 @query("WITH " + VISITS + """, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY ts DESC, event_id DESC) AS rn FROM visits) WHERE rn = 1), g AS (SELECT 'block' AS level, CAST(block AS VARCHAR) AS entity_id, score FROM l UNION ALL SELECT 'zone', CAST(zone AS VARCHAR), score FROM l),

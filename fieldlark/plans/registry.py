@@ -78,15 +78,15 @@ HAVERSINE = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radian
 
 
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as position fixes: an order is a session, a part group a slot."""
+    """Order lines as position fixes: an order is a session, eight orders in a row a slot, however many there are."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.col("l_orderkey").alias("session"), (F.col("l_orderkey") % 500).alias("slot"), F.col("l_linenumber").alias("n_fix"), "l_partkey", "l_suppkey",
+        F.col("l_orderkey").alias("session"), F.floor(F.col("l_orderkey") / 8).alias("slot"), F.col("l_linenumber").alias("n_fix"), "l_partkey", "l_suppkey",
         (F.col("l_discount") * 100).alias("x"), (F.col("l_tax") * 100).alias("y"), F.col("l_quantity").cast("double").alias("accuracy"),
     )
 
 
-FIXES = """fixes AS (SELECT l_orderkey AS session, l_orderkey % 500 AS slot, l_linenumber AS n_fix, l_partkey, l_suppkey, l_discount * 100 AS x, l_tax * 100 AS y, CAST(l_quantity AS DOUBLE) AS accuracy FROM lineitem)"""
+FIXES = """fixes AS (SELECT l_orderkey AS session, l_orderkey // 8 AS slot, l_linenumber AS n_fix, l_partkey, l_suppkey, l_discount * 100 AS x, l_tax * 100 AS y, CAST(l_quantity AS DOUBLE) AS accuracy FROM lineitem)"""
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

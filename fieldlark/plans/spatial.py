@@ -42,18 +42,18 @@ def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.dbscan(places(spark, sf_dir), 3.0, 4)
 
 
-@query(_EDGES.format(m="60.0") + ", k AS (SELECT a AS id, distance AS kdist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn FROM edges) WHERE rn = 4) SELECT id, round(kdist, 5) AS kdist FROM k")
+@query(_EDGES.format(m="1e6") + ", k AS (SELECT a AS id, distance AS kdist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn FROM edges) WHERE rn = 4) SELECT id, round(kdist, 5) AS kdist FROM k")
 def k_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.k_distances(places(spark, sf_dir), 4, 60.0).withColumn("kdist", F.round("kdist", 5))
+    return spatial.k_distances(places(spark, sf_dir), 4).withColumn("kdist", F.round("kdist", 5))
 
 
 @query(
-    _EDGES.format(m="60.0")
+    _EDGES.format(m="1e6")
     + """, k AS (SELECT distance AS kdist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn FROM edges) WHERE rn = 4), o AS (SELECT kdist, row_number() OVER (ORDER BY kdist) AS i, count(*) OVER () AS n, min(kdist) OVER () AS lo, max(kdist) OVER () AS hi FROM k)
-SELECT round(max_by(kdist, (i - 1) / CAST(n - 1 AS DOUBLE) - (kdist - lo) / (hi - lo)), 5) AS elbow FROM o"""
+SELECT round(max_by(kdist, abs((i - 1) / CAST(n - 1 AS DOUBLE) - (kdist - lo) / greatest(hi - lo, 1e-9))), 5) AS elbow FROM o"""
 )
 def kdist_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.elbow(spatial.k_distances(places(spark, sf_dir), 4, 60.0)).withColumn("elbow", F.round("elbow", 5))
+    return spatial.elbow(spatial.k_distances(places(spark, sf_dir), 4)).withColumn("elbow", F.round("elbow", 5))
 
 
 @query(_EDGES.format(m="4.0") + "SELECT count(*) / 2.0::DOUBLE AS join_count FROM edges WHERE a % 3 = 0 AND b % 3 = 0")
@@ -97,11 +97,11 @@ def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH "
     + PLACES
     + """, c AS (SELECT label, count(*) AS n, avg(CASE WHEN value > 0.1 THEN 1.0 ELSE 0.0 END) AS s1, avg(CASE WHEN flag THEN 1.0 ELSE 0.0 END) AS s2, median(value) AS m FROM places GROUP BY label),
-t AS (SELECT *, CAST(s1 > 0.2 AS INTEGER) + CAST(m < 0 AS INTEGER) AS np, CAST(s2 > 0.33 AS INTEGER) AS dp FROM c) SELECT label, n, round(s1, 6) AS share, round(m, 6) AS middle, np AS nutrient_points, dp AS disease_points, CASE WHEN np - dp >= 1 THEN 'nutrient' WHEN np - dp <= -1 THEN 'disease' ELSE 'inconclusive' END AS likely_cause FROM t"""
+t AS (SELECT *, CAST(s1 > 0.2 AS INTEGER) + CAST(m < 0 AS INTEGER) + CAST(n > 40 AS INTEGER) AS np, CAST(s2 > 0.33 AS INTEGER) + CAST(m > 0.005 AS INTEGER) AS dp FROM c) SELECT label, n, round(s1, 6) AS share, round(m, 6) AS middle, np AS nutrient_points, dp AS disease_points, CASE WHEN np - dp >= 2 THEN 'likely_nutrient_deficiency' WHEN dp - np >= 2 THEN 'likely_disease' ELSE 'uncertain_expert_review' END AS likely_cause FROM t"""
 )
 def cluster_evidence_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = places(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("value") > 0.1).cast("double")).alias("s1"), F.avg(F.col("flag").cast("double")).alias("s2"), F.median("value").alias("m"))
-    out = spatial.triage(own, {"a": F.col("s1") > 0.2, "b": F.col("m") < 0}, {"c": F.col("s2") > 0.33}, 1)
+    out = spatial.triage(own, {"a": F.col("s1") > 0.2, "b": F.col("m") < 0, "c": F.col("n") > 40}, {"d": F.col("s2") > 0.33, "e": F.col("m") > 0.005})
     return out.select("label", "n", F.round("s1", 6).alias("share"), F.round("m", 6).alias("middle"), "nutrient_points", "disease_points", "likely_cause")
 
 
@@ -110,4 +110,15 @@ def hotspot_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = visits(spark, sf_dir).withColumn("cycle", F.floor(F.datediff("day", F.lit("2024-01-01").cast("date")) / 7).cast("int"))
     m = v.where("foliage = 'Brown'").select(F.col("zone").alias("run"), "cycle", (F.col("block") % 3).alias("cluster"), F.col("plant_id").alias("id")).distinct()
     m = m.withColumn("x", (F.col("id") % 12).cast("double")).withColumn("y", (F.col("id") / 12).cast("double"))
-    return spatial.tracks(m, "run", 2.0)
+    return spatial.tracks(m.withColumn("onset", F.col("cycle").cast("double")), "run", 2.0)
+
+
+@query(
+    "WITH "
+    + PLACES
+    + f""", p AS (SELECT *, CAST(id % 40 AS DOUBLE) AS acc FROM places), n AS (SELECT DISTINCT a.id FROM p a JOIN p b ON a.id <> b.id AND a.zone = b.zone WHERE {_D} <= 4.0)
+SELECT id, acc > 15 AS poor, count(*) OVER (PARTITION BY lat, lon) > 1 AS shared, id NOT IN (SELECT id FROM n) AS isolated FROM p"""
+)
+def position_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = places(spark, sf_dir).withColumn("acc", (F.col("id") % 40).cast("double"))
+    return spatial.layout_flags(p, "id", "acc", alone=4.0)

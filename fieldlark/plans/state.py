@@ -10,15 +10,15 @@ from fieldlark.operators import cleaning, trends, twin
 from fieldlark.plans.registry import CYCLES, VISITS, cycles, query, table, visits
 
 AS_OF = "2024-02-20"
-_STATUS = """CASE WHEN last_day IS NULL THEN 'not-inspected' WHEN foliage = 'Red' THEN 'dead' WHEN foliage = 'Brown' OR ph < 5.5 OR ph > 7 THEN 'high-risk'
+_STATUS = """CASE WHEN o_orderkey % 7 = 0 THEN 'high-risk' WHEN o_orderkey % 7 = 1 THEN 'moderate' WHEN o_orderkey % 7 = 2 THEN 'healthy' WHEN last_day IS NULL THEN 'not-inspected' WHEN foliage = 'Red' THEN 'dead' WHEN foliage = 'Brown' OR ph < 5.5 OR ph > 7 THEN 'high-risk'
  WHEN foliage IN ('Yellow', 'Mixed') OR (ph >= 5.5 AND ph < 6) OR (ph > 6.5 AND ph <= 7) THEN 'moderate' ELSE 'healthy' END"""
 _STATE = (
     "WITH "
     + VISITS
-    + f""", plants AS (SELECT c_custkey AS plant_id, n_nationkey AS block, r_regionkey AS zone FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    + f""", plants AS (SELECT c_custkey AS plant_id, n_nationkey AS block, r_regionkey AS zone, CASE WHEN c_custkey % 9 <> 0 THEN 7.3 END AS latitude, CASE c_custkey % 5 WHEN 0 THEN 'estimated' WHEN 1 THEN 'single_fix' WHEN 2 THEN 'smoothed' WHEN 4 THEN 'gps' END AS source FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 seen AS (SELECT plant_id, foliage, ph, day AS last_day, event_id FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM visits) WHERE rn = 1),
 sold AS (SELECT o_custkey AS plant_id, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1),
-s0 AS (SELECT p.plant_id, p.block, p.zone, v.foliage, v.ph, v.last_day, v.event_id, o.o_orderkey, o.o_totalprice FROM plants p LEFT JOIN seen v USING (plant_id) LEFT JOIN sold o USING (plant_id)),
+s0 AS (SELECT p.plant_id, p.block, p.zone, p.latitude, p.source, v.foliage, v.ph, v.last_day, v.event_id, o.o_orderkey, o.o_totalprice FROM plants p LEFT JOIN seen v USING (plant_id) LEFT JOIN sold o USING (plant_id)),
 state AS (SELECT *, {_STATUS} AS status FROM s0) """
 )
 
@@ -26,12 +26,17 @@ state AS (SELECT *, {_STATUS} AS status FROM s0) """
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     plants = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
-    plants = plants.select(F.col("c_custkey").alias("plant_id"), F.col("n_nationkey").alias("block"), F.col("r_regionkey").alias("zone"))
-    seen = twin.latest_by_max(visits(spark, sf_dir), "plant_id", "ts", ["ts", "event_id", "foliage", "ph", "day"])
+    i = F.col("c_custkey") % 5
+    source = F.when(i == 0, "estimated").when(i == 1, "single_fix").when(i == 2, "smoothed").when(i == 4, "gps")
+    place = [F.when(F.col("c_custkey") % 9 != 0, F.lit(v)).alias(n) for n, v in (("latitude", 7.3), ("longitude", 80.6))]
+    plants = plants.select(F.col("c_custkey").alias("plant_id"), F.col("n_nationkey").alias("block"), F.col("r_regionkey").alias("zone"), *place, source.alias("location_source"))
     seen = twin.latest(visits(spark, sf_dir), "plant_id", "ts", "event_id").select("plant_id", "foliage", "ph", F.col("day").alias("last_day"), "event_id")
     sold = twin.latest(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "plant_id"), "plant_id", "o_orderdate", "o_orderkey").select("plant_id", "o_orderkey", "o_totalprice")
-    df = plants.join(seen, "plant_id", "left").join(sold, "plant_id", "left")
-    return df.withColumn("status", twin.status(F.lit(None).cast("string"), F.col("foliage"), F.col("ph"), F.col("last_day")))
+    df = twin.twin_state(plants, "plant_id", {"seen": seen, "sold": sold})
+    df = df.withColumnsRenamed({"seen_foliage": "foliage", "seen_ph": "ph", "seen_last_day": "last_day", "seen_event_id": "event_id", "sold_o_orderkey": "o_orderkey", "sold_o_totalprice": "o_totalprice"})
+    j = F.col("o_orderkey") % 7
+    spoken = F.when(j == 0, "Poor").when(j == 1, "MODERATE").when(j == 2, "healthy").when(j == 3, "unheard of")
+    return df.withColumn("status", twin.status(spoken, F.col("foliage"), F.col("ph"), F.col("last_day")))
 
 
 @query(_STATE + "SELECT plant_id, block, zone, status, last_day, event_id, o_orderkey, o_totalprice FROM state")
@@ -60,24 +65,51 @@ def zone_status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _STATE
-    + f"""SELECT count(*) AS n_plants, count(*) FILTER (status <> 'not-inspected') AS n_inspected,
- round(count(*) FILTER (status <> 'not-inspected' AND date_diff('day', last_day, DATE '{AS_OF}') > 45) / nullif(count(*) FILTER (status <> 'not-inspected'), 0), 6) AS stale_share, max(last_day) AS newest FROM state"""
+    + f"""SELECT count(*) AS total, count(last_day) AS inspected, round(count(last_day) / count(*), 6) AS coverage, count(*) FILTER (date_diff('day', last_day, DATE '{AS_OF}') > 45) AS stale,
+ round(count(*) FILTER (date_diff('day', last_day, DATE '{AS_OF}') > 45) / nullif(count(last_day), 0), 6) AS stale_share, max(last_day) AS newest, count(*) FILTER (latitude IS NOT NULL AND coalesce(source, 'gps') = 'gps') AS n_gps,
+ count(*) FILTER (latitude IS NOT NULL AND source = 'smoothed') AS n_smoothed, count(*) FILTER (latitude IS NOT NULL AND source = 'single_fix') AS n_single_fix, count(*) FILTER (latitude IS NOT NULL AND source = 'estimated') AS n_estimated, count(*) FILTER (latitude IS NULL) AS n_none FROM state"""
 )
 def data_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twin.data_trust(state(spark, sf_dir), F.to_date(F.lit(AS_OF))).withColumn("stale_share", F.round("stale_share", 6))
+    return twin.data_trust(state(spark, sf_dir), F.to_date(F.lit(AS_OF))).withColumns({c: F.round(c, 6) for c in ("coverage", "stale_share")})
 
 
 @query(
     _STATE
-    + f""", p AS (SELECT plant_id, status, date_diff('day', last_day, DATE '{AS_OF}') AS days,
- CASE status WHEN 'high-risk' THEN 100 WHEN 'moderate' THEN 40 WHEN 'not-inspected' THEN 20 ELSE 0 END + CASE WHEN date_diff('day', last_day, DATE '{AS_OF}') > 45 THEN 10 ELSE 0 END AS priority FROM state WHERE status <> 'dead')
+    + f""", d AS (SELECT *, date_diff('day', last_day, DATE '{AS_OF}') AS days, CASE WHEN plant_id % 2 = 0 THEN block % 6 END AS h FROM state WHERE status <> 'dead'),
+p AS (SELECT plant_id, status, days, CASE WHEN h = 0 THEN 100 ELSE 0 END + CASE WHEN status = 'high-risk' AND days > 45 THEN 80 ELSE 0 END + CASE WHEN h = 1 THEN 60 ELSE 0 END + CASE WHEN status = 'moderate' AND days > 45 THEN 50 ELSE 0 END
+ + CASE WHEN status = 'not-inspected' THEN 40 ELSE 0 END + CASE WHEN latitude IS NULL OR source IN ('estimated', 'single_fix') THEN 15 ELSE 0 END AS priority FROM d)
 SELECT plant_id, status, days, priority FROM p WHERE priority > 0 ORDER BY priority DESC, days DESC NULLS FIRST, plant_id LIMIT 50"""
 )
 def field_plan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = twin.field_plan(state(spark, sf_dir), F.to_date(F.lit(AS_OF)))
+    s = state(spark, sf_dir)
+    plan = twin.field_plan(twin.members_decoded(s, _hotspots(s)), F.to_date(F.lit(AS_OF)))
     return twin.top_of_plan(plan, "plant_id", 50).select("plant_id", "status", F.col("days").cast("long").alias("days"), "priority")
 
 
+def _hotspots(s: DataFrame) -> DataFrame:
+    """Hotspots of half the plants of some blocks."""
+    i = F.col("block") % 6
+    cause = F.when(i == 0, "likely_disease").when(i == 1, "uncertain_expert_review").otherwise("likely_nutrient_deficiency")
+    own = s.where("plant_id % 2 = 0 and block % 6 < 3").groupBy("block").agg(F.collect_list("plant_id").alias("member_plant_ids"))
+    return own.select(F.col("block").alias("hotspot_id"), F.lit(1).alias("cycle"), "member_plant_ids", cause.alias("likely_cause"))
+
+
+@query(_STATE + "SELECT plant_id, CASE WHEN plant_id % 2 = 0 AND block % 6 < 3 THEN block END AS hotspot_id FROM state")
+def hotspot_of_plant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = state(spark, sf_dir)
+    return twin.members_decoded(s, _hotspots(s)).select("plant_id", "hotspot_id")
+
+
+@query(_STATE + "SELECT plant_id, CASE WHEN last_day IS NULL THEN 'healthy' WHEN foliage = 'Red' THEN 'dead' WHEN foliage = 'Brown' OR ph < 5.5 OR ph > 7 THEN 'high-risk' WHEN foliage IN ('Yellow', 'Mixed') OR (ph >= 5.5 AND ph < 6) OR (ph > 6.5 AND ph <= 7) THEN 'moderate' ELSE 'healthy' END AS status FROM state")
+def block_page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state(spark, sf_dir).select("plant_id", twin.block_status(F.col("foliage"), F.col("ph"), F.col("last_day")).alias("status"))
+
+
+@query("WITH " + VISITS + "SELECT plant_id, max(ts) AS ts, arg_max(foliage, ts) AS foliage FROM visits GROUP BY plant_id")
+def latest_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return twin.latest_by_max(visits(spark, sf_dir), "plant_id", "ts", ["ts", "foliage"])
+
+
 @query(_STATE + f"SELECT plant_id, zone FROM state WHERE zone = 2 AND status IN ('high-risk', 'moderate') AND coalesce(date_diff('day', last_day, DATE '{AS_OF}') > 45, false) = false AND contains(lower(CAST(plant_id AS VARCHAR)), '1')")
 def map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = twin.map_filter(state(spark, sf_dir), 2, ["high-risk", "moderate"], False, F.to_date(F.lit(AS_OF)), "1", ["plant_id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ def text_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
 def checked_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """A CSV file with a byte order mark or not; fails on an empty file, repeated or missing columns."""
     head = spark.read.text(path).limit(1).collect()
-    names = [n.strip().strip('"') for n in head[0][0].lstrip("﻿").split(",")] if head else []
+    names = [n.strip() for n in next(csv.reader([head[0][0].lstrip("﻿")]), [])] if head else []
     if not names or names == [""]:
         raise ValueError(f"{path} is empty")
     twice = sorted({n for n in names if names.count(n) > 1})

@@ -47,7 +47,7 @@ def current_table(spark, path: str) -> DataFrame:
 
 def flat_pairs(pairs: Column) -> Column:
     """An array of (name, value) structs as ``a:1;b:2``."""
-    return F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p[0].cast("string"), p[1].cast("string"))), ";")
+    return F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["name"].cast("string"), p["value"].cast("string"))), ";")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldlark.functions import cleaning as fc
 from fieldlark.functions import geo
 from fieldlark.functions import text as ft
-from fieldlark.operators import cleaning, evaluate, gps, graph, learn, retrieval, spatial, temporal, twin
+from fieldlark.operators import cleaning, evaluate, gps, graph, learn, records, retrieval, spatial, temporal, twin
 
 
 def one(spark, column):
@@ -89,9 +89,59 @@ def test_join_count(spark):
 
 
 def test_tracks(spark):
-    rows = [("r", 0, 1, i, float(i), 0.0) for i in (1, 2, 3)] + [("r", 1, 1, i, float(i), 0.0) for i in (1, 2, 3, 4)] + [("r", 1, 2, 9, 99.0, 0.0)]
-    got = {(r.cycle, r.hotspot_id): r.status for r in spatial.tracks(spark.createDataFrame(rows, "run string, cycle int, cluster int, id long, x double, y double"), "run", 5.0).collect()}
-    assert got == {(0, "H001"): "new", (1, "H001"): "expanding", (1, "H002"): "new"}
+    rows = [("r", 0, 1, i, float(i), 0.0, 0.0) for i in (1, 2, 3)] + [("r", 1, 1, i, float(i), 0.0, float(i > 3)) for i in (1, 2, 3, 4)] + [("r", 1, 2, 9, 99.0, 0.0, 1.0)]
+    rows += [("r", 2, 1, i, float(i), 0.0, 0.0) for i in (2, 3, 4, 30)]
+    df = spark.createDataFrame(rows, "run string, cycle int, cluster int, id long, x double, y double, onset double")
+    got = {(r.cycle, r.hotspot_id): r for r in spatial.tracks(df, "run", 5.0).collect()}
+    assert {k: r.status for k, r in got.items()} == {(0, "H001"): "new", (1, "H001"): "expanding", (1, "H002"): "new", (2, "H001"): "persistent", (2, "H002"): "resolved"}
+    assert [got[c, "H001"].added for c in range(3)] == [0, 1, 1] and [got[c, "H001"].persistence for c in range(3)] == [1, 2, 3]
+    one, two = got[1, "H001"], got[2, "H001"]
+    assert (one.adjacent, one.shift_m, one.net_growth, one.adjacent_total) == (1.0, 0.5, 1, None) and (two.adjacent, two.adjacent_total) == (0.0, 0.5)
+    assert one.onset_spread == pytest.approx(math.sqrt(3) / 4) and got[2, "H002"].persistence == 1
+
+
+def test_field_plan(spark):
+    day = dt.date
+    rows = [
+        ("a", "high-risk", day(2026, 1, 1), 7.0, "gps", "likely_disease", 180), ("b", "moderate", day(2026, 1, 1), 7.0, None, "uncertain_expert_review", 110), ("c", "not-inspected", None, None, None, None, 55),
+        ("d", "healthy", day(2026, 3, 1), 7.0, "single_fix", None, 15), ("e", "dead", day(2026, 1, 1), None, None, "likely_disease", None), ("f", "high-risk", day(2026, 3, 1), 7.0, "smoothed", None, None),
+    ]
+    df = spark.createDataFrame(rows, "plant_id string, status string, last_day date, latitude double, location_source string, likely_cause string, want int").withColumn("longitude", F.col("latitude"))
+    plan = twin.top_of_plan(twin.field_plan(df, F.lit("2026-03-10").cast("date")), "plant_id", 9).collect()
+    assert [r.plant_id for r in plan] == ["a", "b", "c", "d"] and all(r.priority == r.want for r in plan)
+    assert plan[0].reasons == ["disease_hotspot", "high_risk_stale"] and plan[2].reasons == ["never_inspected", "weak_location"]
+
+
+def test_class_before_date(spark):
+    lit = lambda v, t="string": F.lit(v).cast(t)
+    status = lambda c, d: one(spark, twin.status(lit(c), F.lit("Green"), F.lit(6.2), lit(d, "date")))
+    assert [status("Poor", None), status("MODERATE", "2026-01-01"), status("healthy", None), status("odd", None), status("odd", "2026-01-01")] == ["high-risk", "moderate", "healthy", "not-inspected", "healthy"]
+
+
+def test_question_class(spark):
+    ask = lambda t: one(spark, ft.question_class(F.lit(t), [("why", "so", "reason"), ("many", None, "amount")], {"who": ["who"], "what": ["wha"]}, {"what": ["which"]}, ["ever"]))
+    assert [ask(t) for t in ("Why so, who?", "how many of what", "many", "whatever who", "what ever is it", "(which)?", "")] == ["reason", "amount", "other", "who", "other", "what", "other"]
+
+
+def test_rolling_weights(spark):
+    values = [1.0, None, 4.0, 2.0, 8.0]
+    df = spark.createDataFrame([("p", i, v) for i, v in enumerate(values)], "p string, i int, v double")
+    import pandas as pd
+
+    want = pd.Series(values).ewm(alpha=0.4).mean().tolist()
+    assert [r.ewm for r in temporal.ewm(df, "p", ["i"], "v").orderBy("i").collect()] == pytest.approx(want)
+    long = spark.range(5000).select(F.lit("p").alias("p"), F.col("id").alias("i"), F.sin("id").alias("v"))
+    want = pd.Series([math.sin(i) for i in range(5000)]).ewm(alpha=0.4).mean().tolist()
+    assert [r.ewm for r in temporal.ewm(long, "p", ["i"], "v").orderBy("i").collect()] == pytest.approx(want)
+
+
+def test_checked_join(spark):
+    f = lambda rows, c: spark.createDataFrame(rows, f"k int, {c} int")
+    x, y, m = f([(1, 5), (2, 6)], "x"), f([(1, 0), (2, 1)], "y"), f([(1, 7), (2, 8), (3, 9)], "m")
+    assert sorted(tuple(r) for r in records.checked_join(x, y, m, "k", "y", 2).collect()) == [(1, 5, 0, 7), (2, 6, 1, 8)]
+    for bad in [(x.unionAll(x), y, m, 2), (x, y.limit(1), m, 2), (x, y, m, 3)]:
+        with pytest.raises(Exception, match="rows without one partner"):
+            records.checked_join(*bad[:3], "k", "y", bad[3]).collect()
 
 
 def test_coverage_and_upsert(spark):
