@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.operators.lineage import cut, shared_dir
 
-__all__ = ["ascii_lower", "batches_of", "cut", "delete", "fresh", "grouped", "groups", "secret_key", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
+__all__ = ["ascii_lower", "cut", "delete", "fresh", "grouped", "groups", "secret_key", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,14 +121,3 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple[st
     """``batch`` with columns replaced in their places, others added behind, and some left out."""
     kept = {n: new.get(n, batch.column(n)) for n in batch.schema.names if n not in drop}
     return pa.RecordBatch.from_pydict(kept | new)
-
-
-def batches_of(frames: Iterable[pd.DataFrame], column: str, limit: int) -> Iterator[pd.DataFrame]:
-    """Slices of frames with about ``limit`` characters of ``column`` each."""
-    for frame in frames:
-        if frame.empty:
-            continue
-        size = frame[column].map(lambda t: len(t) if isinstance(t, str) else 0).cumsum().to_numpy() // limit
-        cuts = [0, *[int(i) + 1 for i in (size[1:] != size[:-1]).nonzero()[0]], len(frame)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield frame.iloc[a:b]

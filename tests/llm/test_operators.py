@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlark.llm import chat_format, components, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, oracle_sql, packing, pii_surrogates, queries, sharding
+from fieldlark.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, oracle_sql, packing, pii_surrogates, queries, sharding
+from fieldlark.operators import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SYLLABLES = "ba ke li mo nu ra se ti vo da fe gi jo lu na pe".split()
