@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.operators.lineage import cut
 from fieldlark.operators.numbering import dealt
 
 
@@ -52,8 +54,11 @@ def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float) ->
     return dealt(df, [label], F.xxhash64(key), key).where(F.col("_n") <= F.ceil(F.col("_size") * fraction)).drop("_n", "_size")
 
 
-def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, model: str = "lr", weight: str | None = None, seed: int = 0) -> Pipeline:
-    """Scaled numbers, one-hot categories (unknown ones kept apart) and a classifier."""
+def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, model: str = "lr", weight: str | None = None, seed: int = 0, rounds: int = 400) -> Pipeline:
+    """Scaled numbers, one-hot categories (unknown ones kept apart) and a classifier.
+
+    ``boost`` has ``rounds`` boosted trees of a class against the others, for any number of classes.
+    """
     stages = [VectorAssembler(inputCols=list(numeric), outputCol="_num", handleInvalid="error"), StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True)]
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"_i_{c}" for c in categorical], handleInvalid="keep"))
@@ -61,8 +66,9 @@ def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, mod
     stages.append(VectorAssembler(inputCols=["_scaled", *[f"_o_{c}" for c in categorical]], outputCol="features"))
     kinds = {
         "lr": lambda: LogisticRegression(labelCol=label, maxIter=50, regParam=0.01),
-        "tree": lambda: DecisionTreeClassifier(labelCol=label, maxDepth=6, seed=seed),
-        "forest": lambda: RandomForestClassifier(labelCol=label, numTrees=100, seed=seed),
+        "tree": lambda: DecisionTreeClassifier(labelCol=label, maxDepth=6, minInstancesPerNode=5, seed=seed),
+        "forest": lambda: RandomForestClassifier(labelCol=label, numTrees=400, minInstancesPerNode=2, seed=seed),
+        "boost": lambda: OneVsRest(labelCol=label, classifier=GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=4, subsamplingRate=0.8, seed=seed)),
     }
     clf = kinds[model]()
     return Pipeline(stages=[*stages, clf.setWeightCol(weight) if weight else clf])
@@ -78,6 +84,39 @@ def out_of_fold(df: DataFrame, build: Pipeline, folds: int, keep: Sequence[str])
     return out
 
 
+def changed_predictions(features: DataFrame, changed: Mapping[str, DataFrame], build: Pipeline, assignment: DataFrame, key: str, repeats: int, folds: int) -> DataFrame:
+    """(key, variant, p): mean prediction for each row as it is ("original") and as it is in ``changed``.
+
+    ``assignment`` is (key, repeat, fold), as :func:`repeated_folds` gives it. A row and its variants are scored only
+    by models that were fitted without the row, one of each repeat.
+    """
+    variants = {name: cut(df) for name, df in {"original": features, **changed}.items()}
+    assignment, out = cut(assignment), None
+    for r in range(repeats):
+        for k in range(folds):
+            test = assignment.where((F.col("repeat") == r) & (F.col("fold") == k)).select(key)
+            model = build.fit(variants["original"].join(test, key, "left_anti"))
+            for name, df in variants.items():
+                part = scored(model, df.join(test, key, "left_semi")).select(key, F.lit(name).alias("variant"), "probability_1")
+                out = part if out is None else out.unionAll(part)
+    return out.groupBy(key, "variant").agg(F.avg("probability_1").alias("p"))
+
+
+def final_model(df: DataFrame, build: Pipeline, features: Sequence[str], folder: str, facts: Mapping[str, object]) -> None:
+    """Fits on all rows and writes the model, and a card that says what it is, beside it.
+
+    The card holds the number of rows, the features and ``facts``, such as the threshold and the measured scores.
+    """
+    build.fit(df).write().overwrite().save(f"{folder}/model")
+    card = {"n_training_rows": df.count(), "feature_list": list(features), **facts}
+    df.sparkSession.createDataFrame([(json.dumps(card),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/card")
+
+
+def read_model(spark, folder: str) -> tuple[PipelineModel, dict]:
+    """The model and the card that :func:`final_model` wrote."""
+    return PipelineModel.load(f"{folder}/model"), json.loads(spark.read.text(f"{folder}/card", wholetext=True).first()["value"])
+
+
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Rows with the prediction and the probability of class 1."""
     return model.transform(df).withColumn("probability_1", vector_to_array("probability")[1])

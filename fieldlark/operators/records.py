@@ -185,9 +185,10 @@ def field_accuracy(read: DataFrame, key: str, fields: Sequence[str]) -> DataFram
     return each.groupBy("field").agg(F.count_if(F.col("v") == F.col("t")).alias("correct"), F.count_if(F.col("v").isNull()).alias("blank"), F.count_if(F.col("v") != F.col("t")).alias("wrong"))
 
 
-def study_window(df: DataFrame, day: str, start: str, days_after: int = 0) -> DataFrame:
-    """(start, end) of a study: a fixed start and the newest day of the records."""
-    return df.agg(F.lit(start).cast("date").alias("start"), F.date_add(F.max(F.to_date(day)), days_after).alias("end"))
+def study_window(df: DataFrame, day: str, start: str, end: str, days_after: int = 1) -> DataFrame:
+    """(start, end) of a study: fixed days, the end put off to the day after the newest record if that is later."""
+    newest = F.date_add(F.max(F.to_date(day)), days_after)
+    return df.agg(F.lit(start).cast("date").alias("start"), F.greatest(F.lit(end).cast("date"), newest).alias("end"))
 
 
 def fixes_of_plants(fixes: DataFrame, plants: DataFrame, slot: str = "slot_id") -> DataFrame:

@@ -55,19 +55,20 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, number string, title string, body string")
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, query_block: int = 4_096) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, query_block: int = 4_096, apart: str | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): the k largest inner products of each query (J16, T1, V1), ties by item id.
 
     ``queries`` and ``items`` are (id, vector). Queries come in blocks of a bounded size; each block is held by
     the tasks, which multiply it with their items and keep k for each query, so what is shuffled is k rows for
     a query and task. The number of blocks follows the number of queries; where there are several, what one
-    has found is written before the next is read.
+    has found is written before the next is read. Items with the query's own value of the column ``apart`` are left out.
     """
+    columns = ["id", "vector", *([apart] if apart else [])]
     n = queries.count()
     blocks = -(-n // query_block) or 1
     out = None
     for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toPandas()
+        block = queries.select(*columns).where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toPandas()
 
         def best(frames: Iterable[pd.DataFrame], block: pd.DataFrame = block) -> Iterator[pd.DataFrame]:
             if not len(block):
@@ -76,12 +77,15 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_block: int = 4_096
             for f in frames:
                 f = f.sort_values("id", kind="stable")
                 s = q @ np.stack([np.asarray(v, np.float64) for v in f.vector]).T
+                if apart:
+                    s[block[apart].to_numpy()[:, None] == f[apart].to_numpy()[None, :]] = -np.inf
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame(
+                best_ = pd.DataFrame(
                     {"query_id": np.repeat(block.id.to_numpy(), top.shape[1]), "item_id": f.id.to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}
                 )
+                yield best_[best_.score > -np.inf]
 
-        part = items.select("id", "vector").mapInPandas(best, "query_id long, item_id long, score double")
+        part = items.select(*columns).mapInPandas(best, "query_id long, item_id long, score double")
         w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
         part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         part = cut(part) if blocks > 1 else part
@@ -129,6 +133,12 @@ def score_gaps(ranked: DataFrame) -> DataFrame:
     return w.agg(at(1).alias("top"), (at(1) - at(2)).alias("gap12"), (at(2) - at(3)).alias("gap23"), F.stddev_pop("score").alias("spread"))
 
 
+def token_matches(query_tokens: DataFrame, passage_tokens: DataFrame) -> DataFrame:
+    """(query_id, token, rank, m): the best match of each query token in each of the query's passages."""
+    both = query_tokens.withColumnRenamed("vector", "q").join(passage_tokens.withColumnRenamed("vector", "p"), "query_id")
+    return both.groupBy("query_id", "token", "rank").agg(F.max(dot(F.col("q"), F.col("p"))).alias("m"))
+
+
 def late_interaction(query_tokens: DataFrame, passage_tokens: DataFrame) -> DataFrame:
     """Best match of each query token over the tokens of its passages (V6).
 
@@ -136,8 +146,7 @@ def late_interaction(query_tokens: DataFrame, passage_tokens: DataFrame) -> Data
     that of the first, ``delta`` what all together have over the best one. ``query_tokens`` is (query_id, token,
     vector), ``passage_tokens`` (query_id, rank, vector) of the passages retrieved for the query, a few hundred tokens each.
     """
-    both = query_tokens.withColumnRenamed("vector", "q").join(passage_tokens.withColumnRenamed("vector", "p"), "query_id")
-    each = both.groupBy("query_id", "token", "rank").agg(F.max(dot(F.col("q"), F.col("p"))).alias("m"))
+    each = token_matches(query_tokens, passage_tokens)
     means = each.groupBy("query_id", "rank").agg(F.avg("m").alias("mean"))
     means = means.groupBy("query_id").agg(F.max("mean").alias("single"), F.max(F.when(F.col("rank") == 1, F.col("mean"))).alias("rank1"))
     best = each.groupBy("query_id", "token").agg(F.max("m").alias("m"))
@@ -163,6 +172,39 @@ def section_features(passages: DataFrame) -> DataFrame:
     )
 
 
+def passage_features(top: DataFrame, query_tokens: DataFrame, passage_tokens: DataFrame, passages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """One row for each query with the features of three passages, whichever they are.
+
+    ``top`` is (query_id, item_id, rank, score); a score of ``stored`` (query_id, item_id, score) stands in place of the
+    computed one. ``query_tokens`` is (query_id, token, weight, vector), ``passage_tokens`` (item_id, vector), ``passages``
+    (item_id, section, n_words). Queries without tokens have matches of 0.
+    """
+    if stored is not None:
+        top = top.join(stored.withColumnRenamed("score", "_s"), ["query_id", "item_id"], "left").withColumn("score", F.coalesce("_s", "score")).drop("_s")
+    at = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
+    out = top.join(passages, "item_id").groupBy("query_id").agg(
+        *[at("score", r).alias(f"s{r}") for r in (1, 2, 3)], F.avg("score").alias("s_mean"), F.stddev_pop("score").alias("s_std"), F.count_distinct("section").alias("n_sections"),
+        (at("section", 1) == at("section", 2)).cast("int").alias("same_section_12"), *[at("n_words", r).alias(f"words{r}") for r in (1, 2, 3)], F.sum("n_words").alias("n_words"),
+    )
+    out = out.withColumns({f"gap{a}{b}": F.col(f"s{a}") - F.col(f"s{b}") for a, b in ((1, 2), (1, 3), (2, 3))})
+    of_top = top.select("query_id", "rank", "item_id").join(passage_tokens, "item_id").drop("item_id")
+    tokens = query_tokens.select("query_id", "token", "vector")
+    best = token_matches(tokens, of_top).groupBy("query_id", "token").agg(F.max("m").alias("m"))
+    weighted = sparse_weighted(best.join(query_tokens.select("query_id", "token", "weight"), ["query_id", "token"]))
+    n = query_tokens.groupBy("query_id").agg(F.count("*").alias("n_tokens"))
+    for part in (late_interaction(tokens, of_top), weighted, n):
+        out = out.join(part, "query_id", "left")
+    return out.na.fill(0, ["mean_max", "min_max", "p25_max", "single", "rank1", "delta", "weighted", "hard", "n_tokens"])
+
+
+def z_changes(before: DataFrame, after: DataFrame, spread: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(feature, n, mean_z, std_z): change of each feature in units of its deviation over ``spread``."""
+    size = spread.agg(*[F.stddev_samp(c).alias(f"_d_{c}") for c in columns])
+    both = before.select(key, *[F.col(c).alias(f"_b_{c}") for c in columns]).join(after.select(key, *columns), key).crossJoin(F.broadcast(size))
+    z = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), ((F.col(c) - F.col(f"_b_{c}")) / F.col(f"_d_{c}")).alias("z")) for c in columns]))
+    return both.select(z.alias("_z")).select("_z.*").groupBy("feature").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("std_z"))
+
+
 def merged_sections(sections_: DataFrame, key: str, least: int) -> DataFrame:
     """Sections of fewer than ``least`` words joined with the next sibling under the same parent (V3), document by document."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.functions.cleaning import lookup
+from fieldlark.functions.geo import valid_fix
 from fieldlark.operators.cleaning import keep_latest
 from fieldlark.operators.records import location_kind
 
@@ -39,6 +40,24 @@ def twin_state(entities: DataFrame, key: str, facts: Mapping[str, DataFrame]) ->
     return out
 
 
+def plant_rows(plants: DataFrame, slots: DataFrame, inspections: DataFrame, sources: Sequence[str] = ("gps", "estimated", "smoothed")) -> DataFrame:
+    """Living plants with their slot's position and their latest inspection, without a view or a model.
+
+    ``plants`` is (plant_id, zone, block, slot_id, status, replaced_by), ``slots`` (slot_id, lat, lon, accuracy, source),
+    ``inspections`` (plant_id, day, and what was seen). Positions out of the region and sources that are not known are null.
+    """
+    living = plants.where(F.col("plant_id").isNotNull() & ~F.col("status").eqNullSafe("retired") & F.col("replaced_by").isNull()).drop("status", "replaced_by")
+    seen = [c for c in inspections.columns if c not in ("plant_id", "day")]
+    last = latest_by_max(inspections.where("plant_id is not null and day is not null"), "plant_id", "day", ["day", *seen])
+    inside = valid_fix(F.col("lat"), F.col("lon"))
+    at = slots.select(
+        "slot_id", F.when(inside, F.col("lat")).alias("lat"), F.when(inside, F.col("lon")).alias("lon"), F.round("accuracy", 1).alias("accuracy"),
+        F.when(F.col("source").isin(*sources), F.col("source")).alias("source"),
+    )
+    out = living.join(at, "slot_id", "left").join(last, "plant_id", "left")
+    return out.withColumn("block_id", F.concat(F.nullif(F.col("zone"), F.lit("")), F.lit("-"), F.nullif(F.col("block"), F.lit(""))))
+
+
 def status(model_class: Column, foliage: Column, ph: Column, day: Column) -> Column:
     """A model's class if it is a known one; else not inspected without a date, and by foliage and acidity with one."""
     by_rule = (

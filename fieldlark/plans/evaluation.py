@@ -205,9 +205,9 @@ def rank_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rank_shift(_ranked(spark, sf_dir, 6), 4, 6).select("query_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(_TOP + ", g AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE rank <= 10 AND NOT rel) SELECT query_id, item_id, rank FROM g WHERE rank <= 3")
+@query(_TOP + ", g AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE NOT rel) SELECT query_id, item_id, rank FROM g WHERE rank <= 3")
 def evidence_removal_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = retrieval.without_gold(_ranked(spark, sf_dir, 10), _relevant(spark, sf_dir), 3)
+    df = retrieval.top_k(*_vectors(spark, sf_dir), 3, apart="label")
     return df.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -312,9 +312,9 @@ def route_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.route_disagreement(li, b, "k").withColumn("disagreement", F.round("disagreement", 5))
 
 
-@query("SELECT DATE '2024-01-01' AS start, CAST(max(ts) AS DATE) AS end FROM events")
+@query("SELECT DATE '2024-01-01' AS start, greatest(DATE '2024-01-31', CAST(max(ts) AS DATE) + 1) AS end FROM events")
 def study_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.study_window(table(spark, sf_dir, "events"), "ts", "2024-01-01")
+    return records.study_window(table(spark, sf_dir, "events"), "ts", "2024-01-01", "2024-01-31")
 
 
 @query("SELECT l_orderkey, l_linenumber, p_brand AS plant_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 2 = 0")

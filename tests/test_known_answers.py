@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from fieldlark.functions import cleaning as fc
 from fieldlark.functions import geo
 from fieldlark.functions import text as ft
 from fieldlark.operators import cleaning, evaluate, gps, graph, learn, records, retrieval, spatial, temporal, twin
+from fieldlark.sources import cache
 
 
 def one(spark, column):
@@ -201,3 +203,51 @@ def test_folds_do_not_leak(spark):
     df = spark.createDataFrame([(i, i % 13, i % 2) for i in range(200)], "id int, g int, y int")
     folds = learn.group_folds(df, "g", "y", 4)
     assert learn.leaking_groups(folds, "g").isEmpty() and folds.select("fold").distinct().count() == 4
+
+
+def test_changed_predictions(spark):
+    """Rows that are not changed keep their prediction, and no model has seen the row it scores."""
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 7 > 3)) for i in range(120)], "id int, x double, y double")
+    folds = learn.repeated_folds(df, "id", "y", 2, 3)
+    p = learn.changed_predictions(df, {"same": df, "high": df.withColumn("x", F.lit(9.0))}, learn.pipeline(["x"], [], "y"), folds, "id", 2, 3)
+    p = {(r.id, r.variant): r.p for r in p.collect()}
+    assert len(p) == 360 and all(p[i, "same"] == p[i, "original"] and p[i, "high"] >= p[i, "original"] and p[i, "high"] > 0.5 for i in range(120))
+    one_odd = spark.createDataFrame([(i, float(i == 5), float(i == 5 or i % 2)) for i in range(60)], "id int, x double, y double")
+    own = one_odd.select("id", F.lit(0).alias("repeat"), F.when(F.col("id") == 5, 0).otherwise(1).alias("fold"))
+    p = learn.changed_predictions(one_odd, {}, learn.pipeline(["x"], [], "y"), own.where("fold = 0"), "id", 1, 1).collect()
+    assert [r.id for r in p] == [5] and p[0].p == pytest.approx(0.5, abs=0.02)  # the mark of row 5 alone says nothing without it
+
+
+def test_boosted_classes(spark):
+    df = spark.createDataFrame([(float(i % 3), float(i % 3) * 2 + (i % 5) / 10) for i in range(90)], "y double, x double")
+    model = learn.pipeline(["x"], [], "y", "boost", rounds=5).fit(df)
+    assert model.transform(df).where("prediction != y").isEmpty()
+
+
+def test_cache(spark, tmp_path):
+    df, built = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string"), []
+
+    def build():
+        built.append(1)
+        return df.select("k")
+
+    for model, rows in (("m", df), ("m", df.orderBy(F.desc("k"))), ("m2", df), ("m", df.where("k = 1")), ("m", df)):
+        assert cache.cached(spark, str(tmp_path), model, {"rows": rows}, build).count() == 2
+    assert len(built) == 3
+    for d in tmp_path.glob("*/description"):  # as a run leaves it that broke off before the end
+        shutil.rmtree(d)
+    cache.cached(spark, str(tmp_path), "m", {"rows": df}, build)
+    assert len(built) == 4
+
+
+def test_top_k_apart(spark):
+    rows = [(i, [1.0, float(i)], i % 2) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, part int")
+    got = {(r.query_id, r.item_id) for r in retrieval.top_k(df.where("id <= 5"), df, 2, 3, apart="part").collect()}
+    assert got == {(q, i) for q in range(1, 6) for i in ((28, 26) if q % 2 else (29, 27))}
+
+
+def test_study_window(spark):
+    df = spark.createDataFrame([("2026-11-05T10:00:00",), (None,), ("2026-08-01T00:00:00",)], "t string")
+    end = lambda d: str(records.study_window(d, "t", "2026-07-01", "2026-10-31").first()["end"])
+    assert (end(df), end(df.where("t < '2026-09'")), end(df.limit(0))) == ("2026-11-06", "2026-10-31", "2026-10-31")
