@@ -128,12 +128,20 @@ def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mcnemar(df, "a", "b").select("n10", "n01")
 
 
-@query()
+@query(
+    "WITH " + JUDGED + """, r AS (SELECT quality = 1 AS g, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY p) AS c FROM judged),
+a AS (SELECT count(*) FILTER (g)::DOUBLE AS n1, count(*) FILTER (NOT g)::DOUBLE AS n2, sum(rk) FILTER (g) AS r1, sum(c * c - 1)::DOUBLE AS ties FROM r),
+s AS (SELECT p - 0.5::DOUBLE AS d FROM judged WHERE p <> 0.5), q AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY abs(d)) AS c FROM s),
+b AS (SELECT count(*)::DOUBLE AS n, least(coalesce(sum(rk) FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)) AS w, sum(c * c - 1)::DOUBLE AS ties FROM q),
+z AS (SELECT 'mann_whitney' AS test, r1 - n1 * (n1 + 1) / 2 AS statistic, abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM a
+ UNION ALL SELECT 'wilcoxon', w, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) FROM b)
+SELECT test, statistic, round(1 - 2 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * i / 2000.0::DOUBLE, 2) / 2)) * z / 6000.0::DOUBLE / sqrt(2 * pi()), 4) AS p FROM z, range(2001) t(i) GROUP BY test, statistic, z"""
+)
 def rank_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = judged(spark, sf_dir)
     u = evaluate.mann_whitney(df.withColumn("g", F.col("quality") == 1), "g", "p").select(F.lit("mann_whitney").alias("test"), F.col("u").alias("statistic"), "p")
     w = evaluate.wilcoxon(df.withColumn("d", F.col("p") - 0.5), "d").select(F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"), "p")
-    return u.unionByName(w)
+    return u.unionByName(w).withColumn("p", F.round("p", 4))
 
 
 @query("WITH " + VISITS + """, m AS (SELECT zone, day, avg(score) AS s FROM visits GROUP BY ALL) SELECT zone, round(avg(s), 6) AS s_mean, round(stddev_samp(s), 6) AS s_std FROM m GROUP BY zone""")
@@ -331,4 +339,4 @@ def rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = judged(spark, sf_dir)
     u = evaluate.mann_whitney(df.withColumn("g", F.col("quality") == 1), "g", "p").select(F.lit("mann_whitney").alias("test"), F.col("u").alias("statistic"))
     w = evaluate.wilcoxon(df.withColumn("d", F.round(F.col("p") - 0.5, 12)), "d").select(F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"))
-    return u.unionByName(w)
+    return u.unionByName(w).withColumn("p", F.round("p", 4))

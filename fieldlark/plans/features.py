@@ -111,9 +111,17 @@ def gps_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("session", "n", "raw_x", *[F.round(c, 6).alias(c) for c in ("mean_x", "weighted_x", "median_x")])
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + FIXES
+    + """, o AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY n_fix, l_partkey, l_suppkey) AS i, x::DOUBLE AS x, y::DOUBLE AS y, pow(greatest(accuracy, 1.0::DOUBLE), 2) AS v FROM fixes),
+k AS (SELECT session, i, x, y, v AS p FROM o WHERE i = 1 UNION ALL SELECT o.session, o.i, k.x + (k.p + 0.01::DOUBLE) / (k.p + 0.01::DOUBLE + o.v) * (o.x - k.x), k.y + (k.p + 0.01::DOUBLE) / (k.p + 0.01::DOUBLE + o.v) * (o.y - k.y),
+ (k.p + 0.01::DOUBLE) * o.v / (k.p + 0.01::DOUBLE + o.v) FROM k JOIN o ON o.session = k.session AND o.i = k.i + 1)
+SELECT session, CAST(max(i) AS INTEGER) AS n, round(max_by(x, i), 6) AS kalman_x, round(max_by(y, i), 6) AS kalman_y FROM k GROUP BY session"""
+)
 def gps_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gps.kalman(fixes(spark, sf_dir), ["session"], "x", "y", "accuracy", ["n_fix", "l_partkey", "l_suppkey"])
+    df = gps.kalman(fixes(spark, sf_dir), ["session"], "x", "y", "accuracy", ["n_fix", "l_partkey", "l_suppkey"])
+    return df.select("session", "n", F.round("kalman_x", 6).alias("kalman_x"), F.round("kalman_y", 6).alias("kalman_y"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.functions import cleaning as fc
 from fieldlark.operators import cleaning, records, spatial
-from fieldlark.plans.registry import CYCLES, PLACES, VISITS, cycles, places, query, table, visits
+from fieldlark.plans.registry import CYCLES, HAVERSINE, PLACES, VISITS, cycles, places, query, table, visits
 
 
 @query("SELECT sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS dead, count(*) AS n_vines FROM (SELECT DISTINCT o_orderkey FROM orders)")
@@ -136,7 +136,10 @@ def clustered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.clustered_share_test(places(spark, sf_dir), "flag", ["zone"], 5.0, 3, 49)
 
 
-@query()
+@query(
+    "WITH " + PLACES + f""", p AS (SELECT *, label * 2.0::DOUBLE AS acc FROM places), n AS (SELECT DISTINCT a.id FROM p a JOIN p b ON a.id <> b.id AND a.zone = b.zone WHERE {HAVERSINE.format(a="a", b="b")} <= 75.0)
+SELECT id, acc > 15 AS poor, count(*) OVER (PARTITION BY lat, lon) > 1 AS shared, id NOT IN (SELECT id FROM n) AS isolated FROM p"""
+)
 def layout_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = places(spark, sf_dir).withColumn("acc", F.col("label") * 2.0)
     return spatial.layout_flags(p, "id", "acc")
