@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlark.llm import license_scan
+from fieldlark.llm import divergence, license_scan, spelling
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _COMPONENTS = """r AS (SELECT a AS id, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id WHERE r.c < l.b), comp AS (SELECT id, min(c) AS c FROM r GROUP BY id)"""
@@ -49,3 +49,67 @@ s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WH
 x AS MATERIALIZED (SELECT doc_id, len(ss) AS n, unnest(ss) AS sh FROM s), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 l AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * n >= 85 * (na + nb - n)), {_COMPONENTS}
 SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM s LEFT JOIN comp ON comp.id = doc_id"""
+
+
+def spelling_sql(rule: spelling.Spelling) -> str:
+    """Runs, the crc32 of document and run by its polynomial, and near words by their texts with one code point left out."""
+    return rf"""
+with recursive bits(byte, k, v) as (
+  select range::bigint, 0, range::bigint from range(256)
+  union all select byte, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8
+), steps as (select list(v order by byte) t from bits where k = 8),
+runs as (
+  select coalesce(doc_id::varchar, '') || ':' || translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as keyed,
+    translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) run from documents)
+), counted as (select keyed, run, count(*) c from runs where length(run) >= {rule.length} group by all),
+hexed as (select *, hex(encode(keyed)) x from counted),
+hashed as (
+  select run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i+1])::bigint)),
+    lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) h
+  from hexed, steps
+), slipped as (
+  select case when h % {rule.slip} = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, c from hashed
+), w as (select word, sum(c)::bigint n from slipped where length(word) >= {rule.length} group by word having sum(c) >= {rule.count}),
+cuts as (select word, n, unnest(range(1, length(word) + 1)) i from w),
+less as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) rest from cuts),
+near as (
+  select a.word, b.word other, b.n from less a join less b on a.i = b.i and a.rest = b.rest and length(a.word) = length(b.word) and a.word <> b.word
+  union select a.word, w.word, w.n from less a join w on a.rest = w.word
+  union select w.word, a.word, a.n from less a join w on a.rest = w.word
+), best as (select word, count(*) n_near, max(n) most, min(other) filter (n = top) form from (select *, max(n) over (partition by word) top from near) group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) n_near, case when most >= {rule.lead} * w.n then form end form, case when most >= {rule.lead} * w.n then most end form_n from w left join best using (word)),
+walk as (select word, word spot, form as next, 0 k from formed union all select walk.word, f.word, f.form, k + 1 from walk join formed f on f.word = walk.next)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from formed f join (select word, arg_max(spot, k) root from walk group by word) r using (word)
+"""
+
+
+#: Holds for tables whose article is an ``article`` element without anything to leave out, as that of the test tables.
+MAIN_TEXT = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) t from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(t, '</?(p|h1|br|div|li|ul)( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g') t from a),
+c as (select page_id, url, replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"') t from b),
+d as (select page_id, url, regexp_replace(replace(replace(t, '&#x27;', ''''), '&#39;', ''''), '&amp;?', '&', 'g') t from c),
+e as (select page_id, url, trim(regexp_replace(t, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+', ' ', 'g')) t from d)
+select page_id, url, t as text, length(t) n_chars, case when t <> '' then '/html/body/article' end path from e
+"""
+
+
+def divergence_sql(rule: divergence.Audit) -> str:
+    """Shares of all kept terms in every group and language, and sums over pairs of groups."""
+    return rf"""
+with d as (select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') as text from documents),
+t as (select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+v as (select lang, term, count(*)::hugeint c from t group by all having count(distinct id) >= {rule.docs}),
+sizes as (select lang, count(*)::hugeint v, sum(c)::hugeint n from v group by lang),
+groups as (select distinct lang, source from d),
+own as (select lang, source, term, count(*)::hugeint c from t group by all),
+counts as (select g.lang, g.source, v.term, coalesce(o.c, 0) c, sum(coalesce(o.c, 0)) over (partition by g.lang, g.source) n, sizes.v, v.c lang_c, sizes.n lang_n
+  from groups g join v using (lang) join sizes using (lang) left join own o on o.lang = g.lang and o.source = g.source and o.term = v.term),
+p as (select *, 1 + 1000000000::hugeint * (c + 2) // (n::hugeint + 2 * v) p, 1 + 1000000000::hugeint * (lang_c + 2) // (lang_n + 2 * v) q from counts),
+pairs as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, b.source item, coalesce(x.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+ranked as (select lang, source, 'pair' part, item, value, row_number() over (partition by lang, source order by value desc, item) rank from every
+  union all select * from (select lang, source, 'term' part, term item, ((p - q) * (p - q) // (p + q))::bigint as value, row_number() over (partition by lang, source order by (p - q) * (p - q) // (p + q) desc, term) rank from p where c > 0 and p > q) where rank <= {rule.terms})
+select lang, source, part, item, value, rank::int as rank from ranked
+"""

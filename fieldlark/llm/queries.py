@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from fieldlark.llm import (
     chat_format,
     decontaminate,
+    divergence,
     embedding_dedup,
     language_id,
     license_scan,
     line_dedup,
+    main_text,
     minhash_dedup,
     oracles,
     packing,
     pii_surrogates,
     sharding,
+    spelling,
 )
 from fieldlark.llm.common import secret_key, table
 
@@ -73,6 +76,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own: list[Query] = [
         op1_license_scan,
@@ -85,6 +100,9 @@ def queries() -> dict[str, Query]:
         op8_balanced_sharding,
         op9_minhash_near_dedup,
         op10_language_id,
+        op11_spelling_variants,
+        op12_html_extraction,
+        op13_source_divergence,
     ]
     return {q.__name__: q for q in own}
 
@@ -95,4 +113,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_near_dedup": oracles.EMBEDDINGS,
         "op6_chat_format": oracles.CHAT,
         "op9_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+        "op11_spelling_variants": oracles.spelling_sql(spelling.Spelling()),
+        "op12_html_extraction": oracles.MAIN_TEXT,
+        "op13_source_divergence": oracles.divergence_sql(divergence.Audit()),
     }
