@@ -16,6 +16,10 @@ The items go to the tasks in blocks of at most ``block_bytes``, one pass over th
 texts for each block. One block at a time is on the driver and in a plan; where there
 are several, what a pass found or left is written before the next.
 
+Shared q-grams are counted some millions at a time. Where a text and an item both repeat
+themselves, their hits would be the product of their lengths; there a band is kept by the places in
+its reach that have any q-gram of the item, which loses nothing either.
+
 Edge cases. Null or empty texts and items match nothing. Repeated items are reported
 for each id; repeated rows for each row. An empty benchmark finds nothing.
 :func:`without_leaks` drops no row for an item of fewer than ``least`` bytes, as a word
@@ -24,6 +28,7 @@ or two are too short to accuse a text; :func:`leaks` reports them.
 
 from __future__ import annotations
 
+import copy
 import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -37,6 +42,9 @@ from pyspark.sql import functions as F
 from fieldlark.llm.common import delete, fresh, text_batches, written
 
 _Q, _SLOTS = 8, 21
+_Q_MASKS = [np.uint64(2 ** (8 * q) - 1) for q in range(_Q + 1)]
+#: Hits that are held at a time, and hits a place of the texts beyond which an item is taken for repetitive.
+_HITS, _DENSE = 4_000_000, 48
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _FOUND = "doc_id long, item_id long, start long, length long, edits long"
 
@@ -87,7 +95,7 @@ class _Postings:
     """Where the q-grams of the items of one q stand."""
 
     def __init__(self, index: Index, q: int):
-        self.mask = np.uint64(2 ** (8 * q) - 1)
+        self.mask = _Q_MASKS[q]
         own = np.flatnonzero(index.q == q)
         n = index.size[own] - q + 1
         place = _runs(np.zeros(len(own), np.int64), n)
@@ -99,16 +107,32 @@ class _Postings:
         self.filled = np.zeros(1 << _SLOTS, bool)
         self.filled[_slot(self.keys)] = True
 
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the texts, item, place in the item) of each shared q-gram."""
+    def found(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the texts of q-grams that items have, and the number of each one's q-gram."""
         grams = grams & self.mask
         at = np.flatnonzero(self.filled[_slot(grams)])
         near = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
         ok = self.keys[near] == grams[at]
-        at, near = at[ok], near[ok]
+        return at[ok], near[ok]
+
+    def hits(self, at: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the texts, item, place in the item) of each shared q-gram."""
         post = _runs(self.at[near], self.count[near])
         return np.repeat(at, self.count[near]), self.item[post], self.place[post]
 
+    def repetitive(self, near: np.ndarray, most: int, items: int) -> np.ndarray:
+        """Whether an item would have more than ``most`` hits."""
+        times = np.repeat(np.bincount(near, minlength=len(self.keys)), self.count)
+        return np.bincount(self.item, times, items) > most
+
+    def without(self, items: np.ndarray) -> _Postings:
+        """The same without the items of a mask."""
+        kept, out = ~items[self.item], copy.copy(self)
+        out.item, out.place = self.item[kept], self.place[kept]
+        out.count = np.add.reduceat(kept.astype(np.int64), self.at)
+        out.at = np.cumsum(out.count) - out.count
+        return out
+
 
 class Index:
     """The items' q-grams, their bands and bounds. Items lie one behind the other, whatever their lengths."""
@@ -140,17 +164,57 @@ class Index:
         grams, out = _grams(data.tobytes()), []
         far = self.margin * np.arange(len(starts), dtype=np.int64)
         for p in self.postings:
-            at, item, place = p.hits(grams)
-            row = np.searchsorted(starts, at, "right") - 1
-            diagonal, width = at + far[row] - place, self.width[item]
+            at, near = p.found(grams)
+            if int(p.count[near].sum()) > _HITS:
+                dense = p.repetitive(near, max(_HITS, _DENSE * len(at)), len(self.ids))
+                if dense.any():
+                    out += [self._dense(i, grams & p.mask, starts, far) for i in np.flatnonzero(dense).tolist()]
+                    p = p.without(dense)
+            out += self._counted(p, at, near, starts, far)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _counted(self, p: _Postings, at: np.ndarray, near: np.ndarray, starts: np.ndarray, far: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bands with enough shared q-grams, by some millions of hits at a time; counts of bands that later places can reach are carried on."""
+        out, key, count = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        part = np.cumsum(p.count[near]) // _HITS
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            place, item, own = p.hits(at[a:b], near[a:b])
+            row = np.searchsorted(starts, place, "right") - 1
+            diagonal, width = place + far[row] - own, self.width[item]
             band = diagonal // width
             both = diagonal - band * width < self.budget[item]
-            item, band, row = (np.concatenate([x, y[both]]) for x, y in ((item, item), (band, band - 1), (row, row)))
-            _, one, n = np.unique(item * (1 << 40) + band + (1 << 20), return_index=True, return_counts=True)
-            one = one[n >= self.bound[item[one]]]
-            item, row = item[one], row[one]
-            out.append((item, row, band[one] * self.width[item] - far[row] - starts[row]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            new = np.concatenate([item * (1 << 40) + band, (item * (1 << 40) + band - 1)[both]]) + (1 << 20)
+            key, one = np.unique(np.concatenate([key, new]), return_inverse=True)
+            count = np.bincount(one, np.concatenate([count, np.ones(len(new), np.int64)]), len(key)).astype(np.int64)
+            item, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
+            reach = at[b] + far[np.searchsorted(starts, at[b], "right") - 1] if b < len(at) else np.iinfo(np.int64).max
+            done = band * self.width[item] + self.span[item] + self.size[item] < reach
+            full = done & (count >= self.bound[item])
+            out.append(self._placed(item[full], band[full], starts, far))
+            key, count = key[~done], count[~done]
+        return out
+
+    def _placed(self, item: np.ndarray, band: np.ndarray, starts: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, text, first diagonal in the text) of bands; a band lies nearest to the text that its hits are in."""
+        first = band * self.width[item]
+        row = np.clip(np.searchsorted(starts + far, first + self.size[item] + self.span[item], "right") - 1, 0, len(starts) - 1)
+        return item, row, first - far[row] - starts[row]
+
+    def _dense(self, i: int, grams: np.ndarray, starts: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bands of an item that repeats itself, against texts that repeat it too: hits would be the product of both.
+
+        A band is kept where the places in its reach with any q-gram of the item reach the bound. That holds
+        wherever the shared q-grams do, costs one pass, and leaves the rest to the alignment.
+        """
+        own = self.grams[self.first[i] : self.first[i] + self.size[i] - self.q[i] + 1] & _Q_MASKS[self.q[i]]
+        at = np.flatnonzero(np.isin(grams, own))
+        row = np.searchsorted(starts, at, "right") - 1
+        x, w, reach = at + far[row], int(self.width[i]), int(self.span[i] + self.size[i])
+        bands = np.unique(np.concatenate([np.unique(x // w) - k for k in range(reach // w + 2)]))
+        n = np.searchsorted(x, bands * w + reach) - np.searchsorted(x, bands * w)
+        bands = bands[n >= self.bound[i]]
+        return self._placed(np.full(len(bands), i), bands, starts, far)
 
     def _aligned(self, windows: np.ndarray, at: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Edits, start and end in its window of the best alignment in each region; ``at`` is where each window begins.

@@ -49,6 +49,7 @@ class Audit:
     chunk: int = 512
     block: int = 32
     run: int = 32
+    spread: int = 64
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
@@ -110,15 +111,17 @@ def _tile_sums(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if sums is None:
             sums, names = np.zeros((len(a), len(b)), np.int64), ([r.source for r in a], [r.source for r in b])
         if width := rows[0].width:
-            p, q = (_shares(_unpacked(x, width), np.array([r.total for r in x]), rows[0].terms) for x in (a, b))
+            p, q = (_shares(_unpacked(x, width), np.array([r.total for r in x], np.int64), rows[0].terms) for x in (a, b))
             for i in range(len(a)):
                 j = i + 1 if rows[0].tile_a == rows[0].tile_b else 0
                 apart = p[i] - q[j:]
                 sums[i, j:] += (apart * apart // (p[i] + q[j:])).sum(axis=1)
 
     def out() -> pd.DataFrame:
+        # Text as objects: pandas may hold a column of text in chunks, which a struct cannot take.
         i, j = np.triu_indices(len(names[0]), 1) if tile[1] == tile[2] else (x.ravel() for x in np.indices(sums.shape))
-        return pd.DataFrame({"lang": tile[0], "a": [names[0][k] for k in i], "b": [names[1][k] for k in j], "value": sums[i, j]})
+        texts = {"lang": [tile[0]] * len(i), "a": [names[0][k] for k in i], "b": [names[1][k] for k in j]}
+        return pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in texts.items()} | {"value": sums[i, j]})
 
     for frame in batches:
         for row in frame.itertuples(index=False):
@@ -172,7 +175,10 @@ def audit(docs: DataFrame, rule: Audit = Audit(), lang: str = "lang", source: st
     vocabulary = written(vocabulary.drop("lang_d"))
     langs = counts.select("lang").distinct().join(vocabulary.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_c").alias("lang_total")), "lang", "left")
     langs = langs.na.fill(0, ["terms", "lang_total"]).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("terms") / rule.chunk)).cast("int"))
-    numbered = _dealt(vocabulary.join(langs, "lang"), "term", F.col("parts"), "chunk", "place").drop("parts")
+    # A language's terms meet its sums in several tasks.
+    spread = F.explode(F.sequence(F.lit(0), F.lit(rule.spread - 1)))
+    sized = vocabulary.withColumn("_spread", F.pmod(F.xxhash64("term"), F.lit(rule.spread)).cast("int")).join(langs.withColumn("_spread", spread), ["lang", "_spread"])
+    numbered = _dealt(sized.drop("_spread"), "term", F.col("parts"), "chunk", "place").drop("parts")
     chunks = numbered.groupBy("lang", "chunk").agg(F.count("*").cast("int").alias("width"))
     kept = written(counts.join(numbered, ["lang", "term"]).select("lang", "source", "term", "c", "lang_c", "terms", "lang_total", "chunk", "place"))
     totals = kept.groupBy("lang", "source").agg(F.sum("c").alias("total"))
