@@ -69,9 +69,9 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
         for batch in text_batches(batches, "text", 1 << 24):
             for *group, body in zip(*(batch.column(n).to_pylist() for n in ("lang", "source", "text")), strict=True):
                 c, d = held.setdefault(tuple(group), (Counter(), Counter()))
-                found, before = Counter(terms.findall(body.encode().lower().decode())), len(c)
+                found, before = terms.findall(body.encode().lower().decode()), len(c)
                 c.update(found)
-                d.update(found.keys())
+                d.update(set(found))
                 size += len(c) - before
                 if size > _HELD:
                     yield full()
