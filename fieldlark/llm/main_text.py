@@ -26,6 +26,7 @@ again and stay. An empty table gives an empty result. Other columns are not read
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,6 +35,7 @@ from math import isqrt
 from zlib import crc32
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,24 +252,25 @@ def own_choice(paths: list[str], at: list[int], prose: list[int], most: int) ->
 
 
 def blocks(pages: DataFrame, rule: Consensus, page_id: str, url: str, source: str) -> DataFrame:
-    """``(page_id, url, host, own, weight, paths, path_of, texts, headings)``, one row a page."""
-    kinds = {"own": pa.string(), "weight": pa.int64(), "paths": pa.list_(pa.string()), "path_of": pa.list_(pa.int32()), "texts": pa.list_(pa.string()), "headings": pa.list_(pa.bool_())}
+    """``(page_id, url, host, own, weight, page)``, one row a page; ``page`` holds its blocks, compressed, as they are written and shuffled."""
+    kinds = {"own": pa.string(), "weight": pa.int64(), "page": pa.binary()}
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor()
         for batch in text_batches(batches, "html", 1 << 23):
             rows = []
             for body in batch.column("html").to_pylist():
                 paths, at, texts, prose, headings = read_page(body or "")
                 own, total = own_choice(paths, at, prose, rule.most)
-                rows.append((own, isqrt(total), paths, at, texts, headings))
+                page = packer.compress(json.dumps([paths, at, texts, headings], ensure_ascii=False).encode("utf-8", "replace")) if texts else None
+                rows.append((own, isqrt(total), page))
             new = {n: pa.array(x, t) for x, (n, t) in zip(zip(*rows, strict=True), kinds.items(), strict=True)}
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("page_id", "url", "host")} | new)
 
     host = F.regexp_extract(F.lower(F.trim(F.col(url))), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.nullif(host, F.lit("")).alias("host"), F.col(source).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, own string, weight long, paths array<string>, path_of array<int>, texts array<string>, headings array<boolean>"
-    return rows.mapInArrow(read, schema)
+    return rows.mapInArrow(read, f"page_id {kind}, url string, host string, own string, weight long, page binary")
 
 
 def winning_paths(read: DataFrame, rule: Consensus) -> DataFrame:
@@ -279,16 +282,37 @@ def winning_paths(read: DataFrame, rule: Consensus) -> DataFrame:
     return won.groupBy("host").agg(ranked.alias("r")).select("host", F.col("r.path").alias("winners"))
 
 
+def chosen(paths: list[str], at: list[int], tried: Iterable[str | None]) -> str | None:
+    """The first of the paths tried that has blocks below it."""
+    held = [paths[i] for i in set(at)]
+    return next((c for c in tried if c is not None and any(p == c or p.startswith(f"{c}/") for p in held)), None)
+
+
+def text_below(path: str, paths: list[str], at: list[int], texts: list[str], headings: list[bool]) -> str:
+    """All blocks below a path in page order, with the heading right above it."""
+    above = path.rpartition("/")[0]
+    if re.split("[/.]", above.rpartition("/")[2])[0] in ("", "html", "body"):
+        above = None
+    below = [p == path or p.startswith(f"{path}/") for p in paths]
+    return " ".join(t for i, t, h in zip(at, texts, headings, strict=True) if below[i] or (h and paths[i] == above))
+
+
 def extract(pages: DataFrame, rule: Consensus = Consensus(), page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars, path)`` for each row of ``pages``."""
     read = written(blocks(pages, rule, page_id, url, source))
-    found = read.join(winning_paths(read, rule), "host", "left")
-    below = "p = c or startswith(p, concat(c, '/'))"
-    tried = "array_compact(concat(coalesce(winners, array()), array(own)))"
-    chosen = F.expr(f"element_at(filter({tried}, c -> exists(path_of, k -> exists(array(paths[k]), p -> {below}))), 1)")
-    found = found.withColumn("path", F.when(F.try_element_at("texts", F.lit(1)).isNotNull(), chosen))
-    found = found.withColumn("above", F.regexp_extract("path", r"^(.*/body\b.*/.+)/[^/]*$", 1))
-    inside = "exists(array(paths[b.path_of]), p -> p = path or startswith(p, concat(path, '/')) or (b.headings and p = above))"
-    kept = F.expr(f"filter(arrays_zip(path_of, texts, headings), b -> {inside})")
-    text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["texts"]), " "), F.lit(""))
-    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "path")
+    found = read.join(winning_paths(read, rule), "host", "left").select("page_id", "url", "own", "winners", "page")
+
+    def taken(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = zstandard.ZstdDecompressor()
+        for batch in text_batches(batches, "page", 1 << 21):
+            texts, picked = [], []
+            for own, winners, page in zip(*(batch.column(n).to_pylist() for n in ("own", "winners", "page")), strict=True):
+                blocks = json.loads(reader.decompress(page)) if page else [[], []]
+                path = chosen(blocks[0], blocks[1], [*(winners or ()), own])
+                picked.append(path)
+                texts.append(text_below(path, *blocks) if path is not None else "")
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64()), "path": pa.array(picked, pa.string())}
+            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in ("page_id", "url")} | new)
+
+    kind = found.schema["page_id"].dataType.simpleString()
+    return found.mapInArrow(taken, f"page_id {kind}, url string, text string, n_chars long, path string")
