@@ -131,11 +131,6 @@ def top_values_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("zone").agg(F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]")).alias("ids"))
 
 
-@query()
-def clustered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.clustered_share_test(places(spark, sf_dir), "flag", ["zone"], 5.0, 3, 49)
-
-
 @query(
     "WITH " + PLACES + f""", p AS (SELECT *, label * 2.0::DOUBLE AS acc FROM places), n AS (SELECT DISTINCT a.id FROM p a JOIN p b ON a.id <> b.id AND a.zone = b.zone WHERE {HAVERSINE.format(a="a", b="b")} <= 75.0)
 SELECT id, acc > 15 AS poor, count(*) OVER (PARTITION BY lat, lon) > 1 AS shared, id NOT IN (SELECT id FROM n) AS isolated FROM p"""

@@ -245,9 +245,19 @@ def carried_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", records.carry_over_expired(t, F.lit("2024-02-10 12:00:00").cast("timestamp")).alias("expired"))
 
 
-@query("WITH " + PLACES + f", e AS (SELECT a.id AS a, b.id AS b FROM places a JOIN places b ON a.id <> b.id WHERE {_D} <= 2.0), c AS (SELECT a FROM e GROUP BY a HAVING count(*) + 1 >= 60), r AS (SELECT id, id IN (SELECT a FROM c) OR EXISTS (SELECT 1 FROM e WHERE e.a = id AND e.b IN (SELECT a FROM c)) AS inside FROM places) SELECT 2.0::DOUBLE AS eps_m, 60 AS min_pts, count(*) FILTER (NOT inside) AS noise FROM r")
+_EPS, _LEAST = [2.0, 3.0, 4.0, 6.0], [3, 5, 10]
+
+
+@query(
+    "WITH RECURSIVE " + PLACES + f""", g AS (SELECT eps, pts FROM (VALUES {", ".join(f"({e}::DOUBLE)" for e in _EPS)}) a(eps), (VALUES {", ".join(f"({k})" for k in _LEAST)}) b(pts)),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_D} AS d FROM places a JOIN places b ON a.id <> b.id WHERE {_D} <= {max(_EPS)}), core AS MATERIALIZED (SELECT eps, pts, id FROM g JOIN (SELECT eps AS x, id, (SELECT count(*) FROM e WHERE e.a = places.id AND d <= eps) + 1 AS n FROM places, (SELECT DISTINCT eps FROM g)) ON x = eps AND n >= pts),
+inner_ AS MATERIALIZED (SELECT ca.eps, ca.pts, e.a, e.b FROM e JOIN core ca ON ca.id = e.a AND e.d <= ca.eps JOIN core cb ON cb.id = e.b AND cb.eps = ca.eps AND cb.pts = ca.pts),
+r AS (SELECT eps, pts, id, id AS c FROM core UNION SELECT i.eps, i.pts, i.b, r.c FROM r JOIN inner_ i ON i.a = r.id AND i.eps = r.eps AND i.pts = r.pts WHERE r.c < i.b), lab AS (SELECT eps, pts, id, min(c) AS c FROM r GROUP BY ALL),
+bord AS (SELECT DISTINCT l.eps, l.pts, e.a AS id FROM e JOIN lab l ON l.id = e.b AND e.d <= l.eps), inside AS (SELECT eps, pts, id FROM lab UNION SELECT * FROM bord)
+SELECT g.eps AS eps_m, g.pts AS min_pts, (SELECT count(DISTINCT c) FROM lab WHERE lab.eps = g.eps AND lab.pts = g.pts) AS clusters, (SELECT count(*) FROM places) - (SELECT count(*) FROM inside i WHERE i.eps = g.eps AND i.pts = g.pts) AS noise FROM g"""
+)
 def dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.dbscan_grid(places(spark, sf_dir), [2.0], [60]).select("eps_m", "min_pts", "noise")
+    return spatial.dbscan_grid(places(spark, sf_dir), _EPS, _LEAST)
 
 
 _FLAGGED = "WITH RECURSIVE " + PLACES + f""", f AS (SELECT id % 3 AS cycle, id, lat, lon FROM places WHERE id % 2 = 0), e AS MATERIALIZED (SELECT a.cycle, a.id AS a, b.id AS b FROM f a JOIN f b ON a.cycle = b.cycle AND a.id <> b.id WHERE {_D} <= 5.0),

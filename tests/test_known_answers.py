@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldlark.functions import cleaning as fc
 from fieldlark.functions import geo
 from fieldlark.functions import text as ft
-from fieldlark.operators import cleaning, evaluate, gps, graph, learn, records, retrieval, spatial, temporal, twin
+from fieldlark.operators import cleaning, evaluate, gps, graph, learn, permutation, records, retrieval, spatial, temporal, tracks, twin
 from fieldlark.sources import cache
 
 
@@ -86,7 +86,7 @@ def test_elbow(spark):
 def test_join_count(spark):
     points = line(spark, [0, 5, 10, 15, 20, 25, 30, 35]).withColumn("flag", F.col("id") < 5).withColumn("zone", F.lit("A"))
     edges = spatial.edges_within(points, 6)
-    r = spatial.join_count_test(points, edges, "flag", ["zone"], 199).first()
+    r = permutation.join_count_test(points, edges, "flag", ["zone"], 199).first()
     assert r["join_count"] == 4 and 0 < r["p"] <= 0.2
 
 
@@ -94,7 +94,7 @@ def test_tracks(spark):
     rows = [("r", 0, 1, i, float(i), 0.0, 0.0) for i in (1, 2, 3)] + [("r", 1, 1, i, float(i), 0.0, float(i > 3)) for i in (1, 2, 3, 4)] + [("r", 1, 2, 9, 99.0, 0.0, 1.0)]
     rows += [("r", 2, 1, i, float(i), 0.0, 0.0) for i in (2, 3, 4, 30)]
     df = spark.createDataFrame(rows, "run string, cycle int, cluster int, id long, x double, y double, onset double")
-    got = {(r.cycle, r.hotspot_id): r for r in spatial.tracks(df, "run", 5.0).collect()}
+    got = {(r.cycle, r.hotspot_id): r for r in tracks.tracks(df, "run", 5.0).collect()}
     assert {k: r.status for k, r in got.items()} == {(0, "H001"): "new", (1, "H001"): "expanding", (1, "H002"): "new", (2, "H001"): "persistent", (2, "H002"): "resolved"}
     assert [got[c, "H001"].added for c in range(3)] == [0, 1, 1] and [got[c, "H001"].persistence for c in range(3)] == [1, 2, 3]
     one, two = got[1, "H001"], got[2, "H001"]
@@ -251,3 +251,91 @@ def test_study_window(spark):
     df = spark.createDataFrame([("2026-11-05T10:00:00",), (None,), ("2026-08-01T00:00:00",)], "t string")
     end = lambda d: str(records.study_window(d, "t", "2026-07-01", "2026-10-31").first()["end"])
     assert (end(df), end(df.where("t < '2026-09'")), end(df.limit(0))) == ("2026-11-06", "2026-10-31", "2026-10-31")
+
+
+def test_gaps_of_stems(spark):
+    from fieldlark.operators import gaps
+
+    p = lambda x, y: (float(x), float(y))
+    rows = [
+        ("straight on", p(0, 0), p(30, 0), p(1, 0), p(1, 0)), ("no tangents", p(0, 0), p(30, 40), None, None), ("against travel", p(0, 0), p(30, 0), p(-1, 0), p(0, 1)), ("too far", p(0, 0), p(161, 0), p(1, 0), p(1, 0)),
+        ("bend", p(0, 0), p(20, 0), p(0.6, 0.8), p(0.6, -0.8)), ("same point", p(5, 5), p(5, 5), None, p(1, 0)),
+    ]
+    df = spark.createDataFrame(rows, "k string, p0 struct<x:double,y:double>, p1 struct<x:double,y:double>, t0 struct<x:double,y:double>, t1 struct<x:double,y:double>")
+    got = {r.k: r for r in gaps.filled_gaps(df).collect()}
+    assert {k: r.method for k, r in got.items()} == {"straight on": "hermite", "no tangents": "hermite", "against travel": "hermite", "too far": "too_long", "bend": "hermite", "same point": "straight"}
+    assert got["straight on"].length == pytest.approx(30) and got["no tangents"].length == pytest.approx(50) and got["against travel"].length == pytest.approx(30)
+    assert got["too far"].length is None and len(got["straight on"].points) == 90 and got["same point"].length == 0
+    mid = got["bend"].points[len(got["bend"].points) // 2]
+    assert 20 < got["bend"].length < 36 and mid.y == pytest.approx(0.8 * 0.55 * 20 / 4, rel=0.02)
+    # The same curve under a tighter limit is given up for its chord.
+    tight = {r.k: r for r in gaps.filled_gaps(df, most_bend=1.01).collect()}
+    assert tight["bend"].method == "straight" and tight["bend"].length == 20 and all(q.y == 0 for q in tight["bend"].points)
+    # The directions at a gap come from 20 pixels of stem on either side.
+    stem = spark.createDataFrame([("a", 1, [p(0, 0), p(0, 25), p(0, 50)]), ("a", 2, [p(0, 60), p(30, 60)]), ("a", 3, [p(40, 60)])], "k string, s int, points array<struct<x:double,y:double>>")
+    g = {r.s: r for r in gaps.stem_gaps(stem, "k", "s", "points").collect()}
+    assert tuple(g[1].t0) == (0, 1) and tuple(g[1].t1) == (1, 0) and tuple(g[2].t0) == (1, 0) and g[2].t1 is None
+
+
+def test_density_clusters_against_brute_force(spark):
+    import random
+
+    from fieldlark.operators import density
+
+    assert density.reach_of_cells()
+    rng, deg = random.Random(4), 180 / math.pi / 6_371_000
+    for lat0, metres, least in [(7.3, 5.0, 4), (59.9, 5.0, 3), (0.0, 3.0, 1), (-45.0, 4.0, 9)]:
+        pts = [(i, i % 2, lat0 + rng.gauss(0, 12) * deg, 80 + rng.choice([rng.gauss(0, 12), rng.gauss(60, 3)]) * deg) for i in range(240)]
+        pts += [(1000 + i, 0, lat0, 80.0) for i in range(30)]
+
+        def near(a, b, metres=metres):
+            h = math.sin(math.radians(a[2] - b[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(a[3] - b[3]) / 2) ** 2
+            return a[1] == b[1] and 2 * 6_371_000 * math.asin(math.sqrt(h)) <= metres
+
+        around = {a[0]: [b[0] for b in pts if near(a, b)] for a in pts}
+        core = {i for i, n in around.items() if len(n) >= least}
+        label = {i: i for i in core}
+        while True:
+            new = {i: min(label[j] for j in around[i] if j in core) for i in core}
+            if new == label:
+                break
+            label = new
+        want = {i: label.get(i, min((label[j] for j in n if j in core), default=None)) for i, n in around.items()}
+        df = spark.createDataFrame([*pts, (5000, 0, None, 80.0)], "id long, g int, lat double, lon double")
+        assert {r.id: r.cluster for r in density.clusters(df, metres, least, ["g"]).collect()} == want | {5000: None}
+
+
+def test_swap_or_not_is_a_permutation():
+    import numpy as np
+
+    from fieldlark.operators import permutation
+
+    for n in (1, 2, 7, 64, 101):
+        at = permutation.places(np.arange(n), np.full(n, n), 50, seed=3)
+        assert all(sorted(at[:, r]) == list(range(n)) for r in range(50))
+    at = permutation.places(np.arange(20), np.full(20, 20), 4000)
+    assert abs(np.bincount(at[3], minlength=20) - 200).max() < 75  # each place alike often
+    assert abs(((at[0] < 5) & (at[1] < 5)).mean() - 5 * 4 / (20 * 19)) < 0.015  # pairs as without replacement
+
+
+def test_a_planted_patch_is_significant(spark):
+    from fieldlark.operators import permutation
+
+    step = 5 / (111_194.93 * math.cos(math.radians(7.3388)))
+    df = spark.createDataFrame([(i, "z", 7.3388 + (i // 10) * 5 / 111_194.93, 80.6957 + (i % 10) * step, i % 10 < 3 and i < 30) for i in range(60)], "id long, zone string, lat double, lon double, flag boolean")
+    edges = spatial.edges_within(df, 6.5)
+    r = permutation.join_count_test(df, edges, "flag", ["zone"]).first()
+    assert r["join_count"] == 12 and r["p"] <= 0.01
+    s = permutation.clustered_share_test(df, edges, "flag", ["zone"], 3).first()
+    assert s["observed"] == 1.0 and s["p"] <= 0.02
+    mixed = df.withColumn("flag", F.col("id") % 7 == 0)
+    assert permutation.join_count_test(mixed, edges, "flag", ["zone"]).first()["p"] > 0.5
+
+
+def test_tracks_take_each_cluster_once(spark):
+    """Two clusters want the same one before: the one that shares more takes it; a cycle without clusters ends a track."""
+    at = lambda c, k, ids: [("r", c, k, i, float(i), 0.0, 0.0) for i in ids]
+    df = spark.createDataFrame(at(0, 1, [1, 2, 3, 4]) + at(1, 7, [1]) + at(1, 8, [2, 3, 4]) + at(3, 1, [2, 3, 4]), "run string, cycle int, cluster int, id long, x double, y double, onset double")
+    all_cycles = spark.createDataFrame([("r", c) for c in range(5)], "run string, cycle int")
+    got = sorted((r.cycle, r.hotspot_id, r.status, r.size, r.persistence) for r in tracks.tracks(df, "run", 1.6, 0.2, all_cycles).collect())
+    assert got == [(0, "H001", "new", 4, 1), (1, "H001", "shrinking", 3, 2), (1, "H002", "new", 1, 1), (2, "H001", "resolved", 0, 2), (2, "H002", "resolved", 0, 1), (3, "H003", "new", 3, 1), (4, "H003", "resolved", 0, 1)]
