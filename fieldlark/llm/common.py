@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.operators.lineage import cut, shared_dir
 
-__all__ = ["ascii_lower", "cut", "delete", "fresh", "grouped", "groups", "secret_key", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
+__all__ = ["ascii_lower", "cut", "delete", "fresh", "grouped", "groups", "plain_names", "secret_key", "shared_dir", "table", "text_batches", "tiles", "with_columns", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def secret_key(spark: SparkSession) -> str:
-    """The key in ``spark.fieldlark.surrogate.key``. Where it is unset the tables are taken for made-up ones, as those of the tests are."""
-    return spark.conf.get("spark.fieldlark.surrogate.key", "made-up tables hold no secrets")
+    """The key in ``spark.fieldlark.surrogate.key``. Where it is unset one is drawn at random and kept in the session.
+
+    So nothing is ever replaced under a key that others know; surrogates of one session agree with each other, and
+    those of several only where the key is set.
+    """
+    name = "spark.fieldlark.surrogate.key"
+    if not spark.conf.get(name, None):
+        warnings.warn(f"{name} is unset: a key for this session is drawn, surrogates will differ from those of other sessions", stacklevel=2)
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
+
+
+def plain_names(docs: DataFrame, leave: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` without the columns ``leave``, its columns named c0, c1, ... so that no name of an operator's own can clash, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(c for c in docs.columns if c not in leave)}
+    return docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in names.items()]), names
 
 
 def fresh(spark: SparkSession) -> str:

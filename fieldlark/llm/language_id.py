@@ -133,7 +133,8 @@ def by_length(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray
 def log_probabilities(words: list[str], v: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Words by languages; ``p`` is languages by pieces, with the unknown piece last. The forward algorithm."""
     out, p = np.empty((len(words), len(p))), np.ascontiguousarray(p.T)
-    for rows, some in by_length(words):
+    # As many words at a time as four languages have room for.
+    for rows, some in by_length(words, max(1, 80_000 // max(1, p.shape[1]))):
         alpha = np.zeros((len(some[0]) + 1, len(some), p.shape[1]))
         alpha[0] = 1
         for start, end, at, ids in v.lattice(some):
@@ -237,7 +238,7 @@ class _Scores:
 
     def of(self, words: list[str]) -> np.ndarray:
         new = [w for w in dict.fromkeys(words) if w not in self.at]
-        if len(self.at) + len(new) > _CACHE:
+        if len(self.at) + len(new) > 4 * _CACHE // max(4, len(self.p)):
             self.at.clear()
             self.found, new = self.found[:0], list(dict.fromkeys(words))
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))

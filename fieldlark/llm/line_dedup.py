@@ -24,8 +24,8 @@ and no occurrence of a line that is in every text is shuffled.
 
 Words are what ASCII white space separates. Edge cases. Null and empty texts have no units
 and stay as they are. Rows that share a doc_id follow each other in an order of their own,
-and null doc_ids rank last, so of repeated rows one stays. Other columns pass through; of
-``n_units``, ``n_removed`` and ``removed`` the result has its own.
+and null doc_ids rank last, so of repeated rows one stays. Other columns pass through,
+whatever their names; of ``n_units``, ``n_removed`` and ``removed`` the result has its own.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlark.llm.common import text_batches, with_columns, written
+from fieldlark.llm.common import plain_names, text_batches, with_columns, written
 
 _LAST = 2**63 - 1
 #: What a byte is compared as: A-Z in lower case, white space as a space.
@@ -165,9 +165,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated units cut from ``text``, and n_units, n_removed, removed (start, end in the original)."""
     o = o or Units()
-    kept = [c for c in docs.columns if c not in ("n_units", "n_removed", "removed")]
+    docs, named = plain_names(docs, ("n_units", "n_removed", "removed"))
+    doc_id, text = named[doc_id], named[text]
     rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_rank")
-    docs = written(docs.select(*kept, rank, F.monotonically_increasing_id().alias("_row")))
+    docs = written(docs.select("*", rank, F.monotonically_increasing_id().alias("_row")))
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, "text", 4_000_000):
@@ -213,4 +214,5 @@ def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id"
             columns = {text: pa.array(texts, b.schema.field(text).type), "n_units": pa.array(counts, pa.int64()), "n_removed": pc.cast(pc.list_value_length(pa.array(gone, span)), pa.int64()), "removed": pa.array(gone, span)}
             yield with_columns(b, columns, drop=("_spans",))
 
-    return joined.mapInArrow(cut, T.StructType([*joined.drop("_spans").schema.fields, *new.fields]))
+    out = joined.mapInArrow(cut, T.StructType([*joined.drop("_spans").schema.fields, *new.fields]))
+    return out.select(*[F.col(n).alias(c) for c, n in named.items()], *new.fieldNames())

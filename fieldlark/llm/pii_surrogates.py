@@ -12,7 +12,9 @@ in all its addresses.
 A name's gender is that of its form of address. Behind a form that tells none (Dr) a given
 name has the gender that it has elsewhere in the text, else the one it has most often in
 the corpus, so that one person keeps one name. Names are found behind a form of address
-only, up to three words of them, and then wherever these words stand in the same text.
+or a greeting only, all words of them, and then wherever the whole name stands in the same text. A
+word of it that stands alone is replaced too, unless it is a common word (``COMMON``) or the text has it in
+lower case as well: "It took a Long time" is not about Mr Long.
 
 The distinct entities of the corpus are checked, of all kinds together: where two share a
 surrogate, or a surrogate is itself an entity, the later one draws again, until none does.
@@ -23,7 +25,7 @@ The texts are searched once and written with what was found; only what was found
 shuffled apart from them, and only texts with an entity meet their replacements in a join.
 
 Edge cases. Null and empty texts stay as they are. Rows are told apart by a number of their
-own, so null and repeated doc_ids are like any other. Other columns pass through; of columns
+own, so null and repeated doc_ids are like any other. Other columns pass through, whatever their names; of columns
 named ``n_entities`` or ``kinds`` in the input, the result has its own.
 """
 
@@ -34,14 +36,22 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlark.llm.common import cut, written
+from fieldlark.llm.common import cut, plain_names, written
 
 # Forms of address with the gender that they tell.
 FORMS = {
     "m": ["Mr", "Herr", "Monsieur", "M", "Señor", "Sr", "Don", "Sir", "Signor", "Господин", "Κύριος"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Signora", "Lady", "Госпожа", "Κυρία"],
-    "n": ["Mx", "Dr", "Prof"],
+    "n": ["Mx", "Dr", "Prof", "Dear"],
 }
+# Whom a letter greets without a name.
+GREETED = "Sir Sirs Madam All Team Customer Customers Friend Friends Reader Readers Editor Colleague Colleagues Members Student Students Parents Guest Guests Everyone God Lord".split()
+# Names that are common words too, in lower case. A mention of one alone is not taken for the person.
+COMMON = (
+    "will may june april august mark bill rose grace hope faith joy long young brown white black green gray grey king hill wood woods stone park field day price rich frank grant chase hunter page little best cross case bush rice lake "
+    "short small sharp smart savage summer autumn dawn art gene pat sue jack rob drew miles wade dale glen ray ward bell bond book banks brook brooks cook fish fox frost gold hall hand hart head hood house hunt law lane love major marsh "
+    "mason moon moore noble north south east west pearl pope power reed sage sands shields skinner snow spring steel strong sweet temple turner walker wall waters wise wolf worth"
+).split()
 # Syllables of made-up names by script, and endings by role.
 SYLLABLES = {
     "latin": "ba ke li mo nu ra se ti vo da fe gi jo lu na pe".split(),
@@ -56,6 +66,7 @@ ENDINGS = {
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 _NAME = r"\p{Lu}[\p{L}'’]++(?:-\p{Lu}[\p{L}'’]++)*+"
 _FORM = "|".join(f for fs in FORMS.values() for f in fs)
+_WORD = rf"(?!(?:{_FORM}|{'|'.join(GREETED)})(?!\p{{L}})){_NAME}"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: What stands before a secret's value.
 _SECRET = r"(?i:password|passwd|pwd|secret|api_?key)[\"']?[ \t]*+[=:][ \t]*+"
@@ -70,10 +81,10 @@ KINDS = {
     "cloud_key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "token": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
+    "phone": r"(?<![\d+.,-])(?:(?<!\d )0\d{2,4}[ /-]\d{3,4}[ -]\d{3,4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{_FORM})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "name": rf"(?<!\p{{L}})(?:{_FORM})\.? {_WORD}(?: {_WORD})*+",
 }
 
 
@@ -110,7 +121,7 @@ def _gender(match: Column) -> Column:
 def _units(match: Column) -> Column:
     """What is looked up for a match: (kind, entity). The words of a name, an address and its domain, the value of a secret, else the match."""
     kind = _kind(match)
-    words = F.slice(F.split(match, " "), 2, 3)
+    words = F.slice(F.split(match, " "), 2, F.length(match))
     unit = lambda k, e: F.struct(k.alias("kind"), e.alias("entity"))
     names = F.transform(words, lambda w, i: unit(F.when(i == F.size(words) - 1, F.lit("family")).otherwise(_gender(match)), w))
     value = F.regexp_extract(match, rf"(?s)^{_SECRET}[\"']?(.*?)[\"']?\z", 1)
@@ -256,11 +267,12 @@ def _gendered(units: DataFrame) -> DataFrame:
 
 def replace_entities(docs: DataFrame, o: Surrogates, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, and with ``n_entities`` and ``kinds`` (in order of place)."""
-    docs = docs.drop(*[c for c in ("n_entities", "kinds") if c in docs.columns])
+    docs, named = plain_names(docs, ("n_entities", "kinds"))
+    text = named[text]
     hint = F.coalesce(F.col(text).rlike(_HINT), F.lit(False))
     found = F.when(hint, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     docs = docs.select("*", found.alias("_found"), F.monotonically_increasing_id().alias("_row"))
-    names = [c for c in docs.columns if c not in ("_found", "_row")]
+    names = list(named.values())
     docs = written(docs)
     clean = docs.where(F.size("_found") == 0).select(*names, F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     some = docs.where(F.size("_found") > 0)
@@ -286,15 +298,21 @@ def replace_entities(docs: DataFrame, o: Surrogates, text: str = "text") -> Data
 
     between = F.split(F.col(text), PATTERN, -1)
     whole = F.array_join(F.zip_with(between, F.transform("_found", replaced), lambda s, r: F.concat(F.coalesce(s, F.lit("")), F.coalesce(r, F.lit("")))), "")
-    # Mentions of a name's words elsewhere in the same text.
-    words = F.filter(F.map_entries("_map"), lambda e: e["key"].rlike("^(m|f|n|family):"))
-    follow = lambda t, e: F.regexp_replace(
-        t, F.concat(F.lit(r"(?<!\p{L})\Q"), F.regexp_extract(e["key"], "^[a-z]+:(.*)$", 1), F.lit(r"\E(?!\p{L})")), e["value"]
-    )
-    whole = F.when(F.size(words) > 0, F.aggregate(words, whole, follow)).otherwise(whole)
+    # Mentions of a name elsewhere in the same text: first whole names, then their words one by one.
+    said = F.filter("_found", lambda m: _kind(m) == "name")
+    plain = lambda m: F.regexp_replace(m, r"^\S+ ", "")
+    whole_names = F.array_distinct(F.transform(said, lambda m: F.struct(plain(m).alias("old"), plain(replaced(m)).alias("new"))))
+    whole_names = F.filter(whole_names, lambda n: n["old"].contains(" "))
+    alone = lambda word: F.concat(F.lit(r"(?<!\p{L})\Q"), word, F.lit(r"\E(?!\p{L})"))
+    whole = F.when(F.size(whole_names) > 0, F.aggregate(whole_names, whole, lambda t, n: F.regexp_replace(t, alone(n["old"]), n["new"]))).otherwise(whole)
+    word_of = lambda e: F.regexp_extract(e["key"], "^[a-z]+:(.*)$", 1)
+    # A word that the text has in lower case too, or that is a common one, is not taken for the person where it stands alone.
+    common = lambda w: F.lower(w).isin(COMMON) | (F.lower(w) != w) & F.rlike(F.col(text), alone(F.lower(w)))
+    words = F.filter(F.map_entries("_map"), lambda e: e["key"].rlike("^(m|f|n|family):") & ~common(word_of(e)))
+    whole = F.when(F.size(words) > 0, F.aggregate(words, whole, lambda t, e: F.regexp_replace(t, alone(word_of(e)), e["value"]))).otherwise(whole)
     out = joined.select(
         *[F.when(F.size("_found") > 0, whole).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
         F.size("_found").alias("n_entities"),
         F.transform("_found", _kind).alias("kinds"),
     )
-    return clean.unionByName(out)
+    return clean.unionByName(out).select(*[F.col(n).alias(c) for c, n in named.items()], "n_entities", "kinds")

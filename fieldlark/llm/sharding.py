@@ -5,12 +5,13 @@ each document an edge to it, so a group of n has n edges and not n squared. In e
 round a hub's most frequent shard is found by an aggregate, its members elsewhere
 ask to move there, and requests are admitted under quotas: as many as go the other
 way between two shards, and more into shards with room left (Ugander and Backstrom
-2013). After the rounds, the linked documents that a shard has over its share, and
+2013). The rounds end when no fewer documents ask to move than in the round before. Then the linked documents that a shard has over its share, and
 all documents without links, fill the shards to sizes at most one row apart.
 
 Only counts for pairs of shards come to the driver. Rows are numbered by counts of
 buckets of bounded size and a running number inside a bucket; a hub that is large
-is spread over several buckets.
+is spread over several buckets. Rows are dealt by a number of their own, so equal rows are no
+bucket.
 
 Edge cases. A null text has size 1, no link, and the checksum of an empty text.
 Empty texts are a group like any other. Repeated rows are separate rows of one
@@ -32,7 +33,7 @@ _UNIT = 1 << 20
 @dataclass(frozen=True)
 class Sharding:
     shards: int = 16
-    rounds: int = 4
+    rounds: int = 20
     bucket_rows: int = 20_000
     seed: int = 5
 
@@ -57,7 +58,7 @@ def _by_pair(share: dict[tuple[int, int], float], k: int, a: Column, b: Column)
 
 def _propagated(nodes: DataFrame, o: Sharding, target: list[int]) -> DataFrame:
     """``home`` of the linked rows after a few rounds of moves."""
-    hub = ["h1", "h2"]
+    hub, before = ["h1", "h2"], float("inf")
     for _ in range(o.rounds):
         count = nodes.groupBy(*hub, "home").agg(F.count("*").alias("n"))
         best = count.groupBy(*hub).agg(F.max_by("home", F.struct("n", F.xxhash64("h1", "h2", "home"))).alias("best"))
@@ -67,9 +68,14 @@ def _propagated(nodes: DataFrame, o: Sharding, target: list[int]) -> DataFrame:
         flow = {k: n for k, n in flow.items() if k[0] != k[1]}
         if not flow:
             break
+        # Where no fewer ask to move than before, what is left does not fit.
+        if sum(flow.values()) >= before:
+            break
+        before = sum(flow.values())
         share = quotas(flow, [t - n for t, n in zip(target, load, strict=True)])
-        # Small groups move as one, large ones row by row.
-        draw = F.when(F.col("members") * 64 <= max(target), F.xxhash64("h1", "h2")).otherwise(F.xxhash64("doc_id", "h1"))
+        # A group moves in parts of a 64th of a shard at most.
+        parts = F.ceil(F.col("members") * 64 / max(1, *target))
+        draw = F.xxhash64("h1", "h2", F.pmod(F.xxhash64("number", "h1"), parts))
         moves = (F.col("home") != F.col("best")) & (F.pmod(draw, F.lit(_UNIT)) < _by_pair(share, o.shards, F.col("home"), F.col("best")))
         nodes = cut(asked.withColumn("home", F.when(moves, F.col("best")).otherwise(F.col("home"))).drop("best"))
     return nodes
@@ -81,13 +87,13 @@ def _numbered(rows: DataFrame, o: Sharding, n: int) -> DataFrame:
     buckets = max(1, n // (o.bucket_rows * o.shards))
     rows = rows.withColumns(
         {
-            "bucket": F.pmod(F.when(F.col("linked"), F.xxhash64("h1", "h2")).otherwise(F.xxhash64("doc_id", "crc")), F.lit(buckets)),
-            "part": F.pmod(F.xxhash64("doc_id", "h2"), F.when(F.col("linked"), F.ceil(F.col("members") / o.bucket_rows)).otherwise(F.lit(1))),
+            "bucket": F.pmod(F.when(F.col("linked"), F.xxhash64("h1", "h2")).otherwise(F.xxhash64("number")), F.lit(buckets)),
+            "part": F.pmod(F.xxhash64("number", "h2"), F.when(F.col("linked"), F.ceil(F.col("members") / o.bucket_rows)).otherwise(F.lit(1))),
         }
     )
     before = Window.partitionBy("home", "linked").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
     count = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*key).orderBy("h1", "h2", "doc_id", "size")
+    inside = Window.partitionBy(*key).orderBy("h1", "h2", "doc_id", "size", "number")
     return rows.withColumn("_at", F.row_number().over(inside) - 1).join(count, key).withColumn("rank", F.col("_at") + F.col("first")).drop("_at", "first", "bucket", "part")
 
 
@@ -106,12 +112,13 @@ def shards(docs: DataFrame, o: Sharding | None = None, doc_id: str = "doc_id", t
         F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("crc"),
         F.when(body.isNotNull(), F.xxhash64(body)).alias("h1"),
         F.when(body.isNotNull(), F.xxhash64(F.lit(o.seed), body)).alias("h2"),
+        F.monotonically_increasing_id().alias("number"),
     )
     base = cut(base)
     hubs = base.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("members")).where("members > 1")
     nodes = base.join(hubs, ["h1", "h2"], "left")
     nodes = nodes.withColumn("linked", F.col("members").isNotNull())
-    nodes = nodes.withColumn("home", F.pmod(F.xxhash64("doc_id", "crc", F.lit(o.seed)), F.lit(o.shards)).cast("int"))
+    nodes = nodes.withColumn("home", F.pmod(F.xxhash64("number", F.lit(o.seed)), F.lit(o.shards)).cast("int"))
     nodes = cut(nodes)
     n = nodes.count()
     target = [n // o.shards + (k < n % o.shards) for k in range(o.shards)]
