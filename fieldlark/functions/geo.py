@@ -65,6 +65,37 @@ def shoelace(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
 
 
+def ring_centroid(ring: Column) -> Column:
+    """The centre of mass of a ring's area; its first corner where it has no area."""
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    edge = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    total = lambda f: F.aggregate(F.zip_with(ring, following, f), F.lit(0.0), lambda a, t: a + t)
+    area = total(edge)
+    moment = lambda c: total(lambda p, q: (p[c] + q[c]) * edge(p, q))
+    centre = F.struct(*[(moment(c) / F.nullif(3 * area, F.lit(0.0))).alias(c) for c in "xy"])
+    first = F.element_at(ring, 1)
+    return F.when(area == 0, F.struct(*[first[c].cast("double").alias(c) for c in "xy"])).otherwise(centre)
+
+
+def clipped(ring: Column, at: tuple[Column, Column], away: tuple[Column, Column]) -> Column:
+    """The part of a ring on the side of a line that ``away`` points away from; the line goes through ``at``.
+
+    Each edge gives its first corner if that is inside and where it crosses the line (Sutherland and Hodgman 1974).
+    Right for convex rings, as Voronoi cells and hulls are; others may get edges along the line.
+    """
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    beyond = lambda p: (p["x"] - at[0]) * away[0] + (p["y"] - at[1]) * away[1]
+
+    def part(p: Column, q: Column) -> Column:
+        s, t = beyond(p), beyond(q)
+        share = s / F.nullif(s - t, F.lit(0.0))
+        crossing = point(p["x"] + share * (q["x"] - p["x"]), p["y"] + share * (q["y"] - p["y"]))
+        return F.array_compact(F.array(F.when(s <= 0, point(p["x"], p["y"])), F.when(s * t < 0, crossing)))
+
+    return F.flatten(F.zip_with(ring, following, part))
+
+
 def convex_hull(points: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
     """Corners of the hull of a small group of points, anticlockwise."""
     pts = sorted(set(points))

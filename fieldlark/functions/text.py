@@ -104,8 +104,8 @@ def bullets(text: Column) -> Column:
 
 
 def dehyphenated(text: Column) -> Column:
-    """Words broken at a line's end are joined."""
-    return F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2")
+    """Lines that end in a hyphen are joined with the next; the hyphen stays, as in a range or a compound."""
+    return F.regexp_replace(text, r"(?<=[A-Za-z0-9])-\n(?=[A-Za-z0-9])", "-")
 
 
 def dot(a: Column, b: Column) -> Column:

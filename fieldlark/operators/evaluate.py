@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.functions.probability import normal_two_sided, t_quantile, t_two_sided
 from fieldlark.operators.lineage import cut
 
 
@@ -240,29 +241,44 @@ def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
     choose = lambda n_, i: F.exp(_log_factorial(n_) - _log_factorial(i) - _log_factorial(n_ - i))
     tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + choose(n, i) * F.pow(F.lit(0.5), n))
     chi = F.pow(F.greatest(F.abs(F.col("n10") - F.col("n01")) - 1, F.lit(0)), 2) / F.nullif(n, F.lit(0))
-    return one.select("n10", "n01", F.when(n == 0, 1.0).when(n < 25, F.least(F.lit(1.0), 2 * tail)).otherwise(_normal_two_sided(F.sqrt(chi))).alias("p"))
+    return one.select("n10", "n01", F.when(n == 0, 1.0).when(n < 25, F.least(F.lit(1.0), 2 * tail)).otherwise(normal_two_sided(F.sqrt(chi))).alias("p"))
 
 
 def _log_factorial(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
 
 
-def _normal_two_sided(z: Column) -> Column:
-    """Two-sided tail of the normal distribution, by a rational approximation of erfc with a relative error of 1.2e-7."""
-    x = z / math.sqrt(2)
-    t = 1 / (1 + 0.5 * x)
-    # Coefficients of the approximation, lowest power first.
-    c = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = F.lit(c[-1])
-    for k in reversed(c[:-1]):
-        poly = poly * t + k
-    return t * F.exp(-x * x + poly)
+def _corrected(column: str, test_share: float) -> list[Column]:
+    """Mean, its corrected standard error and degrees of freedom, as aggregates."""
+    n = F.count(column)
+    spread = F.sqrt(F.var_samp(column) * (1 / n + test_share / (1 - test_share)))
+    return [F.avg(column).alias("mean"), spread.alias("_se"), (n - 1).alias("df")]
+
+
+def _with_t(df: DataFrame, tail: float = 0.05) -> DataFrame:
+    """t, p and the interval of a mean. Without any spread p is 1 for a mean of 0, else 0, and the interval is the mean."""
+    t = F.col("mean") / F.nullif("_se", F.lit(0.0))
+    p = F.when(F.col("_se") == 0, (F.col("mean") == 0).cast("double")).otherwise(t_two_sided(F.abs(F.col("mean")) / F.nullif("_se", F.lit(0.0)), F.col("df")))
+    half = F.when(F.col("_se") == 0, 0.0).otherwise(t_quantile(F.col("df"), tail) * F.col("_se"))
+    return df.withColumns({"t": t, "p": p, "ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half}).drop("_se")
 
 
 def corrected_t(differences: DataFrame, column: str, test_share: float) -> DataFrame:
-    """(mean, t, df) of paired fold differences with the variance corrected for overlapping training sets."""
-    n, v = F.count(column), F.var_samp(column)
-    return differences.agg(F.avg(column).alias("mean"), (F.avg(column) / F.sqrt((1 / n + test_share / (1 - test_share)) * F.nullif(v, F.lit(0.0)))).alias("t"), (n - 1).alias("df"))
+    """(mean, df, t, p, ci_low, ci_high) of paired fold differences with the variance corrected for overlapping training sets."""
+    return _with_t(differences.agg(*_corrected(column, test_share)))
+
+
+def comparisons(folds: DataFrame, pairs: DataFrame, at: Sequence[str], test_share: float) -> DataFrame:
+    """(comparison, classifier, metric, mean, df, t, p, ci_low, ci_high) for a whole grid of paired fold differences.
+
+    ``folds`` is (model, classifier, metric, *at, value), ``at`` naming the fold; ``pairs`` is (comparison, classifier,
+    model_a, model_b, classifier_b), where the second model may be that of another classifier. Folds that one side
+    lacks are left out.
+    """
+    a = folds.select(F.col("model").alias("model_a"), "classifier", "metric", *at, F.col("value").alias("_a"))
+    b = folds.select(F.col("model").alias("model_b"), F.col("classifier").alias("classifier_b"), "metric", *at, F.col("value").alias("_b"))
+    both = pairs.join(a, ["model_a", "classifier"]).join(b, ["model_b", "classifier_b", "metric", *at]).withColumn("_d", F.col("_a") - F.col("_b"))
+    return _with_t(both.groupBy("comparison", "classifier", "metric").agg(*_corrected("_d", test_share)))
 
 
 def wilcoxon(df: DataFrame, difference: str) -> DataFrame:
@@ -273,7 +289,7 @@ def wilcoxon(df: DataFrame, difference: str) -> DataFrame:
     one = ranked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0)).alias("minus")).crossJoin(ties)
     n, w = F.col("n"), F.least("plus", "minus")
     z = F.abs(w - n * (n + 1) / 4) / F.sqrt(F.nullif(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48, F.lit(0.0)))
-    return one.select("n", w.alias("w"), _normal_two_sided(z).alias("p"))
+    return one.select("n", w.alias("w"), normal_two_sided(z).alias("p"))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -285,7 +301,7 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     n1, n2 = F.col("n1"), F.col("n2")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(F.nullif(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))), F.lit(0.0)))
-    return one.select("n1", "n2", u.alias("u"), F.least(F.lit(1.0), _normal_two_sided(F.abs(u - n1 * n2 / 2) / spread)).alias("p"))
+    return one.select("n1", "n2", u.alias("u"), F.least(F.lit(1.0), normal_two_sided(F.abs(u - n1 * n2 / 2) / spread)).alias("p"))
 
 
 def repeated_means(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -120,23 +121,29 @@ def bridged(ends: DataFrame, candidates: DataFrame, group: str = "image") -> Dat
     comp = ends.select(group, F.col("id"), "component")
     c = candidates.join(comp.toDF(group, "a", "ca"), [group, "a"]).join(comp.toDF(group, "b", "cb"), [group, "b"]).where("ca != cb and a < b")
 
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        used, parent, rows = set(), {}, []
+    def pick(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Candidates come group by group in order of distance; held are the ends and components of one group."""
+        now, used, parent = None, set(), {}
 
         def root(x):
             while parent.get(x, x) != x:
                 x = parent[x]
             return x
 
-        for r in g.sort_values(["distance", "a", "b"]).itertuples():
-            if r.a in used or r.b in used or root(r.ca) == root(r.cb):
-                continue
-            used |= {r.a, r.b}
-            parent[root(r.ca)] = root(r.cb)
-            rows.append((g[group].iloc[0], r.a, r.b, r.distance))
-        return pd.DataFrame(rows, columns=[group, "a", "b", "distance"])
-
-    return c.groupBy(group).applyInPandas(pick, candidates.select(group, "a", "b", "distance").schema)
+        for f in frames:
+            rows = []
+            for g, p, q, d, ca, cb in f[[group, "a", "b", "distance", "ca", "cb"]].itertuples(index=False):
+                if g != now:
+                    now, used, parent = g, set(), {}
+                if p in used or q in used or root(ca) == root(cb):
+                    continue
+                used |= {p, q}
+                parent[root(ca)] = root(cb)
+                rows.append((g, p, q, d))
+            yield pd.DataFrame(rows, columns=[group, "a", "b", "distance"])
+
+    ordered = c.repartition(group).sortWithinPartitions(group, "distance", "a", "b")
+    return ordered.mapInPandas(pick, candidates.select(group, "a", "b", "distance").schema)
 
 
 def observed_and_estimated(segments: DataFrame, key: str, scale: float) -> DataFrame:

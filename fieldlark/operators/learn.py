@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.operators.kernels import RandomFourier
 from fieldlark.operators.lineage import cut
 from fieldlark.operators.numbering import dealt
 
@@ -57,7 +63,8 @@ def stratified_fraction(df: DataFrame, label: str, key: str, fraction: float) ->
 def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, model: str = "lr", weight: str | None = None, seed: int = 0, rounds: int = 400) -> Pipeline:
     """Scaled numbers, one-hot categories (unknown ones kept apart) and a classifier.
 
-    ``boost`` has ``rounds`` boosted trees of a class against the others, for any number of classes.
+    ``boost`` has ``rounds`` boosted trees of a class against the others, for any number of classes. ``svm`` is a support
+    vector machine on the features of an RBF kernel; it gives no probabilities, see :func:`calibrated`.
     """
     stages = [VectorAssembler(inputCols=list(numeric), outputCol="_num", handleInvalid="error"), StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True)]
     if categorical:
@@ -68,20 +75,51 @@ def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, mod
         "lr": lambda: LogisticRegression(labelCol=label, maxIter=50, regParam=0.01),
         "tree": lambda: DecisionTreeClassifier(labelCol=label, maxDepth=6, minInstancesPerNode=5, seed=seed),
         "forest": lambda: RandomForestClassifier(labelCol=label, numTrees=400, minInstancesPerNode=2, seed=seed),
+        "svm": lambda: OneVsRest(labelCol=label, featuresCol="mapped", classifier=LinearSVC(maxIter=60, regParam=0.001, featuresCol="mapped")),
         "boost": lambda: OneVsRest(labelCol=label, classifier=GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=4, subsamplingRate=0.8, seed=seed)),
     }
+    if model == "svm":
+        stages.append(RandomFourier(inputCol="features", outputCol="mapped", seed=seed))
     clf = kinds[model]()
     return Pipeline(stages=[*stages, clf.setWeightCol(weight) if weight else clf])
 
 
+def _each(tasks: Sequence, run, parallel: int = 6) -> list:
+    """Several fits at a time: each is a few small Spark jobs, so one after the other would leave executors idle."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return [f.result() for f in [pool.submit(run, t) for t in tasks]]
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def out_of_fold(df: DataFrame, build: Pipeline, folds: int, keep: Sequence[str]) -> DataFrame:
     """Predictions of each fold by a model of the others."""
-    out = None
-    for k in range(folds):
+
+    def one(k: int) -> DataFrame:
         model = build.fit(df.where(F.col("fold") != k))
-        part = scored(model, df.where(F.col("fold") == k)).select(*keep, "fold", "probability_1", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return scored(model, df.where(F.col("fold") == k)).select(*keep, "fold", "probability_1", "prediction")
+
+    return _union(_each(range(folds), one))
+
+
+def repeated_out_of_fold(df: DataFrame, build: Pipeline, assignment: DataFrame, key: str, repeats: int, folds: int, keep: Sequence[str]) -> DataFrame:
+    """(key, repeat, fold, *keep, probability_1, prediction): each row once a repeat, by a model that was fitted without its fold.
+
+    ``assignment`` is (key, repeat, fold), as :func:`repeated_folds` gives it.
+    """
+    all_ = cut(df.join(assignment, key))
+
+    def one(at: tuple[int, int]) -> DataFrame:
+        own = all_.where(F.col("repeat") == at[0])
+        model = build.fit(own.where(F.col("fold") != at[1]))
+        return scored(model, own.where(F.col("fold") == at[1])).select(key, "repeat", "fold", *keep, "probability_1", "prediction")
+
+    return _union(_each([(r, k) for r in range(repeats) for k in range(folds)], one))
 
 
 def changed_predictions(features: DataFrame, changed: Mapping[str, DataFrame], build: Pipeline, assignment: DataFrame, key: str, repeats: int, folds: int) -> DataFrame:
@@ -91,17 +129,41 @@ def changed_predictions(features: DataFrame, changed: Mapping[str, DataFrame], b
     by models that were fitted without the row, one of each repeat.
     """
     variants = {name: cut(df) for name, df in {"original": features, **changed}.items()}
-    assignment, out = cut(assignment), None
-    for r in range(repeats):
-        for k in range(folds):
-            test = assignment.where((F.col("repeat") == r) & (F.col("fold") == k)).select(key)
-            model = build.fit(variants["original"].join(test, key, "left_anti"))
-            for name, df in variants.items():
-                part = scored(model, df.join(test, key, "left_semi")).select(key, F.lit(name).alias("variant"), "probability_1")
-                out = part if out is None else out.unionAll(part)
+    assignment = cut(assignment)
+
+    def one(at: tuple[int, int]) -> DataFrame:
+        test = assignment.where((F.col("repeat") == at[0]) & (F.col("fold") == at[1])).select(key)
+        model = build.fit(variants["original"].join(test, key, "left_anti"))
+        return _union([scored(model, df.join(test, key, "left_semi")).select(key, F.lit(name).alias("variant"), "probability_1") for name, df in variants.items()])
+
+    out = _union(_each([(r, k) for r in range(repeats) for k in range(folds)], one))
     return out.groupBy(key, "variant").agg(F.avg("probability_1").alias("p"))
 
 
+def calibrated(df: DataFrame, build: Pipeline, assignment: DataFrame, key: str, label: str, folds: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, fold, label, *keep, margin, probability_1, prediction) of a machine that gives margins only (M3).
+
+    Margins of each fold come from a model of the others; a logistic curve through the margins of the other folds makes
+    them probabilities (Platt 1999), so no row has a part in its own score. Binary labels 0 and 1.
+    """
+    all_ = cut(df.join(assignment, key))
+    # A class against the rest has one margin for each class; that of class 1 against that of class 0.
+    margin = vector_to_array("rawPrediction")
+    margin = F.get(margin, F.lit(1)) - F.get(margin, F.lit(0))
+
+    def one(k: int) -> DataFrame:
+        model = build.fit(all_.where(F.col("fold") != k))
+        return model.transform(all_.where(F.col("fold") == k)).select(key, "fold", label, *keep, margin.alias("margin"))
+
+    margins = cut(_union(_each(range(folds), one)))
+    curve = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="_m"), LogisticRegression(featuresCol="_m", labelCol=label, maxIter=50)])
+
+    def fitted(k: int) -> DataFrame:
+        return scored(curve.fit(margins.where(F.col("fold") != k)), margins.where(F.col("fold") == k)).select(key, "fold", label, *keep, "margin", "probability_1", "prediction")
+
+    return _union(_each(range(folds), fitted))
+
+
 def final_model(df: DataFrame, build: Pipeline, features: Sequence[str], folder: str, facts: Mapping[str, object]) -> None:
     """Fits on all rows and writes the model, and a card that says what it is, beside it.
 
@@ -178,23 +240,39 @@ def time_forward(df: DataFrame, week: str, cut: int) -> tuple[DataFrame, DataFra
     return df.where(F.col(week) <= cut), df.where(F.col(week) > cut)
 
 
-def random_search(df: DataFrame, build: Pipeline, grid: dict[str, Sequence], tries: int, folds: int, seed: int = 0, parallel: int = 4):
-    """The best of randomly drawn settings of the last stage by cross-validation on ``fold`` (M7)."""
-    import random
+def drawn_settings(clf, grid: Mapping[str, Sequence], tries: int, seed: int = 0) -> list[dict]:
+    """As many different combinations of a grid as are asked for, or all there are, in an order drawn at random (M7)."""
+    every = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    random.Random(seed).shuffle(every)
+    return [{clf.getParam(n): v for n, v in one.items()} for one in every[:tries]]
 
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    rng, clf, maps = random.Random(seed), build.getStages()[-1], []
-    for _ in range(tries):
-        b = ParamGridBuilder()
-        for name, values in grid.items():
-            b = b.baseOn({clf.getParam(name): rng.choice(list(values))})
-        maps += b.build()
-    cv = CrossValidator(estimator=build, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol=clf.getLabelCol()), numFolds=folds, foldCol="fold", parallelism=parallel)
+def random_search(df: DataFrame, build: Pipeline, grid: Mapping[str, Sequence], tries: int, folds: int, seed: int = 0, parallel: int = 4) -> CrossValidatorModel:
+    """The best of randomly drawn settings of the last stage by macro F1 over the folds in ``fold``, fitted on all rows (M7)."""
+    clf = build.getStages()[-1]
+    judge = MulticlassClassificationEvaluator(labelCol=clf.getLabelCol(), predictionCol="prediction", metricName="f1")
+    cv = CrossValidator(estimator=build, estimatorParamMaps=drawn_settings(clf, grid, tries, seed), evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallel)
     return cv.fit(df)
 
 
+def nested_search(df: DataFrame, build: Pipeline, grid: Mapping[str, Sequence], key: str, group: str, label: str, outer: int = 5, inner: int = 3, tries: int = 8, seed: int = 0) -> DataFrame:
+    """(key, fold, label, prediction, settings): folds inside folds, all by group (M7).
+
+    Settings are searched on the other outer folds only, in inner folds dealt anew among their groups, and the winner,
+    fitted on all of these, predicts the outer fold. So neither the search nor the fit sees a group that is judged.
+    """
+    dealt_ = cut(group_folds(df, group, label, outer, seed).withColumnRenamed("fold", "outer"))
+
+    def one(k: int) -> DataFrame:
+        train = group_folds(dealt_.where(F.col("outer") != k), group, label, inner, seed + 1 + k)
+        found = random_search(train, build, grid, tries, inner, seed + k, parallel=2)
+        best = found.getEstimatorParamMaps()[max(range(len(found.avgMetrics)), key=lambda i: found.avgMetrics[i])]
+        settings = ", ".join(f"{p.name}={v}" for p, v in best.items())
+        return found.bestModel.transform(dealt_.where(F.col("outer") == k)).select(key, F.col("outer").alias("fold"), label, "prediction", F.lit(settings).alias("settings"))
+
+    return _union(_each(range(outer), one, 3))
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], key: str, label: str, seed: int = 0) -> list[tuple[str, float]]:
     """Loss of accuracy when a column's values are dealt anew."""
     accuracy = lambda d: scored(model, d).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]

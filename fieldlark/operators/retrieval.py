@@ -6,11 +6,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.functions.text import dot, windows
-from fieldlark.operators.lineage import cut
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 250, overlap: int = 50) -> DataFrame:
@@ -19,78 +19,104 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 250, overlap: int =
     return each.select(key, "chunk", F.col("w.start").alias("start"), F.size("w.words").alias("n_words"), F.array_join("w.words", " ").alias("text"))
 
 
-def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, number, title, body) of numbered sections (V2). A heading counts only if it continues the outline.
+def outline(lines: Column) -> Column:
+    """The headings among an array of lines, (line, level, number, title), as a fold whose state is the place in the outline (V2).
 
-    A top-level number follows the last one, one of two levels is under the current top level, one of three under
-    the current second level. The outline is a state that runs through one document, so a document is a row of a task.
+    A line names a place by one to three numbers of up to two digits with points between, maybe one behind, and a title that
+    begins with a capital and has 3 to 71 characters. It counts if the place is the next one on the top level, or lies
+    directly below the place that is open on the level above; so a numbered list in a body is no heading.
     """
+    parsed = F.transform(lines, lambda s: F.struct(F.regexp_extract(s, r"^([0-9.]+)\s", 1).alias("label"), F.trim(F.regexp_extract(s, r"^[0-9.]+\s+(.*)$", 1)).alias("title")))
+    name = lambda p: F.regexp_replace(p["label"], r"\.$", "")
+    fits = lambda p: name(p).rlike(r"^[0-9]{1,2}(\.[0-9]{1,2}){0,2}$") & p["title"].rlike(r"^[A-Z]") & F.length(p["title"]).between(3, 71)
+    path = lambda p: F.transform(F.split(name(p), r"\."), lambda x: x.try_cast("int"))
+    place = F.transform(parsed, lambda p, i: F.struct(i.alias("line"), F.when(fits(p), path(p)).alias("path"), name(p).alias("number"), p["title"].alias("title")))
+
+    def step(s: Column, p: Column) -> Column:
+        depth = F.size(p["path"])
+        open_ = s["open"]
+        next_top = (depth == 1) & (p["path"][0] == F.get(open_, F.lit(0)) + 1)
+        below = (depth > 1) & (F.size(open_) >= depth - 1) & (F.slice(open_, 1, F.greatest(depth - 1, F.lit(1))) == F.slice(p["path"], 1, F.greatest(depth - 1, F.lit(1))))
+        taken = p["path"].isNotNull() & (next_top | below)
+        # A place of the third level leaves the second open.
+        opened = F.when(depth < 3, p["path"]).otherwise(open_)
+        heading = F.struct(p["line"].alias("line"), depth.alias("level"), p["number"].alias("number"), p["title"].alias("title"))
+        return F.when(F.coalesce(taken, F.lit(False)), F.struct(opened.alias("open"), F.concat(s["found"], F.array(heading)).alias("found"))).otherwise(s)
+
+    # Before the first part the place is 0, below which parts of a preface may be numbered.
+    start = F.struct(F.array(F.lit(0)).alias("open"), F.array().cast("array<struct<line:int,level:int,number:string,title:string>>").alias("found"))
+    return F.aggregate(place, start, step)["found"]
+
+
+def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, number, title, body) of the numbered sections of an outline (V2); what stands before the first is left out."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s: F.trim(s))
+    each = docs.select(key, lines.alias("_lines")).withColumn("_found", outline(F.col("_lines"))).select(key, "_lines", "_found", F.posexplode("_found").alias("_i", "_h"))
+    end = F.coalesce(F.get("_found", F.col("_i") + 1)["line"], F.size("_lines"))
+    body = F.slice("_lines", F.col("_h.line") + 2, end - F.col("_h.line") - 1)
+    return each.select(key, F.col("_h.number").alias("number"), F.col("_h.title").alias("title"), F.array_join(F.filter(body, lambda s: s != ""), " ").alias("body"))
+
 
-    def parse(text_: str | None) -> list[tuple[str, str, str]]:
-        import re
-
-        out: list[list[str]] = []
-        top, second = 0, None
-        for line in (text_ or "").split("\n"):
-            m = re.match(r"^(\d{1,2}(?:\.\d{1,2}){0,2})\.?\s+([A-Z].{2,70})$", line.strip())
-            levels = m[1].split(".") if m else []
-            if len(levels) == 1 and int(levels[0]) == top + 1:
-                top, second = top + 1, None
-            elif len(levels) == 2 and int(levels[0]) == top:
-                second = m[1]
-            elif not (len(levels) == 3 and ".".join(levels[:2]) == second):
-                m = None
-            if m:
-                out.append([m[1], m[2].strip(), ""])
-            elif out and line.strip():
-                out[-1][2] += line.strip() + " "
-        return [(a, b, c.strip()) for a, b, c in out]
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, *s) for k, t in zip(f[key], f[text], strict=True) for s in parse(t)]
-            yield pd.DataFrame(rows, columns=[key, "number", "title", "body"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, number string, title string, body string")
-
-
-def top_k(queries: DataFrame, items: DataFrame, k: int, query_block: int = 4_096, apart: str | None = None) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, query_block: int = 4_096, item_block: int = 65_536, apart: str | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): the k largest inner products of each query (J16, T1, V1), ties by item id.
 
-    ``queries`` and ``items`` are (id, vector). Queries come in blocks of a bounded size; each block is held by
-    the tasks, which multiply it with their items and keep k for each query, so what is shuffled is k rows for
-    a query and task. The number of blocks follows the number of queries; where there are several, what one
-    has found is written before the next is read. Items with the query's own value of the column ``apart`` are left out.
+    ``queries`` and ``items`` are (id, vector); vectors must not be null. Both are dealt into blocks, and a cell of the
+    grid of blocks holds one block of queries and lets its items pass by in batches, keeping k for each query. The k best
+    of the cells' are ranked by Spark, which keeps k of a query in each task before it shuffles. So neither the
+    driver nor a task holds more than a block. Items with the query's own value of the column ``apart`` are left out.
     """
-    columns = ["id", "vector", *([apart] if apart else [])]
-    n = queries.count()
-    blocks = -(-n // query_block) or 1
-    out = None
-    for b in range(blocks):
-        block = queries.select(*columns).where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toPandas()
-
-        def best(frames: Iterable[pd.DataFrame], block: pd.DataFrame = block) -> Iterator[pd.DataFrame]:
-            if not len(block):
-                return
-            q = np.stack([np.asarray(v, np.float64) for v in block.vector])
-            for f in frames:
-                f = f.sort_values("id", kind="stable")
-                s = q @ np.stack([np.asarray(v, np.float64) for v in f.vector]).T
+    extra = [F.col(apart).cast("string").alias("apart")] if apart else [F.lit(None).cast("string").alias("apart")]
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_queries, n_items = queries.count(), items.count()
+    across, down = max(1, -(-n_queries // query_block)), max(1, -(-n_items // item_block), min(parts, n_items // 256))
+
+    def dealt(df: DataFrame, kind: int, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        rows = df.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), *extra, F.lit(kind).alias("kind"))
+        return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    grid = dealt(queries, 0, "qb", across, "ib", down).unionByName(dealt(items, 1, "ib", down, "qb", across))
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        ready = None
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy() for c in ("qb", "ib", "kind")], axis=1)
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if cell != (now := tuple(names[a, :2])):
+                    cell, held, ready = now, [], None
+                if names[a, 2] == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    ready = (np.concatenate([h.column("id").to_numpy() for h in held]), np.concatenate([_rows(h.column("vector")) for h in held]), [x for h in held for x in h.column("apart").to_pylist()])
+                ids, q, groups = ready
+                own = part.column("id").to_numpy()
+                order = np.argsort(own, kind="stable")
+                s = q @ _rows(part.column("vector"))[order].T
                 if apart:
-                    s[block[apart].to_numpy()[:, None] == f[apart].to_numpy()[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                best_ = pd.DataFrame(
-                    {"query_id": np.repeat(block.id.to_numpy(), top.shape[1]), "item_id": f.id.to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}
-                )
-                yield best_[best_.score > -np.inf]
-
-        part = items.select(*columns).mapInPandas(best, "query_id long, item_id long, score double")
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
-        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        part = cut(part) if blocks > 1 else part
-        out = part if out is None else out.unionAll(part)
-    return out
+                    names_ = {x: i for i, x in enumerate(dict.fromkeys([*groups, *part.column("apart").to_pylist()]))}
+                    mine, theirs = (np.array([names_[x] if x is not None else -1 - i for x in y]) for i, y in enumerate((groups, part.column("apart").to_pylist())))
+                    s[mine[:, None] == theirs[order][None, :]] = -np.inf
+                # Ties are by id, so scores that are equal in nine digits must not decide who is kept.
+                top = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
+                got = np.take_along_axis(s, top, 1)
+                keep = got.ravel() > -np.inf
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, top.shape[1])[keep], "item_id": own[order][top].ravel()[keep], "score": got.ravel()[keep]})
+
+    cells = grid.repartition(max(parts, min(across * down, 8 * parts)), "qb", "ib").sortWithinPartitions("qb", "ib", "kind")
+    found = cells.mapInArrow(best, "query_id long, item_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _rows(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
 def rank_shift(ranked: DataFrame, first: int, last: int) -> DataFrame:

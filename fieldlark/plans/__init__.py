@@ -1,6 +1,6 @@
 """Registered queries over the test tables."""
 
-from fieldlark.plans import evaluation, features, files, passages, records, spatial, state, texts  # noqa: F401  they register their queries
+from fieldlark.plans import evaluation, features, files, models, passages, records, spatial, state, texts  # noqa: F401  they register their queries
 from fieldlark.plans.registry import QUERIES, SQL
 
 

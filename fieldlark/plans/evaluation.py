@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.functions import text as ft
 from fieldlark.operators import evaluate, learn, retrieval, trends
-from fieldlark.plans.registry import CYCLES, JUDGED, VISITS, cycles, judged, query, table, visits
+from fieldlark.plans.registry import CYCLES, JUDGED, VISITS, cycles, judged, normal_tail, query, t_tail, table, visits
 
 
 @query("WITH " + JUDGED + "SELECT q.v AS truth, count(*) FILTER (guess = 0) AS as_0, count(*) FILTER (guess = 1) AS as_1 FROM (VALUES (0), (1)) q(v) LEFT JOIN judged ON quality = q.v GROUP BY q.v")
@@ -122,10 +122,15 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bootstrap(table(spark, sf_dir, "labels"), "quality")
 
 
-@query("WITH " + JUDGED + "SELECT count(*) FILTER (quality = guess AND quality <> toxic) AS n10, count(*) FILTER (quality <> guess AND quality = toxic) AS n01 FROM judged")
+@query(
+    "WITH " + JUDGED + """, c AS (SELECT count(*) FILTER (quality = guess AND quality <> toxic) AS n10, count(*) FILTER (quality <> guess AND quality = toxic) AS n01 FROM judged), s AS (SELECT *, n10 + n01 AS n, sqrt(pow(greatest(abs(n10 - n01) - 1, 0), 2) / nullif(n10 + n01, 0)::DOUBLE) AS z FROM c)
+SELECT n10, n01, round(CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN least(1, 2 * list_sum(list_transform(range(0, least(n10, n01) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * pow(0.5, n)))) ELSE """
+    + normal_tail("z")
+    + " END, 6) AS p FROM s"
+)
 def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = judged(spark, sf_dir).select((F.col("quality") == F.col("guess")).alias("a"), (F.col("quality") == F.col("toxic")).alias("b"))
-    return evaluate.mcnemar(df, "a", "b").select("n10", "n01")
+    return evaluate.mcnemar(df, "a", "b").select("n10", "n01", F.round("p", 6).alias("p"))
 
 
 @query(
@@ -170,9 +175,10 @@ def undersampled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lr_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions of five repeats of ten folds; five numbers for each labelled document."""
     df = judged(spark, sf_dir).withColumn("quality", F.col("quality").cast("double"))
-    df = learn.group_folds(df, "source", "quality", 3)
-    return learn.out_of_fold(df, learn.pipeline(["p", "n_chars", "toxic"], ["lang"], "quality"), 3, ["doc_id", "quality"])
+    folds = learn.repeated_folds(df, "doc_id", "quality", 5, 10)
+    return learn.repeated_out_of_fold(df, learn.pipeline(["p", "n_chars", "toxic"], ["lang"], "quality"), folds, "doc_id", 5, 10, ["quality"])
 
 
 _TOP = """WITH d AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score, q.label = i.label AS rel FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id),
@@ -332,11 +338,44 @@ def repeated_fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH " + JUDGED + """, a AS (SELECT quality, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM judged WHERE p IS NOT NULL), d AS (SELECT p - 0.5 AS d FROM judged WHERE p <> 0.5), b AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY round(abs(d), 12)) - 1) / 2.0::DOUBLE AS r FROM d)
-SELECT 'mann_whitney' AS test, sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0::DOUBLE AS statistic FROM a UNION ALL SELECT 'wilcoxon', least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) FROM b"""
+    "WITH " + JUDGED + """, r AS (SELECT quality = 1 AS g, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY p)::DOUBLE AS c FROM judged WHERE p IS NOT NULL),
+a AS (SELECT count(*) FILTER (g)::DOUBLE AS n1, count(*) FILTER (NOT g)::DOUBLE AS n2, sum(rk) FILTER (g) AS r1, sum(c * c - 1) AS ties FROM r), a2 AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n, ties FROM a),
+d AS (SELECT round(p - 0.5, 12) AS d FROM judged WHERE round(p - 0.5, 12) <> 0), b AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY abs(d))::DOUBLE AS c FROM d),
+b2 AS (SELECT count(*)::DOUBLE AS n, least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0)) AS w, sum(c * c - 1) AS ties FROM b),
+z AS (SELECT 'mann_whitney' AS test, u AS statistic, abs(u - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM a2 UNION ALL SELECT 'wilcoxon', w, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) FROM b2)
+SELECT test, statistic, round(""" + normal_tail("z") + ", 6) AS p FROM z"
 )
 def rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = judged(spark, sf_dir)
-    u = evaluate.mann_whitney(df.withColumn("g", F.col("quality") == 1), "g", "p").select(F.lit("mann_whitney").alias("test"), F.col("u").alias("statistic"))
-    w = evaluate.wilcoxon(df.withColumn("d", F.round(F.col("p") - 0.5, 12)), "d").select(F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"))
-    return u.unionByName(w)
+    u = evaluate.mann_whitney(df.withColumn("g", F.col("quality") == 1), "g", "p").select(F.lit("mann_whitney").alias("test"), F.col("u").alias("statistic"), "p")
+    w = evaluate.wilcoxon(df.withColumn("d", F.round(F.col("p") - 0.5, 12)), "d").select(F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"), "p")
+    return u.unionByName(w).withColumn("p", F.round("p", 6))
+
+
+#: (comparison, classifier, model_a, model_b, classifier_b)
+_PAIRS = [("guess_vs_toxic", "all", "guess", "toxic", "all"), ("guess_vs_toxic", "en", "guess", "toxic", "en"), ("guess_vs_ones", "all", "guess", "ones", "all"), ("guess_vs_ones", "en", "guess", "ones", "all"), ("toxic_vs_itself", "all", "toxic", "toxic", "all")]
+
+
+@query(
+    "WITH " + JUDGED + f""", m AS (SELECT source, lang, quality, p, model, CASE model WHEN 'guess' THEN guess WHEN 'toxic' THEN toxic ELSE 1 END AS g FROM judged, (VALUES ('guess'), ('toxic'), ('ones')) v(model)),
+k AS (SELECT *, classifier FROM m, (VALUES ('all'), ('en')) c(classifier) WHERE classifier = 'all' OR lang = 'en'),
+f AS (SELECT model, classifier, source, 'accuracy' AS metric, avg((quality = g)::INTEGER::DOUBLE) AS value FROM k GROUP BY ALL UNION ALL SELECT model, classifier, source, 'brier', avg(pow(g - p, 2)) FROM k GROUP BY ALL),
+pairs AS (SELECT * FROM (VALUES {", ".join(map(str, _PAIRS))}) t(comparison, classifier, model_a, model_b, classifier_b)),
+d AS (SELECT comparison, pairs.classifier, a.metric, a.value - b.value AS d FROM pairs JOIN f a ON a.model = model_a AND a.classifier = pairs.classifier JOIN f b ON b.model = model_b AND b.classifier = classifier_b AND b.metric = a.metric AND b.source = a.source),
+s AS (SELECT comparison, classifier, metric, avg(d) AS mean, count(*) - 1 AS df, sqrt(var_samp(d) * (1 / count(*)::DOUBLE + 0.25)) AS se FROM d GROUP BY ALL),
+q AS (SELECT *, CASE df WHEN 19 THEN 2.093024054408263::DOUBLE END AS crit FROM s) SELECT comparison, classifier, metric, round(mean, 6) AS mean, df, round(CASE WHEN se = 0 THEN (mean = 0)::INTEGER::DOUBLE ELSE """
+    + t_tail("abs(mean) / nullif(se, 0)", "df")
+    + " END, 6) AS p, round(mean - CASE WHEN se = 0 THEN 0 ELSE crit * se END, 6) AS ci_low, round(mean + CASE WHEN se = 0 THEN 0 ELSE crit * se END, 6) AS ci_high FROM q"
+)
+def comparison_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as folds, three models, all languages and English as classifiers. The SQL has the quantile of 19 degrees of freedom, as there are 20 sources."""
+    j = judged(spark, sf_dir)
+    models = {"guess": F.col("guess"), "toxic": F.col("toxic"), "ones": F.lit(1)}
+    m = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), c.cast("int").alias("g")) for n, c in models.items()]))
+    kinds = F.explode(F.when(F.col("lang") == "en", F.array(F.lit("all"), F.lit("en"))).otherwise(F.array(F.lit("all"))))
+    each = j.select("source", "quality", "p", kinds.alias("classifier"), m.alias("m")).groupBy("m.model", "classifier", "source")
+    each = each.agg(F.avg((F.col("quality") == F.col("m.g")).cast("double")).alias("accuracy"), F.avg(F.pow(F.col("m.g") - F.col("p"), 2)).alias("brier"))
+    folds = each.unpivot(["model", "classifier", "source"], ["accuracy", "brier"], "metric", "value")
+    pairs = spark.createDataFrame(_PAIRS, "comparison string, classifier string, model_a string, model_b string, classifier_b string")
+    found = evaluate.comparisons(folds, pairs, ["source"], 0.2)
+    return found.select("comparison", "classifier", "metric", "df", *[F.round(c, 6).alias(c) for c in ("mean", "p", "ci_low", "ci_high")])

@@ -88,9 +88,16 @@ def zones_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.zones_of_points(p, readers.geojson_rings(spark, _collection(spark), "name"), "id")
 
 
-@query("SELECT 'north' AS block, 12.0::DOUBLE AS planted")
+@query("SELECT c_nationkey::VARCHAR AS block, sum(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS planted FROM customer GROUP BY ALL HAVING sum(CASE WHEN c_acctbal > 0 THEN c_acctbal END) > 0 AND c_nationkey % 5 > 0")
 def planted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.planted_counts(spark, _collection(spark), "name", "planted")
+    """A feature collection of the nations, written by Spark; where a nation's count is no number it is left out."""
+    path = _path(spark)
+    total = F.sum(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))).cast("string")
+    n = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(total.alias("v"))
+    n = n.withColumn("v", F.when(F.col("k") % 5 > 0, F.col("v")).otherwise(F.element_at(F.array(*map(F.lit, ["none", "NaN", "Infinity", "-3", "0"])), (F.floor(F.col("k") / 5) + 1).cast("int"))))
+    feature = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("block"), F.col("k").cast("string"), F.lit("planted"), F.col("v")).alias("properties"))
+    n.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")).coalesce(1).write.text(path)  # 25 nations
+    return readers.planted_counts(spark, path, "block", "planted")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0")
@@ -175,9 +182,30 @@ def evidence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", *[F.get_json_object("j", f"$.{c}").cast("double").alias(c) for c in "vw"])
 
 
-@query("SELECT CAST(b * 10 + k AS BIGINT) AS plant, CAST(b AS BIGINT) AS block, (b * 6 * 2.5 + (k % 4) * 2.5)::DOUBLE AS x, ((k // 4) * 2.5)::DOUBLE AS y FROM range(7) t(b), range(10) u(k)")
+@query("SELECT p_partkey AS plant, p_partkey // 40 AS block, (p_partkey // 40) * 22.5::DOUBLE + p_partkey % 40 % 7 * 2.5::DOUBLE AS x, (p_partkey % 40 // 7) * 2.5::DOUBLE AS y FROM part")
 def simulated_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.layout(spark, 7, 10)
+    """A part is a plant; 40 plants are a block."""
+    return simulate.layout(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), 40)
+
+
+@query("SELECT vec_id AS plant, 30::BIGINT AS n, true AS near, true AS wide, true AS accurate FROM embeddings")
+def simulated_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty fixes around each place: their mean is within 1.5 of it, their deviation is that asked for within bounds, accuracies are 3 to 12."""
+    plants = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("plant"), (F.col("embedding")[0] * 100).cast("double").alias("x"), (F.col("embedding")[1] * 100).cast("double").alias("y"))
+    each = simulate.noisy_fixes(plants, 30, 1.5).join(plants.toDF("plant", "px", "py"), "plant").groupBy("plant", "px", "py")
+    found = each.agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_samp("x").alias("sx"), F.min("accuracy").alias("lo"), F.max("accuracy").alias("hi"))
+    return found.select("plant", "n", (F.hypot(F.col("mx") - F.col("px"), F.col("my") - F.col("py")) < 1.5).alias("near"), F.col("sx").between(0.6, 2.6).alias("wide"), ((F.col("lo") >= 3) & (F.col("hi") <= 12)).alias("accurate"))
+
+
+@query(
+    """WITH p AS (SELECT vec_id AS plant, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings), s AS (SELECT x AS sx, y AS sy FROM p ORDER BY plant LIMIT 1), d AS (SELECT plant, sqrt(pow(x - sx, 2) + pow(y - sy, 2)) AS d FROM p, s)
+SELECT plant, cycle FROM d, range(4) c(cycle) WHERE d <= 5 * (1 + 0.3 * cycle)"""
+)
+def simulated_hotspot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A focus that reaches all plants within 5 and a third more each cycle, from the plant of the least number."""
+    plants = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("plant"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
+    start = plants.orderBy("plant").limit(1)
+    return simulate.planted_hotspots(plants, 4, 5.0, share=1.0, start=start).withColumn("cycle", F.col("cycle").cast("long"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id % 11 <> 0 GROUP BY user_id")
@@ -199,6 +227,18 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(dead).agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH e AS (SELECT user_id AS session, ts, (event_id % 40)::DOUBLE AS accuracy, min(ts) OVER (PARTITION BY user_id) AS began FROM events), g AS (SELECT *, sum((accuracy <= 10)::INTEGER) OVER (PARTITION BY session ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (accuracy <= 10)::INTEGER AS before FROM e),
+k AS (SELECT * FROM g WHERE before < 3 AND ts <= began + INTERVAL 12 DAY), s AS (SELECT session, min(ts) AS began, max(ts) AS ended, count(*) AS n_fixes, sum((accuracy <= 10)::INTEGER)::BIGINT AS n_good FROM k GROUP BY ALL)
+SELECT session, began, ended, n_fixes, n_good, CASE WHEN n_good >= 3 THEN 'enough' WHEN (SELECT max(ts) FROM events) > began + INTERVAL 12 DAY THEN 'timeout' ELSE 'open' END AS reason FROM s"""
+)
+def capture_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user is a session, which ends with its third fix of an accuracy of 10 or after 12 days."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 40).alias("accuracy"))
+    out = sync.captures(e, "user_id", 3, 10.0, 12 * 86_400.0)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("began", "ended")})
+
+
 @query(
     """WITH RECURSIVE r AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id UNION ALL SELECT r.user_id, min(e.ts) FROM r JOIN events e ON e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL 2 DAY GROUP BY r.user_id)
 SELECT user_id, ts FROM r"""

@@ -87,8 +87,8 @@ def evidence_removal_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = cut(_features(spark, sf_dir, _ranked(spark, sf_dir, 3)))
     mean = before.agg(F.avg("s2")).first()[0]
     features, after = before.withColumn("y", (F.col("s2") > mean).cast("double")), _features(spark, sf_dir, _without_own(spark, sf_dir))
-    build, folds = learn.pipeline(_Z, [], "y"), learn.repeated_folds(features, "query_id", "y", 2, 3)
-    p = learn.changed_predictions(features, {"after": after.withColumn("y", F.lit(0.0))}, build, folds, "query_id", 2, 3)
+    build, folds = learn.pipeline(_Z, [], "y"), learn.repeated_folds(features, "query_id", "y", 5, 10)
+    p = learn.changed_predictions(features, {"after": after.withColumn("y", F.lit(0.0))}, build, folds, "query_id", 5, 10)
     at = lambda v: F.max(F.when(F.col("variant") == v, F.col("p")))
     return p.groupBy("query_id").agg(at("original").alias("p_before"), at("after").alias("p_after")).where("p_after is not null").withColumn("delta", F.col("p_after") - F.col("p_before"))
 

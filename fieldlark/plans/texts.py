@@ -9,7 +9,8 @@ from fieldlark.functions import cleaning as fc
 from fieldlark.functions import geo
 from fieldlark.functions import text as ft
 from fieldlark.operators import cleaning, evaluate, graph, records, retrieval, spatial, trends, twin
-from fieldlark.plans.registry import HAVERSINE, JUDGED, PLACES, judged, places, query, table
+from fieldlark.operators.lineage import cut
+from fieldlark.plans.registry import HAVERSINE, JUDGED, PLACES, judged, places, query, t_tail, table
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,13 @@ def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID = "said AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL)"
 
 
-@query("WITH " + _SAID + " SELECT conv_id, turn, regexp_matches(text, '[à-ÿ]') AS accented, regexp_matches(text, '[0-9]') AS has_digit FROM said")
+@query("WITH " + _SAID + " SELECT conv_id, turn, (conv_id + turn) % 2 = 0 AS other_script, regexp_matches(text, '[à-ÿ]') AS accented, regexp_matches(text, '[0-9]') AS has_digit FROM said")
 def script_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _said(spark, sf_dir).select("conv_id", "turn", ft.in_script(F.col("text"), "00E0", "00FF").alias("accented"), ft.has_digit(F.col("text")).alias("has_digit"))
+    # Every second text gets a letter of the default script put into its middle.
+    t = F.col("text")
+    half = F.floor(F.length(t) / 2).cast("int")
+    other = F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, F.concat(F.substring(t, F.lit(1), half), F.lit("\u0d9a"), F.substring(t, half + 1, F.length(t)))).otherwise(t)
+    return _said(spark, sf_dir).select("conv_id", "turn", ft.in_script(other).alias("other_script"), ft.in_script(F.col("text"), "00E0", "00FF").alias("accented"), ft.has_digit(F.col("text")).alias("has_digit"))
 
 
 @query("WITH " + _SAID + " SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 2 THEN 'Hi!' ELSE trim(text) END AS rest FROM said")
@@ -45,33 +50,54 @@ def section_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(ft.section_references(said), ";").alias("refs"))
 
 
-@query("SELECT p_partkey, p_name || chr(10) || p_brand AS lines, p_brand || 'walls' AS joined FROM part")
+@query("SELECT p_partkey, p_name || chr(10) || p_brand AS lines, p_brand || 'wa-lls' || p_name || '- ' AS joined FROM part")
 def bullets_and_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
     bulleted = F.concat(F.lit(" • "), "p_name", F.lit("•  • "), "p_brand", F.lit(" •"))
-    broken = F.concat("p_brand", F.lit("wa-\nlls"))
+    broken = F.concat("p_brand", F.lit("wa-\nlls"), "p_name", F.lit("- "))
     return table(spark, sf_dir, "part").select("p_partkey", ft.bullets(bulleted).alias("lines"), ft.dehyphenated(broken).alias("joined"))
 
 
-def _books(spark: SparkSession, sf_dir: str, end: str = "\n4 Not the next\n3.1 Nor this") -> DataFrame:
-    """A numbered outline for each nation, its name in the bodies."""
-    n = F.col("n_name")
-    text = F.concat(F.lit("title page\n1 First part\nintro "), n, F.lit("\n1.1 Wet soil\nwater it\n1.1.1 Deep roots\n"), n, F.lit(" roots\n1. Kill the pods\n2 Second part\nno 2.5 heading\n2.3 Later on\nlater "), n, F.lit(end))
-    return table(spark, sf_dir, "nation").select("n_nationkey", text.alias("text"))
+#: A place in an outline for each order line: its numbers, and a title from the part; bodies are the orders' comments of sorts.
+_LINES = """li AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL), ord AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS i FROM li),
+lines AS (SELECT k, i, p % 4 AS a, CASE WHEN s % 3 > 0 THEN p % 3 + 1 END AS b, CASE WHEN s % 3 > 1 THEN s % 5 + 1 END AS c, CASE WHEN s % 7 = 0 THEN 'part ' ELSE 'Part ' END || p::VARCHAR AS title, 'body ' || s::VARCHAR AS body FROM ord)"""
 
 
-@query(
-    """SELECT n_nationkey, number, title, replace(body, '@', n_name) AS body FROM nation, (VALUES ('1', 'First part', 'intro @'), ('1.1', 'Wet soil', 'water it'), ('1.1.1', 'Deep roots', '@ roots 1. Kill the pods'),
- ('2', 'Second part', 'no 2.5 heading'), ('2.3', 'Later on', 'later @ 4 Not the next 3.1 Nor this')) u(number, title, body)"""
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts: each line makes a line that may be a heading, and one that is none."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    s, p = F.col("s"), F.col("p")
+    number = F.concat_ws(".", (p % 4).cast("string"), F.when(s % 3 > 0, p % 3 + 1).cast("string"), F.when(s % 3 > 1, s % 5 + 1).cast("string"))
+    text = F.concat(number, F.lit(" "), F.when(s % 7 == 0, "part ").otherwise("Part "), p.cast("string"), F.lit("\n  body "), s.cast("string"))
+    return li.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+_OUTLINE = (
+    "WITH RECURSIVE "
+    + _LINES
+    + """, st AS (SELECT k, 0::BIGINT AS i, 0::BIGINT AS top, NULL::BIGINT AS sec, false AS ok FROM lines GROUP BY k UNION ALL
+SELECT s.k, l.i, CASE WHEN t.ok AND l.b IS NULL THEN l.a ELSE s.top END, CASE WHEN t.ok AND l.b IS NULL THEN NULL WHEN t.ok AND l.c IS NULL THEN l.b ELSE s.sec END, t.ok FROM st s JOIN lines l ON l.k = s.k AND l.i = s.i + 1,
+ LATERAL (SELECT coalesce(l.title LIKE 'Part%' AND CASE WHEN l.b IS NULL THEN l.a = s.top + 1 WHEN l.c IS NULL THEN l.a = s.top ELSE l.a = s.top AND l.b = s.sec END, false) AS ok) t),
+each AS (SELECT l.*, st.ok, concat_ws('.', a, b, c) AS number, sum(st.ok::INTEGER) OVER (PARTITION BY l.k ORDER BY l.i) AS sec_no FROM lines l JOIN st ON st.k = l.k AND st.i = l.i),
+found AS (SELECT k, sec_no, max(number) FILTER (ok) AS number, max(title) FILTER (ok) AS title, string_agg(CASE WHEN ok THEN body ELSE number || ' ' || title || ' ' || body END, ' ' ORDER BY i) AS body FROM each WHERE sec_no > 0 GROUP BY ALL) """
 )
+
+
+@query(_OUTLINE + "SELECT k, number, title, body FROM found")
 def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.sections(_books(spark, sf_dir), "n_nationkey", "text")
+    return retrieval.sections(_books(spark, sf_dir), "k", "text")
+
+
+def _small_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_name")
+    text = F.concat(F.lit("title page\n1 First part\nintro "), n, F.lit("\n1.1 Wet soil\nwater it\n1.1.1 Deep roots\n"), n, F.lit(" roots\n1. Kill the pods\n2 Second part\nno 2.5 heading\n2.3 Later on\nlater "), n, F.lit("\n2.4 More of it\nthe end"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.alias("text"))
 
 
 @query(
     """SELECT n_nationkey, number, title, replace(body, '@', n_name) AS body FROM nation, (VALUES ('1', 'First part', 'intro @'), ('1.1', 'Wet soil', 'water it'), ('1.1.1', 'Deep roots', '@ roots 1. Kill the pods'), ('2', 'Second part', 'no 2.5 heading'), ('2.3;2.4', 'Later on', 'later @ More of it the end')) u(number, title, body)"""
 )
 def small_sections_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.sections(_books(spark, sf_dir, "\n2.4 More of it\nthe end"), "n_nationkey", "text")
+    found = retrieval.sections(_small_books(spark, sf_dir), "n_nationkey", "text")
     return retrieval.merged_sections(found, "n_nationkey", 4)
 
 
@@ -160,6 +186,25 @@ def route_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", geo.shoelace(ring).alias("area"), trends.valid_route(route, 40, 40).alias("valid"))
 
 
+_CLIP = """WITH r AS (SELECT p_partkey, p_size::DOUBLE AS w, (p_partkey % 7 + 1)::DOUBLE AS h, (p_partkey % 11)::DOUBLE AS c FROM part)"""
+
+
+@query(
+    _CLIP + """ SELECT p_partkey, round(CASE WHEN c >= w + h THEN w * h ELSE greatest(0, c * c / 2 - pow(greatest(0, c - w), 2) / 2 - pow(greatest(0, c - h), 2) / 2) END, 6) AS diagonal, round(least(w, c) * h, 6) AS upright,
+ round(CASE WHEN c = 0 THEN NULL ELSE least(w, c) / 2 END, 6) AS cx, round(CASE WHEN c = 0 THEN NULL ELSE h / 2 END, 6) AS cy FROM r"""
+)
+def clipped_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles cut by x + y <= c, whose area is a triangle's less two corners', and by x <= c, whose centre is known."""
+    k = F.col("p_partkey")
+    df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("w"), (k % 7 + 1).cast("double").alias("h"), (k % 11).cast("double").alias("c"))
+    zero, w, h, c = F.lit(0.0), F.col("w"), F.col("h"), F.col("c")
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (w, zero), (w, h), (zero, h))])
+    upright = geo.clipped(ring, (c, zero), (F.lit(1.0), zero))
+    centre = F.when(c > 0, geo.ring_centroid(upright))
+    areas = {"diagonal": geo.shoelace(geo.clipped(ring, (c, zero), (F.lit(1.0), F.lit(1.0)))), "upright": geo.shoelace(upright), "cx": centre["x"], "cy": centre["y"]}
+    return df.select("p_partkey", *[F.round(v, 6).alias(n) for n, v in areas.items()])
+
+
 @query("""WITH p AS (SELECT c_custkey, 'A0' || CAST(c_nationkey % 5 + 1 AS VARCHAR) AS block, lpad(CAST(c_custkey % 100 AS VARCHAR), 3, '0') AS n FROM customer)
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'own' ELSE block || '-P' || n END AS slot_id, CASE WHEN c_custkey % 3 = 1 THEN 'Z' ELSE 'A' END AS zone, block FROM p""")
 def located_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,17 +338,28 @@ def plants_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.placed_in_zone(p, "k").select("k", "placed", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
-@query("SELECT 100.0::DOUBLE AS eps")
+_KDIST = f"""k AS (SELECT d AS kdist FROM (SELECT a.id, {_D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS rn FROM places a JOIN places b ON a.id <> b.id) WHERE rn = 4), o AS (SELECT kdist, row_number() OVER (ORDER BY kdist) AS i, count(*) OVER () AS n, min(kdist) OVER () AS lo, max(kdist) OVER () AS hi FROM k),
+elbow AS (SELECT max_by(kdist, abs((i - 1) / CAST(n - 1 AS DOUBLE) - (kdist - lo) / greatest(hi - lo, 1e-9))) AS e FROM o)"""
+
+
+@query("WITH " + PLACES + ", " + _KDIST + " SELECT gps_error, round(greatest(e, 2 * gps_error), 5) AS eps FROM elbow, (VALUES (0.1::DOUBLE), (50.0::DOUBLE)) g(gps_error)")
 def chosen_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twice the position error is more than the elbow of these distances."""
-    return spatial.chosen_eps(spatial.k_distances(places(spark, sf_dir), 4), 50.0)
+    """Under a small position error the elbow decides, under a large one twice the error."""
+    k = cut(spatial.k_distances(places(spark, sf_dir), 4))
+    one = lambda g: spatial.chosen_eps(k, g).select(F.lit(g).alias("gps_error"), F.round("eps", 5).alias("eps"))
+    return one(0.1).unionByName(one(50.0))
 
 
-@query("WITH " + JUDGED + ", f AS (SELECT source, avg(CASE WHEN quality = guess THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN quality = toxic THEN 1.0::DOUBLE ELSE 0 END) AS d FROM judged GROUP BY source) SELECT round(avg(d), 6) AS mean, round(avg(d) / sqrt((1 / CAST(count(*) AS DOUBLE) + 0.25) * var_samp(d)), 5) AS t, count(*) - 1 AS df FROM f")
+@query(
+    "WITH " + JUDGED + """, f AS (SELECT source, avg(CASE WHEN quality = guess THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN quality = toxic THEN 1.0::DOUBLE ELSE 0 END) AS d FROM judged GROUP BY source),
+s AS (SELECT avg(d) AS mean, avg(d) / sqrt((1 / CAST(count(*) AS DOUBLE) + 0.25) * var_samp(d)) AS t, count(*) - 1 AS df FROM f) SELECT round(mean, 6) AS mean, round(t, 5) AS t, df, round("""
+    + t_tail("abs(t)", "df")
+    + ", 6) AS p FROM s"
+)
 def corrected_t_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = lambda c: F.avg((F.col("quality") == F.col(c)).cast("double"))
     d = judged(spark, sf_dir).groupBy("source").agg((right("guess") - right("toxic")).alias("d"))
-    return evaluate.corrected_t(d, "d", 0.2).select(F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"), "df")
+    return evaluate.corrected_t(d, "d", 0.2).select(F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"), "df", F.round("p", 6).alias("p"))
 
 
 @query("SELECT o_custkey, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0) * 0.1, 4) AS observed_cm, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus <> 'F'), 0) * 0.1, 4) AS estimated_cm FROM orders GROUP BY o_custkey")

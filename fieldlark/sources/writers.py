@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlark.operators.twin import upsert
 
@@ -20,29 +23,72 @@ def frozen(df: DataFrame, path: str, force: bool = False) -> None:
     df.write.mode("overwrite" if force else "errorifexists").parquet(path)
 
 
-def upsert_table(new: DataFrame, path: str, keys: Sequence[str], version: str) -> str:
-    """Merges rows into a table that is kept as numbered versions; returns the path of the new version.
+def upsert_table(new: DataFrame, path: str, keys: Sequence[str], version: str, buckets: int = 64) -> int:
+    """Merges rows into a table of key buckets; returns the number of the table's new version.
 
-    A version is written beside the last one and read by its path, so a reader never sees half a table.
+    A version is a small manifest that names a folder for each bucket. Only buckets that the batch touches are read,
+    merged and written, the others keep their folders, so bytes written follow the batch and not the table. The manifest
+    appears under its number at once or not at all, and two writers cannot both take a number: the later one fails and may
+    try again. Folders are never changed, so who reads an older version keeps it. ``buckets`` holds for a new table only.
     """
     spark = new.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    held = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(fs_path) if s.getPath().getName()[1:].isdigit()) if fs.exists(fs_path) else []
-    held = [n for n in held if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))]
-    old = spark.read.parquet(f"{path}/v{held[-1]}") if held else new.limit(0)
-    target = f"{path}/v{held[-1] + 1 if held else 1}"
-    upsert(old, new, keys, version).write.mode("overwrite").parquet(target)
-    return target
-
-
-def current_table(spark, path: str) -> DataFrame:
-    """The last complete version of a table written by :func:`upsert_table`."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    held = [int(s.getPath().getName()[1:]) for s in fs.listStatus(fs_path) if s.getPath().getName()[1:].isdigit()]
-    held = [n for n in held if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v{max(held)}")
+    held = _manifest(spark, path)
+    n, files = (held["buckets"], dict(held["files"])) if held else (buckets, {})
+    place = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    batch = new.withColumn(_BUCKET, place)
+    touched = sorted(r[0] for r in batch.select(_BUCKET).distinct().collect())  # numbers below ``buckets``
+    number = (held["version"] if held else 0) + 1
+    if not touched and held:
+        return held["version"]
+    old = [files[str(b)] for b in touched if str(b) in files]
+    before = spark.read.schema(new.schema).parquet(*old) if old else new.limit(0)
+    folder = f"{path}/data/{uuid.uuid4().hex}"
+    merged = upsert(before, new, keys, version).withColumn(_BUCKET, place)
+    merged.repartition(max(1, min(n, len(touched))), _BUCKET).write.partitionBy(_BUCKET).parquet(folder)
+    files |= {str(b): f"{folder}/{_BUCKET}={b}" for b in touched}
+    _publish(spark, path, {"version": number, "buckets": n, "files": files, "schema": new.schema.json()})
+    return number
+
+
+def current_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The last version of a table written by :func:`upsert_table`, or an older one."""
+    held = _manifest(spark, path, version)
+    if held is None:
+        raise FileNotFoundError(f"{path} has no such version")
+    schema = T.StructType.fromJson(json.loads(held["schema"]))
+    return spark.read.schema(schema).parquet(*held["files"].values()) if held["files"] else spark.createDataFrame([], schema)
+
+
+_BUCKET = "bucket__"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    """The newest manifest, or that of a version."""
+    folder, fs = _fs(spark, f"{path}/manifests")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+    number = version if version is not None else max(numbers, default=None)
+    if number not in numbers:
+        return None
+    return json.loads(spark.read.text(f"{path}/manifests/{number:012d}.json", wholetext=True).first()[0])
+
+
+def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Writes under a name of its own, then renames to the number; fails if that is taken."""
+    jvm = spark._jvm
+    made, fs = _fs(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
+    out = fs.create(made, False)
+    out.write(bytearray(json.dumps(manifest), "utf-8"))
+    out.close()
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{manifest['version']:012d}.json")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(made).toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    context.rename(fs.makeQualified(made), fs.makeQualified(target), none)
 
 
 def flat_pairs(pairs: Column) -> Column:

@@ -339,3 +339,117 @@ def test_tracks_take_each_cluster_once(spark):
     all_cycles = spark.createDataFrame([("r", c) for c in range(5)], "run string, cycle int")
     got = sorted((r.cycle, r.hotspot_id, r.status, r.size, r.persistence) for r in tracks.tracks(df, "run", 1.6, 0.2, all_cycles).collect())
     assert got == [(0, "H001", "new", 4, 1), (1, "H001", "shrinking", 3, 2), (1, "H002", "new", 1, 1), (2, "H001", "resolved", 0, 2), (2, "H002", "resolved", 0, 1), (3, "H003", "new", 3, 1), (4, "H003", "resolved", 0, 1)]
+
+
+def test_outline(spark):
+    text = "0.1 Preface\nwords\n1. First\n 2.1 Not here\n1.2 Second level\n1.2.3 Third level\n1. Kill the pods\n1.2.3.4 Too deep\n2 lower case\n2.\n2 Ab\n2 Then this\n3.4 Later\n1.2.9 Closed"
+    got = [(r.number, r.title, r.body) for r in retrieval.sections(spark.createDataFrame([(1, text), (2, None), (3, "no outline")], "id int, text string"), "id", "text").collect()]
+    assert got == [("0.1", "Preface", "words"), ("1", "First", "2.1 Not here"), ("1.2", "Second level", ""), ("1.2.3", "Third level", "1. Kill the pods 1.2.3.4 Too deep 2 lower case 2. 2 Ab"), ("2", "Then this", "3.4 Later 1.2.9 Closed")]
+
+
+def test_block_top_k_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    v = rng.randint(-3, 4, (700, 3)).astype(float)  # small whole numbers: many ties
+    df = spark.createDataFrame([(i, x.tolist(), i % 7 if i % 5 else None) for i, x in enumerate(v)], "id long, vector array<double>, part int").repartition(5)
+    q = df.where("id % 10 = 0")
+    s = v[::10] @ v.T
+    for apart in (None, "part"):
+        got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in retrieval.top_k(q, df, 4, query_block=16, item_block=90, apart=apart).collect()}
+        for k, row in enumerate(s):
+            i = 10 * k
+            other = [j for j in range(700) if not apart or i % 5 == 0 or j % 5 == 0 or j % 7 != i % 7]
+            want = sorted(other, key=lambda j: (-row[j], j))[:4]
+            assert [got[i, n + 1] for n in range(4)] == [(j, row[j]) for j in want]
+    assert retrieval.top_k(q.limit(0), df, 2).count() == 0 and retrieval.top_k(q, df.limit(0), 2).count() == 0
+
+
+def test_probabilities(spark):
+    from fieldlark.functions import probability
+
+    for z in (0.0, 1.0, 1.96, 2.99, 3.01, 6.0, 20.0):
+        assert one(spark, probability.normal_two_sided(F.lit(z))) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9)
+    for t, n, p in [(1.0, 1, 0.5), (12.706204736432095, 1, 0.05), (4.302652729911275, 2, 0.05), (2.093024054408263, 19, 0.05), (2.0095752371292397, 49, 0.05), (0.0, 7, 1.0), (3.169272667175838, 10, 0.01)]:
+        assert one(spark, probability.t_two_sided(F.lit(t), F.lit(n))) == pytest.approx(p, rel=1e-7)
+        if 0 < p < 1:
+            assert one(spark, probability.t_quantile(F.lit(n), p)) == pytest.approx(t, rel=1e-7)
+    same = spark.createDataFrame([(0.5,)] * 4, "d double")
+    assert tuple(evaluate.corrected_t(same, "d", 0.2).select("p", "ci_low", "ci_high").first()) == (0.0, 0.5, 0.5)
+    assert evaluate.corrected_t(same.withColumn("d", F.lit(0.0)), "d", 0.2).first()["p"] == 1.0
+
+
+def test_clipped_rings(spark):
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))])
+    cut_ = lambda at, away: one(spark, geo.clipped(ring, tuple(map(F.lit, at)), tuple(map(F.lit, away))))
+    assert [tuple(p) for p in cut_((1.0, 0.0), (1.0, 0.0))] == [(0, 0), (1, 0), (1, 2), (0, 2)]
+    assert cut_((9.0, 0.0), (-1.0, 0.0)) == [] and len(cut_((9.0, 0.0), (1.0, 0.0))) == 4
+    assert tuple(one(spark, geo.ring_centroid(ring))) == (2, 1) and one(spark, geo.shoelace(geo.clipped(ring, (F.lit(3.0), F.lit(0.0)), (F.lit(1.0), F.lit(1.0))))) == 4
+    flat = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(1.0).alias("y")) for x in (1.0, 2.0)])
+    assert tuple(one(spark, geo.ring_centroid(flat))) == (1, 1)
+
+
+def test_kernel_map_and_machine(spark, tmp_path):
+    import numpy as np
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.linalg import Vectors
+
+    from fieldlark.operators.kernels import RandomFourier
+
+    rng = np.random.RandomState(5)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["id", "v"])
+    z = np.array([r.z.toArray() for r in RandomFourier(inputCol="v", outputCol="z", size=2048, gamma=0.3, seed=1).transform(df).orderBy("id").collect()])
+    true = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - true).max() < 6 * (2 / 2048) ** 0.5
+    # A ring around a disc: no line parts them.
+    p = rng.normal(size=(400, 2))
+    r = np.hypot(*p.T)
+    rows = [(i, float(a), float(b), float(q > 1.2)) for i, ((a, b), q) in enumerate(zip(p, r, strict=True))]
+    points = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    folds = learn.repeated_folds(points, "id", "y", 1, 3).select("id", "fold")
+    got = learn.calibrated(points, learn.pipeline(["a", "b"], [], "y", "svm"), folds, "id", "y", 3).collect()
+    assert len(got) == 400 and np.mean([g.prediction == g.y for g in got]) > 0.93 > max(np.mean([g.y for g in got]), 0.6) and np.mean([(g.probability_1 - g.y) ** 2 for g in got]) < 0.08
+    model = learn.pipeline(["a", "b"], [], "y", "svm").fit(points)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    assert [s.prediction for s in again.transform(points).orderBy("id").collect()] == [s.prediction for s in model.transform(points).orderBy("id").collect()]
+
+
+def test_nested_search_sees_no_outer_group(spark, monkeypatch):
+    rows = [(i, i % 12, float(i % 12), float((i // 3) % 2)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, g int, a double, y double")
+    seen, real = [], learn.random_search
+    monkeypatch.setattr(learn, "random_search", lambda train, *a, **k: seen.append({r.g: r.fold for r in train.select("g", "fold").distinct().collect()}) or real(train, *a, **k))
+    out = learn.nested_search(df, learn.pipeline(["a"], [], "y"), {"regParam": [0.01, 0.1, 1.0]}, "id", "g", "y", outer=3, inner=2, tries=2).collect()
+    judged_ = {}
+    for r in out:
+        judged_.setdefault(r.fold, set()).add(rows[r.id][1])
+    assert sorted(r.id for r in out) == list(range(240)) and len(seen) == 3
+    assert sorted(sorted(set(range(12)) - set(s)) for s in seen) == sorted(sorted(g) for g in judged_.values()) and all(set(s.values()) == {0, 1} for s in seen)
+    clf = learn.pipeline(["a"], [], "y").getStages()[-1]
+    assert len(learn.drawn_settings(clf, {"regParam": [1, 2], "maxIter": [3, 4]}, 9)) == 4
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    import json
+    import pathlib
+
+    from fieldlark.sources import writers
+
+    path = str(tmp_path / "t")
+    rows = lambda ids, v: spark.createDataFrame([(i, v, f"r{v}") for i in ids], "id long, v long, what string")
+    assert writers.upsert_table(rows(range(1000), 1), path, ["id"], "v", buckets=16) == 1
+    size = lambda: sum(f.stat().st_size for f in pathlib.Path(path, "data").rglob("*.parquet"))
+    whole = size()
+    assert writers.upsert_table(rows([5], 2), path, ["id"], "v") == 2 and size() - whole < 0.2 * whole
+    assert writers.upsert_table(rows([5, 2000], 1), path, ["id"], "v") == 3
+    now = {r.id: r.what for r in writers.current_table(spark, path).collect()}
+    assert len(now) == 1001 and now[5] == "r2" and now[2000] == "r1" and now[6] == "r1"
+    assert {r.what for r in writers.current_table(spark, path, 1).collect()} == {"r1"} and writers.current_table(spark, path, 1).count() == 1000
+    held = json.loads(pathlib.Path(path, "manifests", "000000000003.json").read_text())
+    with pytest.raises(Exception, match="(?i)exists"):  # another writer has taken the number
+        writers._publish(spark, path, held)
+    assert writers.upsert_table(rows([], 1), path, ["id"], "v") == 3
+    with pytest.raises(FileNotFoundError):
+        writers.current_table(spark, path, 9)
