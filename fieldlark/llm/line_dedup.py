@@ -4,7 +4,9 @@ A text is cut into units, lines or paragraphs. A unit's digest is that of its wo
 A-Z in lower case and one space between them; digests are grouped over the corpus, the
 occurrence of the lowest rank (doc_id, then row, then place) stays, and the others are
 removed. The spans that were removed are returned in characters of the original text.
-A unit of fewer than ``least`` words is common by chance and is left alone.
+A unit of fewer than ``least`` words is common by chance and is left alone, unless ``often`` is set: then units
+of ``short`` words or more that have over that share of as many occurrences as there are texts are boilerplate, and all
+but their first go as well. Whether that is wanted depends on the corpus, as it changes every text that has such a line.
 
 A passage that stands inside longer lines has no unit of its own, so runs of ``run`` words
 are digested as well, wherever they begin: those whose hash is the least of ``window`` runs
@@ -61,6 +63,8 @@ class Units:
     run: int = 25
     window: int = 16
     support: float = 0.001
+    short: int = 4
+    often: float = 0.0
 
 
 def _powers(base: int, n: int, held: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
@@ -131,14 +135,17 @@ class Words:
 
 
 def digests_of(texts: list[str | None], o: Units) -> tuple[list[int], list[tuple[int, int, int, bytes]]]:
-    """The number of units of each text, and (text, start, end, digest) of units and runs, in characters."""
+    """The number of units of each text, and (text, start, end, digest) of units and runs, in characters.
+
+    The last bit of the digest of a unit of fewer than ``least`` words is set, that of all others is not.
+    """
     w = Words([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts])
     hashes = w.hashes() if o.run else None
     counts, owner, spans = [], [], []
     for k in range(len(texts)):
         units = w.units(k, _BREAKS[o.unit])
         counts.append(len(units))
-        own = [(i, j, 1) for i, j in units if j - i >= o.least]
+        own = [(i, j, 1) for i, j in units if j - i >= (min(o.short, o.least) if o.often else o.least)]
         own += [(i, j, 0) for i, j in w.runs(k, hashes, o)] if o.run else []
         owner += [k] * len(own)
         spans += own
@@ -149,7 +156,11 @@ def digests_of(texts: list[str | None], o: Units) -> tuple[list[int], list[tuple
     ends = np.where(j < w.bound[k + 1], np.append(w.start, 0)[j], w.last[k])
     zero = w.chars[w.first[k]]
     start, end = (w.chars[w.start[i]] - zero).tolist(), (w.chars[ends] - zero).tolist()
-    return counts, list(zip(owner, start, end, [w.digest(*x) for x in spans], strict=True))
+    raw = [w.digest(*x) for x in spans]
+    if o.often:
+        few = [a and b - i < o.least for (i, b, a) in spans]
+        raw = [d[:11] + bytes([d[11] | 128 if f else d[11] & 127]) + d[12:] for d, f in zip(raw, few, strict=True)]
+    return counts, list(zip(owner, start, end, raw, strict=True))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -190,6 +201,11 @@ def deduplicated(docs: DataFrame, o: Units | None = None, doc_id: str = "doc_id"
     warm = units.where(F.col("h1").isin(hot))
     warm = warm.join(F.broadcast(warm.groupBy("h1", "h2").agg(F.min(place).alias("first"))), ["h1", "h2"])
     again = cold.unionByName(warm).where("row != first.row or span != first.span")
+    if o.often:
+        # Short units have a negative h2; of these only the common ones count.
+        most = F.broadcast(texts.agg((F.count("*") * o.often).alias("most")))
+        common = units.where("h2 < 0").groupBy("h1", "h2").agg(F.count("*").alias("n")).crossJoin(most).where("n > most").select("h1", "h2")
+        again = again.where("h2 >= 0").unionByName(again.where("h2 < 0").join(common, ["h1", "h2"], "left_semi"))
     # Of two equal runs that overlap the first stays whole.
     start, end = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
     later: Column = F.when(F.col("row") == F.col("first.row"), F.greatest(start("span"), end("first.span"))).otherwise(start("span"))

@@ -296,23 +296,21 @@ def replace_entities(docs: DataFrame, o: Surrogates, text: str = "text") -> Data
             .otherwise(new[0])
         )
 
+    # Each as a column of its own: they are used several times, and their expressions are long.
+    joined = joined.withColumns({"_kinds": F.transform("_found", _kind), "_new": F.transform("_found", replaced)})
     between = F.split(F.col(text), PATTERN, -1)
-    whole = F.array_join(F.zip_with(between, F.transform("_found", replaced), lambda s, r: F.concat(F.coalesce(s, F.lit("")), F.coalesce(r, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(between, "_new", lambda s, r: F.concat(F.coalesce(s, F.lit("")), F.coalesce(r, F.lit("")))), "")
     # Mentions of a name elsewhere in the same text: first whole names, then their words one by one.
-    said = F.filter("_found", lambda m: _kind(m) == "name")
     plain = lambda m: F.regexp_replace(m, r"^\S+ ", "")
-    whole_names = F.array_distinct(F.transform(said, lambda m: F.struct(plain(m).alias("old"), plain(replaced(m)).alias("new"))))
-    whole_names = F.filter(whole_names, lambda n: n["old"].contains(" "))
+    said = F.filter(F.arrays_zip("_kinds", "_found", "_new"), lambda n: (n["_kinds"] == "name") & F.contains(plain(n["_found"]), F.lit(" ")))
+    joined = joined.withColumns({"_whole": whole, "_names": F.array_distinct(F.transform(said, lambda n: F.struct(plain(n["_found"]).alias("old"), plain(n["_new"]).alias("new"))))})
     alone = lambda word: F.concat(F.lit(r"(?<!\p{L})\Q"), word, F.lit(r"\E(?!\p{L})"))
-    whole = F.when(F.size(whole_names) > 0, F.aggregate(whole_names, whole, lambda t, n: F.regexp_replace(t, alone(n["old"]), n["new"]))).otherwise(whole)
+    joined = joined.withColumn("_whole", F.aggregate("_names", F.col("_whole"), lambda t, n: F.regexp_replace(t, alone(n["old"]), n["new"])))
     word_of = lambda e: F.regexp_extract(e["key"], "^[a-z]+:(.*)$", 1)
     # A word that the text has in lower case too, or that is a common one, is not taken for the person where it stands alone.
     common = lambda w: F.lower(w).isin(COMMON) | (F.lower(w) != w) & F.rlike(F.col(text), alone(F.lower(w)))
     words = F.filter(F.map_entries("_map"), lambda e: e["key"].rlike("^(m|f|n|family):") & ~common(word_of(e)))
-    whole = F.when(F.size(words) > 0, F.aggregate(words, whole, lambda t, e: F.regexp_replace(t, alone(word_of(e)), e["value"]))).otherwise(whole)
-    out = joined.select(
-        *[F.when(F.size("_found") > 0, whole).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
-        F.size("_found").alias("n_entities"),
-        F.transform("_found", _kind).alias("kinds"),
-    )
+    joined = joined.withColumn("_words", F.transform(words, lambda e: F.struct(word_of(e).alias("old"), e["value"].alias("new"))))
+    mended = F.aggregate("_words", F.col("_whole"), lambda t, n: F.regexp_replace(t, alone(n["old"]), n["new"]))
+    out = joined.select(*[mended.alias(text) if c == text else F.col(c) for c in names], F.size("_found").alias("n_entities"), F.col("_kinds").alias("kinds"))
     return clean.unionByName(out).select(*[F.col(n).alias(c) for c, n in named.items()], "n_entities", "kinds")

@@ -92,3 +92,15 @@ def test_batches_shrink_with_languages(monkeypatch):
     for n in (4, 200):
         language_id.log_probabilities(["word", "text"], v, np.full((n, v.size + 1), 1 / (v.size + 1)))
     assert asked == [20_000, 400]
+
+
+def test_short_lines_go_where_they_are_boilerplate(spark):
+    line = "A short line in many texts."
+    rows = [(i, f"Head {i} with its own few words.\n{line}\nrare line of two texts{i // 2}\nyes no") for i in range(40)]
+    df = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string")
+    assert all(r.text == dict(rows).get(r.doc_id) for r in line_dedup.deduplicated(df).collect())
+    got = {r.doc_id: r for r in line_dedup.deduplicated(df, line_dedup.Units(often=0.5)).collect()}
+    assert sum(line in (r.text or "") for r in got.values()) == 1 and line in got[0].text and got[99].text is None
+    assert all(got[i].text == t.replace(line + "\n", "") and got[i].n_removed == 1 for i, t in rows[1:])
+    none = {r.doc_id: r.n_removed for r in line_dedup.deduplicated(df, line_dedup.Units(often=1.0)).collect()}
+    assert not any(none.values())
