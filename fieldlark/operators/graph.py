@@ -160,3 +160,17 @@ def route_disagreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         return near.groupBy(key).agg(F.avg("d").alias("d"))
 
     return one(a, b).unionAll(one(b, a)).groupBy(key).agg(F.avg("d").alias("disagreement"))
+
+
+def routes_disagreement(routes: DataFrame, key: str, route: str) -> DataFrame:
+    """(key, disagreement): the greatest disagreement of any two routes of a key (E40); nothing where there is one only.
+
+    ``routes`` is (key, route, step, x, y); a key has a few routes, such as three tracings of one stem.
+    """
+    a = routes.select(key, F.col(route).alias("_r"), F.col("step").alias("_s"), F.col("x").alias("_px"), F.col("y").alias("_py"))
+    b = routes.select(key, F.col(route).alias("_q"), F.col("x").alias("_qx"), F.col("y").alias("_qy"))
+    both = a.join(b, key).where("_r != _q")
+    near = both.groupBy(key, "_r", "_q", "_s").agg(F.min(F.hypot(F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy"))).alias("_d"))
+    one_way = near.groupBy(key, "_r", "_q").agg(F.avg("_d").alias("_d"))
+    pair = one_way.groupBy(key, F.least("_r", "_q").alias("_a"), F.greatest("_r", "_q").alias("_b")).agg(F.avg("_d").alias("_d"))
+    return pair.groupBy(key).agg(F.max("_d").alias("disagreement"))

@@ -102,6 +102,77 @@ def join_count_test(points: DataFrame, edges: DataFrame, flag: str, strata: Sequ
     return _tested(_counts(both, "bits_a", "bits_b", runs), runs, "join_count", F.col("count").cast("double"))
 
 
+_MOVED = np.dtype([("place", "<u4"), ("run", "<u2"), ("z", "<f8")])
+
+
+def moved_values(points: DataFrame, value: str, runs: int, seed: int = 0, block: int = 256) -> DataFrame:
+    """(place, z): for each place the values that the runs put there, as doubles, and behind them its own.
+
+    Values are taken from their mean. A task sends what its points give to a block of places as one packed row, and a
+    block, which is all that is held, unpacks them into a matrix of places and runs.
+    """
+    df = numbered_in_strata(points.where(F.col(value).isNotNull()).select("id", F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v")), ["_all"])
+    df = df.crossJoin(F.broadcast(df.agg(F.avg("_v").alias("_m")))).select("_i", "_n", (F.col("_v") - F.col("_m")).alias("_z"))
+    width = runs + 1
+
+    def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                i, n, z = (whole.slice(a, 256).column(c).to_numpy() for c in ("_i", "_n", "_z"))
+                at = np.concatenate([places(i, n, runs, seed), i[:, None]], axis=1).ravel()
+                rows = np.empty(len(at), _MOVED)
+                rows["place"], rows["run"], rows["z"] = at % block, np.tile(np.arange(width), len(i)), np.repeat(z, width)
+                order = np.argsort(at // block, kind="stable")
+                blocks, first = np.unique((at // block)[order], return_index=True)
+                parts = np.split(rows[order], first[1:])
+                yield pa.RecordBatch.from_pydict({"block": blocks, "data": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+
+        def out() -> pa.RecordBatch:
+            own = np.flatnonzero(~np.isnan(held[:, runs]))
+            return pa.RecordBatch.from_pydict({"place": now * block + own, "z": pa.array([held[k].tobytes() for k in own], pa.binary())})
+
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if b != now:
+                    if now is not None:
+                        yield out()
+                    now, held = b, np.full((block, width), np.nan)
+                rows = np.frombuffer(data, _MOVED)
+                held[rows["place"], rows["run"]] = rows["z"]
+        if now is not None:
+            yield out()
+
+    moved = df.mapInArrow(sent, "block long, data binary").repartition("block").sortWithinPartitions("block").mapInArrow(unpacked, "place long, z binary")
+    ids = numbered_in_strata(points.where(F.col(value).isNotNull()).select("id", F.lit(0).alias("_all")), ["_all"])
+    return ids.select("id", F.col("_i").alias("place")).join(moved, "place").select("id", "z")
+
+
+def morans_i_test(points: DataFrame, edges: DataFrame, value: str, runs: int = 999, seed: int = 0) -> DataFrame:
+    """(morans_i, p): Moran's I with weights one, against values dealt anew over all points.
+
+    ``edges`` (a, b) are in both directions; points without a value are left out.
+    """
+    z = cut(moved_values(points, value, runs, seed))
+    both = edges.select("a", "b").where("a < b").join(z.toDF("a", "za"), "a").join(z.toDF("b", "zb"), "b")
+    width = runs + 1
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(width), 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                a, b = (np.frombuffer(b"".join(batch.slice(k, 1024).column(c).to_pylist()), np.float64).reshape(-1, width) for c in ("za", "zb"))
+                total, n = total + (a * b).sum(axis=0), n + len(a)
+        yield pa.RecordBatch.from_pydict({"run": np.arange(width), "s": total, "n": np.full(width, n)})
+
+    sums = both.select("za", "zb").mapInArrow(add, "run long, s double, n long").groupBy("run").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    spread = points.agg(F.var_pop(value).alias("_v"))
+    # Equal arrangements must tie whatever the order of their sums.
+    return _tested(sums.crossJoin(F.broadcast(spread)), runs, "morans_i", F.round(F.col("s") / F.nullif(F.col("n") * F.col("_v"), F.lit(0.0)), 12))
+
+
 def clustered_share_test(points: DataFrame, edges: DataFrame, flag: str, strata: Sequence[str], least: int, runs: int = 999, seed: int = 0) -> DataFrame:
     """(observed, p): share of flagged points in density clusters, against flags dealt anew in each stratum.
 

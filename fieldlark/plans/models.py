@@ -6,10 +6,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldlark.operators import evaluate, graph, learn
+from fieldlark.operators import components, evaluate, graph, learn, records, retrieval
 from fieldlark.operators.kernels import directions, fourier
 from fieldlark.operators.lineage import cut
-from fieldlark.plans.registry import judged, query, table
+from fieldlark.plans.registry import JUDGED, VISITS, judged, query, table, visits
+from fieldlark.streaming import sync
 
 _INPUTS, _SIZE, _GAMMA, _SEED = 4, 8, 0.25, 11
 
@@ -106,3 +107,92 @@ def bridged_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = ends.select("k", F.col("id").alias("a"), F.col("x").alias("xa")), ends.select("k", F.col("id").alias("b"), F.col("x").alias("xb"))
     near = a.join(b, "k").where("a < b").withColumn("distance", F.abs(F.col("xa") - F.col("xb"))).where("distance <= 20").select("k", "a", "b", "distance")
     return graph.bridged(ends, near, "k")
+
+
+@query(
+    "WITH " + JUDGED + """, g AS (SELECT p, count(*) AS n, sum(quality) AS pos FROM judged GROUP BY p), r AS (SELECT pos, sum(pos) OVER (ORDER BY p DESC) / (sum(n) OVER (ORDER BY p DESC))::DOUBLE AS precision FROM g)
+SELECT round(sum(precision * pos) / sum(pos), 6) AS average_precision FROM r"""
+)
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.average_precision(judged(spark, sf_dir), "quality", "p").select(F.round("average_precision", 6).alias("average_precision"))
+
+
+_RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+
+
+@query(
+    f"""WITH r AS (SELECT {_RANKS} FROM lineitem), c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS qe, abs(corr(l_quantity, l_discount)) AS qd, abs(corr(l_extendedprice, l_discount)) AS ed, abs(corr(l_quantity, l_tax)) AS qt, abs(corr(l_extendedprice, l_tax)) AS et, abs(corr(l_discount, l_tax)) AS dt FROM r),
+e AS (SELECT *, qe <= 0.5 AS e FROM c), d AS (SELECT *, qd <= 0.5 AND (NOT e OR ed <= 0.5) AS d FROM e) SELECT 'l_quantity' AS feature FROM d UNION ALL SELECT 'l_extendedprice' FROM d WHERE e UNION ALL SELECT 'l_discount' FROM d WHERE d UNION ALL SELECT 'l_tax' FROM d WHERE qt <= 0.5 AND (NOT e OR et <= 0.5) AND (NOT d OR dt <= 0.5)"""
+)
+def uncorrelated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in columns])
+    kept = evaluate.uncorrelated(evaluate.spearman(li, columns), columns, 0.5)
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount < 0.03), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS id, a AS c FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.id WHERE r.c < b.b), l AS (SELECT id, min(c) AS component FROM r GROUP BY id), n AS (SELECT component, count(*) AS n FROM l GROUP BY 1 HAVING count(*) >= 3) SELECT id, component, n FROM l JOIN n USING (component)""")
+def large_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers that large orders at a small discount connect."""
+    li = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount < 0.03")
+    edges = li.select(F.col("l_partkey").cast("long").alias("a"), (F.col("l_suppkey") + 10_000_000).cast("long").alias("b"))
+    return graph.large_components(components.connected_components(edges, "a", "b"), 3).select("id", "component", "n")
+
+
+@query(
+    """WITH f AS (SELECT event_id, CASE WHEN value > 30 THEN 'high' WHEN value < 2 THEN 'low' END AS defect FROM events), t AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'high' WHEN 'error' THEN 'low' WHEN 'signup' THEN 'lost' END AS defect FROM events),
+b AS (SELECT coalesce(f.defect, t.defect) AS defect, f.event_id AS f, t.event_id AS t FROM (SELECT * FROM f WHERE defect IS NOT NULL) f FULL JOIN (SELECT * FROM t WHERE defect IS NOT NULL) t ON f.event_id = t.event_id AND f.defect = t.defect)
+SELECT defect, round(count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) / greatest(count(f), 1)::DOUBLE, 6) AS precision, round(count(*) FILTER (f IS NOT NULL AND t IS NOT NULL) / greatest(count(t), 1)::DOUBLE, 6) AS recall FROM b GROUP BY defect"""
+)
+def defect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """High and low values as defects that were found, event types as those that are there; one kind is never found."""
+    e = table(spark, sf_dir, "events")
+    found = e.select("event_id", F.when(F.col("value") > 30, "high").when(F.col("value") < 2, "low").alias("defect")).where("defect is not null")
+    truth = e.select("event_id", F.when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "error", "low").when(F.col("event_type") == "signup", "lost").alias("defect")).where("defect is not null")
+    return records.defect_scores(found, truth, ["event_id"]).select("defect", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("""WITH c AS (SELECT 'c_nationkey' AS field, CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey % 25)::VARCHAR END AS v, c_nationkey::VARCHAR AS t FROM customer UNION ALL SELECT 'c_mktsegment', CASE WHEN c_custkey % 3 = 0 THEN 'BUILDING' ELSE c_mktsegment END, c_mktsegment FROM customer)
+SELECT field, count(*) FILTER (v = t) AS correct, count(*) FILTER (v IS NULL) AS blank, count(*) FILTER (v <> t) AS wrong FROM c GROUP BY field""")
+def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k, F.col("c_nationkey").cast("long").alias("c_nationkey_true"), F.col("c_mktsegment").alias("c_mktsegment_true"), F.when(k % 11 != 0, (k % 25).cast("long")).alias("c_nationkey"), F.when(k % 3 == 0, "BUILDING").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    return records.field_accuracy(c, "c_custkey", ["c_nationkey", "c_mktsegment"])
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderstatus FROM orders), k AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE o_orderstatus <> 'F')
+SELECT query_id, item_id, rank FROM k WHERE rank <= 3"""
+)
+def gold_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's dearest orders without the finished ones."""
+    o = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item_id"), F.row_number().over(w).alias("rank"))
+    gold = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item_id"))
+    return retrieval.without_gold(ranked, gold, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return sync.windowed_counts(e, "ts", ["event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "WITH " + VISITS + """, w AS (SELECT *, CAST(floor(date_diff('day', DATE '2024-01-01', day) / 7.0) AS INTEGER) AS week FROM visits), t AS (SELECT zone, avg(score) AS m FROM w WHERE week <= 1 GROUP BY zone) SELECT zone, count(*) AS n, round(avg(abs(score - m)), 6) AS mae FROM w JOIN t USING (zone) WHERE week > 1 GROUP BY zone"""
+)
+def time_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the weeks up to the second as the forecast of the later ones."""
+    v = visits(spark, sf_dir).withColumn("week", F.floor(F.datediff("day", F.lit("2024-01-01").cast("date")) / 7).cast("int"))
+    past, later = learn.time_forward(v, "week", 1)
+    both = later.join(past.groupBy("zone").agg(F.avg("score").alias("m")), "zone")
+    return both.groupBy("zone").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("score") - F.col("m"))), 6).alias("mae"))
+
+
+@query()
+def topic_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for each source by a model that has not seen it."""
+    df = cut(learn.left_out(_numbered(spark, sf_dir), "source"))
+    return learn.out_of_fold(df, learn.pipeline(_COLUMNS, ["lang"], "quality"), df.agg(F.max("fold")).first()[0] + 1, ["doc_id", "source", "quality"])

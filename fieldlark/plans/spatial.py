@@ -108,6 +108,21 @@ def clustered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.clustered_share_test(p, spatial.edges_within(p, 5.0), "flag", ["zone"], 3, _RUNS)
 
 
+@query(
+    "WITH "
+    + PLACES
+    + f""", q AS (SELECT run, k, (run * {_K} + k + 1) * 48271 % {_P} AS q FROM range({_RUNS}) a(run), range({_K}) b(k)), us AS (SELECT run, list((q * q + 12345) % {_P} ORDER BY k) AS us FROM q GROUP BY run),
+st AS (SELECT id, value - avg(value) OVER () AS z, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM places), v AS (SELECT var_pop(value) AS v FROM places),
+moved AS MATERIALIZED (SELECT run, list_reduce(list_prepend(i, us), lambda x, u: CASE WHEN {_BIT} = 1 THEN {_OTHER} ELSE x END) AS place, z FROM st, us UNION ALL SELECT {_RUNS}, i, z FROM st),
+edges AS MATERIALIZED (SELECT sa.i AS a, sb.i AS b FROM places a JOIN places b ON a.id < b.id JOIN st sa ON sa.id = a.id JOIN st sb ON sb.id = b.id WHERE {_D} <= 4.0),
+r AS (SELECT ma.run, round(sum(ma.z * mb.z) / (count(*) * any_value(v)), 12) AS v FROM edges e JOIN moved ma ON ma.place = e.a JOIN moved mb ON mb.place = e.b AND mb.run = ma.run, v GROUP BY ma.run),
+o AS (SELECT v FROM r WHERE run = {_RUNS}) SELECT round(o.v, 6) AS morans_i, (count(*) FILTER (r.v >= o.v AND run < {_RUNS}) + 1) / {_RUNS + 1}::DOUBLE AS p FROM r, o GROUP BY o.v"""
+)
+def morans_i_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = places(spark, sf_dir)
+    return permutation.morans_i_test(p, spatial.edges_within(p, 4.0), "value", _RUNS).withColumn("morans_i", F.round("morans_i", 6))
+
+
 RINGS = {"north": [(80.6950, 7.3388), (80.6965, 7.3388), (80.6965, 7.3400), (80.6950, 7.3400)], "wedge": [(80.6954, 7.3380), (80.6960, 7.3384), (80.6956, 7.3390)]}
 
 

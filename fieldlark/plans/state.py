@@ -190,6 +190,16 @@ def theil_sen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_custkey", F.col("n").cast("long").alias("n"), F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
+@query(
+    "WITH " + _TS + """, f AS (SELECT o_orderkey, o_custkey AS c, o_totalprice AS y, slope, o_totalprice - (slope * date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + my - slope * mx) AS r FROM orders LEFT JOIN (SELECT c, slope, mx, my FROM n JOIN s USING (c)) l ON l.c = o_custkey),
+d AS (SELECT *, abs(r - median(r) OVER (PARTITION BY c)) AS d FROM f) SELECT o_orderkey, CASE WHEN slope IS NULL OR abs(r) <= greatest(25.0, 4 * 1.4826 * median(d) OVER (PARTITION BY c)) THEN y END AS y FROM d"""
+)
+def height_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", x.alias("x"), F.col("o_totalprice").alias("y"))
+    return cleaning.height_outliers(o, "o_custkey", "x", "y").select("o_orderkey", "y")
+
+
 @query("WITH " + VISITS + "SELECT plant_id, day, event_id FROM (SELECT *, row_number() OVER (PARTITION BY plant_id, day ORDER BY ts DESC, event_id DESC) AS rn FROM visits) WHERE rn = 1")
 def same_day_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.keep_latest(visits(spark, sf_dir), ["plant_id", "day"], [F.desc("ts"), F.desc("event_id")]).select("plant_id", "day", "event_id")

@@ -378,6 +378,15 @@ def route_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.route_disagreement(li, b, "k").withColumn("disagreement", F.round("disagreement", 5))
 
 
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS k, l_linenumber % 3 AS r, l_partkey AS s, l_quantity::DOUBLE AS x, l_discount::DOUBLE * 100 AS y FROM lineitem),
+n AS (SELECT a.k, a.r, b.r AS q, a.s, a.x, a.y, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM a JOIN a b ON b.k = a.k AND b.r <> a.r GROUP BY ALL), w AS (SELECT k, r, q, s, min(d) AS d FROM n GROUP BY ALL),
+m AS (SELECT k, r, q, avg(d) AS d FROM w GROUP BY ALL), p AS (SELECT k, least(r, q) AS a, greatest(r, q) AS b, avg(d) AS d FROM m GROUP BY ALL) SELECT k, round(max(d), 5) AS disagreement FROM p GROUP BY k""")
+def route_disagreement_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines dealt into three routes."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 3).alias("r"), F.col("l_partkey").alias("step"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount").cast("double") * 100).alias("y")).distinct()
+    return graph.routes_disagreement(li, "k", "r").withColumn("disagreement", F.round("disagreement", 5))
+
+
 @query("SELECT DATE '2024-01-01' AS start, greatest(DATE '2024-01-31', CAST(max(ts) AS DATE) + 1) AS end FROM events")
 def study_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.study_window(table(spark, sf_dir, "events"), "ts", "2024-01-01", "2024-01-31")

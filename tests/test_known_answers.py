@@ -453,3 +453,21 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert writers.upsert_table(rows([], 1), path, ["id"], "v") == 3
     with pytest.raises(FileNotFoundError):
         writers.current_table(spark, path, 9)
+
+
+def test_morans_i_of_a_slope_is_significant(spark):
+    from fieldlark.operators import permutation
+
+    step = 5 / (111_194.93 * math.cos(math.radians(7.3388)))
+    df = spark.createDataFrame([(i, 7.3388 + (i // 30) * 5 / 111_194.93, 80.6957 + (i % 30) * step, float(i % 30), float(i * 7919 % 13), None if i == 3 else 1.0) for i in range(300)], "id long, lat double, lon double, slope double, mixed double, flat double")
+    edges = spatial.edges_within(df, 6.0)
+    r = permutation.morans_i_test(df, edges, "slope").first()
+    assert r["morans_i"] == pytest.approx(spatial.morans_i(df, edges, "slope").first()["morans_i"], abs=1e-9) and r["morans_i"] > 0.9 and r["p"] == 0.001
+    assert permutation.morans_i_test(df, edges, "mixed", 199).first()["p"] > 0.02
+    assert permutation.morans_i_test(df, edges, "flat", 19).first()["morans_i"] is None
+
+
+def test_disagreement_of_three_routes(spark):
+    rows = [("a", r, i, float(i), float(r == 2) * 3 + float(r == 1)) for r in range(3) for i in range(5)] + [("b", 0, 0, 0.0, 0.0)]
+    got = graph.routes_disagreement(spark.createDataFrame(rows, "k string, r int, step int, x double, y double"), "k", "r").collect()
+    assert [(g.k, g.disagreement) for g in got] == [("a", 3.0)]
