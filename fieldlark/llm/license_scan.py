@@ -77,6 +77,24 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split() if text else []
 
 
+def notices_from(templates: DataFrame, label: str = "label", text: str = "text", least: int = 8, longest: int = 64) -> tuple[tuple[str, str], ...]:
+    """Notices for :class:`Scan` from a table of license texts: each sentence of ``least`` words or more gives its text's label.
+
+    Sentences end with a full stop, semicolon or colon before white space, or with an empty line; longer ones are cut into
+    stretches of ``longest`` words. The table is read on the driver, as templates are: it has a row for each license and
+    not for each document. Rows with null label or text are left out, sentences that come twice are kept once a label.
+    """
+    parts = F.explode(F.split(F.col(text), r"(?<=[.;:])\s+|\n\s*\n"))
+    rows = templates.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), parts.alias("s")).distinct().collect()
+    found = set()
+    for r in rows:
+        words = [w.decode("utf-8", "surrogatepass") for w in words_of(r["s"])]
+        for k in range(0, len(words), longest):
+            if len(words[k : k + longest]) >= least:
+                found.add((r["label"], " ".join(words[k : k + longest])))
+    return tuple(sorted(found))
+
+
 def _templates(o: Scan) -> list[dict]:
     out = [{"label": v, "base": True, "words": [w.decode() for w in words_of(k)], "share": 1.0} for k, v in BASE.items()]
     out += [{"label": v, "base": False, "words": [w.decode() for w in words_of(k)], "share": o.threshold} for v, k in o.notices]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from fieldlark.llm import common, language_id, line_dedup, pii_surrogates, sharding
+from fieldlark.llm import common, language_id, license_scan, line_dedup, pii_surrogates, sharding
 
 
 def replaced(spark, texts):
@@ -104,3 +104,14 @@ def test_short_lines_go_where_they_are_boilerplate(spark):
     assert all(got[i].text == t.replace(line + "\n", "") and got[i].n_removed == 1 for i, t in rows[1:])
     none = {r.doc_id: r.n_removed for r in line_dedup.deduplicated(df, line_dedup.Units(often=1.0)).collect()}
     assert not any(none.values())
+
+
+def test_templates_from_a_table_of_license_texts(spark):
+    text = "Permission is granted to anyone to use this software for any purpose. Short one.\n\nThe origin of this software must not be misrepresented; you must not claim that you wrote the original software:"
+    table = spark.createDataFrame([("zlib", text), ("zlib", text), (None, text), ("none", None)], "label string, text string")
+    notices = license_scan.notices_from(table)
+    assert [n for n, _ in notices] == ["zlib"] * 3 and ("zlib", "permission is granted to anyone to use this software for any purpose") in notices
+    assert all(8 <= len(n.split()) <= 9 for _, n in license_scan.notices_from(table, longest=9))
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "permission to use anything else is not granted")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.summary(license_scan.scan(docs, license_scan.Scan(notices=notices))).collect()}
+    assert got == {1: "zlib", 2: ""}
