@@ -62,8 +62,11 @@ _ROLES = frozenset("navigation contentinfo complementary search dialog alertdial
 #: Words of classes and ids that mark what is not the article; a name with a word of the second list speaks of a state and not of a part.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer topbar toolbar cookie cookies consent gdpr notice "
-    "popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comments comment commentlist disqus respond replies pagination pager copyright disclaimer".split()
+    "popup popover modal lightbox overlay newsletter subscribe subscription signup login paywall search share sharing social related recommended comments comment commentlist disqus respond reply replies pagination pager "
+    "copyright disclaimer alert alerts notification notifications announcement aside widget widgets rail skip hidden".split()
 )
+#: Classes of articles also name their subjects, so there only a first word speaks of the part.
+_NO_ARTICLE = frozenset("ad ads advert promo sponsored comment comments reply related recommended teaser".split())
 _STATES = frozenset("with without has no not is open enabled disabled".split())
 _HEADS = frozenset("header masthead".split())
 #: What an opening tag ends, and what stops the search for it.
@@ -93,9 +96,13 @@ def _marked(name: str, attrs: dict[str, str]) -> int:
     if attrs and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""))):
         return _OUT
     out = _HEAD if name == "header" or attrs.get("role") == "banner" else _FORM if name == "form" else 0
-    if attrs and name not in ("html", "body", "main", "article"):
+    if attrs and name not in ("html", "body", "main"):
         for label in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-            words = {w.lower() for w in _WORDS.findall(label)}
+            words = [w.lower() for w in _WORDS.findall(label)]
+            if name == "article":
+                out |= _OUT if words and words[0] in _NO_ARTICLE else 0
+                continue
+            words = set(words)
             if not words & _STATES:
                 out |= _OUT if words & _MARKS else _HEAD if words & _HEADS else 0
     return out

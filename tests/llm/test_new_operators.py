@@ -148,6 +148,8 @@ PAGES = {
     6: ("https://b.example/1", "<form action='/'><div id='content'><p>The page is inside a form as some servers make them.</p></div></form>", "The page is inside a form as some servers make them."),
     7: ("https://c.example/1", "<main><p>Plain text of the page stands here.</p><form><label>Name</label> Send us a note</form><div class='cookie-notice'>We use cookies</div><div hidden>secret</div><div class='has-sidebar'>kept too</div></main>", "Plain text of the page stands here. kept too"),
     8: ("https://d.example/1", "just text &lt;without&gt; tags  at all", "just text <without> tags at all"),
+    10: ("https://f.example/1", "<body class='no-sidebar'><div id='header'><h1>Site</h1></div><div id='content'><div class='post'><h2>Name</h2><div class='entry'><p>" + "Body of it. " * 20 + "</p></div></div><ol class='comment-list'><li><article class='comment-body'><p>" + "I say no. " * 40 + "</p></article></li></ol></div><div id='sidebar'><p>Side</p></div><div id='footer'>f</div>", "Name " + ("Body of it. " * 20).strip()),
+    11: ("https://g.example/1", "<main><article class='post-7 post category-advertising tag-comment'><h1>On ads</h1><p>They are many.</p><div class='alert'>Old browser</div></article><article class='related-story'><p>See this too</p></article></main>", "On ads They are many."),
     9: ("https://e.example/1", "<div class='post'><h1>Head</h1><div class='body-17'><p>" + "Words of the article. " * 9 + "</p></div></div><div class='sidebar'><p>" + "Side words. " * 40 + "</p></div>", "Head " + ("Words of the article. " * 9).strip()),
 }
 
