@@ -45,11 +45,16 @@ def numbered_in_strata(points: DataFrame, strata: Sequence[str], key: str = "id"
     return run.join(own, list(strata)).withColumn("_i", F.col("run__one") - F.col("_first")).drop("_at", "_one", "_first", "run__one")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def flag_bits(points: DataFrame, flag: str, strata: Sequence[str], runs: int, seed: int = 0) -> DataFrame:
     """(id, bits): bit r of ``bits`` is the flag in run r, bit ``runs`` the flag as it is (X5). Strata must not be null."""
     df = numbered_in_strata(points.select("id", *strata, F.coalesce(F.col(flag), F.lit(False)).alias("_flag")), strata)
     flags = df.groupBy(*strata).agg(F.count_if("_flag").alias("_k"))
-    df = df.join(flags, list(strata)).select("id", "_i", "_n", "_k", "_flag")
+    # Small rows that cost much: dealt out by number and not by size.
+    df = df.join(flags, list(strata)).select("id", "_i", "_n", "_k", "_flag").repartition(_tasks(points))
 
     def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -112,7 +117,7 @@ def moved_values(points: DataFrame, value: str, runs: int, seed: int = 0, block:
     block, which is all that is held, unpacks them into a matrix of places and runs.
     """
     df = numbered_in_strata(points.where(F.col(value).isNotNull()).select("id", F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v")), ["_all"])
-    df = df.crossJoin(F.broadcast(df.agg(F.avg("_v").alias("_m")))).select("_i", "_n", (F.col("_v") - F.col("_m")).alias("_z"))
+    df = df.crossJoin(F.broadcast(df.agg(F.avg("_v").alias("_m")))).select("_i", "_n", (F.col("_v") - F.col("_m")).alias("_z")).repartition(_tasks(points))
     width = runs + 1
 
     def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

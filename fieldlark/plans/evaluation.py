@@ -353,14 +353,14 @@ def rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: (comparison, classifier, model_a, model_b, classifier_b)
-_PAIRS = [("guess_vs_toxic", "all", "guess", "toxic", "all"), ("guess_vs_toxic", "en", "guess", "toxic", "en"), ("guess_vs_ones", "all", "guess", "ones", "all"), ("guess_vs_ones", "en", "guess", "ones", "all"), ("toxic_vs_itself", "all", "toxic", "toxic", "all")]
+_COMPARED = [("guess_vs_toxic", "all", "guess", "toxic", "all"), ("guess_vs_toxic", "en", "guess", "toxic", "en"), ("guess_vs_ones", "all", "guess", "ones", "all"), ("guess_vs_ones", "en", "guess", "ones", "all"), ("toxic_vs_itself", "all", "toxic", "toxic", "all")]
 
 
 @query(
     "WITH " + JUDGED + f""", m AS (SELECT source, lang, quality, p, model, CASE model WHEN 'guess' THEN guess WHEN 'toxic' THEN toxic ELSE 1 END AS g FROM judged, (VALUES ('guess'), ('toxic'), ('ones')) v(model)),
 k AS (SELECT *, classifier FROM m, (VALUES ('all'), ('en')) c(classifier) WHERE classifier = 'all' OR lang = 'en'),
 f AS (SELECT model, classifier, source, 'accuracy' AS metric, avg((quality = g)::INTEGER::DOUBLE) AS value FROM k GROUP BY ALL UNION ALL SELECT model, classifier, source, 'brier', avg(pow(g - p, 2)) FROM k GROUP BY ALL),
-pairs AS (SELECT * FROM (VALUES {", ".join(map(str, _PAIRS))}) t(comparison, classifier, model_a, model_b, classifier_b)),
+pairs AS (SELECT * FROM (VALUES {", ".join(map(str, _COMPARED))}) t(comparison, classifier, model_a, model_b, classifier_b)),
 d AS (SELECT comparison, pairs.classifier, a.metric, a.value - b.value AS d FROM pairs JOIN f a ON a.model = model_a AND a.classifier = pairs.classifier JOIN f b ON b.model = model_b AND b.classifier = classifier_b AND b.metric = a.metric AND b.source = a.source),
 s AS (SELECT comparison, classifier, metric, avg(d) AS mean, count(*) - 1 AS df, sqrt(var_samp(d) * (1 / count(*)::DOUBLE + 0.25)) AS se FROM d GROUP BY ALL),
 q AS (SELECT *, CASE df WHEN 19 THEN 2.093024054408263::DOUBLE END AS crit FROM s) SELECT comparison, classifier, metric, round(mean, 6) AS mean, df, round(CASE WHEN se = 0 THEN (mean = 0)::INTEGER::DOUBLE ELSE """
@@ -376,6 +376,6 @@ def comparison_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = j.select("source", "quality", "p", kinds.alias("classifier"), m.alias("m")).groupBy("m.model", "classifier", "source")
     each = each.agg(F.avg((F.col("quality") == F.col("m.g")).cast("double")).alias("accuracy"), F.avg(F.pow(F.col("m.g") - F.col("p"), 2)).alias("brier"))
     folds = each.unpivot(["model", "classifier", "source"], ["accuracy", "brier"], "metric", "value")
-    pairs = spark.createDataFrame(_PAIRS, "comparison string, classifier string, model_a string, model_b string, classifier_b string")
+    pairs = spark.createDataFrame(_COMPARED, "comparison string, classifier string, model_a string, model_b string, classifier_b string")
     found = evaluate.comparisons(folds, pairs, ["source"], 0.2)
     return found.select("comparison", "classifier", "metric", "df", *[F.round(c, 6).alias(c) for c in ("mean", "p", "ci_low", "ci_high")])
