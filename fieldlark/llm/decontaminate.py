@@ -16,7 +16,7 @@ The items go to the tasks in blocks of at most ``block_bytes``, one pass over th
 texts for each block. One block at a time is on the driver and in a plan; where there
 are several, what a pass found or left is written before the next.
 
-Shared q-grams are counted some millions at a time. Where a text and an item both repeat
+Shared q-grams are counted some hundred thousand at a time. Where a text and an item both repeat
 themselves, their hits would be the product of their lengths; there a band is kept by the places in
 its reach that have any q-gram of the item, which loses nothing either.
 
@@ -43,8 +43,8 @@ from fieldlark.llm.common import delete, fresh, text_batches, written
 
 _Q, _SLOTS = 8, 21
 _Q_MASKS = [np.uint64(2 ** (8 * q) - 1) for q in range(_Q + 1)]
-#: Hits that are held at a time, and hits a place of the texts beyond which an item is taken for repetitive.
-_HITS, _DENSE = 4_000_000, 48
+#: Hits that are held at a time; hits of one item beyond which it is taken for repetitive: in all, and a place of the texts.
+_HITS, _MANY, _DENSE = 500_000, 4_000_000, 48
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _FOUND = "doc_id long, item_id long, start long, length long, edits long"
 
@@ -165,8 +165,8 @@ class Index:
         far = self.margin * np.arange(len(starts), dtype=np.int64)
         for p in self.postings:
             at, near = p.found(grams)
-            if int(p.count[near].sum()) > _HITS:
-                dense = p.repetitive(near, max(_HITS, _DENSE * len(at)), len(self.ids))
+            if int(p.count[near].sum()) > _MANY:
+                dense = p.repetitive(near, max(_MANY, _DENSE * len(at)), len(self.ids))
                 if dense.any():
                     out += [self._dense(i, grams & p.mask, starts, far) for i in np.flatnonzero(dense).tolist()]
                     p = p.without(dense)
@@ -174,7 +174,7 @@ class Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _counted(self, p: _Postings, at: np.ndarray, near: np.ndarray, starts: np.ndarray, far: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Bands with enough shared q-grams, by some millions of hits at a time; counts of bands that later places can reach are carried on."""
+        """Bands with enough shared q-grams, by some hundred thousand hits at a time; counts of bands that later places can reach are carried on."""
         out, key, count = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         part = np.cumsum(p.count[near]) // _HITS
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(at)]

@@ -192,6 +192,7 @@ def test_counting_in_parts_loses_nothing(monkeypatch, hits, dense):
         index = decontaminate.Index(items, decontaminate.Leaks())
         whole = {x[:2] for x in index.find(texts)}
         monkeypatch.setattr(decontaminate, "_HITS", hits)
+        monkeypatch.setattr(decontaminate, "_MANY", hits)
         monkeypatch.setattr(decontaminate, "_DENSE", dense)
         assert {x[:2] for x in index.find(texts)} == whole
         monkeypatch.undo()
