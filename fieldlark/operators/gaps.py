@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_POINTS = 1_000_000
+
+
 def _point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -42,6 +47,31 @@ def stem_gaps(segments: DataFrame, key: str, order: str, points: str, reach: flo
     return out.withColumn("t1", F.when(F.col("_t1").isNotNull(), _point(-F.col("_t1.x"), -F.col("_t1.y")))).drop("_t1")
 
 
+def _curve_length(ends: pd.DataFrame, n: pd.Series) -> pd.Series:
+    """Length of the cubic through n + 1 points for each row, as the expressions of :func:`filled_gaps` place them; null where n is.
+
+    All points of some rows are worked on at once, about ``_POINTS`` and those of one row at most.
+    """
+    out = np.full(len(n), np.nan)
+    rows = np.flatnonzero(n.notna().to_numpy())
+    steps = n.to_numpy(dtype=float, na_value=np.nan)[rows].astype(np.int64)
+    at = {c: ends[c].to_numpy(dtype=float, na_value=np.nan)[rows] for c in ends.columns}
+    block = np.cumsum(steps + 1) // _POINTS
+    for a, b in zip(*(np.searchsorted(block, np.unique(block), side) for side in ("left", "right")), strict=True):
+        k = steps[a:b]
+        first = np.cumsum(k + 1) - (k + 1)
+        row = np.repeat(np.arange(b - a), k + 1)
+        t = (np.arange(len(row)) - first[row]) / k[row]
+        s = 1 - t
+        weights = (1 + 2 * t) * s * s, t * s * s, t * t * (3 - 2 * t), t * t * (t - 1)
+        v = {c: x[a:b] for c, x in at.items()}
+        x, y = (weights[0] * v[f"p0{c}"][row] + weights[1] * (v["m"] * v[f"t0{c}"])[row] + weights[2] * v[f"p1{c}"][row] + weights[3] * (v["m"] * v[f"t1{c}"])[row] for c in "xy")
+        way = np.append(np.hypot(np.diff(x), np.diff(y)), 0.0)
+        way[first + k] = 0.0  # from a row's last point to the next row's first
+        out[rows[a:b]] = np.add.reduceat(way, first)
+    return pd.Series(out)
+
+
 def filled_gaps(gaps: DataFrame, scale: float = 0.55, most_bend: float = 1.8, longest: float = 160.0, along: float = 0.15) -> DataFrame:
     """``gaps`` with chord, method, points and length.
 
@@ -67,7 +97,11 @@ def filled_gaps(gaps: DataFrame, scale: float = 0.55, most_bend: float = 1.8, lo
         return _point(*[F.col("p0")[k] + (F.col("p1")[k] - F.col("p0")[k]) * (i / n) for k in ("x", "y")])
 
     steps = F.sequence(F.lit(0), n)
-    df = df.withColumn("_curve", F.when((F.col("chord") > 0) & (F.col("chord") <= longest), F.transform(steps, at))).withColumn("_long", length_of(F.col("_curve")))
+    bridged = (F.col("chord") > 0) & (F.col("chord") <= longest)
+    df = df.withColumn("_curve", F.when(bridged, F.transform(steps, at)))
+    # Lengths need no array of points, and that column goes unmade where nobody reads it.
+    ends = F.struct(*[F.col(f"{c}.{k}").alias(f"{c.strip('_')}{k}") for c in ("p0", "p1", "_t0", "_t1") for k in ("x", "y")], m.alias("m"))
+    df = df.withColumn("_long", F.pandas_udf(_curve_length, "double")(ends, F.when(bridged, n)))
     method = F.when(F.col("chord") > longest, "too_long").when(F.coalesce(F.col("_long") <= most_bend * F.col("chord"), F.lit(False)), "hermite").otherwise("straight")
     df = df.withColumn("method", method)
     df = df.withColumns({"points": F.when(F.col("method") == "hermite", F.col("_curve")).when(F.col("method") == "straight", F.transform(steps, straight)), "length": F.when(F.col("method") == "hermite", F.col("_long")).when(F.col("method") == "straight", F.col("chord"))})
