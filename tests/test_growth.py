@@ -24,3 +24,8 @@ def test_curves_are_measured_without_their_points(spark, sf_dir):
     assert {k: r.method for k, r in got.items()} == {1: "hermite", 2: "hermite", 3: "straight", 4: "too_long", 5: "hermite"}
     assert all(got[k].length == pytest.approx(got[k].again, abs=1e-9) for k in (1, 2, 3, 5)) and got[4].length is None
     assert got[1].length > math.hypot(100, 50)
+
+
+def test_rings_are_computed_once(spark, sf_dir):
+    # The plan had a copy of the ring's expression for each mention: 126,295 characters.
+    assert len(plan(queries()["clipped_rings"](spark, sf_dir))) < 30_000
