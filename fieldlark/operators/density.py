@@ -104,6 +104,24 @@ def clusters(points: DataFrame, metres: float, least: int, group: Sequence[str]
     return points.select("id").join(labels.select("id", "cluster").unionByName(border), "id", "left")
 
 
+def accompanied(points: DataFrame, metres: float, group: Sequence[str] = ()) -> DataFrame:
+    """(id): points with another id of their group within the distance.
+
+    A cell that holds two ids settles its points without a comparison, so only points of the other cells, of which a cell
+    has one, are compared with those around. Points of a null group or without a position have no company.
+    """
+    own, cell = list(group), [*group, "cy", "cx"]
+    placed = points.where(" and ".join(f"{c} is not null" for c in ["lat", "lon", *own])).select("id", "lat", "lon", *own)
+    p = cut(_celled(placed, metres))
+    ids = p.groupBy(*cell).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    full = p.join(ids.where("_low != _high").select(*cell), cell, "left_semi").select("id")
+    alone = p.join(ids.where("_low = _high").select(*cell), cell, "left_semi").distinct()
+    asking = _around(alone.select(F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *cell))
+    d = haversine(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
+    near = asking.join(p, cell).where((F.col("a") != F.col("id")) & (d <= metres)).select(F.col("a").alias("id"))
+    return full.unionByName(near).distinct()
+
+
 def reach_of_cells() -> bool:
     """Whether the cells within reach hold every point within the distance, and a cell's points are within it."""
     return math.hypot(_SIDE, _SIDE) < 1 and _ROWS * _SIDE > 1 and _COLUMNS * _SIDE * math.cos(math.radians(60)) > 1

@@ -29,3 +29,22 @@ def test_curves_are_measured_without_their_points(spark, sf_dir):
 def test_rings_are_computed_once(spark, sf_dir):
     # The plan had a copy of the ring's expression for each mention: 126,295 characters.
     assert len(plan(queries()["clipped_rings"](spark, sf_dir))) < 30_000
+
+
+def test_company_is_found_without_all_pairs(spark):
+    import random
+
+    from fieldlark.operators import density
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, 1, None]), 7.0 + rng.random() * 4e-4, 80.0 + rng.random() * 4e-4) for i in range(150)]
+    rows += [(150, 0, 7.1, 80.0), (150, 0, 7.1, 80.0), (151, 1, 7.1, 80.0), (152, 0, None, 80.0), (153, 0, 7.2, 80.0), (154, 0, 7.2, 80.0)]
+    hav = lambda a, b: 2 * 6_371_000 * math.asin(math.sqrt(math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2))
+    pts = [r for r in rows if None not in r]
+    df = spark.createDataFrame(rows, "id long, zone int, lat double, lon double")
+    for metres in (1.5, 4.0, 75.0):
+        want = {a[0] for a in pts for b in pts if a[0] != b[0] and a[1] == b[1] and hav(a, b) <= metres}
+        assert sorted(r.id for r in density.accompanied(df, metres, ["zone"]).collect()) == sorted(want)
+    # A crowd at one place: its 3,600,000,000 pairs would not be done in time.
+    many = spark.range(60_000).select("id", F.lit(0).alias("zone"), F.lit(7.0).alias("lat"), F.lit(80.0).alias("lon"))
+    assert density.accompanied(many, 75.0, ["zone"]).count() == 60_000
