@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.operators import tiles
 from fieldlark.operators.evaluate import running_sums
 from fieldlark.operators.lineage import cut
 
@@ -72,6 +73,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
 
+def _bits(width: int):
+    """Makes a matrix of ones and zeros of packed bits."""
+    return lambda rows: np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), width), axis=1, bitorder="little").astype(np.float32)
+
+
+def _placed(points: DataFrame, carried: DataFrame, column: str) -> DataFrame:
+    return points.select("id", "lat", "lon").join(carried.select("id", F.col(column).alias("data")), "id")
+
+
 def _counts(rows: DataFrame, a: str, b: str | None, runs: int) -> DataFrame:
     """(run, count): rows in which the bit of each run is set in ``a`` and in ``b``; a task gives one row a run."""
     width = (runs + 8) // 8
@@ -97,12 +107,16 @@ def _tested(counts: DataFrame, runs: int, name: str, value: F.Column) -> DataFra
     return both.groupBy(name).agg(((F.count_if(F.col("_v") >= F.col(name)) + 1) / F.lit(runs + 1)).alias("p"))
 
 
-def join_count_test(points: DataFrame, edges: DataFrame, flag: str, strata: Sequence[str], runs: int = 999, seed: int = 0) -> DataFrame:
+def join_count_test(points: DataFrame, edges: DataFrame | float, flag: str, strata: Sequence[str], runs: int = 999, seed: int = 0) -> DataFrame:
     """(join_count, p): neighbouring pairs that are both flagged, against flags dealt anew in each stratum.
 
-    ``edges`` (a, b) are in both directions.
+    ``edges`` (a, b) are in both directions, or a distance in metres, for which pairs are not made; see :mod:`tiles`.
     """
     bits = cut(flag_bits(points, flag, strata, runs, seed))
+    if not isinstance(edges, DataFrame):
+        width = (runs + 8) // 8
+        found = tiles.pair_sums(_placed(points, bits, "bits"), edges, _bits(width), width * 8).where(F.col("run") <= runs)
+        return _tested(found, runs, "join_count", F.col("s"))
     both = edges.select("a", "b").where("a < b").join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
     return _tested(_counts(both, "bits_a", "bits_b", runs), runs, "join_count", F.col("count").cast("double"))
 
@@ -110,8 +124,8 @@ def join_count_test(points: DataFrame, edges: DataFrame, flag: str, strata: Sequ
 _MOVED = np.dtype([("place", "<u4"), ("run", "<u2"), ("z", "<f8")])
 
 
-def moved_values(points: DataFrame, value: str, runs: int, seed: int = 0, block: int = 256) -> DataFrame:
-    """(place, z): for each place the values that the runs put there, as doubles, and behind them its own.
+def moved_values(points: DataFrame, value: str, runs: int, seed: int = 0, block: int = 256, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, *keep, z): for each point the values that the runs put there, as doubles, and behind them its own.
 
     Values are taken from their mean. A task sends what its points give to a block of places as one packed row, and a
     block, which is all that is held, unpacks them into a matrix of places and runs.
@@ -151,18 +165,24 @@ def moved_values(points: DataFrame, value: str, runs: int, seed: int = 0, block:
             yield out()
 
     moved = df.mapInArrow(sent, "block long, data binary").repartition("block").sortWithinPartitions("block").mapInArrow(unpacked, "place long, z binary")
-    ids = numbered_in_strata(points.where(F.col(value).isNotNull()).select("id", F.lit(0).alias("_all")), ["_all"])
-    return ids.select("id", F.col("_i").alias("place")).join(moved, "place").select("id", "z")
+    ids = numbered_in_strata(points.where(F.col(value).isNotNull()).select("id", *keep, F.lit(0).alias("_all")), ["_all"])
+    return ids.select("id", *keep, F.col("_i").alias("place")).join(moved, "place").select("id", *keep, "z")
 
 
-def morans_i_test(points: DataFrame, edges: DataFrame, value: str, runs: int = 999, seed: int = 0) -> DataFrame:
+def morans_i_test(points: DataFrame, edges: DataFrame | float, value: str, runs: int = 999, seed: int = 0) -> DataFrame:
     """(morans_i, p): Moran's I with weights one, against values dealt anew over all points.
 
-    ``edges`` (a, b) are in both directions; points without a value are left out.
+    ``edges`` (a, b) are in both directions, or a distance in metres, for which pairs are not made; points without a value
+    are left out.
     """
+    width = runs + 1
+    spread = points.agg(F.var_pop(value).alias("_v"))
+    if not isinstance(edges, DataFrame):
+        z = moved_values(points, value, runs, seed, keep=["lat", "lon"]).withColumnRenamed("z", "data")
+        sums = tiles.pair_sums(z, edges, lambda rows: np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), width), width)
+        return _tested_morans(sums, spread, runs)
     z = cut(moved_values(points, value, runs, seed))
     both = edges.select("a", "b").where("a < b").join(z.toDF("a", "za"), "a").join(z.toDF("b", "zb"), "b")
-    width = runs + 1
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(width), 0
@@ -173,15 +193,19 @@ def morans_i_test(points: DataFrame, edges: DataFrame, value: str, runs: int = 9
         yield pa.RecordBatch.from_pydict({"run": np.arange(width), "s": total, "n": np.full(width, n)})
 
     sums = both.select("za", "zb").mapInArrow(add, "run long, s double, n long").groupBy("run").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    spread = points.agg(F.var_pop(value).alias("_v"))
+    return _tested_morans(sums, spread, runs)
+
+
+def _tested_morans(sums: DataFrame, spread: DataFrame, runs: int) -> DataFrame:
     # Equal arrangements must tie whatever the order of their sums.
     return _tested(sums.crossJoin(F.broadcast(spread)), runs, "morans_i", F.round(F.col("s") / F.nullif(F.col("n") * F.col("_v"), F.lit(0.0)), 12))
 
 
-def clustered_share_test(points: DataFrame, edges: DataFrame, flag: str, strata: Sequence[str], least: int, runs: int = 999, seed: int = 0) -> DataFrame:
+def clustered_share_test(points: DataFrame, edges: DataFrame | float, flag: str, strata: Sequence[str], least: int, runs: int = 999, seed: int = 0) -> DataFrame:
     """(observed, p): share of flagged points in density clusters, against flags dealt anew in each stratum.
 
-    ``edges`` (a, b) are the pairs within the distance, in both directions. Flagged neighbours of a point are counted
+    ``edges`` (a, b) are the pairs within the distance, in both directions, or the distance in metres, for which pairs are
+    not made. Flagged neighbours of a point are counted
     for all runs at once, which gives its core bits; a point is in a cluster if it is flagged and is core or next to one.
     """
     width = (runs + 8) // 8
@@ -231,6 +255,20 @@ def clustered_share_test(points: DataFrame, edges: DataFrame, flag: str, strata:
         rows = ends.join(bits.toDF("a", "own"), "a").join(other.toDF("b", "other"), "b", "left")
         return rows.select("a", "own", "other").repartition("a").sortWithinPartitions("a")
 
+    if not isinstance(edges, DataFrame):
+        decode = _bits(width)
+        packed = lambda on: [r.tobytes() for r in np.packbits(on, axis=1, bitorder="little")]
+        is_core = lambda own, n: packed((n + 1 >= least) & (decode(own) > 0))
+        cores = cut(tiles.neighbour_counts(_placed(points, bits, "bits"), edges, decode, width * 8, is_core))
+        # A core point is in its cluster itself; a point carries its core bits and behind them its own.
+        both = cores.join(bits, "id").select("id", F.concat("data", "bits").alias("data"))
+        core_part, own_part = lambda rows: decode([r[:width] for r in rows]), lambda rows: decode([r[width:] for r in rows])
+        is_in = lambda rows, n: packed((core_part(rows) > 0) | ((n > 0) & (own_part(rows) > 0)))
+        inside_ = tiles.neighbour_counts(_placed(points, both, "data"), edges, core_part, width * 8, is_in)
+        counts = _counts(inside_.select(F.col("data").alias("bits")), "bits", None, runs)
+        flagged = points.agg(F.count_if(flag).alias("_k"))
+        return _tested(counts.crossJoin(F.broadcast(flagged)), runs, "observed", F.col("count") / F.nullif("_k", F.lit(0)))
+
     schema = f"id {kind}, bits binary"
     cores = cut(around(bits).mapInArrow(core, schema))
     near = around(cores).mapInArrow(inside, schema)

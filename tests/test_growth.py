@@ -48,3 +48,23 @@ def test_company_is_found_without_all_pairs(spark):
     # A crowd at one place: its 3,600,000,000 pairs would not be done in time.
     many = spark.range(60_000).select("id", F.lit(0).alias("zone"), F.lit(7.0).alias("lat"), F.lit(80.0).alias("lon"))
     assert density.accompanied(many, 75.0, ["zone"]).count() == 60_000
+
+
+def test_pairs_by_tiles_are_those_of_the_edges(spark, monkeypatch):
+    import random
+
+    from fieldlark.operators import permutation, spatial, tiles
+
+    rng = random.Random(8)
+    at = lambda i: (i, "ab"[i % 2], 7.3388 + rng.gauss(0, 8e-5), 80.6957 + rng.gauss(0, 8e-5), i % 3 == 0, rng.random() if i % 11 else None)
+    df = spark.createDataFrame([at(i) for i in range(300)] + [(300, "a", 7.3388, 80.6957, True, 0.5), (301, "a", 7.3388, 80.6957, True, 0.25)], "id long, zone string, lat double, lon double, flag boolean, value double").repartition(3)
+    monkeypatch.setattr(tiles, "_BLOCK", 16)
+    monkeypatch.setattr(tiles, "_HELD", 7)
+    for metres in (4.0,):
+        edges = spatial.edges_within(df, metres)
+        for test, how in ((permutation.join_count_test, ("flag", ["zone"], 99)), (permutation.morans_i_test, ("value", 99)), (permutation.clustered_share_test, ("flag", ["zone"], 3, 99))):
+            tiled = test(df, metres, *how)
+            assert tuple(tiled.first()) == pytest.approx(tuple(test(df, edges, *how).first()), abs=1e-11)
+    # No join makes a row for each pair.
+    text = plan(permutation.join_count_test(df, 2.0, "flag", ["zone"], 99))
+    assert "cy#" not in text and "cx#" not in text
