@@ -68,3 +68,20 @@ def test_pairs_by_tiles_are_those_of_the_edges(spark, monkeypatch):
     # No join makes a row for each pair.
     text = plan(permutation.join_count_test(df, 2.0, "flag", ["zone"], 99))
     assert "cy#" not in text and "cx#" not in text
+
+
+def test_nearest_by_growing_radii(spark):
+    import random
+
+    from fieldlark.operators import spatial
+
+    rng = random.Random(2)
+    rows = [(i, 7.0 + rng.gauss(0, 2e-4), 80.0 + rng.gauss(0, 2e-4)) for i in range(250)] + [(250, 7.0, 80.05), (251, None, 80.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    every = spatial.pairs_within(df.where("id % 5 = 0"), df, 30.0).collect()
+    want = sorted((r.a, i + 1, r.b) for a in {r.a for r in every} for i, r in enumerate(sorted((r for r in every if r.a == a), key=lambda r: (r.distance, r.b))[:4]))
+    assert sorted((r.a, r["rank"], r.b) for r in spatial.nearest(df.where("id % 5 = 0"), df, 4, 30.0).collect()) == want
+    # A crowd at one place: 2,000 queries against 100,000 points would be 200,000,000 pairs in one cell.
+    many = spark.range(100_000).select("id", F.lit(7.0).alias("lat"), F.lit(80.0).alias("lon"))
+    got = spatial.nearest(many.where("id % 50 = 0"), many, 3, 25.0).groupBy("rank").agg(F.count("*").alias("n"), F.sum("b").alias("s")).collect()
+    assert {r["rank"]: (r.n, r.s) for r in got} == {1: (2000, 0), 2: (2000, 2000), 3: (2000, 4000)}
