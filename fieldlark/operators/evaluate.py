@@ -273,8 +273,10 @@ def comparisons(folds: DataFrame, pairs: DataFrame, at: Sequence[str], test_shar
 
     ``folds`` is (model, classifier, metric, *at, value), ``at`` naming the fold; ``pairs`` is (comparison, classifier,
     model_a, model_b, classifier_b), where the second model may be that of another classifier. Folds that one side
-    lacks are left out.
+    lacks are left out. Both sides read the same written folds: sums of doubles made twice may differ in their last bits,
+    and a model would then differ from itself.
     """
+    folds = cut(folds)
     a = folds.select(F.col("model").alias("model_a"), "classifier", "metric", *at, F.col("value").alias("_a"))
     b = folds.select(F.col("model").alias("model_b"), F.col("classifier").alias("classifier_b"), "metric", *at, F.col("value").alias("_b"))
     both = pairs.join(a, ["model_a", "classifier"]).join(b, ["model_b", "classifier_b", "metric", *at]).withColumn("_d", F.col("_a") - F.col("_b"))

@@ -85,3 +85,15 @@ def test_nearest_by_growing_radii(spark):
     many = spark.range(100_000).select("id", F.lit(7.0).alias("lat"), F.lit(80.0).alias("lon"))
     got = spatial.nearest(many.where("id % 50 = 0"), many, 3, 25.0).groupBy("rank").agg(F.count("*").alias("n"), F.sum("b").alias("s")).collect()
     assert {r["rank"]: (r.n, r.s) for r in got} == {1: (2000, 0), 2: (2000, 2000), 3: (2000, 4000)}
+
+
+def test_a_model_does_not_differ_from_itself(spark):
+    import random
+
+    from fieldlark.operators import evaluate
+
+    drawn = F.udf(lambda _: random.SystemRandom().random(), "double").asNondeterministic()
+    folds = spark.range(20).select(F.lit("m").alias("model"), F.lit("all").alias("classifier"), F.lit("brier").alias("metric"), F.col("id").alias("fold"), drawn("id").alias("value"))
+    pairs = spark.createDataFrame([("m_vs_m", "all", "m", "m", "all")], "comparison string, classifier string, model_a string, model_b string, classifier_b string")
+    r = evaluate.comparisons(folds, pairs, ["fold"], 0.2).first()
+    assert (r["mean"], r["df"], r["p"], r["ci_low"]) == (0.0, 19, 1.0, 0.0)
