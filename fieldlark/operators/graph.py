@@ -6,9 +6,10 @@ import heapq
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlark.functions.geo import once
 from fieldlark.operators.components import connected_components
 
 
@@ -152,14 +153,35 @@ def observed_and_estimated(segments: DataFrame, key: str, scale: float) -> DataF
     return segments.groupBy(key).agg(of(False).alias("observed_cm"), of(True).alias("estimated_cm"))
 
 
+def _mean(values: Column) -> Column:
+    """Mean of an array without its nulls."""
+    return once(F.array_compact(values), lambda v: F.aggregate(v, F.lit(0.0), lambda s, d: s + d) / F.nullif(F.size(v), F.lit(0)))
+
+
+def _one_way(a: Column, b: Column) -> Column:
+    """Mean over the steps of ``a``, arrays of (s, x, y), of the distance from a step's points to the nearest of ``b``."""
+    to = lambda p: F.array_min(F.transform(b, lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])))
+    nearest = lambda s: F.array_min(F.transform(F.filter(a, lambda p: p["s"].eqNullSafe(s)), to))
+    return _mean(F.transform(F.array_distinct(F.transform(a, lambda p: p["s"])), nearest))
+
+
+def _gathered(routes: DataFrame, key: str, route: str) -> DataFrame:
+    """(key, _p, _r): the points (r, s, x, y) of a key, which is the unit of the result, and its routes in order; nothing where there is one only."""
+    rows = routes.where(F.col(key).isNotNull() & F.col(route).isNotNull())
+    point = F.struct(F.col(route).alias("r"), F.col("step").alias("s"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    own = rows.groupBy(key).agg(F.collect_list(point).alias("_p"))
+    return own.withColumn("_r", F.array_sort(F.array_distinct(F.transform("_p", lambda p: p["r"])))).where(F.size("_r") > 1)
+
+
+def _both_ways(r: Column, q: Column) -> Column:
+    of = lambda k: F.filter("_p", lambda p: p["r"] == k)
+    return once(F.struct(of(r).alias("a"), of(q).alias("b")), lambda t: _mean(F.array(_one_way(t["a"], t["b"]), _one_way(t["b"], t["a"]))))
+
+
 def route_disagreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, disagreement): mean distance to the nearest point of the other route, both ways (E40). Points meet inside a key."""
-    def one(p: DataFrame, q: DataFrame) -> DataFrame:
-        both = p.select(key, F.col("step").alias("s"), F.col("x").alias("px"), F.col("y").alias("py")).join(q.select(key, F.col("x").alias("qx"), F.col("y").alias("qy")), key)
-        near = both.groupBy(key, "s").agg(F.min(F.sqrt(F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2))).alias("d"))
-        return near.groupBy(key).agg(F.avg("d").alias("d"))
-
-    return one(a, b).unionAll(one(b, a)).groupBy(key).agg(F.avg("d").alias("disagreement"))
+    routes = a.select(key, F.lit(0).alias("_route"), "step", "x", "y").unionByName(b.select(key, F.lit(1).alias("_route"), "step", "x", "y"))
+    return _gathered(routes, key, "_route").select(key, _both_ways(F.lit(0), F.lit(1)).alias("disagreement"))
 
 
 def routes_disagreement(routes: DataFrame, key: str, route: str) -> DataFrame:
@@ -167,10 +189,5 @@ def routes_disagreement(routes: DataFrame, key: str, route: str) -> DataFrame:
 
     ``routes`` is (key, route, step, x, y); a key has a few routes, such as three tracings of one stem.
     """
-    a = routes.select(key, F.col(route).alias("_r"), F.col("step").alias("_s"), F.col("x").alias("_px"), F.col("y").alias("_py"))
-    b = routes.select(key, F.col(route).alias("_q"), F.col("x").alias("_qx"), F.col("y").alias("_qy"))
-    both = a.join(b, key).where("_r != _q")
-    near = both.groupBy(key, "_r", "_q", "_s").agg(F.min(F.hypot(F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy"))).alias("_d"))
-    one_way = near.groupBy(key, "_r", "_q").agg(F.avg("_d").alias("_d"))
-    pair = one_way.groupBy(key, F.least("_r", "_q").alias("_a"), F.greatest("_r", "_q").alias("_b")).agg(F.avg("_d").alias("_d"))
-    return pair.groupBy(key).agg(F.max("_d").alias("disagreement"))
+    pairs = F.flatten(F.transform("_r", lambda r: F.transform(F.filter("_r", lambda q: q > r), lambda q: _both_ways(r, q))))
+    return _gathered(routes, key, route).select(key, F.array_max(pairs).alias("disagreement"))

@@ -97,3 +97,14 @@ def test_a_model_does_not_differ_from_itself(spark):
     pairs = spark.createDataFrame([("m_vs_m", "all", "m", "m", "all")], "comparison string, classifier string, model_a string, model_b string, classifier_b string")
     r = evaluate.comparisons(folds, pairs, ["fold"], 0.2).first()
     assert (r["mean"], r["df"], r["p"], r["ci_low"]) == (0.0, 19, 1.0, 0.0)
+
+
+def test_routes_meet_without_joins(spark):
+    from fieldlark.operators import graph
+
+    rows = [("k", 1, 1, 0.0, 0.0), ("k", 1, 2, 4.0, 0.0), ("k", 1, 2, 5.0, 0.0), ("k", 2, 1, 0.0, 3.0), ("k", 2, 9, None, 1.0), ("one", 1, 1, 0.0, 0.0), (None, 1, 1, 0.0, 0.0), (None, 2, 1, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, r int, step int, x double, y double")
+    both = graph.routes_disagreement(df, "k", "r"), graph.route_disagreement(df.where("r = 1"), df.where("r = 2"), "k")
+    for found in both:
+        assert [tuple(r) for r in found.collect()] == [("k", pytest.approx(((3 + 5) / 2 + 3) / 2))]
+        assert "Join" not in plan(found)
