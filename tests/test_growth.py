@@ -108,3 +108,10 @@ def test_routes_meet_without_joins(spark):
     for found in both:
         assert [tuple(r) for r in found.collect()] == [("k", pytest.approx(((3 + 5) / 2 + 3) / 2))]
         assert "Join" not in plan(found)
+
+
+def test_vectors_without_a_kernel_are_no_error(spark, tmp_path):
+    rows = [(0, [0.1, 0.2, 0.3, 0.4]), (50, None), (100, [float("nan"), 0.0, 0.0, 0.0]), (3, [0.2, 0.1, None, 0.0]), (4, [0.3, 0.1, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries()["kernel_approximation"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 5, True), (50, 5, True), (100, 5, True)]
