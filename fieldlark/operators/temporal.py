@@ -173,7 +173,9 @@ def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 300, s
     """
     x = df.select(*[F.least(F.lit(clip), F.greatest(F.lit(-clip), F.coalesce(F.col(c).cast("double"), F.lit(0.0)))).alias(c) for c in features])
     n = max(1, df.count())
-    own = x.withColumn("_row", F.monotonically_increasing_id())
+    # Small rows that cost much: dealt out by number, as a file of many rows may be one task. Their numbers are those of the file.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = x.withColumn("_row", F.monotonically_increasing_id()).repartition(tasks)
     picks = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.pmod(F.xxhash64("_row", t, F.lit(seed)), F.lit(1_000_003)) < int(min(1.0, sample / n) * 1_000_003))
     drawn = own.select(F.explode(picks).alias("tree"), *features)
 
@@ -195,7 +197,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], trees: int = 300, s
             mean = np.mean([_depths(t, own) for t in forest], axis=0) if forest and len(f) else np.zeros(len(f))
             yield f.assign(iso_score=2.0 ** (-mean / max(float(_path(np.array([min(sample, n)]))[0]), 1e-9)))
 
-    return df.mapInPandas(score, df.select("*", F.lit(0.0).alias("iso_score")).schema)
+    return df.repartition(tasks).mapInPandas(score, df.select("*", F.lit(0.0).alias("iso_score")).schema)
 
 
 def isolation_flags(df: DataFrame, features: Sequence[str], contamination: float = 0.15, **kwargs) -> DataFrame:

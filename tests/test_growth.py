@@ -115,3 +115,11 @@ def test_vectors_without_a_kernel_are_no_error(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = queries()["kernel_approximation"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [(0, 5, True), (50, 5, True), (100, 5, True)]
+
+
+def test_forest_scores_rows_in_many_tasks(spark):
+    from fieldlark.operators import temporal
+
+    df = spark.range(40).select("id", (F.col("id") % 7).cast("double").alias("v")).coalesce(1)
+    found = temporal.isolation_scores(df, ["v"], trees=5)
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 40
