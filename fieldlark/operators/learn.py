@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -21,6 +22,9 @@ from fieldlark.operators.kernels import RandomFourier
 from fieldlark.operators.lineage import cut
 from fieldlark.operators.numbering import dealt
 
+#: Rows of a task of a fit: of the kernel machine's, whose features are many, and of others.
+_WIDE_ROWS, _ROWS = 20_000, 100_000
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``weight`` = n / (classes * rows of the class) (M4)."""
@@ -90,6 +94,18 @@ def _each(tasks: Sequence, run, parallel: int = 6) -> list:
         return [f.result() for f in [pool.submit(run, t) for t in tasks]]
 
 
+def _spread(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
+    """The frame, cut, in tasks of about ``rows`` rows, and its number of rows.
+
+    Rows that learners read are short, so tasks of a number of bytes hold very many of them, and a fit of millions of rows
+    would run in one or two.
+    """
+    df = cut(df)
+    n = df.count()
+    tasks = max(1, math.ceil(n / rows))
+    return (df if tasks == 1 else cut(df.repartition(tasks, key).sortWithinPartitions(key))), n
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -140,13 +156,23 @@ def changed_predictions(features: DataFrame, changed: Mapping[str, DataFrame], b
     return out.groupBy(key, "variant").agg(F.avg("probability_1").alias("p"))
 
 
+def _of_two(build: Pipeline, label: str) -> Pipeline:
+    """The same pipeline for two classes: a linear machine of each against the other is one machine and its mirror image."""
+    *front, last = build.getStages()
+    if not isinstance(last, OneVsRest) or not isinstance(last.getClassifier(), LinearSVC):
+        return build
+    machine = last.getClassifier().copy().setLabelCol(label)
+    return Pipeline(stages=[*front, machine.setWeightCol(last.getWeightCol()) if last.isDefined("weightCol") else machine])
+
+
 def calibrated(df: DataFrame, build: Pipeline, assignment: DataFrame, key: str, label: str, folds: int, keep: Sequence[str] = ()) -> DataFrame:
     """(key, fold, label, *keep, margin, probability_1, prediction) of a machine that gives margins only (M3).
 
     Margins of each fold come from a model of the others; a logistic curve through the margins of the other folds makes
     them probabilities (Platt 1999), so no row has a part in its own score. Binary labels 0 and 1.
     """
-    all_ = cut(df.join(assignment, key))
+    all_, n = _spread(df.join(assignment, key), key, _WIDE_ROWS)
+    build = _of_two(build, label)
     # A class against the rest has one margin for each class; that of class 1 against that of class 0.
     margin = vector_to_array("rawPrediction")
     margin = F.get(margin, F.lit(1)) - F.get(margin, F.lit(0))
@@ -155,7 +181,8 @@ def calibrated(df: DataFrame, build: Pipeline, assignment: DataFrame, key: str,
         model = build.fit(all_.where(F.col("fold") != k))
         return model.transform(all_.where(F.col("fold") == k)).select(key, "fold", label, *keep, margin.alias("margin"))
 
-    margins = cut(_union(_each(range(folds), one)))
+    # A fit keeps its wide rows in memory: the more rows, the fewer fits at a time, as each then has tasks for all cores.
+    margins = cut(_union(_each(range(folds), one, max(1, min(6, 2_000_000 // max(1, n))))))
     curve = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="_m"), LogisticRegression(featuresCol="_m", labelCol=label, maxIter=50)])
 
     def fitted(k: int) -> DataFrame:

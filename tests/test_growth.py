@@ -123,3 +123,24 @@ def test_forest_scores_rows_in_many_tasks(spark):
     df = spark.range(40).select("id", (F.col("id") % 7).cast("double").alias("v")).coalesce(1)
     found = temporal.isolation_scores(df, ["v"], trees=5)
     assert found.rdd.getNumPartitions() == 4 and found.count() == 40
+
+
+def test_kernel_machine_is_fitted_once_a_fold_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import vector_to_array
+
+    from fieldlark.operators import kernels, learn
+
+    monkeypatch.setattr(learn, "_WIDE_ROWS", 200, raising=False)
+    df = spark.range(600, numPartitions=1).select("id", F.sin("id").alias("x"), (F.col("id") % 7).cast("double").alias("z"), (F.sin("id") * F.cos(F.col("id") % 7) > 0.1).cast("double").alias("y"), (F.col("id") % 3).cast("int").alias("fold"))
+    build = learn.pipeline(["x", "z"], [], "y", "svm")
+    both = build.fit(df.where("fold != 0")).transform(df.where("fold = 0")).select("id", vector_to_array("rawPrediction").alias("m")).collect()
+    fits, fit = [], LinearSVC._fit
+    monkeypatch.setattr(LinearSVC, "_fit", lambda self, data: fits.append(data.rdd.getNumPartitions()) or fit(self, data))
+    out = {r.id: r for r in learn.calibrated(df.drop("fold"), build, df.select("id", "fold"), "id", "y", 3).collect()}
+    assert fits == [3, 3, 3]  # before, six fits in one task each
+    assert len(out) == 600 and all(out[r.id].margin == pytest.approx(r.m[1] - r.m[0], abs=1e-6) for r in both)
+
+    rows = spark.createDataFrame([([0.5, -1.0],), (None,), ([2.0, 3.5],)], "x array<double>").repartition(1)
+    got = rows.select(kernels.mapped(F.col("x"), 2, 16, 0.3, 5).alias("a"), kernels.fourier(F.col("x"), 2, 16, 0.3, 5).alias("b"), "x").collect()
+    assert all(r.a is None if r.x is None else r.a == pytest.approx(r.b, abs=1e-12) for r in got)
