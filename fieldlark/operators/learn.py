@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import random
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlark.operators.kernels import RandomFourier
-from fieldlark.operators.lineage import cut
+from fieldlark.operators.lineage import cut, shared_dir
 from fieldlark.operators.numbering import dealt
 
 #: Rows of a task of a fit: of the kernel machine's, whose features are many, and of others.
@@ -128,10 +129,16 @@ def repeated_out_of_fold(df: DataFrame, build: Pipeline, assignment: DataFrame,
 
     ``assignment`` is (key, repeat, fold), as :func:`repeated_folds` gives it.
     """
-    all_ = cut(df.join(assignment, key))
+    # A fit reads its rows several times, so they are written once, in a folder a repeat and files of a bounded number of rows.
+    all_ = df.join(assignment, key)
+    files = max(1, math.ceil(df.count() / _ROWS))
+    folder = f"{shared_dir(df.sparkSession)}/folds-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64(key), F.lit(files))
+    all_.repartition(files * repeats, "repeat", part).sortWithinPartitions("repeat", part, key).write.option("maxRecordsPerFile", 2 * _ROWS).partitionBy("repeat").parquet(folder)
+    of = [df.sparkSession.read.schema(all_.drop("repeat").schema).parquet(f"{folder}/repeat={r}").withColumn("repeat", F.lit(r)) for r in range(repeats)]
 
     def one(at: tuple[int, int]) -> DataFrame:
-        own = all_.where(F.col("repeat") == at[0])
+        own = of[at[0]]
         model = build.fit(own.where(F.col("fold") != at[1]))
         return scored(model, own.where(F.col("fold") == at[1])).select(key, "repeat", "fold", *keep, "probability_1", "prediction")
 

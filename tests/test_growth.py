@@ -144,3 +144,21 @@ def test_kernel_machine_is_fitted_once_a_fold_in_tasks_of_bounded_rows(spark, mo
     rows = spark.createDataFrame([([0.5, -1.0],), (None,), ([2.0, 3.5],)], "x array<double>").repartition(1)
     got = rows.select(kernels.mapped(F.col("x"), 2, 16, 0.3, 5).alias("a"), kernels.fourier(F.col("x"), 2, 16, 0.3, 5).alias("b"), "x").collect()
     assert all(r.a is None if r.x is None else r.a == pytest.approx(r.b, abs=1e-12) for r in got)
+
+
+def test_fits_of_a_repeat_read_its_rows_alone(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    from fieldlark.operators import learn
+
+    monkeypatch.setattr(learn, "_ROWS", 50)
+    df = spark.range(300, numPartitions=1).select("id", F.sin("id").alias("x"), (F.sin("id") + F.cos(F.col("id") * 3) > 0.1).cast("double").alias("y"))
+    folds = df.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("repeat")).withColumn("fold", F.pmod(F.xxhash64("id", "repeat"), F.lit(2)).cast("int"))
+    build, read, fit = learn.pipeline(["x"], [], "y"), [], LogisticRegression._fit
+    monkeypatch.setattr(LogisticRegression, "_fit", lambda self, data: read.append(data.inputFiles()) or fit(self, data))
+    out = {(r.id, r["repeat"]): r for r in learn.repeated_out_of_fold(df, build, folds, "id", 2, 2, ["y"]).collect()}
+    # Before, each fit read the rows of all repeats, in as few tasks as they had bytes for.
+    assert len(read) == 4 and all(len(f) >= 2 and len({x.split("/repeat=")[1][0] for x in f}) == 1 for f in read)
+    own = df.join(folds.where("repeat = 1"), "id")
+    want = learn.scored(build.fit(own.where("fold != 0")), own.where("fold = 0")).collect()
+    assert len(out) == 600 and all(out[r.id, 1].probability_1 == pytest.approx(r.probability_1, abs=1e-9) for r in want)
