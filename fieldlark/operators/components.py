@@ -14,22 +14,27 @@ from pyspark.sql import functions as F
 from fieldlark.operators.lineage import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _sent(df: DataFrame, broadcasts: bool) -> DataFrame:
+    return df if broadcasts else df.hint("merge")
+
+
+def _large_star(edges: DataFrame, broadcasts: bool) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(_sent(least, broadcasts), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, broadcasts: bool) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(_sent(least, broadcasts), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60, broadcasts: bool = True) -> DataFrame:
     """``(id, component)`` for each node of ``edges``; a component is named by its least node.
 
-    Self-loops and nulls are ignored; no edges give an empty result.
+    Self-loops and nulls are ignored; no edges give an empty result. Without ``broadcasts`` no join sends rows through
+    the driver, for callers that have many graphs at a time.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         f"{a} is not null and {b} is not null and u != v"
@@ -40,7 +45,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
         if now == before or now[0] == 0:
             break
         before = now
-        e = cut(_small_star(_large_star(e).distinct()).distinct())
+        e = cut(_small_star(_large_star(e, broadcasts).distinct(), broadcasts).distinct())
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(

@@ -57,6 +57,11 @@ def _bounds() -> tuple[Column, Column]:
     return distance(gap("lat"), gap("lon"), cos(far("a")) * cos(far("b"))), distance(span("lat"), span("lon"), cos(close("a")) * cos(close("b")))
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """The side of a join that Spark must not broadcast: a grid has dozens of such joins, whose sides follow the input and would all pass the driver."""
+    return df.hint("merge")
+
+
 def clusters(points: DataFrame, metres: float, least: int, group: Sequence[str] = ()) -> DataFrame:
     """(id, cluster): density clusters named by their least core point, null for noise.
 
@@ -68,13 +73,13 @@ def clusters(points: DataFrame, metres: float, least: int, group: Sequence[str]
     placed = points.where("lat is not null and lon is not null").select("id", "lat", "lon", *own)
     p = cut(_celled(placed, metres))
     sizes = p.groupBy(*cell).agg(F.count("*").alias("n"))
-    dense, sparse = (p.join(sizes.where(f"n {sign} {least}").select(*cell), cell, "left_semi") for sign in (">=", "<"))
+    dense, sparse = (p.join(_merged(sizes.where(f"n {sign} {least}").select(*cell)), cell, "left_semi") for sign in (">=", "<"))
     sparse = cut(sparse)
     d = haversine(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
     asking = _around(sparse.select(F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), *cell))
-    near = asking.join(p, cell).where(d <= metres)
+    near = asking.join(_merged(p), cell).where(d <= metres)
     core_ids = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
-    core = cut(dense.unionByName(sparse.join(core_ids, "id", "left_semi")))
+    core = cut(dense.unionByName(sparse.join(_merged(core_ids), "id", "left_semi")))
 
     box = [f(c).alias(f"{c}{k}") for c in ("lat", "lon") for k, f in enumerate((F.min, F.max))]
     parts = cut(core.groupBy(*cell, "part").agg(*box))
@@ -82,7 +87,7 @@ def clusters(points: DataFrame, metres: float, least: int, group: Sequence[str]
     a = _around(parts, half=True).select(*cell, "oy", "ox", *[F.col(c).alias(f"a_{c}") for c in names])
     b = parts.select(*cell, *[F.col(c).alias(f"b_{c}") for c in names])
     low, high = _bounds()
-    both = a.join(b, cell).withColumns({"_low": low, "_high": high}).where(F.col("_low") <= metres * (1 + 1e-9))
+    both = a.join(_merged(b), cell).withColumns({"_low": low, "_high": high}).where(F.col("_low") <= metres * (1 + 1e-9))
     pair = [*own, "oy", "ox", "cy", "cx"]
     sure = F.max(F.col("_high") <= metres * (1 - 1e-9))
     open_parts = F.collect_set(F.struct("a_part", "b_part"))  # 64 by 64 at most
@@ -90,18 +95,18 @@ def clusters(points: DataFrame, metres: float, least: int, group: Sequence[str]
     open_ = met.where("not sure").select(*pair, F.explode("open").alias("o")).select(*pair, "o.*")
     one = core.select(*own, F.col("cy").alias("oy"), F.col("cx").alias("ox"), F.col("part").alias("a_part"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
     other = core.select(*cell, F.col("part").alias("b_part"), "lat", "lon")
-    compared = open_.join(one, [*own, "oy", "ox", "a_part"]).join(other, [*cell, "b_part"]).where(d <= metres).select(*pair).distinct()
+    compared = open_.join(_merged(one), [*own, "oy", "ox", "a_part"]).join(_merged(other), [*cell, "b_part"]).where(d <= metres).select(*pair).distinct()
     name = lambda y, x: F.struct(*own, F.col(y).alias("cy"), F.col(x).alias("cx"))
     edges = met.where("sure").select(*pair).unionByName(compared).select(name("oy", "ox").alias("a"), name("cy", "cx").alias("b"))
-    joined = connected_components(edges, "a", "b").withColumnRenamed("id", "_cell")
+    joined = connected_components(edges, "a", "b", broadcasts=False).withColumnRenamed("id", "_cell")
     core = core.select("id", "lat", "lon", *cell, name("cy", "cx").alias("_cell"))
-    rooted = core.join(joined, "_cell", "left").withColumn("root", F.coalesce("component", "_cell")).drop("component", "_cell")
+    rooted = core.join(_merged(joined), "_cell", "left").withColumn("root", F.coalesce("component", "_cell")).drop("component", "_cell")
     least_core = rooted.groupBy("root").agg(F.min("id").alias("cluster"))
-    labels = cut(rooted.join(least_core, "root").drop("root"))
+    labels = cut(rooted.join(_merged(least_core), "root").drop("root"))
 
-    border = asking.join(core_ids.withColumnRenamed("id", "a"), "a", "left_anti").join(labels, cell).where(d <= metres)
+    border = asking.join(_merged(core_ids.withColumnRenamed("id", "a")), "a", "left_anti").join(_merged(labels), cell).where(d <= metres)
     border = border.groupBy("a").agg(F.min("cluster").alias("cluster")).withColumnRenamed("a", "id")
-    return points.select("id").join(labels.select("id", "cluster").unionByName(border), "id", "left")
+    return points.select("id").join(_merged(labels.select("id", "cluster").unionByName(border)), "id", "left")
 
 
 def accompanied(points: DataFrame, metres: float, group: Sequence[str] = ()) -> DataFrame:

@@ -162,3 +162,18 @@ def test_fits_of_a_repeat_read_its_rows_alone(spark, monkeypatch):
     own = df.join(folds.where("repeat = 1"), "id")
     want = learn.scored(build.fit(own.where("fold != 0")), own.where("fold = 0")).collect()
     assert len(out) == 600 and all(out[r.id, 1].probability_1 == pytest.approx(r.probability_1, abs=1e-9) for r in want)
+
+
+def test_joins_of_density_clusters_send_no_side_through_the_driver(spark, monkeypatch):
+    import random
+
+    from fieldlark.operators import components, density
+
+    rng, plans, kept = random.Random(6), [], density.cut
+    for m in (density, components):
+        monkeypatch.setattr(m, "cut", lambda df: plans.append(plan(df)) or kept(df))
+    df = spark.createDataFrame([(i, 7.0 + rng.gauss(0, 4e-5), 80.0 + rng.gauss(0, 4e-5)) for i in range(60)], "id long, lat double, lon double").coalesce(1)
+    out = density.clusters(df, 3.0, 3)
+    joins = [line for p in [*plans, plan(out)] for line in p.splitlines() if "Join " in line]
+    assert len(joins) > 8 and all("strategy=merge" in j for j in joins)
+    assert out.count() == 60
