@@ -117,6 +117,11 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in ((np.arange(len(words)), row[at]), (size, size[row[at]]), (none, lo), (none, hi), (whole, short[at])))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that Spark must not broadcast: files of words are compressed and keys come from a map, so Spark sizes either far too low."""
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """``(a, b)`` once for each two ids of ``words (id, word)`` that are one insertion, deletion or replacement apart."""
 
@@ -129,9 +134,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = words.select("id", "word").where("length(word) > 0").mapInArrow(keyed, "key long, id long, size int, lo int, hi int")
     replaced = "a.lo >= 0 and b.lo >= 0 and a.size = b.size and a.id < b.id and greatest(a.lo, b.lo) <= least(a.hi, b.hi)"
     inserted = "a.lo < 0 and b.lo >= 0 and b.size = a.size + 1"
-    found = keys.alias("a").join(keys.alias("b"), F.expr(f"a.key = b.key and (({replaced}) or ({inserted}))"))
+    found = keys.alias("a").join(_shuffled(keys.alias("b")), F.expr(f"a.key = b.key and (({replaced}) or ({inserted}))"))
     found = found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.expr("greatest(a.lo, b.lo)").alias("at"), F.expr("a.lo < 0").alias("longer"))
-    named = found.join(words.select(F.col("id").alias("a"), F.col("word").alias("word_a")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("word_b")), "b")
+    own = lambda x: _shuffled(words.select(F.col("id").alias(x), F.col("word").alias(f"word_{x}")))
+    named = found.join(own("a"), "a").join(own("b"), "b")
     rest = F.expr("substring(word_b, at + 2)")
     same = F.when(F.col("longer"), F.expr("substring(word_a, at + 1)") == rest).otherwise(F.expr("substring(word_a, at + 2)") == rest)
     return named.where((F.expr("substring(word_a, 1, at)") == F.expr("substring(word_b, 1, at)")) & same).select("a", "b")
@@ -141,9 +147,9 @@ def leading_forms(words: DataFrame, pairs: DataFrame, lead: int) -> DataFrame:
     """``(id, n_near, form_id, form, form_n)`` of the words that have near ones; no form where none leads."""
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("p")).select("p.*")
     other = words.select(F.col("id").alias("other"), (-F.col("n")).alias("less"), F.col("word"))
-    best = both.join(other, "other").groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct("less", "word", "other")).alias("best"))
+    best = both.join(_shuffled(other), "other").groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct("less", "word", "other")).alias("best"))
     leads = -F.col("best.less") >= lead * F.col("n")
-    kept = best.join(words.select("id", "n"), "id")
+    kept = best.join(_shuffled(words.select("id", "n")), "id")
     return kept.select("id", "n_near", F.when(leads, F.col("best.other")).alias("form_id"), F.when(leads, F.col("best.word")).alias("form"), F.when(leads, -F.col("best.less")).alias("form_n"))
 
 
@@ -151,7 +157,7 @@ def followed(links: DataFrame) -> DataFrame:
     """``(id, root)``: ``links (id, root)`` joined with themselves until no root has a link of its own; there must be no cycle."""
     while True:
         ahead = links.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        links = cut(links.join(ahead, "root", "left").select("id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        links = cut(links.join(_shuffled(ahead), "root", "left").select("id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         if links.where("moved").isEmpty():
             return links.select("id", "root")
         links = links.select("id", "root")
@@ -162,6 +168,6 @@ def variants(docs: DataFrame, rule: Spelling = Spelling(), doc_id: str = "doc_id
     words = written(word_counts(docs, rule, doc_id, text).select(F.monotonically_increasing_id().alias("id"), "word", "n"))
     forms = written(leading_forms(words, near_pairs(words), rule.lead))
     roots = followed(forms.where("form_id is not null").select("id", F.col("form_id").alias("root")))
-    named = roots.join(words.select(F.col("id").alias("root"), F.col("word").alias("_root")), "root").select("id", "_root")
-    out = words.join(forms, "id", "left").join(named, "id", "left")
+    named = roots.join(_shuffled(words.select(F.col("id").alias("root"), F.col("word").alias("_root"))), "root").select("id", "_root")
+    out = words.join(_shuffled(forms), "id", "left").join(_shuffled(named), "id", "left")
     return out.select("word", "form", F.coalesce("_root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
