@@ -191,3 +191,35 @@ def test_joins_of_words_send_no_side_through_the_driver(spark, monkeypatch):
     # Before, sides that Spark took for small were broadcast: 268 MB of words over 0.51 GB of documents.
     assert len(joins) >= 9 and all("strategy=merge" in j for j in joins)
     assert {(r.word, r.form, r.root) for r in out.collect()} == {("variant", None, "variant"), ("varient", "variant", "variant"), ("varieent", None, "varieent"), ("vvarieent", None, "vvarieent")}
+
+
+def test_kernel_errors_come_from_blocks_and_not_from_pairs(spark, sf_dir, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from fieldlark.operators import kernels
+    from fieldlark.plans import models
+
+    for name, most in (("_QUERIES", 6), ("_ROWS", 7), ("_HELD", 3)):
+        monkeypatch.setattr(kernels, name, most)
+    rng = random.Random(3)
+    rows = [(i % 60, [rng.gauss(0, 1) for _ in range(3)]) for i in range(64)] + [(None, [0.1, 0.2, 0.3])]
+    rows += [(70, None), (80, [0.1, None, 0.2]), (90, [0.1, float("nan"), 0.2]), (100, [0.1, float("inf"), 0.2]), (110, [0.1, 0.2])]
+    df = spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
+    found = kernels.deviations(df.where("id % 10 = 0"), df, 3, 32, 0.25, 4)
+    got = {r.id: r for r in found.collect()}
+    w = kernels.directions(3, 32, 0.25, 4)
+    z = lambda x: np.sqrt(2 / 32) * np.cos(w[:, :-1] @ x + w[:, -1])
+    whole = [np.array(x) for _, x in rows if x and len(x) == 3 and None not in x and np.isfinite(x).all()]
+    assert len(got) == 11 and len(whole) == 65
+    for key in got:
+        own = [np.array(x) for k, x in rows if k == key]
+        assert got[key].n == len(own) * len(rows)
+        off = [abs(np.exp(-0.25 * ((x - y) ** 2).sum()) - z(x) @ z(y)) for x in own if any(x is v or np.array_equal(x, v) for v in whole) for y in whole]
+        assert got[key].c == len(off) and got[key].s == pytest.approx(sum(off), abs=1e-9) and got[key].most == (pytest.approx(max(off), abs=1e-9) if off else None)
+    plans, cut = [], models.cut
+    monkeypatch.setattr(models, "cut", lambda d: plans.append(plan(d)) or cut(d))
+    assert queries()["kernel_approximation"](spark, sf_dir).where("not close").isEmpty()
+    # Before, each pair was a row of a cross join with two maps of 1,024 features.
+    assert plans and "Join" not in "".join(plans)
