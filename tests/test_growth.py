@@ -223,3 +223,29 @@ def test_kernel_errors_come_from_blocks_and_not_from_pairs(spark, sf_dir, monkey
     assert queries()["kernel_approximation"](spark, sf_dir).where("not close").isEmpty()
     # Before, each pair was a row of a cross join with two maps of 1,024 features.
     assert plans and "Join" not in "".join(plans)
+
+
+def test_nearest_of_others_where_ids_repeat_or_are_missing(spark, tmp_path):
+    import random
+
+    from fieldlark.operators import spatial
+    from fieldlark.plans import oracle_sql
+    from tests.oracle import difference
+
+    rng = random.Random(5)
+    at = lambda: [rng.gauss(0, 0.004), rng.gauss(0, 0.004), 0.5]
+    one, two = at(), at()
+    rows = [(i, at(), i % 4) for i in range(120)] + [(None, at(), 1) for _ in range(40)]
+    rows += [(50, one, 0) for _ in range(9)] + [(i, one, 1) for i in range(300, 312)] + [(300, one, 1) for _ in range(7)]  # an id nine times at a place with others
+    rows += [(100, two, 0), (100, at(), 0), (100, at(), 0), (7, [float("nan"), 0.0, 0.0], 1), (150, [float("nan"), 0.0, 0.0], 1), (200, [30.0, 0.0, 0.0], 2), (200, [30.0, 0.0, 0.0], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).coalesce(1).write.parquet(f"{tmp_path}/spark")
+    (file,) = (tmp_path / "spark").glob("*.parquet")
+    (tmp_path / "tables").mkdir()
+    file.rename(tmp_path / "tables" / "embeddings.parquet")
+    for name in ("nearest_plants_topk", "retrieval_log"):
+        # Before, copies of a query's own id and points without one took places of others, and a position that is not a number was an error.
+        assert difference(spark, str(tmp_path / "tables"), queries()[name], oracle_sql()[name]) == ""
+    # At a crowded place each query still has its k, whichever id is its own.
+    crowd = spark.createDataFrame([(i, 7.0, 80.0) for i in (1, 1, 1, 2, 3, 3, 4, 5)], "id long, lat double, lon double")
+    got = {(r.a, r["rank"]): r.b for r in spatial.nearest(crowd.distinct(), crowd, 3, 25.0, others=True).collect()}
+    assert [got[1, r] for r in (1, 2, 3)] == [2, 3, 3] and [got[2, r] for r in (1, 2, 3)] == [1, 1, 1] and [got[5, r] for r in (1, 2, 3)] == [1, 1, 1] and len(got) == 15
